@@ -51,8 +51,50 @@ FROM documents d JOIN l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.
 """
 
 
+def op6_decontamination(spark, sf_dir):
+    from termloom.llm.op_decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH dt AS (
+  SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents
+), bt AS (
+  SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark
+), dw AS (
+  SELECT id, t, unnest(generate_series(1, len(t) - 7)) AS p FROM dt WHERE len(t) >= 8
+), bw AS (
+  SELECT id, t, unnest(generate_series(1, len(t) - 7)) AS p FROM bt WHERE len(t) >= 8
+), hit AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.p - b.p AS shift
+  FROM (SELECT id, p, [t[p], t[p+1], t[p+2], t[p+4], t[p+6], t[p+7]] AS k FROM dw) d
+  JOIN (SELECT id, p, [t[p], t[p+1], t[p+2], t[p+4], t[p+6], t[p+7]] AS k FROM bw) b ON d.k = b.k
+  UNION
+  SELECT d.id, b.id, d.p - b.p
+  FROM (SELECT id, p, [t[p], t[p+1], t[p+4], t[p+5], t[p+6], t[p+7]] AS k FROM dw) d
+  JOIN (SELECT id, p, [t[p], t[p+1], t[p+4], t[p+5], t[p+6], t[p+7]] AS k FROM bw) b ON d.k = b.k
+), tok AS (
+  SELECT h.*, len(bt.t) AS n, least(len(bt.t), 13) AS w, i,
+         (shift + i >= 1 AND coalesce(dt.t[shift + i] = bt.t[i], false))::INT AS eq
+  FROM hit h JOIN dt ON dt.id = h.doc_id JOIN bt ON bt.id = h.item_id,
+       unnest(generate_series(1, len(bt.t))) AS u(i)
+), run AS (
+  SELECT *, sum(eq) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s FROM tok
+), al AS (
+  SELECT doc_id, item_id, shift, n, sum(eq) AS n_equal,
+         bool_or(i + w - 1 <= n AND s >= ceil(w * 0.8)) AS good
+  FROM run GROUP BY ALL
+)
+SELECT doc_id, item_id, shift::BIGINT AS shift, n_equal::BIGINT AS n_equal, n::BIGINT AS n_item
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, shift) AS rn FROM al WHERE good)
+WHERE rn = 1
+"""
+
+
 def queries():
     return {
+        "op6_decontamination": op6_decontamination,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
     }
@@ -60,5 +102,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op6_decontamination": OP6_SQL,
         "op10_line_dedup": OP10_SQL,
     }
