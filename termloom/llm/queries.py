@@ -51,6 +51,22 @@ FROM documents d JOIN l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.
 """
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the public vocabulary file lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark, sf_dir):
+    from termloom.llm.op_bpe import bpe_digest
+
+    return bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_decontamination(spark, sf_dir):
     from termloom.llm.op_decontam import contaminated
 
@@ -94,6 +110,7 @@ WHERE rn = 1
 
 def queries():
     return {
+        "op2_bpe": op2_bpe,
         "op6_decontamination": op6_decontamination,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
