@@ -67,6 +67,15 @@ def op2_bpe(spark, sf_dir):
     return bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_language_id(spark, sf_dir):
+    from termloom.llm.common import held_out
+    from termloom.llm.op_langid import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = classify(docs, train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_decontamination(spark, sf_dir):
     from termloom.llm.op_decontam import contaminated
 
@@ -111,6 +120,7 @@ WHERE rn = 1
 def queries():
     return {
         "op2_bpe": op2_bpe,
+        "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
