@@ -67,6 +67,15 @@ def op2_bpe(spark, sf_dir):
     return bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_toxicity(spark, sf_dir):
+    from termloom.llm.common import held_out
+    from termloom.llm.op_toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_language_id(spark, sf_dir):
     from termloom.llm.common import held_out
     from termloom.llm.op_langid import classify, train
@@ -120,6 +129,7 @@ WHERE rn = 1
 def queries():
     return {
         "op2_bpe": op2_bpe,
+        "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op9_simhash": op9_simhash,
