@@ -85,6 +85,12 @@ def op5_language_id(spark, sf_dir):
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_fingerprint(spark, sf_dir):
+    from termloom.llm.op_fingerprint import compare_edited
+
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     from termloom.llm.op_decontam import contaminated
 
@@ -132,6 +138,7 @@ def queries():
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
+        "op7_fingerprint": op7_fingerprint,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
     }
