@@ -11,7 +11,6 @@ slices one blob of token bytes by an offset table.
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
 from itertools import chain
 
@@ -21,14 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import small_batches, texts
+from termloom.llm.pretokens import split
 
-#: How byte-level vocabularies split text, and spell bytes as characters.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes that byte-level vocabularies spell as themselves.
 PRINTABLE = (range(33, 127), range(161, 173), range(174, 256))
-#: Over texts of these characters alone, the built-in ``re`` splits alike, and three times as fast.
-LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-PLAIN = rf" ?[{LETTER}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+"
-OTHER = rf"[^\t\n\r\x20-\x7e{LETTER}\u2013\u2014\u2018\u2019\u201c\u201d\u2026]"
 #: Distinct pre-tokens that a task remembers before it starts afresh.
 CACHE = 400_000
 
@@ -76,8 +71,6 @@ class Bpe:
             auto.add_word(t[::-1], i)
         auto.make_automaton()
         self.auto = auto
-        self.split_any = regex.compile(PATTERN).findall
-        self.split_plain, self.other = re.compile(PLAIN).findall, re.compile(OTHER).search
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.offsets = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -85,10 +78,6 @@ class Bpe:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
 
-    def split(self, text: str) -> list[str]:
-        """The pre-tokens of a text."""
-        return self.split_any(text) if self.other(text) else self.split_plain(text)
-
     def longest(self, word: str) -> list[int]:
         """The longest token at each position: the longest match of a reversed
         token that ends at each position of the reversed word."""
@@ -172,7 +161,7 @@ class Bpe:
         return self._ordinary(text)
 
     def _ordinary(self, text: str) -> list[int]:
-        words, cache = self.split(text), self.cache
+        words, cache = split(text), self.cache
         if len(cache) > CACHE:
             cache.clear()
         try:
