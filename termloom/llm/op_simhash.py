@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from termloom.llm.common import durable, texts
+from termloom.llm.common import P, durable, texts
 from termloom.llm.components import connected_components
 
 BITS = 64
@@ -126,3 +126,16 @@ def simhash_classes(docs: DataFrame, width: int = 3, distance: int = 2, blocks:
     return fps.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
     )
+
+
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """The rows, all columns, with one document of each near-duplicate class: that of least doc_id.
+
+    A null doc_id counts as a number below all ids, made from the text.  Of rows
+    that repeat a doc_id one stays.
+    """
+    low = -(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    key = F.coalesce(F.col("doc_id").cast("long"), low)
+    classes = simhash_classes(docs.select(key.alias("doc_id"), "text"), **options)
+    kept = classes.select(F.col("component_id").alias(f"{P}key")).distinct()
+    return docs.withColumn(f"{P}key", key).join(kept, f"{P}key", "left_semi").dropDuplicates([f"{P}key"]).drop(f"{P}key")
