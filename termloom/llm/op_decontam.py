@@ -17,6 +17,11 @@ SPAN = 8
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: An overlap counts from this many aligned tokens of which this share is equal.
 OVERLAP, SIMILARITY = 13, 0.8
+#: Tokens before and in all around a seed that its overlaps can reach.
+BEFORE = OVERLAP - SPAN
+AROUND = BEFORE + SPAN + BEFORE
+#: Windows of a text that one row carries at most.
+PART = 2048
 #: The test side is broadcast up to so many tokens (about 100 bytes each, with its
 #: alignment arrays); beyond it, the join shuffles.
 BROADCAST_TOKENS = 200_000
@@ -28,76 +33,96 @@ def _tokens(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, *carry: str) -> DataFrame:
-    """Each window of ``toks`` under each mask: ``(*carry, at, seed)``."""
-    n = F.size("toks") - (SPAN - 1)
-    zipped = F.arrays_zip(*[F.slice("toks", i + 1, F.greatest(n, F.lit(0))).alias(f"t{i}") for i in range(SPAN)])
-    wide = df.filter(F.size("toks") >= SPAN).select(*carry, F.posexplode(zipped).alias("at", "w"))
-    seeds = [F.xxhash64(F.lit(m), *[F.col(f"w.t{i}") for i in mask]) for m, mask in enumerate(MASKS)]
-    return wide.select(*carry, "at", F.explode(F.array(*seeds)).alias("seed"))
+def _padded(toks: str) -> Column:
+    """The tokens with nulls at both ends, so that each seed has its surroundings."""
+    null = F.lit(None).cast("long")
+    return F.concat(F.array_repeat(null, BEFORE), F.col(toks), F.array_repeat(null, BEFORE))
+
 
+def _windows(df: DataFrame, size: int, *carry: str) -> DataFrame:
+    """``(*carry, chunk, part, l, s0, s1)``: a row for each token window of SPAN.
 
-def _equal(d_toks: str, b_toks: str, shift: str) -> Column:
-    """For each item token, 1 where the aligned document token equals it."""
-    d, s = F.col(d_toks), F.col(shift)
-    return F.transform(
-        F.col(b_toks), lambda t, i: F.when(F.coalesce(F.try_element_at(d, F.greatest(s + i + 1, F.lit(-1)) + F.when(s + i < 0, -(1 << 30)).otherwise(0)) == t, F.lit(False)), 1).otherwise(0)
+    Texts are cut into parts of ``size`` windows first, so that no row of a very
+    long text carries more than a part.  ``s0, s1`` are the window's seeds under the
+    two masks; ``part`` holds the part's tokens with surroundings, ``l`` the
+    window's place in it.
+    """
+    n = F.size("toks") - (SPAN - 1)
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")),
+        lambda c: F.struct(c.alias("chunk"), F.slice("pad", c * size + 1, F.lit(size + AROUND - 1)).alias("part"), F.least(n - c * size, F.lit(size)).alias("m")),
     )
+    cut = df.filter(F.size("toks") >= SPAN).withColumn("pad", _padded("toks")).select(*carry, F.inline(chunks))
+    zipped = F.arrays_zip(*[F.slice("part", BEFORE + i + 1, F.col("m")).alias(f"t{i}") for i in range(SPAN)])
+    seeds = [F.xxhash64(F.lit(m), *[F.col(f"w.t{i}") for i in mask]).alias(f"s{m}") for m, mask in enumerate(MASKS)]
+    return cut.select(*carry, "chunk", "part", F.posexplode(zipped).alias("l", "w")).select(*carry, "chunk", "part", "l", *seeds)
+
 
+def _test_seeds(benchmark: DataFrame) -> DataFrame:
+    """``(mask, seed, hits)``: per seed of the test items its places, each with the
+    tokens around it and the number of equal ones that an overlap needs."""
+    n = F.size("toks")
+    need = F.ceil(F.least(n, F.lit(OVERLAP)) * SIMILARITY).cast("int")
+    rows = _windows(benchmark.withColumn("need", need), PART, "item_id", "need")
+    hit = F.struct("item_id", (F.col("chunk") * PART + F.col("l")).alias("q"), "need", F.slice("part", F.col("l") + 1, F.lit(AROUND)).alias("around"))
+    both = rows.select(hit.alias("hit"), F.posexplode(F.array("s0", "s1")).alias("mask", "seed"))
+    return both.groupBy("mask", "seed").agg(F.collect_set("hit").alias("hits"))
 
-def _passes(equal: Column, q: Column, n: Column) -> Column:
-    """Some window of OVERLAP aligned tokens around item position q is similar enough."""
-    width = F.least(n, F.lit(OVERLAP))
-    low = F.greatest(q + SPAN - width, F.lit(0))
-    high = F.least(q, n - width)
-    same = lambda t: F.aggregate(F.slice(equal, t + 1, width), F.lit(0), lambda a, x: a + x)
-    return F.exists(F.sequence(low, high), lambda t: same(t) >= F.ceil(width * SIMILARITY))
 
+def _best(doc: Column, item: Column) -> Column:
+    """The most equal tokens of any overlap around the seed."""
+    equal = F.zip_with(doc, item, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(BEFORE)), lambda t: F.aggregate(F.slice(equal, t + 1, F.lit(OVERLAP)), F.lit(0), lambda x, y: x + y))
+    return F.array_max(sums)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """One row per contaminated document and test item.
 
-    ``doc_id, item_id, shift, n_equal, n_item``: the best alignment (most equal
-    tokens, then least shift), ``shift`` the document token where item token 0
-    falls.  A pair is reported where at least 80 % of 13 aligned tokens around a
-    seed hit are equal (items of 8 to 12 tokens: of all of them).  Items under 8
-    tokens are too short to tell and match nothing, as do documents under 8
-    tokens and null texts on either side.  Rows with a null doc_id are reported
-    under null.  Repeated rows give one row.  Extra columns are ignored.
+    ``doc_id, item_id, shift, n_equal, item_from, item_to``: the most equal tokens in
+    an overlap, the ``shift`` (document token on which item token 0 falls; of equal
+    ones the least) at which it lies, and the item tokens, from and up to, that the
+    seeds of all found overlaps span.
+
+    An overlap is 13 aligned tokens around a seed, of which 80 % (11) are equal; in items
+    of 8 to 12 tokens, all of them.  Items under 8 tokens are too short to tell and
+    match nothing, as do documents under 8 tokens and null texts on either side.
+    Rows with a null doc_id are reported under null.  Rows that repeat give one
+    row; an item_id given to several texts stands for all of them.  Extra columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tokens("text").alias("toks"))
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _tokens("text").alias("toks")).filter(F.size("toks") >= SPAN)
     size = b.agg(F.sum(F.size("toks").cast("long"))).first()[0] or 0
-    test = (
-        _seeds(b, "item_id", "toks")
-        .select("seed", "item_id", F.col("at").alias("q"), F.col("toks").alias("item"))
-        .distinct()
-    )
-    if size <= BROADCAST_TOKENS:
-        hits = _seeds(d, "doc_id", "toks").join(F.broadcast(test), "seed")
+    test = _test_seeds(b)
+    sides = [test.filter(F.col("mask") == m).select(F.col("seed").alias(f"s{m}"), F.col("hits").alias(f"h{m}")) for m in range(len(MASKS))]
+    rows = _windows(d, PART, "doc_id")
+    none = F.array().cast(sides[0].schema["h0"].dataType)
+    if size <= broadcast_tokens:
+        # Both lookups run inside the scan's own stage; only windows that hit leave it.
+        found = rows.join(F.broadcast(sides[0]), "s0", "left").join(F.broadcast(sides[1]), "s1", "left")
+        found = found.filter(F.col("h0").isNotNull() | F.col("h1").isNotNull())
     else:
-        # Too large to broadcast: join bare seeds by shuffle, then bring tokens to the few alignments.
-        found = (
-            _seeds(d, "doc_id").join(test.drop("item"), "seed")
-            .select("doc_id", "item_id", "q", (F.col("at") - F.col("q")).alias("shift")).distinct()
-        )
-        hits = (
-            found.join(b.select("item_id", F.col("toks").alias("item")), "item_id")
-            .join(d, found["doc_id"].eqNullSafe(d["doc_id"])).drop(d["doc_id"])
-            .withColumn("at", F.col("shift") + F.col("q"))
+        # Too large to send to all: seeds meet by shuffle, each with its surroundings.
+        far = rows.withColumn("part", F.slice("part", F.col("l") + 1, F.lit(AROUND))).withColumn("at", F.col("chunk") * PART + F.col("l")).drop("chunk", "l")
+        found = far.join(sides[0], "s0").withColumn("h1", none).unionByName(far.join(sides[1], "s1").withColumn("h0", none))
+        found = found.withColumn("l", F.lit(0)).withColumn("chunk", F.lit(0))
+    at = F.col("chunk") * PART + F.col("l") if size <= broadcast_tokens else F.col("at")
+    hits = found.select(
+        "doc_id", at.alias("at"), F.slice("part", F.col("l") + 1, F.lit(AROUND)).alias("around"),
+        F.explode(F.array_union(F.coalesce("h0", none), F.coalesce("h1", none))).alias("hit"),
+    )
+    good = hits.select("doc_id", "hit.item_id", "hit.q", "hit.need", (F.col("at") - F.col("hit.q")).alias("shift"), _best(F.col("around"), F.col("hit.around")).alias("n_equal"))
+    return (
+        good.filter("n_equal >= need")
+        .groupBy("doc_id", "item_id")
+        .agg(F.max(F.shiftleft(F.col("n_equal").cast("long"), 40) + (1 << 39) - F.col("shift")).alias("top"), F.min("q").alias("item_from"), (F.max("q") + SPAN).alias("item_to"))
+        .select(
+            "doc_id", "item_id",
+            ((1 << 39) - F.col("top").bitwiseAND(F.lit((1 << 40) - 1))).alias("shift"),
+            F.shiftright("top", 40).alias("n_equal"),
+            F.col("item_from").cast("long").alias("item_from"),
+            F.col("item_to").cast("long").alias("item_to"),
         )
-    aligned = hits.withColumn("shift", F.col("at") - F.col("q")).withColumn("equal", _equal("toks", "item", "shift"))
-    good = aligned.filter(_passes(F.col("equal"), F.col("q"), F.size("item")))
-    n_equal = F.aggregate("equal", F.lit(0), lambda a, x: a + x)
-    best = good.select(
-        "doc_id", "item_id",
-        F.struct(n_equal.alias("n_equal"), (-F.col("shift")).alias("back"), F.size("item").alias("n_item")).alias("best"),
-    ).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
-    return best.select(
-        "doc_id", "item_id",
-        (-F.col("best.back")).cast("long").alias("shift"),
-        F.col("best.n_equal").cast("long").alias("n_equal"),
-        F.col("best.n_item").cast("long").alias("n_item"),
     )
 
 

@@ -107,28 +107,27 @@ WITH dt AS (
 ), bw AS (
   SELECT id, t, unnest(generate_series(1, len(t) - 7)) AS p FROM bt WHERE len(t) >= 8
 ), hit AS (
-  SELECT d.id AS doc_id, b.id AS item_id, d.p - b.p AS shift
+  SELECT d.id AS doc_id, b.id AS item_id, d.p, b.p AS q
   FROM (SELECT id, p, [t[p], t[p+1], t[p+2], t[p+4], t[p+6], t[p+7]] AS k FROM dw) d
   JOIN (SELECT id, p, [t[p], t[p+1], t[p+2], t[p+4], t[p+6], t[p+7]] AS k FROM bw) b ON d.k = b.k
   UNION
-  SELECT d.id, b.id, d.p - b.p
+  SELECT d.id, b.id, d.p, b.p
   FROM (SELECT id, p, [t[p], t[p+1], t[p+4], t[p+5], t[p+6], t[p+7]] AS k FROM dw) d
   JOIN (SELECT id, p, [t[p], t[p+1], t[p+4], t[p+5], t[p+6], t[p+7]] AS k FROM bw) b ON d.k = b.k
 ), tok AS (
-  SELECT h.*, len(bt.t) AS n, least(len(bt.t), 13) AS w, i,
-         (shift + i >= 1 AND coalesce(dt.t[shift + i] = bt.t[i], false))::INT AS eq
+  SELECT h.*, len(bt.t) AS n, j,
+         (p + j >= 1 AND q + j >= 1 AND coalesce(dt.t[p + j] = bt.t[q + j], false))::INT AS eq
   FROM hit h JOIN dt ON dt.id = h.doc_id JOIN bt ON bt.id = h.item_id,
-       unnest(generate_series(1, len(bt.t))) AS u(i)
+       unnest(generate_series(-5, 12)) AS u(j)
 ), run AS (
-  SELECT *, sum(eq) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s FROM tok
-), al AS (
-  SELECT doc_id, item_id, shift, n, sum(eq) AS n_equal,
-         bool_or(i + w - 1 <= n AND s >= ceil(w * 0.8)) AS good
-  FROM run GROUP BY ALL
+  SELECT *, sum(eq) OVER (PARTITION BY doc_id, item_id, p, q ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s FROM tok
+), good AS (
+  SELECT doc_id, item_id, p - q AS shift, q, max(s) AS n_equal
+  FROM run GROUP BY doc_id, item_id, p, q, n HAVING max(s) >= ceil(least(n, 13) * 0.8)
 )
-SELECT doc_id, item_id, shift::BIGINT AS shift, n_equal::BIGINT AS n_equal, n::BIGINT AS n_item
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, shift) AS rn FROM al WHERE good)
-WHERE rn = 1
+SELECT doc_id, item_id, arg_max(shift, (n_equal, -shift))::BIGINT AS shift, max(n_equal)::BIGINT AS n_equal,
+       (min(q) - 1)::BIGINT AS item_from, (max(q) + 7)::BIGINT AS item_to
+FROM good GROUP BY doc_id, item_id
 """
 
 
