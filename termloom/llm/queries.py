@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from termloom.llm.common import P, table
 
 
+def op8_license_scan(spark, sf_dir):
+    from termloom.llm.op_license import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     from termloom.llm.op_simhash import simhash_classes
 
@@ -51,6 +57,16 @@ FROM documents d JOIN l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.
 """
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    from termloom.llm.op_suffixdedup import suffix_dedup
+
+    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -67,6 +83,15 @@ def op2_bpe(spark, sf_dir):
     return bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op3_token_counts(spark, sf_dir):
+    from termloom.llm.op_tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(RANKS))
+
+
 def op4_toxicity(spark, sf_dir):
     from termloom.llm.common import held_out
     from termloom.llm.op_toxicity import score, train
@@ -133,17 +158,21 @@ FROM good GROUP BY doc_id, item_id
 
 def queries():
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_bpe": op2_bpe,
+        "op3_token_counts": op3_token_counts,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op7_fingerprint": op7_fingerprint,
+        "op8_license_scan": op8_license_scan,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql():
+    """Queries that SQL can express; the others are tested against brute force."""
     return {
         "op6_decontamination": OP6_SQL,
         "op10_line_dedup": OP10_SQL,
