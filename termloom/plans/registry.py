@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.plans import catalog, text
+from termloom.plans import catalog, pages, state, text
 
-MODULES = [text, catalog]
+MODULES = [text, catalog, pages, state]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
