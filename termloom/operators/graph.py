@@ -162,3 +162,12 @@ def largest_subgraph(edges: DataFrame, k: int = 20) -> DataFrame:
     """Edges between the ``k`` nodes of highest degree."""
     top = degree(edges).orderBy(F.desc("degree"), "slug").limit(k).select("slug")
     return edges.join(F.broadcast(top.withColumnRenamed("slug", "src")), "src", "left_semi").join(F.broadcast(top.withColumnRenamed("slug", "dst")), "dst", "left_semi")
+
+
+def circular_layout(nodes: DataFrame, radius: float = 100.0) -> DataFrame:
+    """Each group's terms on a circle in input order, the first at the top."""
+    by = W.partitionBy("grp")
+    i, n = F.row_number().over(by.orderBy("term_ord")) - 1, F.count("*").over(by)
+    angle = 2 * F.pi() * F.col("i") / F.col("n") - F.pi() / 2
+    placed = nodes.withColumn("i", i).withColumn("n", n)
+    return placed.select("slug", "grp", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))

@@ -117,3 +117,17 @@ def lockouts(attempts: DataFrame, user: str, failed: Column, most: int = 5, minu
 
     out = rows.groupBy("u").applyInPandas(run, "u long, locked_at timestamp, unlocks_at timestamp, n_failures int")
     return out.withColumnRenamed("u", user)
+
+
+def annotations(rows: DataFrame) -> DataFrame:
+    """Stored annotations under the names that readers use, without null notes; by page, then start."""
+    return rows.select(
+        "id", F.col("page").alias("pageNumber"), F.col("start_offset").alias("startOffset"), F.col("end_offset").alias("endOffset"),
+        F.col("quote_text").alias("quoteText"), "color", F.coalesce("note", F.lit("")).alias("note"), F.col("created_at").alias("createdAt"),
+    )
+
+
+def remaining_seconds(until: Column, now: Column) -> Column:
+    """Whole seconds, rounded up, until a lock ends; 0 after it."""
+    left = until.cast("timestamp").cast("double") - now.cast("timestamp").cast("double")
+    return F.greatest(F.ceil(left), F.lit(0)).cast("long")

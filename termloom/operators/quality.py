@@ -211,3 +211,28 @@ def new_aliases(terms: DataFrame) -> DataFrame:
     single = offers.groupBy("low").agg(F.countDistinct("slug", "v").alias("n")).filter("n = 1").select("low")
     kept = offers.join(single, "low", "left_semi")
     return kept.groupBy("slug").agg(F.array_sort(F.collect_set("v")).alias("aliases"))
+
+
+def tag_balance(pages: DataFrame, tags: tuple[str, ...] = ("div", "p", "ul", "li", "a", "article", "nav"), key: str = "page_id") -> DataFrame:
+    """Pages in which a tag is opened more or less often than it is closed."""
+    counts = [F.struct(F.lit(t).alias("tag"), F.size(F.regexp_extract_all("html", F.lit(rf"(?i)<{t}[\s>]"), F.lit(0))).alias("opened"), F.size(F.regexp_extract_all("html", F.lit(rf"(?i)</{t}\s*>"), F.lit(0))).alias("closed")) for t in tags]
+    return pages.select(key, F.inline(F.array(*counts))).filter("opened <> closed")
+
+
+def site_summary(terms: DataFrame, pages: DataFrame, footer: str = "</footer>") -> DataFrame:
+    """One row: terms, repeated slugs, pages, pages without a term, terms without a page, pages without a footer."""
+    t = terms.agg(F.count("*").alias("terms"), (F.count("slug") - F.countDistinct("slug")).alias("repeated"))
+    p = pages.agg(F.count("*").alias("pages"), F.count_if(~F.col("html").contains(footer)).alias("no_footer"))
+    a = pages.select("slug").distinct().join(terms, "slug", "left_anti").agg(F.count("*").alias("orphan_pages"))
+    b = terms.select("slug").distinct().join(pages, "slug", "left_anti").agg(F.count("*").alias("missing_pages"))
+    # Four one-row tables side by side.
+    return t.join(p).join(a).join(b)
+
+
+def order_matches_groups(groups: DataFrame, order: DataFrame) -> DataFrame:
+    """``(category, pos, group_pos)`` where the list of categories departs from the groups' codes in
+    sequence.  ``groups``: ``(grp_ord, pos, category)``; ``order``: ``(pos, category)``."""
+    from pyspark.sql import Window
+
+    flat = groups.withColumn("group_pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("grp_ord", "pos")) - 1).select("category", "group_pos")
+    return order.join(flat, "category", "full_outer").filter(~F.col("pos").eqNullSafe(F.col("group_pos"))).select("category", "pos", "group_pos")

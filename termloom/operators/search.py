@@ -64,3 +64,23 @@ def header_search(terms: DataFrame, query: str, limit: int = 8) -> DataFrame:
     near = near_titles(terms, query).select("slug", F.lit(1).alias("tier"), "score", "term_ord")
     best = exact.unionByName(near).withColumn("n", F.row_number().over(W.partitionBy("slug").orderBy("tier", "score")))
     return best.filter("n = 1").drop("n").orderBy("tier", "score", "term_ord").limit(limit)
+
+
+def near_words(words: DataFrame, keys: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
+    """``(word, key, score, place)``: dictionary keys one edit away from words that are no keys.
+
+    Off in the matcher; for finding typing errors.  Words of ``least`` letters or more, at
+    most ``share`` of the longer one changed, the best three keys.  Strings one edit
+    apart agree once a letter is left out of either or both, so pairs meet on such
+    forms, one per letter, and never by cross join.
+    """
+    own = words.select("word").distinct().filter(F.length("word") >= least).join(keys.select(F.col("key").alias("word")), "word", "left_anti")
+
+    def forms(df: DataFrame, c: str) -> DataFrame:
+        shorter = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c))))
+        return df.select(c, F.explode(F.array_distinct(F.array_append(shorter, F.col(c)))).alias("form"))
+
+    pairs = forms(own, "word").join(forms(keys.select("key").distinct().filter(F.length("key") >= least - 1), "key"), "form").select("word", "key").distinct()
+    edits = F.levenshtein("word", "key")
+    scored = pairs.filter(edits <= 1).withColumn("score", edits / F.greatest(F.length("word"), F.length("key"))).filter(F.col("score") <= share)
+    return scored.withColumn("place", F.row_number().over(W.partitionBy("word").orderBy("score", "key"))).filter("place <= 3")

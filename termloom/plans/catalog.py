@@ -273,10 +273,64 @@ def newest_items(spark, sf_dir):
 
 NEWEST_ITEMS = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 30"
 
+def circular_layout(spark, sf_dir):
+    nodes, _ = _graph(spark, sf_dir)
+    return G.circular_layout(nodes).select("slug", "grp", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+CIRCULAR_LAYOUT = """WITH p AS (SELECT p_partkey AS slug, p_brand AS grp, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT slug, grp, round(100 * cos(2 * pi() * i / n - pi() / 2), 4) + 0.0 AS x, round(100 * sin(2 * pi() * i / n - pi() / 2), 4) + 0.0 AS y FROM p"""
+
+
+def category_order(spark, sf_dir):
+    """Nations by region and key, against their order by key alone."""
+    from termloom.operators.quality import order_matches_groups
+
+    n = table(spark, sf_dir, "nation")
+    groups = n.select(F.col("n_regionkey").alias("grp_ord"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("category"))
+    return order_matches_groups(groups, n.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("category")))
+
+
+CATEGORY_ORDER = """SELECT n_name AS category, n_nationkey AS pos, g::INT AS group_pos FROM (
+  SELECT *, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS g FROM nation) WHERE n_nationkey IS DISTINCT FROM g"""
+
+
+def facets(spark, sf_dir):
+    """Parts as matches: hidden ones out, an easy or unknown level, a word in the title, one category."""
+    from termloom.operators.matching import facet_filter
+
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("slug"), F.lit("").alias("title_ko"), F.col("p_name").alias("title_en"), F.array("p_type").alias("categories"),
+        F.when(F.col("p_size") > 3, F.col("p_size") % 4).alias("difficulty"))
+    hidden = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("slug"))
+    kind = table(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
+    return facet_filter(p, hidden, "r", [1, 2], kind, english_only=True).select("slug", "title_en", "difficulty")
+
+
+FACETS = """SELECT p_partkey AS slug, p_name AS title_en, CASE WHEN p_size > 3 THEN p_size % 4 END::INT AS difficulty FROM part
+WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND contains(lower(p_name), 'r')
+  AND (p_size <= 3 OR p_size IS NULL OR p_size % 4 IN (1, 2)) AND p_type = (SELECT min(p_type) FROM part)"""
+
+
+def near_words(spark, sf_dir):
+    """Words of the benchmark one edit away from words of part names and types."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    keys = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n >= 20")
+    return S.near_words(words, keys).select("word", "key", F.round("score", 6).alias("score"), "place")
+
+
+NEAR_WORDS = """WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark),
+k AS (SELECT key FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS key FROM documents) GROUP BY 1 HAVING count(*) >= 20),
+p AS (SELECT word, key, levenshtein(word, key) AS e FROM w JOIN k ON length(word) >= 5 AND length(key) >= 4 AND abs(length(word) - length(key)) <= 1
+  WHERE word NOT IN (SELECT key FROM k) AND levenshtein(word, key) <= 1),
+r AS (SELECT word, key, e / greatest(length(word), length(key)) AS score FROM p)
+SELECT word, key, round(score, 6) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score, key) AS place FROM r WHERE score <= 0.2) WHERE place <= 3"""
+
 _NAMES = [
     "search_rank", "contains_filter", "near_titles", "header_search", "category_counts", "primary_counts", "taxonomy_rollup", "featured_counts",
     "subcategory_order", "subcategory_pages", "related_topk", "related_mutual", "edge_symmetry", "edge_dedup", "indegree", "difficulty_tertiles",
     "prerequisites", "learning_order", "progress_pct", "largest_subgraph", "section_starts", "newest_items",
+    "circular_layout", "category_order", "facets", "near_words",
 ]
 QUERIES = {n: globals()[n] for n in _NAMES}
 SQL = {n: globals()[n.upper()] for n in _NAMES}

@@ -194,9 +194,29 @@ BATCH_MERGE = """WITH b AS (SELECT (doc_id - doc_id % 2) AS s, quality, doc_id A
 ), m AS (SELECT *, min(CASE WHEN quality = 1 AND NOT old AND paged THEN ord END) OVER (PARTITION BY s) AS taken FROM k)
 SELECT s::VARCHAR AS slug, ord, CASE WHEN quality IS DISTINCT FROM 1 THEN 'missing fields' WHEN old THEN 'already there' WHEN taken < ord THEN 'repeated in batch' WHEN NOT paged THEN 'no page' ELSE 'accepted' END AS fate FROM m"""
 
+def tag_balance(spark, sf_dir):
+    return Q.tag_balance(table(spark, sf_dir, "pages"))
+
+
+TAG_BALANCE = r"""WITH t AS (SELECT page_id, html, unnest(['div', 'p', 'ul', 'li', 'a', 'article', 'nav']) AS tag FROM pages),
+c AS (SELECT page_id, tag, len(regexp_extract_all(html, '(?i)<' || tag || '[\s>]'))::INT AS opened, len(regexp_extract_all(html, '(?i)</' || tag || '\s*>'))::INT AS closed FROM t)
+SELECT * FROM c WHERE opened <> closed"""
+
+
+def site_summary(spark, sf_dir):
+    """Documents as terms, pages by number."""
+    terms = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"))
+    return Q.site_summary(terms, table(spark, sf_dir, "pages").select((F.col("page_id") * 3).alias("slug"), "html"), "</article>")
+
+
+SITE_SUMMARY = """SELECT (SELECT count(*) FROM documents) AS terms, (SELECT count(doc_id) - count(DISTINCT doc_id) FROM documents) AS repeated,
+  (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM pages WHERE NOT contains(html, '</article>')) AS no_footer,
+  (SELECT count(*) FROM (SELECT DISTINCT page_id * 3 AS s FROM pages) WHERE s NOT IN (SELECT doc_id FROM documents)) AS orphan_pages,
+  (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT page_id * 3 FROM pages)) AS missing_pages"""
+
 _NAMES = [
     "html_links", "html_title", "html_text", "html_markers", "related_links", "url_parts", "block_upsert", "dq_missing_fields", "dq_bad_slugs", "dq_orphans",
-    "dq_customers_without_orders", "dq_duplicates", "dq_spelling_drift", "dq_translation_drift", "dq_same_title", "dq_report", "alias_offers", "batch_merge",
+    "dq_customers_without_orders", "dq_duplicates", "dq_spelling_drift", "dq_translation_drift", "dq_same_title", "dq_report", "alias_offers", "batch_merge", "tag_balance", "site_summary",
 ]
 QUERIES = {n: globals()[n] for n in _NAMES}
 SQL = {n: globals()[n.upper()] for n in _NAMES}

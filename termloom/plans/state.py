@@ -154,9 +154,31 @@ def event_windows(spark, sf_dir):
 
 EVENT_WINDOWS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
+def lock_seconds(spark, sf_dir):
+    """Seconds left of a day's lock from each user's last error at the time of their last event."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("failed"), F.max("ts").alias("now"))
+    return e.filter("failed is not null").select("user_id", L.remaining_seconds(F.col("failed") + F.expr("INTERVAL 1 DAY"), F.col("now")).alias("left"))
+
+
+LOCK_SECONDS = """WITH e AS (SELECT user_id, max(ts) FILTER (event_type = 'error') AS failed, max(ts) AS now FROM events GROUP BY 1)
+SELECT user_id, greatest(ceil((epoch_us(failed + INTERVAL 1 DAY) - epoch_us(now)) / 1000000.0), 0)::BIGINT AS "left" FROM e WHERE failed IS NOT NULL"""
+
+
+def annotation_records(spark, sf_dir):
+    """Events as annotations: the key as the page, errors without a note."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), k.alias("page"), (F.col("event_id") % 50).alias("start_offset"), (F.col("event_id") % 50 + 5).alias("end_offset"),
+        F.col("event_type").alias("quote_text"), F.lit("yellow").alias("color"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("note"), F.col("ts").alias("created_at"))
+    return L.annotations(rows).select("id", "pageNumber", "startOffset", "endOffset", "quoteText", "note")
+
+
+ANNOTATION_RECORDS = """SELECT event_id AS id, (props::JSON->>'k')::INT AS "pageNumber", event_id % 50 AS "startOffset", event_id % 50 + 5 AS "endOffset", event_type AS "quoteText",
+  CASE WHEN event_type <> 'error' THEN event_type ELSE '' END AS note FROM events"""
+
 _NAMES = [
     "latest_state", "live_rows", "toggle_state", "mru_queries", "streaks", "quiz_totals", "debounce_sessions", "lockout", "tagged_items", "migrated",
-    "history_dates", "quiz_bands", "event_windows",
+    "history_dates", "quiz_bands", "event_windows", "lock_seconds", "annotation_records",
 ]
 QUERIES = {n: globals()[n] for n in [*_NAMES, "quiz_distractors"]}
 SQL = {n: globals()[n.upper()] for n in _NAMES}

@@ -140,3 +140,18 @@ def test_daily_pick(spark):
         return out
 
     assert all(sampling.picked_places(n, 5, f"s{n}") == drawn(n, 5, f"s{n}") for n in range(30))
+
+
+def test_near_words(spark):
+    words = spark.createDataFrame([("variance",), ("varance",), ("variancex",), ("vvriance",), ("abc",), ("variants",)], "word string")
+    keys = spark.createDataFrame([("variance",), ("novel",)], "key string")
+    assert {(r["word"], r["key"]) for r in S.near_words(words, keys).collect()} == {("varance", "variance"), ("variancex", "variance"), ("vvriance", "variance")}
+
+
+def test_order_matches_groups(spark):
+    from termloom.operators.quality import order_matches_groups
+
+    groups = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c")], "grp_ord int, pos int, category string")
+    good = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "pos int, category string")
+    assert order_matches_groups(groups, good).count() == 0
+    assert order_matches_groups(groups, good.filter("category <> 'b'")).count() == 1
