@@ -221,12 +221,16 @@ def tag_balance(pages: DataFrame, tags: tuple[str, ...] = ("div", "p", "ul", "li
 
 def site_summary(terms: DataFrame, pages: DataFrame, footer: str = "</footer>") -> DataFrame:
     """One row: terms, repeated slugs, pages, pages without a term, terms without a page, pages without a footer."""
-    t = terms.agg(F.count("*").alias("terms"), (F.count("slug") - F.countDistinct("slug")).alias("repeated"))
-    p = pages.agg(F.count("*").alias("pages"), F.count_if(~F.col("html").contains(footer)).alias("no_footer"))
-    a = pages.select("slug").distinct().join(terms, "slug", "left_anti").agg(F.count("*").alias("orphan_pages"))
-    b = terms.select("slug").distinct().join(pages, "slug", "left_anti").agg(F.count("*").alias("missing_pages"))
-    # Four one-row tables side by side.
-    return t.join(p).join(a).join(b)
+    t = terms.select(F.lit("terms").alias("what"), F.col("slug").cast("string").alias("slug"), F.lit(False).alias("bare"))
+    p = pages.select(F.lit("pages").alias("what"), F.col("slug").cast("string").alias("slug"), (~F.col("html").contains(footer)).alias("bare"))
+    # Both tables by slug in one aggregate: how often it is a term, and a page.
+    by = t.unionByName(p).groupBy("slug").agg(F.count_if(F.col("what") == "terms").alias("t"), F.count_if(F.col("what") == "pages").alias("p"), F.count_if("bare").alias("bare"))
+    known = F.col("slug").isNotNull()
+    return by.agg(
+        F.coalesce(F.sum("t"), F.lit(0)).alias("terms"), F.coalesce(F.sum(F.when(known, F.greatest(F.col("t") - 1, F.lit(0)))), F.lit(0)).alias("repeated"),
+        F.coalesce(F.sum("p"), F.lit(0)).alias("pages"), F.coalesce(F.sum("bare"), F.lit(0)).alias("no_footer"),
+        F.count_if((F.col("p") > 0) & (F.col("t") == 0)).alias("orphan_pages"), F.count_if((F.col("t") > 0) & (F.col("p") == 0)).alias("missing_pages"),
+    )
 
 
 def order_matches_groups(groups: DataFrame, order: DataFrame) -> DataFrame:

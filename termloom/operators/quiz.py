@@ -31,9 +31,9 @@ def distractors(asked: DataFrame, options: DataFrame, seed: int, k: int = 3, poo
     hash is drawn once, so that a question meets a bounded number of them; each
     question then orders the pool by a hash of its own.  Fewer come back where there are not enough.
     """
-    drawn = options.filter("option is not null").distinct().orderBy(F.xxhash64(F.lit(seed), "option"), "option").limit(pool)
-    every = drawn.agg(F.collect_list("option").alias("o"))
-    # One row of at most ``pool`` options beside each question.
-    pairs = asked.join(F.broadcast(every)).select("slug", "answer", F.explode("o").alias("option")).filter("option <> answer")
+    drawn = options.filter("option is not null").distinct().orderBy(F.xxhash64(F.lit(seed), "option"), "option").limit(pool).collect()
+    # At most ``pool`` options, so they travel as one constant; no join is needed.
+    every = F.array(*[F.lit(r["option"]) for r in drawn]).cast("array<string>")
+    pairs = asked.select("slug", "answer", F.explode(every).alias("option")).filter("option <> answer")
     by = W.partitionBy("slug").orderBy(F.xxhash64(F.lit(seed), "slug", "option"), "option")
     return pairs.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k).select("slug", "option", "place")
