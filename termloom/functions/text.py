@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-#: A word of the matcher: Hangul syllables, Latin letters and hyphens.
-WORD = "[가-힣A-Za-z-]+"
+#: What words of the matcher are made of: Hangul syllables, Latin letters and hyphens.
+LETTERS = "가-힣A-Za-z-"
+WORD = f"[{LETTERS}]+"
 
 # The particles that attach to a Korean noun, in order of trial.
 PARTICLES = (
@@ -22,7 +23,7 @@ PARTICLES = (
 
 def normalize_word(word: Column) -> Column:
     """Lower case, without hyphens, underscores and white space."""
-    return F.regexp_replace(F.lower(word), r"[-_\s]", "")
+    return F.translate(F.lower(word), "-_ \t\n\x0b\f\r", "")
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -30,28 +31,29 @@ def _running_total(sizes: pd.Series) -> pd.Series:
     return sizes.map(lambda a: np.cumsum(a, dtype=np.int32))
 
 
-def word_occurrences(text: Column, pattern: str = WORD) -> Column:
+def word_occurrences(text: Column, letters: str = LETTERS) -> Column:
     """``array<struct<word, start>>`` in order; starts count code points from 0.
 
     One pass pairs each word with the gap before it; running totals of their
     lengths give the starts, so no text is searched twice.
     """
-    flagged = F.lit(f"(?s)(.*?)({pattern})")
-    gaps = F.regexp_extract_all(text, flagged, F.lit(1))
-    words = F.regexp_extract_all(text, flagged, F.lit(2))
+    pair = F.lit(f"([^{letters}]*)([{letters}]+)")
+    gaps = F.regexp_extract_all(text, pair, F.lit(1))
+    words = F.regexp_extract_all(text, pair, F.lit(2))
     sizes = F.zip_with(gaps, words, lambda g, w: F.length(g) + F.length(w))
     ends = _running_total(F.coalesce(sizes, F.array().cast("array<int>")))
     return F.zip_with(F.coalesce(words, F.array().cast("array<string>")), ends, lambda w, e: F.struct(w.alias("word"), (e - F.length(w)).cast("int").alias("start")))
 
 
-def candidate_forms(word: Column) -> Column:
-    """``array<struct<form, cut>>``: the normalised word, then it without each particle it
-    ends in; ``cut`` is the particle's length."""
-    form = normalize_word(word)
+def candidate_forms(form: Column) -> Column:
+    """``array<struct<form, cut>>`` of a normalised word: itself, then it without each
+    particle it ends in; ``cut`` is the particle's length."""
     options = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(len(p)).alias("n")) for p in PARTICLES])
+    whole = F.array(F.struct(form.alias("form"), F.lit(0).alias("cut")))
     ending = F.filter(options, lambda o: form.endswith(o["p"]) & (F.length(form) > o["n"]))
     cut = F.transform(ending, lambda o: F.struct(F.left(form, F.length(form) - o["n"]).alias("form"), o["n"].alias("cut")))
-    return F.concat(F.array(F.struct(form.alias("form"), F.lit(0).alias("cut"))), cut)
+    # Particles are Hangul; other words skip the list.
+    return F.when(form.rlike("[가-힣]$"), F.concat(whole, cut)).otherwise(whole)
 
 
 def similarity_tokens(text: Column) -> Column:

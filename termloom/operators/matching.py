@@ -6,35 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from termloom.functions.text import WORD, candidate_forms, escape_html, word_occurrences
+from termloom.functions.text import LETTERS, candidate_forms, escape_html, normalize_word, word_occurrences
 from termloom.operators.dictionary import sent_to_all, title_keys
 
 
-def word_table(docs: DataFrame, pattern: str = WORD, id_col: str = "doc_id") -> DataFrame:
+def word_table(docs: DataFrame, letters: str = LETTERS, id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, word, start)``: every word of every text."""
-    at = docs.select(F.col(id_col).alias("doc_id"), word_occurrences(F.col("text"), pattern).alias("at"))
-    return at.select("doc_id", F.inline("at"))
+    at = docs.select(F.col(id_col).alias("doc_id"), word_occurrences(F.col("text"), letters).alias("at"))
+    # The outer form: the plain one makes Catalyst compute the array twice, to drop empty ones first.
+    return at.select("doc_id", F.inline_outer("at")).filter("word is not null")
 
 
-def hits(docs: DataFrame, terms: DataFrame, pattern: str = WORD) -> DataFrame:
+def hits(docs: DataFrame, terms: DataFrame, letters: str = LETTERS) -> DataFrame:
     """``(doc_id, slug, term_ord, start, length, form_ord, word)``: a row for each word
     occurrence and form that is a key of a term.
 
     A word whose raw and stripped forms both lead to one term counts twice.
     """
-    forms = word_table(docs, pattern).select("doc_id", "word", "start", F.posexplode(candidate_forms(F.col("word"))).alias("form_ord", "f"))
+    words = word_table(docs, letters).withColumn("form", normalize_word(F.col("word")))
+    forms = words.select("doc_id", "word", "start", F.posexplode_outer(candidate_forms(F.col("form"))).alias("form_ord", "f"))
     return forms.join(sent_to_all(title_keys(terms)), F.col("f.form") == F.col("key")).select(
         "doc_id", "slug", "term_ord", "start", (F.length("word") - F.col("f.cut")).alias("length"), "form_ord", "word"
     )
 
 
-def match_terms(docs: DataFrame, terms: DataFrame, pattern: str = WORD) -> DataFrame:
+def match_terms(docs: DataFrame, terms: DataFrame, letters: str = LETTERS) -> DataFrame:
     """One row per document and term found: counts, occurrences and the rank in the document.
 
     ``count`` counts (occurrence, form) pairs, ``n_starts`` places.  Ranks go by
     count, then by where the term's word first appears, form and term order.
     """
-    found = hits(docs, terms, pattern)
+    found = hits(docs, terms, letters)
     per_term = found.groupBy("doc_id", "slug").agg(
         F.count("*").alias("count"),
         F.countDistinct("start").alias("n_starts"),
