@@ -12,6 +12,7 @@ and neighbours whose common prefix reaches LENGTH bytes repeat.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -166,12 +167,12 @@ _STRING_NAMES = [c.split()[0] for c in _STRING.split(", ")]
 _STRING_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
 
-def _strings(data: bytes, run: dict) -> list[tuple]:
+def _strings(data: bytes, run: dict, limit: int) -> list[tuple]:
     """A run's text without its core; where the anchor has many runs, by slices."""
     from xxhash import xxh64_intdigest
 
     start, count, anchor = run["start"], run["count"], run["start"] + run["off"]
-    if run["many"] <= MANY:
+    if run["many"] <= limit:
         return [(run["h1"], run["h2"], CORE, start, run["twice"], data[start:anchor], data[anchor + CORE : start + count + LENGTH - 1])]
     out = []
     for g in range((anchor - start - count + 1) // SLICE, (anchor - start) // SLICE + 1):
@@ -187,14 +188,14 @@ def _strings(data: bytes, run: dict) -> list[tuple]:
     return out
 
 
-def _cut(batches):
+def _cut(batches, limit: int):
     """``(doc_id, text, th, wanted)`` -> the strings of the wanted runs."""
     for b in batches:
         rows = []
         for doc_id, text, th, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for run in wanted:
-                rows += [(*s[:3], doc_id, th, *s[3:]) for s in _strings(data, run)]
+                rows += [(*s[:3], doc_id, th, *s[3:]) for s in _strings(data, run, limit)]
         cols = list(zip(*rows, strict=True)) or [()] * len(_STRING_NAMES)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, _STRING_KINDS, strict=True)], _STRING_NAMES)
 
@@ -242,44 +243,56 @@ def repeated_starts(strings: list[tuple[int, int, bytes, bytes, int]]) -> list[l
 _SPAN = "doc_id long, th long, start long, count int"
 
 
-def _sorted_out(batches):
-    """Strings in order of anchor -> starts that repeat, as ``(doc_id, th, start, count)``."""
-    waiting: list[tuple] = []
-    size = 0
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "th", "start", "count"])
 
-    def settle():
-        merged: dict[tuple, list] = {}
-        anchors: dict[tuple, int] = {}
-        for g1, g2, core, doc_id, th, start, twice, before, after in waiting:
-            a = anchors.setdefault((g1, g2, core), len(anchors))
-            merged.setdefault((a, core, before, after), []).append((doc_id, th, start, twice))
-        several = [0] * len(anchors)
-        for a, *_ in merged:
-            several[a] += 1
-        # Strings that are there twice repeat as they stand; an anchor with one string has nothing to sort.
-        todo = [(k, v) for k, v in merged.items() if several[k[0]] > 1 or len(v) > 1]
-        found = repeated_starts([(*k, 2 if len(v) > 1 or v[0][3] else 1) for k, v in todo])
-        rows = []
-        for (_, v), starts in zip(todo, found, strict=True):
-            if starts:
-                s = np.array(starts)
-                first = np.flatnonzero(np.append(True, s[1:] != s[:-1] + 1))
-                counts = np.diff(np.append(first, len(s)))
-                rows += [(d, t, at + int(s[i]), int(c)) for d, t, at, twice in v if not twice for i, c in zip(first, counts, strict=True)]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "th", "start", "count"])
 
+def _settled(waiting: list[list]) -> list[tuple]:
+    """Spans of the different strings gathered, one suffix array for all their anchors."""
+    several: dict[tuple, int] = {}
+    for w in waiting:
+        several[tuple(w[:3])] = several.get(tuple(w[:3]), 0) + 1
+    # An anchor with one string has nothing to sort.
+    todo = [w for w in waiting if several[tuple(w[:3])] > 1]
+    number = {k: i for i, k in enumerate(several)}
+    rows = []
+    for w, starts in zip(todo, repeated_starts([(number[tuple(w[:3])], w[2], w[7], w[8], 1 + w[6]) for w in todo]), strict=True):
+        if starts and not w[6]:
+            s = np.array(starts)
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1] + 1))
+            counts = np.diff(np.append(first, len(s)))
+            rows += [(w[3], w[4], w[5] + int(s[i]), int(c)) for i, c in zip(first, counts, strict=True)]
+    return rows
+
+
+def _sorted_out(batches):
+    """Strings in order of anchor and text -> starts that repeat, as ``(doc_id, th, start, count)``.
+
+    Equal strings follow each other: they repeat as a whole and only one is kept, so a
+    task holds the different strings of an anchor and never a group of copies.
+    """
+    waiting: list[list] = []
+    size = 0
     for b in batches:
+        out: list[tuple] = []
         for row in zip(*(b.column(i).to_pylist() for i in range(len(_STRING_NAMES))), strict=True):
-            if size >= SYMBOLS and row[:2] != waiting[-1][:2]:
-                yield settle()
+            last = waiting[-1] if waiting else None
+            if last and row[:3] == tuple(last[:3]) and row[7:] == tuple(last[7:]):
+                n = len(row[7]) + len(row[8]) + row[2] - LENGTH + 1
+                out += [(*r[3:6], n) for r in (last, row) if not r[6]]
+                last[6] = 1
+                continue
+            if size >= SYMBOLS and row[:2] != tuple(last[:2]):
+                out += _settled(waiting)
                 waiting.clear()
                 size = 0
-            waiting.append(row)
+            waiting.append(list(row))
             size += len(row[7]) + len(row[8]) + 2
+        yield _spans(out)
     if waiting:
-        yield settle()
+        yield _spans(_settled(waiting))
 
 
 def _finish(batches):
@@ -311,7 +324,7 @@ def _with_texts(docs: DataFrame, found: DataFrame, column: str, how: str) -> Dat
     return docs.join(f, docs["doc_id"].eqNullSafe(f["d"]) & (docs["th"] == f["t"]), how)
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, many: int = MANY) -> DataFrame:
     """Per row ``doc_id, n_bytes, spans, kept``: the maximal runs of bytes covered by a
     400-byte string that also starts elsewhere in the table, and the other bytes.
 
@@ -344,9 +357,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "th")
         .agg(F.collect_list(F.struct("h1", "h2", "start", "count", "off", (F.col("again") | (F.col("twice") == 1)).cast("int").alias("twice"), "many")).alias("wanted"))
     )
-    strings = _with_texts(d, wanted, "wanted", "inner").select(d["doc_id"], "text", "th", "wanted").mapInArrow(_cut, _STRING)
+    strings = _with_texts(d, wanted, "wanted", "inner").select(d["doc_id"], "text", "th", "wanted").mapInArrow(partial(_cut, limit=many), _STRING)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partly = strings.repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_sorted_out, _SPAN)
+    partly = strings.repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2", "core", "before", "after").mapInArrow(_sorted_out, _SPAN)
     whole = seen.filter("off < 0 or (again and twice = 0)").select("doc_id", "th", "start", "count")
     spans = whole.unionByName(partly).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count")).alias("found"))
     return (

@@ -32,14 +32,13 @@ def test_suffix_array_is_sorted_order():
 
 
 @pytest.mark.parametrize("many", [200, 1])
-def test_suffix_dedup_is_exact(spark, corpus, monkeypatch, many):
-    monkeypatch.setattr(op_suffixdedup, "MANY", many)
+def test_suffix_dedup_is_exact(spark, corpus, many):
     texts = {r["doc_id"]: r["text"] for r in corpus.collect()}
     ids = sorted(texts)
     want = dict(zip(ids, op_suffixdedup.brute_force([texts[i] for i in ids]), strict=True))
     got = {
         r["doc_id"]: (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
-        for r in op_suffixdedup.suffix_dedup(corpus).collect()
+        for r in op_suffixdedup.suffix_dedup(corpus, many).collect()
     }
     assert got == want and any(v[1] for v in want.values())
 
