@@ -24,8 +24,8 @@ from termloom.llm.pretokens import split
 
 #: Bytes that byte-level vocabularies spell as themselves.
 PRINTABLE = (range(33, 127), range(161, 173), range(174, 256))
-#: Distinct pre-tokens that a task remembers before it starts afresh.
-CACHE = 400_000
+#: Distinct pre-tokens, and pairs of tokens, that a task remembers before it starts afresh.
+CACHE = 200_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -104,7 +104,7 @@ class Bpe:
         first, and see that no merge across the border would have come earlier."""
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > 4 * CACHE:
+            if len(self.fits) > CACHE:
                 self.fits.clear()
             got = self.fits[a, b] = self._compatible(a, b)
         return got
