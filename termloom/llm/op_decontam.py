@@ -52,10 +52,11 @@ def _windows(df: DataFrame, size: int, *carry: str) -> DataFrame:
         F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")),
         lambda c: F.struct(c.alias("chunk"), F.slice("pad", c * size + 1, F.lit(size + AROUND - 1)).alias("part"), F.least(n - c * size, F.lit(size)).alias("m")),
     )
-    cut = df.filter(F.size("toks") >= SPAN).withColumn("pad", _padded("toks")).select(*carry, F.inline(chunks))
+    # Outer generators: before the plain ones Catalyst drops empty arrays, computing each twice.
+    cut = df.withColumn("pad", _padded("toks")).select(*carry, F.inline_outer(F.when(n > 0, chunks))).filter("m is not null")
     zipped = F.arrays_zip(*[F.slice("part", BEFORE + i + 1, F.col("m")).alias(f"t{i}") for i in range(SPAN)])
     seeds = [F.xxhash64(F.lit(m), *[F.col(f"w.t{i}") for i in mask]).alias(f"s{m}") for m, mask in enumerate(MASKS)]
-    return cut.select(*carry, "chunk", "part", F.posexplode(zipped).alias("l", "w")).select(*carry, "chunk", "part", "l", *seeds)
+    return cut.select(*carry, "chunk", "part", F.posexplode_outer(zipped).alias("l", "w")).select(*carry, "chunk", "part", "l", *seeds)
 
 
 def _test_seeds(benchmark: DataFrame) -> DataFrame:
