@@ -97,6 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
         chosen.mapInArrow(count, "bucket int, pos long, neg long")
         .groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .filter(F.col("pos") + F.col("neg") >= 3)
+        # At most 2**BITS rows are left; few partitions, as each sends its best to the driver.
+        .repartition(8)
         .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / error).alias("stands_out"))
         .orderBy(F.desc("stands_out"), "bucket").limit(FEATURES).toPandas()
     )
