@@ -6,6 +6,9 @@ each place where a template can stand lies wholly in one window.  A window of at
 most 4m shingles that holds 80 % of a template has a Jaccard similarity of at
 least 0.8 / 4.2 = 0.19 with it; with 48 bands of one MinHash each, it collides
 with probability 1 - 0.81 ** 48 > 0.9999.
+
+A template of under five words is one shingle of all its words.  Texts are hashed
+at that width too, and every place is looked up, without bands.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import DataFrame
 from termloom.llm.common import texts
 
 WORDS, BANDS, CONTAINED = 5, 48, 0.8
+#: The fewest words of a template.
+LEAST = 3
 #: The most templates an operator call takes: they travel with the task.
 MAX_TEMPLATES = 10_000
 CACHE = 400_000
@@ -37,6 +42,16 @@ TEMPLATES = {
     "mpl2_notice": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
 
+#: Notices under five words, which match as a whole or not at all.
+SHORT_TEMPLATES = {
+    "all_rights_reserved": "All rights reserved.",
+    "some_rights_reserved": "Some rights reserved.",
+    "no_rights_reserved": "No rights reserved.",
+    "mit_name": "The MIT License",
+    "spdx_mit": "SPDX-License-Identifier: MIT",
+    "cc0_name": "CC0 1.0 Universal",
+}
+
 _words = re.compile(r"[^\W_]+").findall
 _rng = np.random.RandomState(11)
 _FACTORS = (_rng.randint(1, 1 << 62, BANDS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -63,19 +78,26 @@ class _Words(dict):
 _hashes = _Words()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the runs of five words (letters and digits, lower-cased), in order."""
+def _word_hashes(text: str | None) -> np.ndarray:
     words = _words((text or "").lower())
-    n = len(words) - WORDS + 1
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _runs(h: np.ndarray, width: int) -> np.ndarray:
+    n = len(h) - width + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     s = np.zeros(n, np.uint64)
-    for i in range(WORDS):
+    for i in range(width):
         s = _mix(s) + h[i : i + n] * _PLACE[i]
     return _mix(s)
 
 
+def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
+    """Hashes of the runs of ``width`` words (letters and digits, lower-cased), in order."""
+    return _runs(_word_hashes(text), width)
+
+
 def _minima(s: np.ndarray, block: int) -> np.ndarray:
     """Per window (blocks j and j + 1; the last block alone ends it) each band's minimum."""
     g = _mix(s[:, None] * _FACTORS) >> np.uint64(32)
@@ -90,11 +112,16 @@ class Scanner:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
         self.sets: dict[str, np.ndarray] = {}
         classes: dict[int, list[str]] = {}
+        #: Per width under WORDS: hash of the whole template to its names.
+        self.short: dict[int, dict[int, list[str]]] = {}
         for name, text in templates.items():
-            s = np.unique(shingles(text))
-            if not len(s):
-                raise ValueError(f"template {name!r} has under {WORDS} words")
-            self.sets[name] = s
+            n = len(_word_hashes(text))
+            if n < LEAST:
+                raise ValueError(f"template {name!r} has under {LEAST} words")
+            self.sets[name] = s = np.unique(shingles(text, min(n, WORDS)))
+            if n < WORDS:
+                self.short.setdefault(n, {}).setdefault(int(s[0]), []).append(name)
+                continue
             classes.setdefault(1 << int(np.ceil(np.log2(len(shingles(text))))), []).append(name)
         self.classes = []
         for block, names in sorted(classes.items()):
@@ -127,8 +154,17 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """Per matching template: name, best containment, first word of the best
         window's match, matching windows."""
-        s = shingles(text)
+        h = _word_hashes(text)
+        s = _runs(h, WORDS)
         best: dict[str, tuple[float, int, int]] = {}
+        for width, known in self.short.items():
+            runs = _runs(h, width)
+            at = np.flatnonzero(np.isin(runs, np.array(list(known), np.uint64)))
+            for key in np.unique(runs[at]).tolist():
+                own = at[runs[at] == key]
+                windows = np.union1d(own, own[own > 0] - 1)  # of two neighbouring shingles each
+                for name in known[key]:
+                    best[name] = (1.0, int(own[0]), len(windows))
         for block, *rest in self.classes:
             for w, name in sorted(self.retrieve(s, block, *rest)) if len(s) else ():
                 part, own = s[w * block : (w + 2) * block], self.sets[name]
@@ -146,12 +182,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
     ``doc_id, license_id, containment, start_word, n_windows``.
 
     Found means that a window holds at least 80 % of the template's five-word
-    shingles.  Of equal windows the first gives ``start_word``.  Null texts, empty
-    ones and those under five words match nothing.  Rows that repeat a doc_id
+    shingles; a template under five words must stand there whole.  Of equal windows
+    the first gives ``start_word``.  Null texts, empty ones and those under three
+    words match nothing.  Rows that repeat a doc_id
     are scanned each; null doc_ids are reported as null; extra columns are
-    ignored.  Templates need five words; there may be at most MAX_TEMPLATES.
+    ignored.  Templates need three words; there may be at most MAX_TEMPLATES.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | SHORT_TEMPLATES if templates is None else templates
 
     def run(batches):
         scanner = Scanner(templates)

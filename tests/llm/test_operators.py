@@ -247,6 +247,21 @@ def test_license_limits():
         op_license.Scanner({"x": "too short"})
 
 
+def test_short_notices(spark):
+    rng = random.Random(7)
+    long = prose(rng, 300)
+    texts = ["All rights reserved.", "Copyright 2020 ACME.\nALL RIGHTS  RESERVED!\n" + long, long + " all rights are reserved", "all rights", "of all rights reserved", long + " SPDX-License-Identifier: MIT",
+             "all rights reserved all rights reserved " + op_license.TEMPLATES["mit_line"], None]
+    got = op_license.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(rows_of(got)) == [
+        (0, "all_rights_reserved", 1.0, 0, 1), (1, "all_rights_reserved", 1.0, 3, 2), (4, "all_rights_reserved", 1.0, 1, 2), (5, "spdx_mit", 1.0, 300, 2),
+        (6, "all_rights_reserved", 1.0, 0, 3), (6, "mit_line", 1.0, 6, 2), (6, "mit_name", 1.0, 8, 2),
+    ]
+    planted = {r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("text").rlike(r"(?m)^All rights reserved\.$")).collect()}
+    found = queries.op8_license_scan(spark, "/root/testdata/sf0.01").filter("license_id = 'all_rights_reserved'")
+    assert planted and {r["doc_id"] for r in found.collect()} >= planted
+
+
 # 9 SimHash
 
 
