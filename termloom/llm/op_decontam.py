@@ -8,6 +8,9 @@ token by token.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ SPAN = 8
 #: Positions that each mask reads.  Together they hit every 13-token overlap with
 #: up to two substituted tokens, wherever these are (checked over all cases in the tests).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
+#: Further masks for items under 13 tokens: with MASKS, they hit every item of 8 to 12
+#: tokens with as many substituted ones as it allows (1, 1, 2, 2, 2), wherever these are.
+SHORT_MASKS = ((0, 2, 3, 4, 7), (0, 1, 3, 6, 7), (1, 2, 3, 4, 5))
 #: An overlap counts from this many aligned tokens of which this share is equal.
 OVERLAP, SIMILARITY = 13, 0.8
 #: Tokens before and in all around a seed that its overlaps can reach.
@@ -39,12 +45,12 @@ def _padded(toks: str) -> Column:
     return F.concat(F.array_repeat(null, BEFORE), F.col(toks), F.array_repeat(null, BEFORE))
 
 
-def _windows(df: DataFrame, size: int, *carry: str) -> DataFrame:
-    """``(*carry, chunk, part, l, s0, s1)``: a row for each token window of SPAN.
+def _windows(df: DataFrame, size: int, masks: tuple, *carry: str) -> DataFrame:
+    """``(*carry, chunk, part, l, s0, s1, ...)``: a row for each token window of SPAN.
 
     Texts are cut into parts of ``size`` windows first, so that no row of a very
-    long text carries more than a part.  ``s0, s1`` are the window's seeds under the
-    two masks; ``part`` holds the part's tokens with surroundings, ``l`` the
+    long text carries more than a part.  ``s0, s1, ...`` are the window's seeds under
+    the masks; ``part`` holds the part's tokens with surroundings, ``l`` the
     window's place in it.
     """
     n = F.size("toks") - (SPAN - 1)
@@ -55,18 +61,20 @@ def _windows(df: DataFrame, size: int, *carry: str) -> DataFrame:
     # Outer generators: before the plain ones Catalyst drops empty arrays, computing each twice.
     cut = df.withColumn("pad", _padded("toks")).select(*carry, F.inline_outer(F.when(n > 0, chunks))).filter("m is not null")
     zipped = F.arrays_zip(*[F.slice("part", BEFORE + i + 1, F.col("m")).alias(f"t{i}") for i in range(SPAN)])
-    seeds = [F.xxhash64(F.lit(m), *[F.col(f"w.t{i}") for i in mask]).alias(f"s{m}") for m, mask in enumerate(MASKS)]
+    seeds = [F.xxhash64(F.lit(m), *[F.col(f"w.t{i}") for i in mask]).alias(f"s{m}") for m, mask in enumerate(masks)]
     return cut.select(*carry, "chunk", "part", F.posexplode_outer(zipped).alias("l", "w")).select(*carry, "chunk", "part", "l", *seeds)
 
 
-def _test_seeds(benchmark: DataFrame) -> DataFrame:
+def _test_seeds(benchmark: DataFrame, masks: tuple) -> DataFrame:
     """``(mask, seed, hits)``: per seed of the test items its places, each with the
     tokens around it and the number of equal ones that an overlap needs."""
     n = F.size("toks")
     need = F.ceil(F.least(n, F.lit(OVERLAP)) * SIMILARITY).cast("int")
-    rows = _windows(benchmark.withColumn("need", need), PART, "item_id", "need")
+    rows = _windows(benchmark.withColumn("need", need), PART, masks, "item_id", "need")
     hit = F.struct("item_id", (F.col("chunk") * PART + F.col("l")).alias("q"), "need", F.slice("part", F.col("l") + 1, F.lit(AROUND)).alias("around"))
-    both = rows.select(hit.alias("hit"), F.posexplode(F.array("s0", "s1")).alias("mask", "seed"))
+    both = rows.select(hit.alias("hit"), F.posexplode(F.array(*[f"s{m}" for m in range(len(masks))])).alias("mask", "seed"))
+    # Items of 13 tokens or more need no further masks.
+    both = both.filter((F.col("mask") < len(MASKS)) | (F.col("hit.need") < math.ceil(OVERLAP * SIMILARITY)))
     return both.groupBy("mask", "seed").agg(F.collect_set("hit").alias("hits"))
 
 
@@ -86,39 +94,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int =
     seeds of all found overlaps span.
 
     An overlap is 13 aligned tokens around a seed, of which 80 % (11) are equal; in items
-    of 8 to 12 tokens, all of them.  Items under 8 tokens are too short to tell and
+    of 8 to 12 tokens, 80 % of the item (7, 8, 8, 9, 10), of which eight in a row stand
+    opposite document tokens.  Items under 8 tokens are too short to tell and
     match nothing, as do documents under 8 tokens and null texts on either side.
     Rows with a null doc_id are reported under null.  Rows that repeat give one
     row; an item_id given to several texts stands for all of them.  Extra columns are ignored.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tokens("text").alias("toks"))
+    return _contaminated(docs, benchmark, broadcast_tokens)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS, keys: tuple = ()) -> DataFrame:
+    """As ``contaminated``, with a row for each value of the columns ``keys`` of ``docs`` too."""
+    d = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), _tokens("text").alias("toks"))
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _tokens("text").alias("toks")).filter(F.size("toks") >= SPAN)
-    size = b.agg(F.sum(F.size("toks").cast("long"))).first()[0] or 0
-    test = _test_seeds(b)
-    sides = [test.filter(F.col("mask") == m).select(F.col("seed").alias(f"s{m}"), F.col("hits").alias(f"h{m}")) for m in range(len(MASKS))]
-    rows = _windows(d, PART, "doc_id")
+    size, least = b.agg(F.sum(F.size("toks").cast("long")), F.min(F.size("toks"))).first()
+    size, masks = size or 0, MASKS + SHORT_MASKS if (least or OVERLAP) < OVERLAP else MASKS
+    test = _test_seeds(b, masks)
+    sides = [test.filter(F.col("mask") == m).select(F.col("seed").alias(f"s{m}"), F.col("hits").alias(f"h{m}")) for m in range(len(masks))]
+    rows = _windows(d, PART, masks, *keys, "doc_id")
     none = F.array().cast(sides[0].schema["h0"].dataType)
     if size <= broadcast_tokens:
         # Both lookups run inside the scan's own stage; only windows that hit leave it.
-        found = rows.join(F.broadcast(sides[0]), "s0", "left").join(F.broadcast(sides[1]), "s1", "left")
-        found = found.filter(F.col("h0").isNotNull() | F.col("h1").isNotNull())
+        found = reduce(lambda r, m: r.join(F.broadcast(sides[m]), f"s{m}", "left"), range(len(masks)), rows)
+        found = found.filter(F.coalesce(*[f"h{m}" for m in range(len(masks))]).isNotNull())
+        known = reduce(F.array_union, [F.coalesce(f"h{m}", none) for m in range(len(masks))])
     else:
         # Too large to send to all: seeds meet by shuffle, each with its surroundings.
         far = rows.withColumn("part", F.slice("part", F.col("l") + 1, F.lit(AROUND))).withColumn("at", F.col("chunk") * PART + F.col("l")).drop("chunk", "l")
-        found = far.join(sides[0], "s0").withColumn("h1", none).unionByName(far.join(sides[1], "s1").withColumn("h0", none))
+        met = [far.join(side, f"s{m}").select(*keys, "doc_id", "at", "part", F.col(f"h{m}").alias("h")) for m, side in enumerate(sides)]
+        found, known = reduce(DataFrame.unionByName, met), F.col("h")
         found = found.withColumn("l", F.lit(0)).withColumn("chunk", F.lit(0))
     at = F.col("chunk") * PART + F.col("l") if size <= broadcast_tokens else F.col("at")
     hits = found.select(
-        "doc_id", at.alias("at"), F.slice("part", F.col("l") + 1, F.lit(AROUND)).alias("around"),
-        F.explode(F.array_union(F.coalesce("h0", none), F.coalesce("h1", none))).alias("hit"),
+        *keys, "doc_id", at.alias("at"), F.slice("part", F.col("l") + 1, F.lit(AROUND)).alias("around"),
+        F.explode(known).alias("hit"),
     )
-    good = hits.select("doc_id", "hit.item_id", "hit.q", "hit.need", (F.col("at") - F.col("hit.q")).alias("shift"), _best(F.col("around"), F.col("hit.around")).alias("n_equal"))
+    good = hits.select(*keys, "doc_id", "hit.item_id", "hit.q", "hit.need", (F.col("at") - F.col("hit.q")).alias("shift"), _best(F.col("around"), F.col("hit.around")).alias("n_equal"))
     return (
         good.filter("n_equal >= need")
-        .groupBy("doc_id", "item_id")
+        .groupBy(*keys, "doc_id", "item_id")
         .agg(F.max(F.shiftleft(F.col("n_equal").cast("long"), 40) + (1 << 39) - F.col("shift")).alias("top"), F.min("q").alias("item_from"), (F.max("q") + SPAN).alias("item_to"))
         .select(
-            "doc_id", "item_id",
+            *keys, "doc_id", "item_id",
             ((1 << 39) - F.col("top").bitwiseAND(F.lit((1 << 40) - 1))).alias("shift"),
             F.shiftright("top", 40).alias("n_equal"),
             F.col("item_from").cast("long").alias("item_from"),

@@ -197,6 +197,26 @@ def test_contamination_with_substitutions(spark, limit):
     assert clean == {3, 5, 6}
 
 
+@pytest.mark.parametrize("limit", [op_decontam.BROADCAST_TOKENS, 0])
+def test_every_allowed_substitution_is_found(spark, limit):
+    """Lengths 8 to 13, each against a comparison of all alignments without masks."""
+    items, docs, want = [], [], set()
+    for n in range(8, 14):
+        item = [f"i{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        allowed = n - -(-n * 8 // 10)
+        for k in range(allowed + 2):
+            for wrong in itertools.combinations(range(n), k):
+                i = len(docs)
+                text = ["a", "b"] + [("zz" if j in wrong else w) for j, w in enumerate(item)] + ["c"]
+                docs.append((i, " ".join(text)))
+                equal = max(sum(0 <= j + s < len(text) and text[j + s] == w for j, w in enumerate(item)) for s in range(-n, len(text)))
+                if equal >= -(-n * 8 // 10):
+                    want.add((i, n))
+    got = op_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limit)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 # 7 fingerprints
 
 
