@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.common import P
+
 SPAN = 8
 #: Positions that each mask reads.  Together they hit every 13-token overlap with
 #: up to two substituted tokens, wherever these are (checked over all cases in the tests).
@@ -145,7 +147,15 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, that hold no passage of the test items."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    kept = docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
-    return kept
+    """The documents, all columns, that hold no passage of the test items.
+
+    Rows are told apart by doc_id and text, so that neither a null nor a repeated
+    doc_id takes clean texts along.
+    """
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = f"{P}text"
+    marked = docs.select("doc_id", "text", own.alias(key))
+    bad = _contaminated(marked, benchmark, keys=(key,)).select(F.col("doc_id").alias(f"{P}doc"), key).distinct()
+    rows = docs.withColumn(f"{P}own", own)
+    same = rows["doc_id"].cast("long").eqNullSafe(bad[f"{P}doc"]) & (rows[f"{P}own"] == bad[key])
+    return rows.join(bad, same, "left_anti").drop(f"{P}own")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from termloom.llm.common import P, durable, texts
+from termloom.llm.common import P, durable, small_batches, texts
 from termloom.llm.components import connected_components
 
 BITS = 64
@@ -128,14 +128,28 @@ def simhash_classes(docs: DataFrame, width: int = 3, distance: int = 2, blocks:
     )
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int = 4, seed: int = 42) -> DataFrame:
     """The rows, all columns, with one document of each near-duplicate class: that of least doc_id.
 
-    A null doc_id counts as a number below all ids, made from the text.  Of rows
-    that repeat a doc_id one stays.
+    A null doc_id counts as a number below all ids, made from the text.  Rows are
+    told apart by doc_id and text: of equal ones one stays, and different texts under
+    one doc_id are judged each for itself.
     """
-    low = -(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
-    key = F.coalesce(F.col("doc_id").cast("long"), low)
-    classes = simhash_classes(docs.select(key.alias("doc_id"), "text"), **options)
-    kept = classes.select(F.col("component_id").alias(f"{P}key")).distinct()
-    return docs.withColumn(f"{P}key", key).join(kept, f"{P}key", "left_semi").dropDuplicates([f"{P}key"]).drop(f"{P}key")
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = F.coalesce(F.col("doc_id").cast("long"), -(1 << 62) + F.pmod(own, F.lit(1 << 61)))
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t, width, seed) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["key", "own", "fp"])
+
+    rows = durable(docs.select(key.alias("key"), own.alias("own"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, own long, fp long"))
+    distinct = rows.select("fp").distinct()
+    roots = connected_components(durable(close_pairs(distinct, distance, blocks)))
+    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    least = F.min(F.struct("key", "own")).alias("r")
+    first = rows.groupBy("fp").agg(least).join(labelled, "fp").groupBy("root").agg(F.min("r").alias("r"))
+    kept = first.select(F.col("r.key").alias(f"{P}key"), F.col("r.own").alias(f"{P}own"))
+    names = [f"{P}key", f"{P}own"]
+    return docs.withColumn(names[0], key).withColumn(names[1], own).join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

@@ -217,6 +217,14 @@ def test_every_allowed_substitution_is_found(spark, limit):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_decontamination_tells_rows_of_one_id_apart(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item), (None, "clean"), (None, None), (7, "so clean"), (7, "x " + item), (8, "fine")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = {(r["doc_id"], r["text"]) for r in op_decontam.decontaminate(docs, bench).collect()}
+    assert left == {(None, "clean"), (None, None), (7, "so clean"), (8, "fine")}
+
+
 # 7 fingerprints
 
 
@@ -336,6 +344,14 @@ def test_simhash_components(spark, corpus):
     assert kept == {c for _, c in got.values()}
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b), (3, c), (None, c), (None, "other words here")], "doc_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in op_simhash.near_dedup(docs).collect()), key=str)
+    assert left == sorted([(1, a), (1, b), (None, c), (None, "other words here")], key=str)
+
+
 # 10 line dedup
 
 
