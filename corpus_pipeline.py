@@ -30,8 +30,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: that of least doc_id."""
-    return op_simhash.near_dedup(docs)
+    """One document of each class stays, that of least doc_id; SimHash links and texts
+    whose five-word shingles have a Jaccard similarity of 0.8 or more make a class."""
+    return op_simhash.near_dedup(docs, jaccard=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

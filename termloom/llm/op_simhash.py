@@ -128,12 +128,105 @@ def simhash_classes(docs: DataFrame, width: int = 3, distance: int = 2, blocks:
     )
 
 
-def near_dedup(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int = 4, seed: int = 42) -> DataFrame:
+#: Retrieval of texts alike in their five-word shingles: bands of MinHashes.  A pair of
+#: Jaccard similarity 0.8 agrees in a band with probability 1 - (1 - 0.8 ** 4) ** 16 > 0.999.
+WORDS, BANDS, ROWS = 5, 16, 4
+#: Share of equal MinHashes from which a pair is compared shingle by shingle; five
+#: standard deviations below 0.8.
+LIKELY = 0.55
+_rng = np.random.RandomState(17)
+_FACTORS = (_rng.randint(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Different hashes of the text's five-word shingles; fewer words make one, none make none."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    known = {w: xxh64_intdigest(w) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    width = min(WORDS, len(h))
+    s = np.zeros(max(0, len(h) - width + 1) if width else 0, np.uint64)
+    for i in range(width):
+        s = _mix(s + h[i : i + len(s)] * np.uint64(2 * i + 3))
+    return np.unique(s)
+
+
+def _minhashes(s: np.ndarray) -> np.ndarray:
+    low = np.full(len(_FACTORS), (1 << 32) - 1, np.uint64)
+    for at in range(0, len(s), 4096):
+        low = np.minimum(low, (_mix(s[at : at + 4096, None] * _FACTORS) >> np.uint64(32)).min(axis=0))
+    return low
+
+
+def _band_keys(low: np.ndarray) -> np.ndarray:
+    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24) -> DataFrame:
+    """``(u, v)``: ``own`` of different texts whose five-word shingles are verified to have a
+    Jaccard similarity of ``jaccard`` or more.
+
+    ``rows``: ``own, text``, where ``own`` stands for the text.  Buckets of up to ``pair_limit``
+    texts are compared pair by pair; in a larger one every text is compared with the
+    bucket's least only, since all pairs would be quadratic.  Two texts that meet in
+    such buckets alone are linked through these, or not at all.
+    """
+
+    def sign(batches):
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            lows = [_minhashes(s) if len(s) else None for s in sets]
+            sigs = pa.array([None if x is None else x.astype(np.uint32).view(np.int32) for x in lows], pa.list_(pa.int32()))
+            bands = pa.array([None if x is None else _band_keys(x) for x in lows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sigs, bands], ["own", "sig", "bands"])
+
+    signed = durable(rows.select("own", "text").mapInArrow(sign, "own long, sig array<int>, bands array<long>").dropDuplicates(["own"]))
+    buckets = signed.select("own", F.explode("bands").alias("band"))
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("own").alias("hub")).filter("n > 1")
+    members = durable(buckets.join(sizes, "band"))
+    small = members.filter(F.col("n") <= pair_limit).select("band", "own")
+    pairs = small.alias("a").join(small.alias("b"), "band").filter("a.own > b.own").select(F.col("a.own").alias("u"), F.col("b.own").alias("v"))
+    stars = members.filter((F.col("n") > pair_limit) & (F.col("own") != F.col("hub"))).select(F.col("own").alias("u"), F.col("hub").alias("v"))
+    sig = signed.select("own", "sig")
+    equal = F.aggregate(F.zip_with("us", "vs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
+    likely = durable(
+        pairs.union(stars).distinct()
+        .join(sig.select(F.col("own").alias("u"), F.col("sig").alias("us")), "u")
+        .join(sig.select(F.col("own").alias("v"), F.col("sig").alias("vs")), "v")
+        .filter(equal >= LIKELY * len(_FACTORS)).select("u", "v")
+    )
+    needed = likely.select(F.explode(F.array("u", "v")).alias("own")).distinct()
+    found = durable(rows.select("own", "text").join(needed, "own", "left_semi").dropDuplicates(["own"]))
+    sides = likely.join(found.select(F.col("own").alias("u"), F.col("text").alias("ut")), "u").join(found.select(F.col("own").alias("v"), F.col("text").alias("vt")), "v")
+
+    def verify(batches):
+        for b in batches:
+            same = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = shingle_set(x), shingle_set(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= jaccard * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(same, pa.bool_()))
+
+    return sides.select("u", "v", "ut", "vt").mapInArrow(verify, "u long, v long")
+
+
+def near_dedup(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int = 4, seed: int = 42, jaccard: float | None = None) -> DataFrame:
     """The rows, all columns, with one document of each near-duplicate class: that of least doc_id.
 
     A null doc_id counts as a number below all ids, made from the text.  Rows are
     told apart by doc_id and text: of equal ones one stays, and different texts under
-    one doc_id are judged each for itself.
+    one doc_id are judged each for itself.  With ``jaccard``, texts whose five-word
+    shingles are that similar are near duplicates too (``alike_pairs``).
     """
     own = F.xxhash64(F.coalesce("text", F.lit("")))
     key = F.coalesce(F.col("doc_id").cast("long"), -(1 << 62) + F.pmod(own, F.lit(1 << 61)))
@@ -146,7 +239,13 @@ def near_dedup(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int =
 
     rows = durable(docs.select(key.alias("key"), own.alias("own"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, own long, fp long"))
     distinct = rows.select("fp").distinct()
-    roots = connected_components(durable(close_pairs(distinct, distance, blocks)))
+    links = close_pairs(distinct, distance, blocks)
+    if jaccard is not None:
+        alike = durable(alike_pairs(docs.select(own.alias("own"), F.col("text").cast("string").alias("text")), jaccard))
+        fp = durable(rows.select("own", "fp").join(alike.select(F.explode(F.array("u", "v")).alias("own")).distinct(), "own", "left_semi").distinct())
+        named = alike.join(fp.select(F.col("own").alias("u"), F.col("fp").alias("a")), "u").join(fp.select(F.col("own").alias("v"), F.col("fp").alias("b")), "v")
+        links = links.union(named.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).distinct()
+    roots = connected_components(durable(links))
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     least = F.min(F.struct("key", "own")).alias("r")
     first = rows.groupBy("fp").agg(least).join(labelled, "fp").groupBy("root").agg(F.min("r").alias("r"))

@@ -352,6 +352,30 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     assert left == sorted([(1, a), (1, b), (None, c), (None, "other words here")], key=str)
 
 
+@pytest.mark.parametrize("limit", [24, 1])
+def test_near_copies_go(spark, limit):
+    """Pairs of Jaccard similarity 0.8 or more, and no others, against all pairs."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 200]))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3):
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = "changed"
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    rows = spark.createDataFrame(list(enumerate(texts)), "own long, text string")
+    got = {tuple(sorted(p)) for p in rows_of(op_simhash.alike_pairs(rows, pair_limit=limit))}
+    assert want and (got == want if limit > 1 else got <= want)
+    if limit > 1:
+        import corpus_pipeline
+
+        left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, rows.withColumnRenamed("own", "doc_id"), "").collect()}
+        assert all(not {i, j} <= left for i, j in want) and len(left) >= 20
+
+
 # 10 line dedup
 
 
