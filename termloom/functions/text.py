@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import StringType
 
 #: What words of the matcher are made of: Hangul syllables, Latin letters and hyphens.
 LETTERS = "가-힣A-Za-z-"
@@ -26,34 +27,37 @@ def normalize_word(word: Column) -> Column:
     return F.translate(F.lower(word), "-_ \t\n\x0b\f\r", "")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _running_total(sizes: pd.Series) -> pd.Series:
-    return sizes.map(lambda a: np.cumsum(a, dtype=np.int32))
-
-
 def word_occurrences(text: Column, letters: str = LETTERS) -> Column:
     """``array<struct<word, start>>`` in order; starts count code points from 0.
 
-    One pass pairs each word with the gap before it; running totals of their
-    lengths give the starts, so no text is searched twice.
+    Spark's own functions give the words but not where they stand, and adding up
+    the lengths of words and gaps costs several passes; here it is one, in Arrow batches.
     """
-    pair = F.lit(f"([^{letters}]*)([{letters}]+)")
-    gaps = F.regexp_extract_all(text, pair, F.lit(1))
-    words = F.regexp_extract_all(text, pair, F.lit(2))
-    sizes = F.zip_with(gaps, words, lambda g, w: F.length(g) + F.length(w))
-    ends = _running_total(F.coalesce(sizes, F.array().cast("array<int>")))
-    return F.zip_with(F.coalesce(words, F.array().cast("array<string>")), ends, lambda w, e: F.struct(w.alias("word"), (e - F.length(w)).cast("int").alias("start")))
+    find = re.compile(f"[{letters}]+").finditer
+
+    @F.arrow_udf("array<struct<word:string,start:int>>")
+    def occurrences(batch: pa.Array) -> pa.Array:
+        words, starts, ends = [], [], [0]
+        for t in batch.to_pylist():
+            for m in find(t or ""):
+                words.append(m[0])
+                starts.append(m.start())
+            ends.append(len(words))
+        each = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(starts, pa.int32())], ["word", "start"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+    return occurrences(text)
 
 
 def candidate_forms(form: Column) -> Column:
     """``array<struct<form, cut>>`` of a normalised word: itself, then it without each
     particle it ends in; ``cut`` is the particle's length."""
-    options = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(len(p)).alias("n")) for p in PARTICLES])
-    whole = F.array(F.struct(form.alias("form"), F.lit(0).alias("cut")))
-    ending = F.filter(options, lambda o: form.endswith(o["p"]) & (F.length(form) > o["n"]))
-    cut = F.transform(ending, lambda o: F.struct(F.left(form, F.length(form) - o["n"]).alias("form"), o["n"].alias("cut")))
-    # Particles are Hangul; other words skip the list.
-    return F.when(form.rlike("[가-힣]$"), F.concat(whole, cut)).otherwise(whole)
+    forms = [F.struct(form.alias("form"), F.lit(0).alias("cut"))]
+    # A word ends in one particle of each length at most; the longer ones come first in the list.
+    for n in sorted({len(p) for p in PARTICLES}, reverse=True):
+        ending = F.right(form, F.lit(n)).isin(*[p for p in PARTICLES if len(p) == n]) & (F.length(form) > n)
+        forms.append(F.when(ending, F.struct(F.left(form, F.length(form) - n).alias("form"), F.lit(n).alias("cut"))))
+    return F.array_compact(F.array(*forms))
 
 
 def similarity_tokens(text: Column) -> Column:

@@ -19,8 +19,8 @@ AMBIGUOUS_TITLES = (
     "완화", "대비", "대응", "신속성", "강건성", "알선", "링크", "렌치",
 )
 
-#: Dictionaries up to so many keys are sent to every task; larger ones are joined by shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Tables up to so many bytes are sent to every task; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def title_keys(terms: DataFrame) -> DataFrame:
@@ -41,7 +41,13 @@ def alias_keys(terms: DataFrame) -> DataFrame:
     return terms.select("slug", F.explode(F.transform(names, F.lower)).alias("key")).filter("key <> ''").distinct().select("key", "slug")
 
 
-def sent_to_all(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """``keys`` with a broadcast hint if a count shows it is small enough."""
-    small = keys.limit(limit + 1).count() <= limit
-    return F.broadcast(keys) if small else keys
+def sent_to_all(rows: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` with a broadcast hint if their measured size allows it.
+
+    The size counts the characters of every column twice, plus 32 bytes a value, which is above
+    what a broadcast row takes.  ``rows`` should be cheap to compute, or kept: it is computed once
+    for the measure and once for the join.
+    """
+    width = sum((F.coalesce(2 * F.length(F.col(c).cast("string")), F.lit(0)) + 32 for c in rows.columns), F.lit(0))
+    size = rows.agg(F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(rows) if size <= limit else rows

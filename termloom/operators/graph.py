@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from termloom.functions.text import similarity_tokens
+from termloom.operators.ranking import placed_in_group
 from termloom.operators.taxonomy import UNSORTED
+from termloom.sources.shared import kept
 
 MIN_RELATED, MAX_RELATED = 3, 5
+#: Tokens that more terms than this share are met through sets of such tokens, not one by one.
+COMMON = 64
 
 
 def edges_of(terms: DataFrame) -> DataFrame:
@@ -24,102 +27,232 @@ def clean_edges(terms: DataFrame) -> DataFrame:
     return e.join(terms.select(F.col("slug").alias("dst")), "dst", "left_semi").select("src", "dst", "pos")
 
 
-def scored_pairs(terms: DataFrame) -> DataFrame:
-    """``(src, dst, score)`` of all ordered pairs that share a category.
+def pair_score(cats: tuple[Column, Column], tokens: tuple[Column, Column]) -> Column:
+    """100 for each shared category, 20 for each shared title token, 2 for each shared token of
+    the definitions, and 15 if the category sets are the same.  Tokens carry ``t`` or ``d`` in front."""
+    shared, both = F.array_intersect(*cats), F.array_intersect(*tokens)
+    titles = F.size(F.filter(both, lambda t: t.startswith("t")))
+    same = (F.size(cats[0]) == F.size(cats[1])) & (F.size(shared) == F.size(cats[0]))
+    return (100 * F.size(shared) + 18 * titles + 2 * F.size(both) + F.when(same, 15).otherwise(0)).cast("int")
 
-    100 for each shared category, 20 for each shared title token, 2 for each shared
-    token of the definitions, and 15 if the category sets are the same.  Pairs come
-    from an equi-join on category, and shared tokens are intersected inside
-    a pair; no cross join.
+
+def _profiles(terms: DataFrame, common: int) -> DataFrame:
+    """``(slug, cats, toks, often, sig, often_sig)``: what a term's scores rest on.
+
+    ``toks``: tokens that some other term has too; ``often``: those of them that more than
+    ``common`` terms have.  Terms with one ``sig`` score alike against every term.
     """
-    t = terms.select(
-        "slug", "categories",
-        F.array_distinct(similarity_tokens(F.concat_ws(" ", "slug", "title_ko", "title_en"))).alias("title"),
-        F.array_distinct(similarity_tokens(F.col("definition"))).alias("def"),
-    )
-    by = t.select("*", F.explode(F.array_distinct("categories")).alias("c"))
-    a, b = by.alias("a"), by.alias("b")
-    pairs = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.slug") != F.col("b.slug")))
-    # A pair that shares several categories is kept at the first of them only.
-    shared = F.array_intersect("a.categories", "b.categories")
-    pairs = pairs.filter(F.col("a.c") == shared[0])
-    same = (F.size("a.categories") == F.size("b.categories")) & (F.size(shared) == F.size("a.categories"))
-    score = (
-        100 * F.size(shared) + 20 * F.size(F.array_intersect("a.title", "b.title")) + 2 * F.size(F.array_intersect("a.def", "b.def"))
-        + F.when(same, 15).otherwise(0)
+    none = F.array().cast("array<string>")
+    marked = lambda mark, c: F.transform(F.coalesce(similarity_tokens(c), none), lambda t: F.concat(F.lit(mark), t))
+    toks = F.array_union(marked("t", F.concat_ws(" ", "slug", "title_ko", "title_en")), marked("d", F.col("definition")))
+    t = terms.select("slug", F.array_sort(F.array_distinct("categories")).alias("cats"), toks.alias("toks"))
+    long = t.select("slug", F.explode("toks").alias("tok"))
+    shared = long.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+    own = long.join(shared, "tok").groupBy("slug").agg(
+        F.array_sort(F.collect_list("tok")).alias("toks"), F.array_sort(F.collect_list(F.when(F.col("df") > common, F.col("tok")))).alias("often"))
+    p = t.select("slug", "cats").join(own, "slug", "left").select("slug", "cats", F.coalesce("toks", none).alias("toks"), F.coalesce("often", none).alias("often"))
+    key = lambda c: F.md5(F.to_json(F.struct("cats", c)).cast("binary"))
+    return p.withColumn("sig", key("toks")).withColumn("often_sig", key("often"))
+
+
+def _least(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` least slugs of each group."""
+    return rows.select(by, F.col("slug").alias("dst")).withColumn("i", F.row_number().over(W.partitionBy(by).orderBy("dst"))).filter(F.col("i") <= k).drop("i")
+
+
+def _best(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` best of each group: highest score, then slug."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "dst"))).filter(F.col("rank") <= k)
+
+
+def best_pairs(terms: DataFrame, k: int = MAX_RELATED, common: int = COMMON) -> DataFrame:
+    """``(src, dst, score, rank)``: the best ``k`` partners of each term among all that share a
+    category with it (``pair_score``); ties go by slug.  The result is exact, yet no
+    category is paired with itself term by term:
+
+    - Terms with equal categories and shared tokens score alike, so they are paired as one and
+      ranked once, each kind by its ``k + 1`` least slugs.
+    - Kinds that share a token of at most ``common`` terms meet on that token.
+    - Any other pair shares common tokens only.  Its score is that of two *sets* of common
+      tokens, so these sets are paired within categories, and of each only the ``k + 1`` least
+      slugs can be among the best.
+
+    Work grows with the terms and with the different sets of common tokens in a
+    category, not with the square of the category.
+    """
+    p = kept(_profiles(terms, common))
+    kinds = p.select("sig", "often_sig", "cats", "toks", "often").distinct()
+
+    rare = kinds.select("sig", F.explode(F.array_except("toks", "often")).alias("tok"))
+    met = rare.alias("a").join(rare.withColumnRenamed("sig", "other").alias("b"), "tok").select("sig", "other").distinct()
+    near = (
+        met.join(kinds.select("sig", F.col("cats").alias("c1"), F.col("toks").alias("t1")), "sig")
+        .join(kinds.select(F.col("sig").alias("other"), F.col("cats").alias("c2"), F.col("toks").alias("t2")), "other")
+        .filter(F.arrays_overlap("c1", "c2"))
+        .select("sig", F.col("other"), pair_score((F.col("c1"), F.col("c2")), (F.col("t1"), F.col("t2"))).alias("score"))
     )
-    return pairs.select(F.col("a.slug").alias("src"), F.col("b.slug").alias("dst"), score.cast("int").alias("score"))
+    near = near.join(_least(p, "sig", k + 1).withColumnRenamed("sig", "other"), "other").select("sig", "dst", "score")
 
+    sets = p.select("often_sig", "cats", F.col("often").alias("toks")).distinct()
+    by = sets.select("*", F.explode("cats").alias("c"))
+    a, b = by.alias("a"), by.alias("b")
+    pairs = a.join(b, F.col("a.c") == F.col("b.c")).filter(F.col("a.c") == F.array_intersect("a.cats", "b.cats")[0])
+    pairs = pairs.select(
+        F.col("a.often_sig").alias("often_sig"), F.col("b.often_sig").alias("other"),
+        pair_score((F.col("a.cats"), F.col("b.cats")), (F.col("a.toks"), F.col("b.toks"))).alias("score"))
+    far = pairs.join(_least(p, "often_sig", k + 1).withColumnRenamed("often_sig", "other"), "other").select("often_sig", "dst", "score")
+    far = kinds.select("sig", "often_sig").join(_best(far, "often_sig", k + 1).drop("rank"), "often_sig").select("sig", "dst", "score")
 
-def top_related(pairs: DataFrame, k: int = MAX_RELATED) -> DataFrame:
-    """The best ``k`` of each source: highest score, then slug."""
-    by = W.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return pairs.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    ranked = _best(near.unionByName(far).groupBy("sig", "dst").agg(F.max("score").alias("score")), "sig", k + 1).drop("rank")
+    own = p.select(F.col("slug").alias("src"), "sig").join(ranked, "sig").filter("src <> dst").select("src", "dst", "score")
+    return _best(own, "src", k)
 
 
-def fill(terms: DataFrame, pairs: DataFrame) -> DataFrame:
+def fill(terms: DataFrame) -> DataFrame:
     """Terms with under three links take their best candidates until they have five.
 
-    No term looks at another's list here, so all fill at once.
+    No term looks at another's list here, so all fill at once.  A term that is short has at
+    most two links, so of its seven best candidates at least five are new.
     """
     own = clean_edges(terms)
     have = terms.select(F.col("slug").alias("src")).join(own.groupBy("src").agg(F.count("*").alias("n")), "src", "left").fillna(0, ["n"])
     short = have.filter(F.col("n") < MIN_RELATED)
-    best = pairs.join(short, "src").join(own, ["src", "dst"], "left_anti")
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst")))
-    new = best.filter(F.col("rank") <= MAX_RELATED - F.col("n")).select("src", "dst", (F.col("rank") + 1_000_000).alias("pos"))
+    best = best_pairs(terms, MAX_RELATED + MIN_RELATED - 1).drop("rank").join(short, "src").join(own, ["src", "dst"], "left_anti")
+    new = _best(best, "src", MAX_RELATED).filter(F.col("rank") <= MAX_RELATED - F.col("n")).select("src", "dst", (F.col("rank") + 1_000_000).alias("pos"))
     return own.unionByName(new)
 
 
-def mutual_top(pairs: DataFrame, k: int = MAX_RELATED) -> DataFrame:
-    """Symmetric links by sets: proposed ones that are among both ends' best ``k``.
+def mutual_top(best: DataFrame) -> DataFrame:
+    """Symmetric links by sets: those of ``best_pairs`` that are among both ends' best.
 
-    The distributed stand-in for ``reconcile``: it never exceeds k, is always
-    symmetric and does not depend on order, but may leave a term short of three.
+    Never exceeds k and does not depend on order, but may leave a term short of three;
+    ``reconcile`` gives the order-dependent lists.
     """
-    top = top_related(pairs, k)
-    back = top.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("rank").alias("back_rank"))
-    return top.join(back, ["src", "dst"]).select("src", "dst", "score", "rank")
+    back = best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("rank").alias("back_rank"))
+    return best.join(back, ["src", "dst"]).select("src", "dst", "score", "rank")
 
 
-def reconcile(terms: DataFrame, links: DataFrame, pairs: DataFrame, by: str = "subcategory") -> DataFrame:
-    """The order-dependent passes: reciprocate, drop, refill, cap; per group.
+def reciprocated(terms: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """``(src, dst, pos)``: every one-way link is answered or dropped, term after term in input order.
 
-    A term's missing back link is added where there is room, else its own link is
-    dropped; terms under three then take candidates with room, both ways.  Each pass
-    reads what earlier terms changed, so a group is folded in term order
-    by one task; groups (``by``) run in parallel and links across groups are left out.
+    A term asks, at its turn, each one-way partner for a link back.  A list with room (under
+    five) accepts; otherwise the term drops its own link.  What a list accepts follows
+    from ranks, with no fold over the terms: before its owner's turn it takes the first
+    askers that fit; at that turn it loses the links that were refused to the owner; after
+    it, the first later askers that fit what is then free.  Only the last depends on other lists,
+    those that refused the owner, so lists are settled in rounds along chains of links
+    to ever earlier terms.  A round is one join over the links still open.
+    """
+    order = terms.select("slug", "term_ord")
+    e = links.select("src", "dst", "pos").join(order.select(F.col("slug").alias("src"), F.col("term_ord").alias("at")), "src").join(
+        order.select(F.col("slug").alias("dst"), F.col("term_ord").alias("turn")), "dst")
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("answered"))
+    e = kept(e.join(back, ["src", "dst"], "left").withColumn("answered", F.coalesce("answered", F.lit(False))))
+    room = e.groupBy(F.col("src").alias("dst")).agg((MAX_RELATED - F.count("*")).alias("room"))
+    asks = e.filter("not answered").join(room, "dst", "left").withColumn("room", F.coalesce("room", F.lit(MAX_RELATED)))
+    early = F.col("at") < F.col("turn")
+    asks = asks.withColumn("early", early)
+    # A list never takes more than five, so later places need no number.
+    nth = F.row_number().over(W.partitionBy("dst", "early").orderBy("at"))
+    first = asks.select("src", "dst", "early", "at").withColumn("nth", nth).filter(F.col("nth") <= MAX_RELATED).select("src", "dst", "nth")
+    asks = kept(asks.join(first, ["src", "dst"], "left").withColumn("nth", F.coalesce("nth", F.lit(1 << 30))))
+    # Room that is left on a list after its early askers; its owner's refused links are added to it.
+    taken = asks.filter("early").groupBy("dst").agg(F.greatest(F.least(F.count("*"), F.max("room")), F.lit(0)).alias("took"))
+    asks = kept(asks.join(taken, "dst", "left").withColumn("left", F.col("room") - F.coalesce("took", F.lit(0))).drop("took"))
+    done = asks.filter("early").select("src", "dst", (F.col("nth") <= F.col("room")).alias("ok"))
+    opened = asks.filter("not early")
+    n_asks = asks.groupBy("src").agg(F.count("*").alias("asked"))
+    for _ in range(max_rounds):
+        done = kept(done)
+        settled = done.groupBy("src").agg(F.count("*").alias("heard"), F.count_if(~F.col("ok")).alias("refused"))
+        # An owner whose own asks have all been heard has its final list at its turn.
+        owner = n_asks.join(settled, "src", "left").select(F.col("src").alias("dst"), (F.col("asked") == F.coalesce("heard", F.lit(0))).alias("ready"), F.coalesce("refused", F.lit(0)).alias("refused"))
+        state = opened.join(done.select("src", "dst"), ["src", "dst"], "left_anti").join(owner, "dst", "left")
+        ready = F.coalesce("ready", F.lit(True))
+        new = state.filter(ready).select("src", "dst", (F.col("nth") <= F.col("left") + F.coalesce("refused", F.lit(0))).alias("ok"))
+        if not state.limit(1).count():
+            break
+        done = done.unionByName(new)
+    else:
+        raise RuntimeError(f"links did not settle in {max_rounds} rounds")
+    own = e.join(done, ["src", "dst"], "left").filter("answered or ok").select("src", "dst", F.col("pos").cast("long").alias("pos"))
+    pushed = done.filter("ok").join(order.select(F.col("slug").alias("src"), "term_ord"), "src")
+    return own.unionByName(pushed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("term_ord") + 2_000_000).cast("long").alias("pos")))
+
+
+def refilled(terms: DataFrame, links: DataFrame, k: int = 32, max_rounds: int = 400) -> DataFrame:
+    """Terms with under three links take, in input order, their best candidates that still have room;
+    both ends gain the link.
+
+    What a term takes depends on what earlier terms took.  Each round lets all short terms choose
+    at once under the choices that the last round gave their predecessors.  The first
+    term is right after one round, the next after two at the latest, and choices that no longer
+    change are those of the term-by-term pass.  A list with five links takes no
+    more, so at most five gains of it count in any join.  ``k``: candidates looked at for
+    each short term; where they run out, twice as many are taken.
     """
-    g = terms.select("slug", "term_ord", F.coalesce(F.when(F.col(by) != "", F.col(by)), F.lit(UNSORTED)).alias("grp"))
-    own = g.join(
-        links.groupBy(F.col("src").alias("slug")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("links")), "slug", "left")
-    cand = pairs.groupBy(F.col("src").alias("slug")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "dst"))), lambda x: x["dst"]).alias("candidates"))
-    rows = own.join(cand, "slug", "left")
-
-    def passes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["term_ord", "slug"])
-        inside = set(pdf["slug"])
-        rel = {s: [x for x in (v if v is not None else ()) if x in inside] for s, v in zip(pdf["slug"], pdf["links"], strict=True)}
-        best = {s: [x for x in (v if v is not None else ()) if x in inside] for s, v in zip(pdf["slug"], pdf["candidates"], strict=True)}
-        for s in pdf["slug"]:
-            for other in list(rel[s]):
-                if s not in rel[other]:
-                    if len(rel[other]) < MAX_RELATED:
-                        rel[other].append(s)
-                    else:
-                        rel[s].remove(other)
-        for s in pdf["slug"]:
-            for other in best[s] if len(rel[s]) < MIN_RELATED else ():
-                if len(rel[s]) >= MIN_RELATED:
-                    break
-                if other not in rel[s] and s not in rel[other] and len(rel[other]) < MAX_RELATED:
-                    rel[s].append(other)
-                    rel[other].append(s)
-        out = [(s, d, i) for s in pdf["slug"] for i, d in enumerate(rel[s][:MAX_RELATED])]
-        return pd.DataFrame(out, columns=["src", "dst", "pos"])
-
-    return rows.groupBy("grp").applyInPandas(passes, "src string, dst string, pos int")
+    order = terms.select("slug", "term_ord")
+    size = links.groupBy(F.col("src").alias("slug")).agg(F.count("*").alias("z"))
+    size = kept(order.join(size, "slug", "left").select("slug", "term_ord", F.coalesce("z", F.lit(0)).alias("z")))
+    short = size.filter(F.col("z") < MIN_RELATED).select(F.col("slug").alias("src"), F.col("term_ord").alias("at"), F.col("z").alias("own"))
+    if not short.limit(1).count():
+        return links
+    everyone = terms.count()
+    while True:
+        cand = best_pairs(terms, k).select("src", "dst", "rank").join(short, "src").join(links.select("src", "dst"), ["src", "dst"], "left_anti")
+        cand = kept(cand.join(size.select(F.col("slug").alias("dst"), "z"), "dst").filter(F.col("z") < MAX_RELATED))
+        picks, last = None, None
+        for _ in range(max_rounds):
+            if picks is None:
+                open_ = cand.withColumn("more", F.lit(0)).withColumn("gained", F.lit(0)).withColumn("has", F.lit(False))
+            else:
+                gain = picks.select(F.col("dst").alias("v"), F.col("at").alias("when"), F.lit(1).alias("n")).unionByName(
+                    picks.groupBy(F.col("src").alias("v"), F.col("at").alias("when")).agg(F.count("*").cast("int").alias("n")))
+                first = gain.withColumn("i", F.row_number().over(W.partitionBy("v").orderBy("when"))).filter(F.col("i") <= MAX_RELATED).drop("i")
+                more = cand.join(first, (F.col("dst") == F.col("v")) & (F.col("when") < F.col("at"))).groupBy("src", "dst").agg(F.sum("n").alias("more"))
+                got = first_gains(picks)
+                partner = picks.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("at").alias("when"))
+                open_ = (
+                    cand.join(more, ["src", "dst"], "left").join(got, "src", "left").join(partner, ["src", "dst"], "left")
+                    .withColumn("more", F.coalesce("more", F.lit(0))).withColumn("has", F.coalesce(F.col("when") < F.col("at"), F.lit(False)))
+                    .withColumn("gained", F.size(F.filter(F.coalesce("whens", F.array().cast("array<int>")), lambda w: w < F.col("at"))))
+                )
+            free = open_.filter((F.col("z") + F.col("more") < MAX_RELATED) & ~F.col("has"))
+            nth = F.row_number().over(W.partitionBy("src").orderBy("rank"))
+            chosen = free.withColumn("nth", nth).filter(F.col("nth") <= MIN_RELATED - F.col("own") - F.col("gained"))
+            picks = kept(chosen.select("src", "dst", F.col("at").cast("int").alias("at")))
+            state = picks.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+            if state == last:
+                break
+            last = state
+        else:
+            raise RuntimeError(f"choices did not settle in {max_rounds} rounds")
+        # A term that is still short may have run out of the candidates looked at.
+        ends = picks.select("src", "dst").unionByName(picks.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        still = short.join(ends.groupBy("src").agg(F.count("*").alias("n")), "src", "left").filter(F.col("own") + F.coalesce("n", F.lit(0)) < MIN_RELATED)
+        if k >= everyone or not still.limit(1).count():
+            break
+        k *= 2
+    both = picks.select("src", "dst", "at").unionByName(picks.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "at"))
+    # A term's own choices come in order of rank, after what it had.
+    rank = cand.select("src", "dst", "rank")
+    new = both.join(rank, ["src", "dst"], "left").select("src", "dst", (F.col("at").cast("long") * (1 << 31) + (1 << 40) + F.coalesce("rank", F.lit(0))).alias("pos"))
+    return links.unionByName(new)
+
+
+def first_gains(picks: DataFrame) -> DataFrame:
+    """``(src, whens)``: when a term was first chosen by others; three suffice to need nothing more."""
+    by = W.partitionBy("dst").orderBy("at")
+    few = picks.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= MIN_RELATED)
+    return few.groupBy(F.col("dst").alias("src")).agg(F.collect_list(F.col("at").cast("int")).alias("whens"))
+
+
+def reconcile(terms: DataFrame, links: DataFrame) -> DataFrame:
+    """``(src, dst, pos)``: the order-dependent passes over all terms: answer or drop one-way links
+    (``reciprocated``), refill terms under three (``refilled``), keep five."""
+    done = refilled(terms, kept(reciprocated(terms, links)))
+    place = F.row_number().over(W.partitionBy("src").orderBy("pos", "dst"))
+    return done.withColumn("place", place).filter(F.col("place") <= MAX_RELATED).select("src", "dst", (F.col("place") - 1).alias("pos"))
 
 
 def asymmetric(edges: DataFrame) -> DataFrame:
@@ -166,8 +299,7 @@ def largest_subgraph(edges: DataFrame, k: int = 20) -> DataFrame:
 
 def circular_layout(nodes: DataFrame, radius: float = 100.0) -> DataFrame:
     """Each group's terms on a circle in input order, the first at the top."""
-    by = W.partitionBy("grp")
-    i, n = F.row_number().over(by.orderBy("term_ord")) - 1, F.count("*").over(by)
-    angle = 2 * F.pi() * F.col("i") / F.col("n") - F.pi() / 2
-    placed = nodes.withColumn("i", i).withColumn("n", n)
+    n = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    placed = placed_in_group(nodes, ["grp"], [F.floor(F.col("term_ord") / 65536)], ["term_ord"], "i").join(n, "grp")
+    angle = 2 * F.pi() * (F.col("i") - 1) / F.col("n") - F.pi() / 2
     return placed.select("slug", "grp", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from termloom.operators.ranking import placed_in_group
 
-def owned(rows: DataFrame, user_id) -> DataFrame:
-    """Only the user's own rows: every ledger read goes through here."""
-    return rows.filter(F.col("user_id") == F.lit(user_id))
+
+def owned(rows: DataFrame, user_id, user: str = "user_id") -> DataFrame:
+    """Only the user's own rows.  Operators here take whole tables and keep users apart by key;
+    a read on behalf of one user goes through this filter, which reaches the scan."""
+    return rows.filter(F.col(user) == F.lit(user_id))
+
+
+def newest_first(rows: DataFrame, user: str, time: str, tie: str) -> DataFrame:
+    """Each user's rows with ``place`` 1.. from the newest; days are the cells, so that a user with
+    a large share of the rows is spread over tasks."""
+    day = -F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date"))
+    return placed_in_group(rows, [user], [day], [F.desc(time), F.desc(tie)])
 
 
 def latest(events: DataFrame, keys: list[str], time: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -36,6 +47,15 @@ def recent(events: DataFrame, user: str, item: str, keep: int = 5, time: str = "
     return last.withColumn("place", place).filter(F.col("place") <= keep)
 
 
+def with_terms(bookmarks: DataFrame, terms: DataFrame, category: str | None = None) -> DataFrame:
+    """Bookmarks ``(slug, ..)`` with their terms' ``title_en`` and ``categories``, null where there is no such term.
+
+    A category keeps the bookmarks of its terms; one without a term is in none.
+    """
+    out = bookmarks.join(terms.select("slug", "title_en", "categories"), "slug", "left")
+    return out.filter(F.array_contains("categories", category)) if category else out
+
+
 def cascade(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children of parents that still live."""
     return children.join(parents.select(key).distinct(), key, "left_semi")
@@ -61,6 +81,36 @@ def valid_tag(tag: Column) -> Column:
     return (F.length(F.trim(tag)) > 0) & (F.length(tag) <= 30)
 
 
+# The judgements of a flash card.
+KNOWN, UNKNOWN = "known", "unknown"
+
+
+def valid_status(status: Column) -> Column:
+    return F.coalesce(status.isin(KNOWN, UNKNOWN), F.lit(False))
+
+
+def judged(judgements: DataFrame, session: list[str], card: str, time: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The last judgement of each card in a session."""
+    return latest(judgements, [*session, card], time, tie)
+
+
+def judgement_counts(last: DataFrame, session: list[str]) -> DataFrame:
+    """Cards known and not known in each session."""
+    return last.groupBy(*session).agg(F.count_if(F.col("status") == KNOWN).alias("n_known"), F.count_if(F.col("status") == UNKNOWN).alias("n_unknown"))
+
+
+def study_deck(cards: DataFrame, last: DataFrame, session: list[str], deck: str, card: str) -> DataFrame:
+    """What a session shows under "unknown only": those cards of its deck, or the whole deck where it has none.
+
+    ``cards (deck, card)``; ``last``: one row for each session and card, with ``deck`` and ``status``.
+    """
+    sessions = last.groupBy(*session, deck).agg(F.count_if(F.col("status") == UNKNOWN).alias("_unknown"))
+    unknown = last.filter(F.col("status") == UNKNOWN).select(*session, deck, card).join(cards.select(deck, card).distinct(), [deck, card], "left_semi")
+    shown = unknown.groupBy(*session, deck).agg(F.count("*").alias("_shown"))
+    whole = sessions.join(shown, [*session, deck], "left_anti").select(*session, deck).join(cards.select(deck, card).distinct(), deck)
+    return unknown.select(*session, deck, card).unionByName(whole.select(*session, deck, card))
+
+
 def streaks(answers: DataFrame, user: str, good: Column, order: list[str]) -> DataFrame:
     """Each answer's running streak: good ones in a row, 0 at a bad one."""
     by = W.partitionBy(user).orderBy(*order)
@@ -70,60 +120,85 @@ def streaks(answers: DataFrame, user: str, good: Column, order: list[str]) -> Da
     return rows.withColumn("streak", F.when(F.col("_good"), inside).otherwise(0)).drop("_good", "_island")
 
 
-def quiz_totals(answers: DataFrame, user: str, good: Column, order: list[str]) -> DataFrame:
-    """Played, right, rounded accuracy and best streak of each user."""
-    s = streaks(answers, user, good, order)
-    n, right = F.count("*"), F.count_if(good)
+def quiz_totals(answers: DataFrame, user: str, good: Column, order: list[str], timed_out: Column | None = None) -> DataFrame:
+    """Played, right, rounded accuracy (0 for none played), best streak and missed questions of each user.
+
+    A question that ran out of time ends the streak and counts as missed, but not as played.
+    """
+    late = F.lit(False) if timed_out is None else timed_out
+    s = streaks(answers.withColumn("_late", late), user, good & ~late, order)
+    n, right = F.count_if(~F.col("_late")), F.count_if(good & ~F.col("_late"))
+    accuracy = F.when(n == 0, 0).otherwise(F.floor(100 * right / F.greatest(n, F.lit(1)) + 0.5)).cast("long")
     return s.groupBy(user).agg(
-        n.alias("played"), right.alias("correct"), F.floor(100 * right / n + 0.5).cast("long").alias("accuracy"), F.max("streak").alias("best_streak")
+        n.alias("played"), right.alias("correct"), accuracy.alias("accuracy"), F.max("streak").alias("best_streak"), (F.count("*") - right).alias("missed")
     )
 
 
+def quiz_scores(answers: DataFrame, user: str, session: str, good: Column) -> DataFrame:
+    """Best score of each user over sessions; a session's score is its right answers."""
+    per = answers.groupBy(user, session).agg(F.count_if(good).alias("score"))
+    return per.groupBy(user).agg(F.max("score").alias("best_score"), F.count("*").alias("n_sessions"))
+
+
+def retry_questions(answers: DataFrame, user: str, item: str, good: Column, time: str, tie: str) -> DataFrame:
+    """``(user, item, first_missed)``: what a retry asks, each missed item once at its first miss."""
+    missed = answers.filter(~good)
+    return missed.groupBy(user, item).agg(F.min(F.struct(time, tie)).alias("m")).select(user, item, F.col(f"m.{tie}").alias("first_missed"))
+
+
 def debounced(events: DataFrame, key: str, quiet: str, time: str = "ts", tie: str = "event_id") -> DataFrame:
     """Events after which their key stays quiet for the interval: the last keystroke of each burst."""
     nxt = F.lead(time).over(W.partitionBy(key).orderBy(time, tie))
     return events.withColumn("_next", nxt).filter(F.col("_next").isNull() | (F.col("_next") >= F.col(time) + F.expr(f"INTERVAL {quiet}"))).drop("_next")
 
 
+def lockout_step(n: int, until: int | None, ts: int, bad: bool, most: int, length: int) -> tuple[int, int | None, bool]:
+    """State after one attempt, and whether it locked the account.  Times in microseconds."""
+    if until is not None:
+        if ts < until:
+            return n, until, False
+        n, until = 0, None
+    if not bad:
+        return 0, None, False
+    n += 1
+    return (n, ts + length, True) if n >= most else (n, None, False)
+
+
 def lockouts(attempts: DataFrame, user: str, failed: Column, most: int = 5, minutes: int = 5, time: str = "ts", tie: str = "event_id") -> DataFrame:
     """``(user, locked_at, unlocks_at, n_failures)``: when ``most`` failures in a row lock an account.
 
     Failures have no time window; a success forgets them.  While locked, attempts do
-    nothing; the first one after the lock has run out starts afresh.  The fold is per user over time-ordered attempts.
+    nothing; the first one after the lock has run out starts afresh.  A task streams its
+    users' attempts in order of time and holds one user's count and lock, whatever their number.
     """
-    import pandas as pd
-
-    def fold(key, batches):
-        n, until, out = 0, None, []
-        for pdf in batches:
-            for t, bad in zip(pdf[time], pdf["bad"], strict=True):
-                if until is not None:
-                    if t < until:
-                        continue
-                    n, until = 0, None
-                if not bad:
-                    n = 0
-                    continue
-                n += 1
-                if n >= most:
-                    until = t + pd.Timedelta(minutes=minutes)
-                    out.append((key[0], t, until, n))
-        yield pd.DataFrame(out, columns=["u", "locked_at", "unlocks_at", "n_failures"])
-
-    rows = attempts.select(F.col(user).cast("long").alias("u"), F.col(time).cast("timestamp").alias(time), tie, failed.alias("bad"))
-
-    def run(key, pdf):
-        return next(fold(key, [pdf.sort_values([time, tie])]))
-
-    out = rows.groupBy("u").applyInPandas(run, "u long, locked_at timestamp, unlocks_at timestamp, n_failures int")
-    return out.withColumnRenamed("u", user)
+    length = minutes * 60_000_000
+
+    def fold(batches):
+        last, n, until = None, 0, None
+        for b in batches:
+            out = []
+            for u, t, bad in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if u != last:
+                    last, n, until = u, 0, None
+                n, until, locked = lockout_step(n, until, t, bad, most, length)
+                if locked:
+                    out.append((u, t, until, n))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["u", "l", "e", "n"])
+
+    rows = attempts.select(F.col(user).cast("long").alias("u"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.coalesce(failed, F.lit(False)).alias("bad"), F.col(tie).alias("tie"))
+    rows = rows.repartition("u").sortWithinPartitions("u", "t", "tie").select("u", "t", "bad")
+    out = rows.mapInArrow(fold, "u long, l long, e long, n int")
+    return out.select(F.col("u").alias(user), F.timestamp_micros("l").alias("locked_at"), F.timestamp_micros("e").alias("unlocks_at"), F.col("n").alias("n_failures"))
 
 
 def annotations(rows: DataFrame) -> DataFrame:
-    """Stored annotations under the names that readers use, without null notes; by page, then start."""
-    return rows.select(
-        "id", F.col("page").alias("pageNumber"), F.col("start_offset").alias("startOffset"), F.col("end_offset").alias("endOffset"),
-        F.col("quote_text").alias("quoteText"), "color", F.coalesce("note", F.lit("")).alias("note"), F.col("created_at").alias("createdAt"),
+    """Stored annotations under the names that readers use, without null notes, and ``position``:
+    their place in the document by page, then start, then id."""
+    placed = placed_in_group(rows, ["document_id"], [F.col("page")], ["start_offset", "id"], "position")
+    return placed.select(
+        "id", F.col("document_id").alias("documentId"), F.col("page").alias("pageNumber"), F.col("start_offset").alias("startOffset"), F.col("end_offset").alias("endOffset"),
+        F.col("quote_text").alias("quoteText"), "color", F.coalesce("note", F.lit("")).alias("note"), F.col("created_at").alias("createdAt"), "position",
     )
 
 

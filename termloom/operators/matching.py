@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
 from termloom.functions.text import LETTERS, candidate_forms, escape_html, normalize_word, word_occurrences
 from termloom.operators.dictionary import sent_to_all, title_keys
+from termloom.sources.shared import kept
 
 
 def word_table(docs: DataFrame, letters: str = LETTERS, id_col: str = "doc_id") -> DataFrame:
@@ -17,16 +20,28 @@ def word_table(docs: DataFrame, letters: str = LETTERS, id_col: str = "doc_id")
     return at.select("doc_id", F.inline_outer("at")).filter("word is not null")
 
 
+def known_words(docs: DataFrame, terms: DataFrame, letters: str = LETTERS) -> DataFrame:
+    """``(word, slug, term_ord, cut, form_ord)``: the different words of the texts that are keys of terms,
+    as a whole (``form_ord`` 0) or without a particle of ``cut`` letters.
+
+    Normal forms and particles are worked out once for each different word, of which there
+    are far fewer than occurrences.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{letters}]+"), F.lit(0))).alias("word")).distinct()
+    forms = words.withColumn("form", normalize_word(F.col("word"))).select("word", F.posexplode_outer(candidate_forms(F.col("form"))).alias("form_ord", "f"))
+    keys = kept(title_keys(terms))
+    return forms.join(sent_to_all(keys), F.col("f.form") == F.col("key")).select("word", "slug", "term_ord", F.col("f.cut").alias("cut"), "form_ord")
+
+
 def hits(docs: DataFrame, terms: DataFrame, letters: str = LETTERS) -> DataFrame:
     """``(doc_id, slug, term_ord, start, length, form_ord, word)``: a row for each word
     occurrence and form that is a key of a term.
 
     A word whose raw and stripped forms both lead to one term counts twice.
     """
-    words = word_table(docs, letters).withColumn("form", normalize_word(F.col("word")))
-    forms = words.select("doc_id", "word", "start", F.posexplode_outer(candidate_forms(F.col("form"))).alias("form_ord", "f"))
-    return forms.join(sent_to_all(title_keys(terms)), F.col("f.form") == F.col("key")).select(
-        "doc_id", "slug", "term_ord", "start", (F.length("word") - F.col("f.cut")).alias("length"), "form_ord", "word"
+    known = kept(known_words(docs, terms, letters))
+    return word_table(docs, letters).join(sent_to_all(known), "word").select(
+        "doc_id", "slug", "term_ord", "start", (F.length("word") - F.col("cut")).alias("length"), "form_ord", "word"
     )
 
 
@@ -39,14 +54,13 @@ def match_terms(docs: DataFrame, terms: DataFrame, letters: str = LETTERS) -> Da
     found = hits(docs, terms, letters)
     per_term = found.groupBy("doc_id", "slug").agg(
         F.count("*").alias("count"),
-        F.countDistinct("start").alias("n_starts"),
         F.lit(0.0).alias("score"),
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias("occurrences"),
         F.min(F.struct("start", "form_ord", "term_ord")).alias("first_seen"),
     )
     order = W.partitionBy("doc_id").orderBy("score", F.desc("count"), "first_seen", "slug")
     return per_term.select(
-        "doc_id", "slug", "count", "n_starts", "score", "occurrences",
+        "doc_id", "slug", "count", F.size(F.array_distinct(F.transform("occurrences", lambda o: o["start"]))).cast("long").alias("n_starts"), "score", "occurrences",
         F.col("occurrences")[0]["start"].alias("first_start"),
         F.col("occurrences")[0]["length"].alias("first_length"),
         F.row_number().over(order).alias("rank"),
@@ -61,13 +75,10 @@ def kept_spans(matches: DataFrame) -> DataFrame:
     others' slugs are folded into ``covered``.
     """
     spans = matches.select("doc_id", "slug", "rank", F.inline("occurrences"))
-    by = W.partitionBy("doc_id", "start").orderBy(F.desc("length"), "rank")
-    every = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return (
-        spans.withColumn("n", F.row_number().over(by))
-        .withColumn("covered", F.array_distinct(F.collect_list("slug").over(every)))
-        .filter("n = 1")
-        .select("doc_id", "start", "length", "slug", "covered")
+    best = F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("shorter"), "rank", "slug"))).alias("s")
+    return spans.groupBy("doc_id", "start").agg(best).select(
+        "doc_id", "start", (-F.col("s")[0]["shorter"]).alias("length"), F.col("s")[0]["slug"].alias("slug"),
+        F.array_distinct(F.transform("s", lambda x: x["slug"])).alias("covered"),
     )
 
 
@@ -97,6 +108,24 @@ def sweep_spans(spans: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.inline("kept"))
 
 
+_ENTITIES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})
+
+
+@F.pandas_udf(StringType())
+def _marked(text: pd.Series, starts: pd.Series, lengths: pd.Series, opening: pd.Series) -> pd.Series:
+    """Escaped texts with their spans marked: one pass over each, where Spark's substring would begin
+    at the front again for every span."""
+
+    def one(t, ss, ns, os):
+        out, at = [], 0
+        for s, n, o in zip(ss, ns, os, strict=True):
+            out += [t[at:s].translate(_ENTITIES), o, t[s : s + n].translate(_ENTITIES), "</mark>"]
+            at = s + n
+        return "".join([*out, t[at:].translate(_ENTITIES)])
+
+    return pd.Series([one(*x) for x in zip(text, starts, lengths, opening, strict=True)], dtype=object)
+
+
 def highlight(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``(doc_id, html)``: escaped text with each kept span in a ``mark``.
 
@@ -105,19 +134,9 @@ def highlight(docs: DataFrame, spans: DataFrame) -> DataFrame:
     own = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length", "slug", "covered"))).alias("own"))
     both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(own, "doc_id", "left")
     own = F.coalesce("own", F.array().cast(own.schema["own"].dataType))
-    ends = F.concat(F.array(F.lit(0)), F.transform(own, lambda s: s["start"] + s["length"]))
-
-    def mark(s, i):
-        gap_from = F.element_at(ends, i + 1)
-        gap = F.substring("text", gap_from + 1, s["start"] - gap_from)
-        word = F.substring("text", s["start"] + 1, s["length"])
-        return F.concat(
-            escape_html(gap), F.lit('<mark data-slug="'), s["slug"], F.lit('" data-covers="'),
-            F.array_join(s["covered"], " "), F.lit('">'), escape_html(word), F.lit("</mark>"),
-        )
-
-    rest = escape_html(F.substring("text", F.element_at(ends, -1) + 1, F.length("text")))
-    return both.select("doc_id", F.concat(F.array_join(F.transform(own, mark), ""), rest).alias("html"))
+    opening = F.transform(own, lambda s: F.concat(F.lit('<mark data-slug="'), s["slug"], F.lit('" data-covers="'), F.array_join(s["covered"], " "), F.lit('">')))
+    starts, lengths = F.transform(own, lambda s: s["start"].cast("int")), F.transform(own, lambda s: s["length"].cast("int"))
+    return both.select("doc_id", _marked("text", starts, lengths, opening).alias("html"))
 
 
 # Labels of the three levels of difficulty.

@@ -30,6 +30,16 @@ def bad_slugs(terms: DataFrame) -> DataFrame:
     return finding(terms.filter(~F.coalesce(F.col("slug"), F.lit("")).rlike(SLUG)), "slug format", F.col("slug"))
 
 
+def slug_rules(terms: DataFrame, pages: DataFrame) -> DataFrame:
+    """Slugs, trimmed: blank ones, ones borne by several terms, and ones without a page."""
+    t = terms.select(F.trim(F.coalesce(F.col("slug"), F.lit(""))).alias("slug"))
+    per = t.groupBy("slug").agg(F.count("*").alias("n"))
+    blank = finding(per.filter("slug = ''"), "blank slug", F.col("slug"), F.col("n"))
+    several = finding(per.filter("slug <> '' and n > 1"), "duplicate slug", F.col("slug"), F.col("n"))
+    lost = finding(per.filter("slug <> ''").join(pages.select("slug"), "slug", "left_anti"), "no page", F.col("slug"))
+    return blank.unionByName(several).unionByName(lost)
+
+
 def unknown_categories(terms: DataFrame, known: DataFrame) -> DataFrame:
     rows = terms.select("slug", F.explode("categories").alias("category")).join(known.select("category"), "category", "left_anti")
     return finding(rows, "unknown category", F.col("slug"), F.col("category"))
@@ -37,9 +47,9 @@ def unknown_categories(terms: DataFrame, known: DataFrame) -> DataFrame:
 
 def wrong_subcategory(terms: DataFrame, allowed: DataFrame) -> DataFrame:
     """``allowed (category, subcategory)``: only categories with a list are held to it."""
-    lists = allowed.groupBy("category").agg(F.collect_set("subcategory").alias("subs"))
-    rows = terms.filter("subcategory <> ''").withColumn("category", F.try_element_at("categories", F.lit(1))).join(F.broadcast(lists), "category")
-    return finding(rows.filter(~F.array_contains("subs", F.col("subcategory"))), "wrong subcategory", F.col("slug"), F.col("subcategory"))
+    rows = terms.filter("subcategory <> ''").withColumn("category", F.try_element_at("categories", F.lit(1)))
+    held = rows.join(allowed.select("category").distinct(), "category", "left_semi")
+    return finding(held.join(allowed.select("category", "subcategory").distinct(), ["category", "subcategory"], "left_anti"), "wrong subcategory", F.col("slug"), F.col("subcategory"))
 
 
 def broken_links(terms: DataFrame, key: str = "slug", links: str = "related") -> DataFrame:
@@ -130,6 +140,11 @@ def edge_rules(terms: DataFrame, most: int = 5) -> DataFrame:
     return out
 
 
+def has_marks(marks: dict[str, str], html: str = "html") -> list[Column]:
+    """A boolean column for each marker, named by its key: whether the page contains it."""
+    return [F.coalesce(F.col(html).contains(m), F.lit(False)).alias(name) for name, m in marks.items()]
+
+
 def page_rules(terms: DataFrame, pages: DataFrame, marks: dict[str, str]) -> DataFrame:
     """Pages (``slug, html``) against terms: missing, orphaned, and without a marker."""
     out = drift(terms, pages, "slug", "terms", "pages")
@@ -153,6 +168,11 @@ def _by_rule():
     return Window.partitionBy("rule").orderBy("key", "detail")
 
 
+def tallies(rows: DataFrame, fate: str = "fate") -> DataFrame:
+    """How many rows met each fate."""
+    return rows.groupBy(fate).agg(F.count("*").alias("n"))
+
+
 def merge_batch(existing: DataFrame, batch: DataFrame, pages: DataFrame, required: list[str]) -> DataFrame:
     """Each batch row's fate: ``missing fields``, ``already there``, ``repeated in batch``, ``no page`` or ``accepted``.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from termloom.operators.ranking import numbered_values
+
 EASY_BELOW = 120
 
 
@@ -20,20 +22,33 @@ def in_scope(terms: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def questions(terms: DataFrame, n: int, seed: int) -> DataFrame:
-    """A reproducible random choice of ``n`` terms, or all there are."""
-    return terms.orderBy(F.xxhash64(F.lit(seed), "slug"), "slug").limit(n)
+    """A reproducible random choice of ``n`` terms, or all there are, with ``place`` 1..: their
+    order by a seeded md5."""
+    drawn = terms.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "slug").cast("binary"))).orderBy("_h", "slug").limit(n)
+    return drawn.withColumn("place", F.row_number().over(W.orderBy("_h", "slug"))).drop("_h")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """The rows in a reproducible random order: sorted by a seeded md5 of their key."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key).cast("binary")), key)
 
 
-def distractors(asked: DataFrame, options: DataFrame, seed: int, k: int = 3, pool: int = 64) -> DataFrame:
-    """``(slug, option, place)``: up to ``k`` different wrong options for each question.
+def distractors(asked: DataFrame, options: DataFrame, seed: int, k: int = 3) -> DataFrame:
+    """``(slug, option, place)``: ``k`` different wrong options for each question (``slug, answer``), or
+    as many as there are.
 
-    ``options (option)`` may be any texts.  A pool of the ``pool`` options least by a seeded
-    hash is drawn once, so that a question meets a bounded number of them; each
-    question then orders the pool by a hash of its own.  Fewer come back where there are not enough.
+    All different ``options (option)`` are numbered in a shuffled order and cut into
+    ``k + 1`` stretches; each question draws one number from every stretch by a hash of its own
+    and leaves out its answer, or else the last.  Questions meet options on the number, so no
+    question sees more than ``k + 1`` of them however many there are.
     """
-    drawn = options.filter("option is not null").distinct().orderBy(F.xxhash64(F.lit(seed), "option"), "option").limit(pool).collect()
-    # At most ``pool`` options, so they travel as one constant; no join is needed.
-    every = F.array(*[F.lit(r["option"]) for r in drawn]).cast("array<string>")
-    pairs = asked.select("slug", "answer", F.explode(every).alias("option")).filter("option <> answer")
-    by = W.partitionBy("slug").orderBy(F.xxhash64(F.lit(seed), "slug", "option"), "option")
-    return pairs.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k).select("slug", "option", "place")
+    every = numbered_values(options, "option", "number")
+    total = every.agg(F.count("*").alias("m")).withColumn("_one", F.lit(1))
+    asked = asked.select("slug", "answer").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    drawn = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
+    low, high = F.floor(F.col("i") * F.col("m") / (k + 1)), F.floor((F.col("i") + 1) * F.col("m") / (k + 1))
+    h = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), "slug", "i").cast("binary")), F.lit(12)), 16, 10).cast("long")
+    drawn = drawn.filter(high > low).select("slug", "answer", "i", (low + h % (high - low)).alias("number"))
+    wrong = drawn.join(every, "number").filter("option <> answer")
+    by = W.partitionBy("slug").orderBy("i")
+    return wrong.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k).select("slug", "option", "place")

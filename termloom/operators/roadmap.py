@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from termloom.operators.graph import in_degree, inner_edges
+from termloom.operators.ranking import placed_in_group
+from termloom.sources.shared import kept
 
 MAX_PREREQUISITES = 3
+#: Terms of one cell when a group is ranked by input order.
+CELL = 65_536
 
 
 def difficulty(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(slug, grp, term_ord, inbound, difficulty)``: the most linked third of a group is 1, the
     next 2, the rest 3; a term nothing links to is 3 wherever it ranks."""
-    ranked = in_degree(nodes, edges)
-    place = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("inbound"), "term_ord"))
-    n = F.count("*").over(W.partitionBy("grp"))
+    n = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    cells = [-F.col("inbound"), F.floor(F.col("term_ord") / CELL)]
+    ranked = placed_in_group(in_degree(nodes, edges), ["grp"], cells, ["term_ord"]).join(n, "grp")
     level = F.when(F.col("inbound") == 0, 3).when(F.col("place") <= F.ceil(F.col("n") / 3), 1).when(F.col("place") <= F.ceil(2 * F.col("n") / 3), 2).otherwise(3)
-    return ranked.withColumn("place", place).withColumn("n", n).select("slug", "grp", "term_ord", "inbound", level.cast("int").alias("difficulty"))
+    return ranked.select("slug", "grp", "term_ord", "inbound", level.cast("int").alias("difficulty"))
 
 
 def prerequisites(levels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,38 +43,56 @@ def learning_order(levels: DataFrame) -> DataFrame:
     Roots are visited by difficulty and prerequisites come first anyway, so the
     order is that by difficulty (none counts as 3), then input order.
     """
-    by = W.partitionBy("grp").orderBy(F.coalesce("difficulty", F.lit(3)), "term_ord")
-    return levels.withColumn("place", F.row_number().over(by))
+    level = F.coalesce("difficulty", F.lit(3))
+    return placed_in_group(levels, ["grp"], [level, F.floor(F.col("term_ord") / CELL)], ["term_ord"])
 
 
-def topological_order(levels: DataFrame, needs: DataFrame) -> DataFrame:
-    """``(grp, slug, place)`` for any prerequisites ``(src, dst, pos)``, cycles cut.
+def topological_order(levels: DataFrame, needs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """``(grp, slug, place)`` for any prerequisites ``(src, dst)`` of a group: each term after what it needs.
 
-    Depth-first from roots in order of difficulty; the fold needs a whole group, a
-    subcategory, in one task.  Unknown slugs are skipped.
+    Rounds of joins release the terms whose prerequisites are all released.  A term is as
+    hard as the hardest that it rests on; ``place`` goes by that, then depth among equally hard
+    ones, then input order, so that where prerequisites are easier this is
+    ``learning_order``.  Terms on a cycle hold each other up: in a group where nothing
+    can be released, the easiest, first term of those on a cycle is, which cuts it.
+    Unknown slugs and self links are skipped.  A round is as wide as the graph; the number
+    of rounds is the longest chain.
     """
-    own = needs.groupBy(F.col("src").alias("slug")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("needs"))
-    rows = levels.select("grp", "slug", "term_ord", F.coalesce("difficulty", F.lit(3)).alias("difficulty")).join(own, "slug", "left")
-
-    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["difficulty", "term_ord"])
-        needs_of = {s: list(v) if v is not None else [] for s, v in zip(pdf["slug"], pdf["needs"], strict=True)}
-        out, entered = [], set()
-        for root in pdf["slug"]:
-            stack = [(root, iter(needs_of[root]))] if root not in entered else []
-            entered.add(root)
-            while stack:
-                slug, rest = stack[-1]
-                nxt = next((d for d in rest if d in needs_of and d not in entered), None)
-                if nxt is None:
-                    out.append(slug)
-                    stack.pop()
-                else:
-                    entered.add(nxt)
-                    stack.append((nxt, iter(needs_of[nxt])))
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "slug": out, "place": range(1, len(out) + 1)})
-
-    return rows.groupBy("grp").applyInPandas(visit, "grp string, slug string, place int")
+    nodes = kept(levels.select("grp", "slug", "term_ord", F.coalesce("difficulty", F.lit(3)).alias("difficulty")))
+    edges = kept(inner_edges(nodes, needs.select("src", "dst", F.lit(0).alias("pos"))).filter("src <> dst").select("src", "dst").distinct())
+    left, parts = nodes.withColumn("below", F.lit(None).cast("struct<hard:int,depth:int>")), []
+    for _ in range(max_rounds):
+        open_ = edges.join(left.select(F.col("slug").alias("dst")), "dst", "left_semi").select(F.col("src").alias("slug")).distinct()
+        free = left.join(open_, "slug", "left_anti")
+        held = left.join(free.select("grp").distinct(), "grp", "left_anti")
+        if held.limit(1).count():
+            free = free.unionByName(left.join(_cut(held, edges), "slug", "left_semi"))
+        eased = F.col("below").isNull() | (F.col("below.hard") < F.col("difficulty"))
+        own = F.when(eased, F.struct(F.col("difficulty").cast("int").alias("hard"), F.lit(0).alias("depth"))).otherwise(F.struct(F.col("below.hard").alias("hard"), (F.col("below.depth") + 1).alias("depth")))
+        now = kept(free.withColumn("own", own).select("grp", "slug", "term_ord", "own"))
+        parts.append(now)
+        rests = edges.join(now.select(F.col("slug").alias("dst"), "own"), "dst").groupBy(F.col("src").alias("slug")).agg(F.max("own").alias("own"))
+        left = left.join(now.select("slug"), "slug", "left_anti").join(rests, "slug", "left")
+        left = kept(left.withColumn("below", F.greatest("below", "own")).drop("own"))
+        if not left.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"chains of prerequisites are longer than {max_rounds}")
+    every = reduce(DataFrame.unionByName, parts)
+    return placed_in_group(every, ["grp"], [F.col("own"), F.floor(F.col("term_ord") / CELL)], ["term_ord", "slug"]).select("grp", "slug", "place")
+
+
+def _cut(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """``slug``: the easiest, first term that lies on a cycle in each group of ``held``, where every term
+    needs another.  Each term points at one that it needs; following pointers for
+    longer than there are terms, by doubling, ends on a cycle."""
+    own = held.select(F.col("slug").alias("dst"), "difficulty", "term_ord")
+    inside = edges.join(own, "dst").join(held.select(F.col("slug").alias("src")), "src", "left_semi")
+    to = kept(inside.groupBy("src").agg(F.min(F.struct("difficulty", "term_ord", "dst")).alias("f")).select("src", F.col("f.dst").alias("to")))
+    for _ in range(held.count().bit_length()):
+        to = kept(to.join(to.select(F.col("src").alias("to"), F.col("to").alias("next")), "to").select("src", F.col("next").alias("to")))
+    on = held.join(to.select(F.col("to").alias("slug")), "slug", "left_semi")
+    return on.groupBy("grp").agg(F.min(F.struct("difficulty", "term_ord", "slug")).alias("f")).select(F.col("f.slug").alias("slug"))
 
 
 def progress(levels: DataFrame, done: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from termloom.operators.dictionary import alias_keys
+from termloom.operators.ranking import placed_in_group
 
 
 def search_rank(query: str, *fields: Column, aliases: Column | None = None) -> Column:
@@ -26,9 +27,10 @@ def search_rank(query: str, *fields: Column, aliases: Column | None = None) -> C
 
 
 def browse(terms: DataFrame, query: str = "", categories: list[str] | None = None) -> DataFrame:
-    """Terms that match, with ``rank`` and ``position``: best tier first, then input order.
+    """Terms that match, with ``rank`` and ``position`` 1..: best tier first, then input order.
 
-    Without a query all match; ``categories`` keeps terms in any of them.
+    Without a query all match; ``categories`` keeps terms in any of them.  Rows come
+    in no order of their own: sort by ``position``.
     """
     rank = search_rank(query, F.col("title_ko"), F.col("title_en"), aliases=F.col("aliases"))
     out = terms.withColumn("rank", rank)
@@ -36,7 +38,8 @@ def browse(terms: DataFrame, query: str = "", categories: list[str] | None = Non
         out = out.filter(F.col("rank").isNotNull())
     if categories:
         out = out.filter(F.arrays_overlap("categories", F.array(*[F.lit(c) for c in categories])))
-    return out
+    cells = [F.coalesce("rank", F.lit(0)), F.floor(F.col("term_ord") / 65_536)]
+    return placed_in_group(out.withColumn("_all", F.lit(0)), ["_all"], cells, ["term_ord", "slug"], "position").drop("_all")
 
 
 def contains_filter(terms: DataFrame, query: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from termloom.operators.dictionary import sent_to_all
+
 # The subcategory of terms seen from a category that is not their first,
 # and of terms without one in graphs and roadmaps.
 RELATED_BUCKET, UNSORTED = "관련 용어", "미분류"
@@ -52,7 +54,7 @@ def rollup(terms: DataFrame, groups: DataFrame) -> DataFrame:
     0 for subcategories, 1 categories, 3 groups, 7 all.
     """
     return (
-        placed(terms).join(F.broadcast(groups), "category", "left")
+        placed(terms).join(sent_to_all(groups), "category", "left")
         .rollup("grp", "category", "subcategory")
         .agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.countDistinct("slug").alias("n_terms"))
     )
@@ -69,9 +71,11 @@ def ordered_subcategories(terms: DataFrame, order: DataFrame) -> DataFrame:
 
 def first_page(terms: DataFrame, page: int = PAGE) -> DataFrame:
     """The first ``page`` terms of each subcategory, with how many more there are."""
-    by = W.partitionBy("category", "subcategory")
-    rows = placed(terms).withColumn("place", F.row_number().over(by.orderBy("term_ord", "slug"))).withColumn("n", F.count("*").over(by))
-    return rows.filter(F.col("place") <= page).select("category", "subcategory", "slug", "place", F.greatest(F.col("n") - page, F.lit(0)).alias("more"))
+    rows, by = placed(terms), ["category", "subcategory"]
+    n = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    # The filter on the place alone lets each task keep its first ``page`` rows before the shuffle.
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("term_ord", "slug"))).filter(F.col("place") <= page)
+    return first.join(n, by).select(*by, "slug", "place", F.greatest(F.col("n") - page, F.lit(0)).alias("more"))
 
 
 def section_starts(categories: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def section_starts(categories: DataFrame) -> DataFrame:
 
 def with_labels(rows: DataFrame, labels: DataFrame, keep_unknown: bool = True) -> DataFrame:
     """``label`` of each category code; an unknown code stands for itself, or goes."""
-    out = rows.join(F.broadcast(labels.select("category", F.col("label").alias("_label"))), "category", "left" if keep_unknown else "inner")
+    out = rows.join(sent_to_all(labels.select("category", F.col("label").alias("_label"))), "category", "left" if keep_unknown else "inner")
     return out.withColumn("label", F.coalesce("_label", "category")).drop("_label")
 
 

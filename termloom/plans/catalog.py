@@ -9,6 +9,7 @@ from termloom.operators import roadmap as R
 from termloom.operators import search as S
 from termloom.operators import taxonomy as X
 from termloom.plans.common import co_bought, part_terms, table
+from termloom.sources.shared import kept
 
 
 def _search_word(spark, sf_dir):
@@ -18,19 +19,19 @@ def _search_word(spark, sf_dir):
 
 def search_rank(spark, sf_dir):
     hits = S.browse(part_terms(spark, sf_dir), _search_word(spark, sf_dir))
-    return hits.select("slug", F.col("rank").alias("tier"))
+    return hits.select("slug", F.col("rank").alias("tier"), "position")
 
 
 _TERMS = """terms AS (
   SELECT 'part-' || p_partkey AS slug, p_partkey AS term_ord, p_name AS title_en, p_type, p_brand, p_name || ' ' || p_type AS definition FROM part
 )"""
 SEARCH_RANK = f"""WITH {_TERMS}, q AS (SELECT lower(split_part(p_name, ' ', 1)) AS q FROM part ORDER BY p_partkey LIMIT 1), r AS (
-  SELECT slug, q, [lower(title_en), lower(p_type), lower(p_brand)] AS f FROM terms, q
+  SELECT slug, term_ord, q, [lower(title_en), lower(p_type), lower(p_brand)] AS f FROM terms, q
 ), t AS (
-  SELECT slug, CASE WHEN list_contains(f, q) THEN 0
+  SELECT slug, term_ord, CASE WHEN list_contains(f, q) THEN 0
     WHEN starts_with(f[1], q) OR starts_with(f[2], q) OR starts_with(f[3], q) THEN 1
     WHEN contains(f[1], q) OR contains(f[2], q) OR contains(f[3], q) THEN 2 END AS tier FROM r
-) SELECT slug, tier FROM t WHERE tier IS NOT NULL"""
+) SELECT slug, tier, row_number() OVER (ORDER BY tier, term_ord) AS position FROM t WHERE tier IS NOT NULL"""
 
 
 def contains_filter(spark, sf_dir):
@@ -113,10 +114,10 @@ LEFT JOIN part p ON p.p_type = f.category GROUP BY 1"""
 
 
 def subcategory_order(spark, sf_dir):
-    """Sources of a language: those listed (the even ones) first, then the others by name."""
+    """Sources of a language: those listed, numbers below ten, first, then the others by name."""
     docs = table(spark, sf_dir, "documents")
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
-    order = docs.select(F.col("lang").alias("category"), F.col("source").alias("subcategory"), number.alias("pos")).filter("pos % 2 = 0").distinct()
+    order = docs.select(F.col("lang").alias("category"), F.col("source").alias("subcategory"), number.alias("pos")).filter("pos < 10").distinct()
     return X.ordered_subcategories(_doc_terms(spark, sf_dir), order)
 
 
@@ -124,7 +125,7 @@ SUBCATEGORY_ORDER = f"""WITH {_PLACED}, f AS (
   SELECT p.category, p.subcategory, count(*) AS n FROM placed p GROUP BY ALL
 ), o AS (
   SELECT DISTINCT lang AS category, source AS subcategory, regexp_extract(source, '(\\d+)$', 1)::INT AS pos FROM documents
-  WHERE regexp_extract(source, '(\\d+)$', 1)::INT % 2 = 0
+  WHERE regexp_extract(source, '(\\d+)$', 1)::INT < 10
 ), r AS (
   SELECT f.*, row_number() OVER (PARTITION BY f.category ORDER BY pos IS NULL, pos, f.subcategory) AS place
   FROM f LEFT JOIN o ON o.category = f.category AND o.subcategory = f.subcategory
@@ -142,7 +143,7 @@ SUBCATEGORY_PAGES = f"""WITH {_PLACED}, r AS (
 
 def related_topk(spark, sf_dir):
     """The best five of each part among those of its type."""
-    return G.top_related(G.scored_pairs(part_terms(spark, sf_dir))).select("src", "dst", "score", "rank")
+    return G.best_pairs(part_terms(spark, sf_dir)).select("src", "dst", "score", "rank")
 
 
 def _tok(x):
@@ -161,7 +162,7 @@ RELATED_TOPK = f"WITH {_PAIRS} SELECT src, dst, score::INT AS score, rank::INT A
 
 
 def related_mutual(spark, sf_dir):
-    return G.mutual_top(G.scored_pairs(part_terms(spark, sf_dir))).select("src", "dst", "score", "rank")
+    return G.mutual_top(kept(G.best_pairs(part_terms(spark, sf_dir)))).select("src", "dst", "score", "rank")
 
 
 RELATED_MUTUAL = f"""WITH {_PAIRS} SELECT a.src, a.dst, a.score::INT AS score, a.rank::INT AS rank
@@ -169,15 +170,17 @@ FROM top a JOIN top b ON a.src = b.dst AND a.dst = b.src WHERE a.rank <= 5 AND b
 
 
 def edge_symmetry(spark, sf_dir):
-    """Links from a cheaper part to a dearer one that are not answered."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    e = co_bought(spark, sf_dir).join(p, F.col("src") == F.col("p_partkey")).filter("(src + dst * 3) % 5 <> 0").select("src", "dst")
-    return G.asymmetric(e)
+    """A part leads to another where more of it was bought in one order: links that no order answers."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    a, b = lines.alias("a"), lines.alias("b")
+    led = a.join(b, "l_orderkey").filter("a.l_partkey <> b.l_partkey and a.l_quantity > b.l_quantity")
+    return G.asymmetric(led.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct())
 
 
 EDGES = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey)"
-EDGE_SYMMETRY = f"""WITH {EDGES}, e AS (SELECT * FROM edges JOIN part ON p_partkey = src WHERE (src + dst * 3) % 5 <> 0)
-SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)"""
+EDGE_SYMMETRY = """WITH e AS MATERIALIZED (
+  SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey AND a.l_quantity > b.l_quantity
+) SELECT src, dst FROM e ANTI JOIN (SELECT dst AS src, src AS dst FROM e) USING (src, dst)"""
 
 
 def edge_dedup(spark, sf_dir):
@@ -313,14 +316,14 @@ WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) A
 
 
 def near_words(spark, sf_dir):
-    """Words of the benchmark one edit away from words of part names and types."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    keys = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n >= 20")
+    """Words of the documents one edit away from words of the benchmark."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    keys = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("key")).distinct()
     return S.near_words(words, keys).select("word", "key", F.round("score", 6).alias("score"), "place")
 
 
-NEAR_WORDS = """WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark),
-k AS (SELECT key FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS key FROM documents) GROUP BY 1 HAVING count(*) >= 20),
+NEAR_WORDS = """WITH w AS MATERIALIZED (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents),
+k AS MATERIALIZED (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS key FROM benchmark),
 p AS (SELECT word, key, levenshtein(word, key) AS e FROM w JOIN k ON length(word) >= 5 AND length(key) >= 4 AND abs(length(word) - length(key)) <= 1
   WHERE word NOT IN (SELECT key FROM k) AND levenshtein(word, key) <= 1),
 r AS (SELECT word, key, e / greatest(length(word), length(key)) AS score FROM p)

@@ -37,8 +37,8 @@ FROM (SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS t FROM p
 
 
 def html_markers(spark, sf_dir):
-    has = lambda m: F.col("html").contains(m)
-    return table(spark, sf_dir, "pages").select("page_id", has("<nav>").alias("nav"), has("<article>").alias("article"), has('class="ad"').alias("ad"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).alias("n_p"))
+    marks = Q.has_marks({"nav": "<nav>", "article": "<article>", "ad": 'class="ad"'})
+    return table(spark, sf_dir, "pages").select("page_id", *marks, F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).alias("n_p"))
 
 
 HTML_MARKERS = """SELECT page_id, contains(html, '<nav>') AS nav, contains(html, '<article>') AS article, contains(html, 'class="ad"') AS ad,
@@ -181,16 +181,16 @@ SELECT slug, string_agg(v, '|' ORDER BY v) AS aliases FROM o JOIN s USING (low)
 
 
 def batch_merge(spark, sf_dir):
-    """Labelled documents as a batch onto the first half of the documents; pages are their sources."""
+    """Labelled documents as a batch onto the English ones; texts of 400 characters or more have a page."""
     docs = table(spark, sf_dir, "documents")
-    have = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("slug"))
+    have = docs.filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("slug"))
     batch = table(spark, sf_dir, "labels").select((F.col("doc_id") - F.col("doc_id") % 2).cast("string").alias("slug"), F.when(F.col("quality") == 1, "x").alias("title"), F.col("doc_id").alias("ord"))
-    pages = docs.filter("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("slug"))
+    pages = docs.filter("n_chars >= 400").select(F.col("doc_id").cast("string").alias("slug"))
     return Q.merge_batch(have, batch, pages, ["slug", "title"]).select("slug", "ord", "fate")
 
 
 BATCH_MERGE = """WITH b AS (SELECT (doc_id - doc_id % 2) AS s, quality, doc_id AS ord FROM labels), k AS (
-  SELECT b.*, b.s IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) AS old, b.s IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) AS paged FROM b
+  SELECT b.*, b.s IN (SELECT doc_id FROM documents WHERE lang = 'en') AS old, b.s IN (SELECT doc_id FROM documents WHERE n_chars >= 400) AS paged FROM b
 ), m AS (SELECT *, min(CASE WHEN quality = 1 AND NOT old AND paged THEN ord END) OVER (PARTITION BY s) AS taken FROM k)
 SELECT s::VARCHAR AS slug, ord, CASE WHEN quality IS DISTINCT FROM 1 THEN 'missing fields' WHEN old THEN 'already there' WHEN taken < ord THEN 'repeated in batch' WHEN NOT paged THEN 'no page' ELSE 'accepted' END AS fate FROM m"""
 

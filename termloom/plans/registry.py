@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.plans import catalog, pages, state, text
+from termloom.plans import catalog, io, ledgers, lookup, pages, state, text, validation
 
-MODULES = [text, catalog, pages, state]
+MODULES = [text, lookup, catalog, pages, validation, state, ledgers, io]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

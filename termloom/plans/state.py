@@ -58,11 +58,18 @@ STREAKS = f"WITH {_STREAK} SELECT event_id, user_id, streak::BIGINT AS streak FR
 
 
 def quiz_totals(spark, sf_dir):
-    return L.quiz_totals(table(spark, sf_dir, "events"), "user_id", F.col("event_type") != "error", ["ts", "event_id"])
+    """Answers: errors are wrong, values of 90 and more ran out of time."""
+    e = table(spark, sf_dir, "events")
+    return L.quiz_totals(e, "user_id", F.col("event_type") != "error", ["ts", "event_id"], F.col("value") >= 90)
 
 
-QUIZ_TOTALS = f"""WITH {_STREAK} SELECT user_id, count(*) AS played, count(*) FILTER (event_type <> 'error') AS correct,
-  floor(100.0 * count(*) FILTER (event_type <> 'error') / count(*) + 0.5)::BIGINT AS accuracy, max(streak)::BIGINT AS best_streak FROM k GROUP BY user_id"""
+QUIZ_TOTALS = """WITH a AS (SELECT *, value >= 90 AS late, event_type <> 'error' AND value < 90 AS good FROM events), s AS (
+  SELECT *, sum((NOT good)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM a
+), k AS (
+  SELECT *, CASE WHEN good THEN sum(good::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) ELSE 0 END AS streak FROM s
+) SELECT user_id, count(*) FILTER (NOT late) AS played, count(*) FILTER (good) AS correct,
+  CASE WHEN count(*) FILTER (NOT late) = 0 THEN 0 ELSE floor(100.0 * count(*) FILTER (good) / count(*) FILTER (NOT late) + 0.5) END::BIGINT AS accuracy,
+  max(streak)::BIGINT AS best_streak, count(*) FILTER (NOT good) AS missed FROM k GROUP BY user_id"""
 
 
 def debounce_sessions(spark, sf_dir):
@@ -139,9 +146,26 @@ QUIZ_BANDS = "SELECT role, count(*) AS n, CASE WHEN length(text) < 120 THEN 'eas
 
 
 def quiz_distractors(spark, sf_dir):
-    """Three wrong names for each part."""
+    """Three wrong names for each part, from the names of all parts, customers and suppliers."""
     parts = part_terms(spark, sf_dir)
-    return Z.distractors(parts.select("slug", F.col("title_en").alias("answer")), parts.select(F.col("title_en").alias("option")), seed=7)
+    names = parts.select(F.col("title_en").alias("option"))
+    for t, c in (("customer", "c_name"), ("supplier", "s_name")):
+        names = names.unionByName(table(spark, sf_dir, t).select(F.col(c).alias("option")))
+    return Z.distractors(parts.select("slug", F.col("title_en").alias("answer")), names, seed=7)
+
+
+QUIZ_DISTRACTORS = """WITH o AS MATERIALIZED (
+  SELECT option, row_number() OVER (ORDER BY md5(option), option) - 1 AS number, count(*) OVER () AS m
+  FROM (SELECT p_name AS option FROM part UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier)
+), d AS (
+  SELECT 'part-' || p_partkey AS slug, p_name AS answer, i, (SELECT max(m) FROM o) AS m,
+         ('0x' || left(md5('7:part-' || p_partkey || ':' || i), 12))::BIGINT AS h
+  FROM part, unnest([0, 1, 2, 3]) AS u(i)
+), n AS (
+  SELECT slug, answer, i, i * m // 4 + h % ((i + 1) * m // 4 - i * m // 4) AS number FROM d WHERE (i + 1) * m // 4 > i * m // 4
+), w AS (
+  SELECT slug, option, row_number() OVER (PARTITION BY slug ORDER BY i) AS place FROM n JOIN o USING (number) WHERE option <> answer
+) SELECT slug, option, place::INT AS place FROM w WHERE place <= 3"""
 
 
 def event_windows(spark, sf_dir):
@@ -168,17 +192,17 @@ def annotation_records(spark, sf_dir):
     """Events as annotations: the key as the page, errors without a note."""
     k = F.get_json_object("props", "$.k").cast("int")
     rows = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), k.alias("page"), (F.col("event_id") % 50).alias("start_offset"), (F.col("event_id") % 50 + 5).alias("end_offset"),
+        F.col("event_id").alias("id"), F.col("user_id").alias("document_id"), k.alias("page"), (F.col("event_id") % 50).alias("start_offset"), (F.col("event_id") % 50 + 5).alias("end_offset"),
         F.col("event_type").alias("quote_text"), F.lit("yellow").alias("color"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("note"), F.col("ts").alias("created_at"))
-    return L.annotations(rows).select("id", "pageNumber", "startOffset", "endOffset", "quoteText", "note")
+    return L.annotations(rows).select("id", "documentId", "pageNumber", "startOffset", "endOffset", "quoteText", "note", "position")
 
 
-ANNOTATION_RECORDS = """SELECT event_id AS id, (props::JSON->>'k')::INT AS "pageNumber", event_id % 50 AS "startOffset", event_id % 50 + 5 AS "endOffset", event_type AS "quoteText",
+ANNOTATION_RECORDS = """SELECT event_id AS id, user_id AS "documentId", row_number() OVER (PARTITION BY user_id ORDER BY (props::JSON->>'k')::INT, event_id % 50, event_id) AS position, (props::JSON->>'k')::INT AS "pageNumber", event_id % 50 AS "startOffset", event_id % 50 + 5 AS "endOffset", event_type AS "quoteText",
   CASE WHEN event_type <> 'error' THEN event_type ELSE '' END AS note FROM events"""
 
 _NAMES = [
     "latest_state", "live_rows", "toggle_state", "mru_queries", "streaks", "quiz_totals", "debounce_sessions", "lockout", "tagged_items", "migrated",
-    "history_dates", "quiz_bands", "event_windows", "lock_seconds", "annotation_records",
+    "history_dates", "quiz_bands", "event_windows", "lock_seconds", "annotation_records", "quiz_distractors",
 ]
-QUERIES = {n: globals()[n] for n in [*_NAMES, "quiz_distractors"]}
+QUERIES = {n: globals()[n] for n in _NAMES}
 SQL = {n: globals()[n.upper()] for n in _NAMES}

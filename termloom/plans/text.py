@@ -11,9 +11,9 @@ from termloom.plans.common import table
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of eight or more letters in the benchmark, as a dictionary."""
+    """The words of the benchmark, as a dictionary."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.WORD), F.lit(0))).alias("w"))
-    keys = words.filter(F.length("w") >= 8).distinct()
+    keys = words.distinct()
     return keys.select(
         F.col("w").alias("slug"), F.lit("").alias("title_ko"), F.col("w").alias("title_en"), F.lit(None).cast("string").alias("definition"),
         F.array(F.lit("bench")).alias("categories"), F.lit(None).cast("int").alias("difficulty"), F.lit(0).alias("term_ord"),
@@ -23,7 +23,7 @@ def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATCHES = f"""
 dict AS (
   SELECT DISTINCT w AS slug, regexp_replace(w, '[-_\\s]', '', 'g') AS key FROM (
-    SELECT unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS w FROM benchmark) WHERE length(w) >= 8
+    SELECT unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS w FROM benchmark)
 ), pieces AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '(?s)(.*?)({T.WORD})', 1)) AS gap,
          unnest(regexp_extract_all(text, '(?s)(.*?)({T.WORD})', 2)) AS word,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from termloom.operators.ledger import owned
+
 #: A dictionary term.  ``term_ord`` is its place in the file: ties go by it everywhere.
 TERM = T.StructType([
     T.StructField("slug", T.StringType()), T.StructField("title_ko", T.StringType()), T.StructField("title_en", T.StringType()),
@@ -59,6 +61,14 @@ def read_pages(spark: SparkSession, path: str, exclude: tuple[str, ...] = ("node
     return files.select(name.alias("slug"), "path", F.col("content").cast("string").alias("html"), F.col("modificationTime").alias("modified"))
 
 
+def read_rows(spark: SparkSession, kind: str, user_id, columns: list[str] | None = None, user: str = "user_id", **options) -> DataFrame:
+    """A user table out of any Spark data source (``parquet``, ``jdbc``, ..), the user's own rows only.
+
+    Filter and columns are part of the plan, so sources that can apply them do."""
+    rows = owned(spark.read.format(kind).options(**options).load(), user_id, user)
+    return rows.select(*columns) if columns else rows
+
+
 def read_maps(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(key, value)`` of several JSON objects; a later file's keys replace earlier ones."""
     out = None
@@ -101,14 +111,18 @@ def resolve_redirects(links: DataFrame, redirects: DataFrame, column: str = "slu
     return links.join(r, column, "left").withColumn(column, F.coalesce("to_slug", column)).drop("to_slug")
 
 
+def unknown_keys(updates: DataFrame, terms: DataFrame, key: str = "slug") -> DataFrame:
+    """Keys of updates that no term bears."""
+    return updates.select(key).distinct().join(terms.select(key), key, "left_anti")
+
+
 def map_update(terms: DataFrame, updates: DataFrame, column: str, only_if_empty: bool = False, strict: bool = False) -> DataFrame:
     """``column`` from ``updates (slug, value)`` where there is one.
 
     ``only_if_empty`` keeps what is filled; ``strict`` raises if a key is no term.
     """
     if strict:
-        lost = updates.join(terms.select("slug"), "slug", "left_anti").limit(1).count()
-        if lost:
+        if unknown_keys(updates, terms).limit(1).count():
             raise ValueError("updates name slugs that are no terms")
     both = terms.join(updates.select("slug", F.col("value").alias("_v")), "slug", "left")
     old = F.col(column)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from termloom.functions.text import date_only, escape_html, escape_xml, url_component, utc_string
 
@@ -15,6 +16,66 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_array(df: DataFrame, path: str) -> None:
+    """One JSON array in one file, a line for each object, in order of ``term_ord``: what other tools
+    read whole.  For dictionaries that one task can hold; big ones go out as lines."""
+    one = F.to_json(F.struct(*[c for c in df.columns if c != "term_ord"]))
+    opens = F.row_number().over(W.orderBy("term_ord")) == 1
+    comma = df.select("term_ord", F.concat(F.when(opens, "[").otherwise(","), one).alias("value"))
+    end = df.sparkSession.createDataFrame([(1 << 62, "]")], "term_ord long, value string")
+    comma.unionByName(end).coalesce(1).sortWithinPartitions("term_ord").select("value").write.mode("overwrite").text(path)
+
+
+def write_map(rows: DataFrame, path: str) -> None:
+    """``(key, value)`` as one JSON object."""
+    rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_pages(pages: DataFrame, root: str) -> None:
+    """``(path, html)``: every page as a file of its own below ``root``, through the file system of that
+    path, by the tasks that hold the pages."""
+    def put(batches):
+        import pyarrow as pa
+        import pyarrow.fs as fs
+
+        where, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for b in batches:
+            for name, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                where.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(f"{base}/{name}") as out:
+                    out.write((html or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    pages.select("path", "html").mapInArrow(put, "n long").agg(F.sum("n")).first()
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows added to a log, a folder a day; what is there stays."""
+    rows.withColumn("day", date_only(F.col("ts"))).write.mode("append").partitionBy("day").parquet(path)
+
+
+def page_manifest(static: DataFrame, terms: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """All pages ``(ord, path, ..)``: static ones, then term pages, numbered on; ``auth_nav`` is true
+    unless ``overrides (path, auth_nav)`` says otherwise."""
+    last = static.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("_next"), F.lit(1).alias("_one"))
+    after = terms.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").withColumn("ord", F.col("ord") + F.col("_next")).drop("_one", "_next")
+    pages = static.withColumn("is_term", F.lit(False)).unionByName(after.withColumn("is_term", F.lit(True)))
+    if overrides is None:
+        return pages.withColumn("auth_nav", F.lit(True))
+    return pages.join(overrides.select("path", F.col("auth_nav").alias("_nav")), "path", "left").withColumn("auth_nav", F.coalesce("_nav", F.lit(True))).drop("_nav")
+
+
+def appended(pages: DataFrame, added: DataFrame) -> DataFrame:
+    """The pages of a sitemap and those of a later round after them; it is then rendered as a whole."""
+    return page_manifest(pages.select("ord", "path", "modified"), added.select("ord", "path", "modified")).select("ord", "path", "modified")
+
+
+def ordered_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(slug, part, ord)``: slugs of the first list, then those of the second, each once at its first place."""
+    both = first.select("slug", F.lit(0).alias("part"), "ord").unionByName(second.select("slug", F.lit(1).alias("part"), "ord"))
+    return both.groupBy("slug").agg(F.min(F.struct("part", "ord")).alias("f")).select("slug", "f.part", "f.ord")
+
+
 def write_index(terms: DataFrame, path: str) -> None:
     terms.write.mode("overwrite").parquet(path)
 
@@ -76,6 +137,13 @@ def english_index(terms: DataFrame) -> DataFrame:
     return terms.agg(F.count_if(F.coalesce(F.col("definition_en") != "", F.lit(False))).alias("translated"), F.count("*").alias("total"))
 
 
+def english_list(terms: DataFrame) -> DataFrame:
+    """``(slug, term_ord, html)``: a list item for each translated term."""
+    done = terms.filter(F.coalesce(F.col("definition_en") != "", F.lit(False)))
+    item = F.concat(F.lit('<li><a href="terms/'), F.col("slug"), F.lit('.html">'), escape_html(F.coalesce("title_en", "slug"), None), F.lit("</a></li>"))
+    return done.select("slug", "term_ord", item.alias("html"))
+
+
 def with_chrome(pages: DataFrame, header: str, footer: str, base: str = "") -> DataFrame:
     """Page bodies between a header and a footer in which ``{base}`` is the relative root."""
     return pages.withColumn("html", F.concat(F.lit(header.replace("{base}", base)), F.col("html"), F.lit(footer.replace("{base}", base))))

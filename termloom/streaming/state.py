@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from termloom.operators.ledger import lockout_step
+
 
 def event_time(events: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Zone-less times as timestamps, under a watermark."""
@@ -32,6 +34,12 @@ def unanswered_searches(searches: DataFrame, settle: str = "600 milliseconds", l
     return settled.select("session_id", F.col("session_window.end").alias("ts"), "last.query", "last.result_count").filter((F.col("result_count") == 0) & (F.length("query") >= least))
 
 
+def first_of_session(rows: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
+    """Each key once, at its first time: ``first_only`` over a table that is there as a whole."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), time).alias("r")).select(*keys, "r.*")
+
+
 def first_only(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Each key once inside the watermark."""
     return rows.dropDuplicatesWithinWatermark(keys)
@@ -41,22 +49,6 @@ def counts_by_window(events: DataFrame, key: str, width: str = "5 minutes", time
     return events.groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
 
 
-_LOCK = "user_id long, locked_at timestamp, unlocks_at timestamp, n_failures int"
-_LOCK_STATE = "n int, until timestamp"
-
-
-def lockout_step(n: int, until: pd.Timestamp | None, ts: pd.Timestamp, bad: bool, most: int, minutes: int) -> tuple[int, pd.Timestamp | None, bool]:
-    """State after one attempt, and whether it locked the account."""
-    if until is not None:
-        if ts < until:
-            return n, until, False
-        n, until = 0, None
-    if not bad:
-        return 0, None, False
-    n += 1
-    return (n, ts + pd.Timedelta(minutes=minutes), True) if n >= most else (n, None, False)
-
-
 def lockouts(attempts: DataFrame, most: int = 5, minutes: int = 5) -> DataFrame:
     """Streaming twin of ``ledger.lockouts`` over ``(user_id, ts, bad)``.
 
@@ -67,30 +59,88 @@ def lockouts(attempts: DataFrame, most: int = 5, minutes: int = 5) -> DataFrame:
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, until = state.get if state.exists else (0, None)
         out = []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for ts, bad in zip(rows["ts"], rows["bad"], strict=True):
-            n, until, locked = lockout_step(n, until, ts, bool(bad), most, minutes)
+        rows = pd.concat(list(batches)).sort_values("us")
+        for us, bad in zip(rows["us"], rows["bad"], strict=True):
+            n, until, locked = lockout_step(n, until, us, bool(bad), most, minutes * 60_000_000)
             if locked:
-                out.append((key[0], ts, until, n))
+                out.append((key[0], us, until, n))
         state.update((n, until))
-        yield pd.DataFrame(out, columns=["user_id", "locked_at", "unlocks_at", "n_failures"])
+        yield pd.DataFrame(out, columns=["user_id", "l", "e", "n"])
+
+    rows = attempts.select("user_id", F.unix_micros("ts").alias("us"), "bad")
+    locks = rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, l long, e long, n int", "n int, until long", "append", GroupStateTimeout.NoTimeout)
+    return locks.select("user_id", F.timestamp_micros("l").alias("locked_at"), F.timestamp_micros("e").alias("unlocks_at"), F.col("n").alias("n_failures"))
 
-    return attempts.groupBy("user_id").applyInPandasWithState(update, _LOCK, _LOCK_STATE, "append", GroupStateTimeout.NoTimeout)
 
+BUCKETS = 64
 
-def upserts(events: DataFrame, target: str, keys: list[str], checkpoint: str, time: str = "ts", tie: str = "event_id"):
-    """Keep the latest row of each key in a table: every micro-batch is folded into it.
 
-    Each version is written beside the one before and named by its batch, so a
-    batch that is retried gives the same version again.
+def upserts(events: DataFrame, target: str, keys: list[str], checkpoint: str, time: str = "ts", tie: str = "event_id", buckets: int = BUCKETS):
+    """Keep the latest row of each key in a table (``upserted`` reads it): every micro-batch is folded in.
+
+    Keys are dealt to buckets by hash and a batch rewrites the buckets that it touches, each
+    under a new version; a small table of versions, written last, makes the batch
+    visible as a whole.  A batch that is retried finds itself there and does nothing.
+    What a batch replaces is removed by the next but one.  A new checkpoint goes on from
+    the table as it is.
     """
     from termloom.operators.ledger import latest
 
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = latest(batch, keys, time, tie)
-        if batch_id:
-            now = latest(spark.read.schema(batch.schema).parquet(f"{target}/v={batch_id - 1}").unionByName(now), keys, time, tie)
-        now.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        seen = _versions(spark, target)
+        mark = f"{checkpoint}#{batch_id}"
+        if any(mark == m for _, _, m in seen):
+            return
+        now_at = {b: v for b, v, _ in seen if b >= 0}
+        version = 1 + max([v for _, v, _ in seen], default=0)
+        rows = latest(batch, keys, time, tie).withColumn("_b", bucket)
+        touched = [r["_b"] for r in rows.select("_b").distinct().collect()]
+        old = [f"{target}/rows/v={now_at[b]}/_b={b}" for b in touched if b in now_at]
+        if old:
+            before = spark.read.schema(batch.schema).parquet(*old)
+            rows = latest(before.unionByName(rows.drop("_b")), keys, time, tie).withColumn("_b", bucket)
+        rows.repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{target}/rows/v={version}")
+        state = [(b, version if b in touched else v, "") for b, v in ({**dict.fromkeys(touched, version), **now_at}).items()]
+        # The batch itself is a row too: number -1, so that it is known when it is retried.
+        state += [(-1, version, mark), *[(b, v, m) for b, v, m in seen if b < 0 and v >= version - 2]]
+        spark.createDataFrame(state, "bucket int, version long, mark string").coalesce(1).write.mode("overwrite").parquet(f"{target}/versions/v={version}")
+        # What the batch before this one replaced: readers have had a whole batch to move on.
+        for b, v, _ in _versions(spark, target, version - 2):
+            if b >= 0 and now_at.get(b) != v:
+                _remove(spark, f"{target}/rows/v={v}/_b={b}")
+        _remove(spark, f"{target}/versions/v={version - 2}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+
+
+def _path(spark, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _remove(spark, path: str) -> None:
+    fs, found = _path(spark, path)
+    if fs.exists(found):
+        fs.delete(found, True)
+
+
+def _versions(spark, target: str, version: int | None = None) -> list[tuple[int, int, str]]:
+    """``(bucket, version, mark)`` of a table of versions, by default the newest that was written whole.
+
+    A row a bucket and a few marks: its size does not depend on the rows."""
+    fs, folder = _path(spark, f"{target}/versions")
+    if not fs.exists(folder):
+        return []
+    done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    number = {int(p.getName().split("=")[1]): p.toString() for p in done}
+    wanted = max(number, default=None) if version is None else version
+    return [tuple(r) for r in spark.read.parquet(number[wanted]).collect()] if wanted in number else []
+
+
+def upserted(spark, target: str, schema) -> DataFrame:
+    """The table as the last whole batch left it."""
+    paths = [f"{target}/rows/v={v}/_b={b}" for b, v, _ in _versions(spark, target) if b >= 0]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

@@ -31,7 +31,16 @@ def test_flagship(spark):
 
 def test_oracles_name_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"quiz_distractors"}
+    # Order-dependent passes and a generator of random numbers: tested against loops instead.
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"links_answered", "links_reconciled", "daily_terms"}
+
+
+def test_daily_terms(spark, duck):
+    from termloom.operators.sampling import picked_places
+
+    n = duck.execute("SELECT count(*) FROM part").fetchone()[0]
+    got = {r["pick"]: r["slug"] for r in registry.queries()["daily_terms"](spark, SMALL).collect()}
+    assert got == {i: f"part-{p}" for i, p in enumerate(picked_places(n, 5, "2026-8-15"))}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))

@@ -29,7 +29,7 @@ def locked(rows, most=5, minutes=5):
     for u in {r[1] for r in rows}:
         n, until = 0, None
         for _, _, ts, bad in sorted((r for r in rows if r[1] == u), key=lambda r: r[2]):
-            n, until, hit = ST.lockout_step(n, until, pd.Timestamp(ts), bad, most, minutes)
+            n, until, hit = ST.lockout_step(n, until, int(pd.Timestamp(ts).value // 1000), bad, most, minutes * 60_000_000)
             if hit:
                 out.append((u, ts))
     return sorted(out)
@@ -49,13 +49,18 @@ def test_lockouts_batch_and_stream(spark, tmp_path):
 
 def test_upserts_stream(spark, tmp_path):
     schema = "event_id long, user_id long, ts timestamp, value string"
-    for i, rows in enumerate(([(1, 1, T0, "a"), (2, 2, T0, "b")], [(3, 1, T0 + dt.timedelta(1), "c")])):
+    batches = [[(1, 1, T0, "a"), (2, 2, T0, "b")], [(3, 1, T0 + dt.timedelta(1), "c")], [(4, 3, T0, "d")], [(5, 2, T0 + dt.timedelta(2), "e"), (6, 9, T0, None)]]
+    want = {}
+    for i, rows in enumerate(batches):
+        want |= {r[1]: r[3] for r in rows}
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = ST.upserts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), ["user_id"], str(tmp_path / "c"))
+        # From the third batch on, the stream starts over with a new checkpoint: it goes on from the table.
+        q = ST.upserts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), ["user_id"], str(tmp_path / f"c{i > 1}"), buckets=4)
         q.processAllAvailable()
         q.stop()
-        got = {r["user_id"]: r["value"] for r in spark.read.parquet(str(tmp_path / f"t/v={i}")).collect()}
-    assert got == {1: "c", 2: "b"}
+        rows = ST.upserted(spark, str(tmp_path / "t"), schema).collect()
+        assert {r["user_id"]: r["value"] for r in rows} == want and len(rows) == len(want)
+    assert len([p for p in (tmp_path / "t/versions").iterdir() if p.is_dir()]) <= 3
 
 
 def test_session_windows(spark):
@@ -93,7 +98,11 @@ def test_streaks(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, good int")
     assert [r["streak"] for r in L.streaks(df, "user_id", F.col("good") == 1, ["ts"]).orderBy("event_id").collect()] == [1, 2, 0, 1, 2, 3]
     r = L.quiz_totals(df, "user_id", F.col("good") == 1, ["ts"]).first()
-    assert (r["played"], r["correct"], r["accuracy"], r["best_streak"]) == (6, 5, 83, 3)
+    assert (r["played"], r["correct"], r["accuracy"], r["best_streak"], r["missed"]) == (6, 5, 83, 3, 1)
+    # A time-out cuts the streak and is missed, but not played.
+    r = L.quiz_totals(df, "user_id", F.col("good") == 1, ["ts"], F.col("event_id") == 4).first()
+    assert (r["played"], r["correct"], r["accuracy"], r["best_streak"], r["missed"]) == (5, 4, 80, 2, 2)
+    assert L.quiz_totals(df, "user_id", F.col("good") == 1, ["ts"], F.lit(True)).first()["accuracy"] == 0
 
 
 def test_quiz_options(spark):
@@ -104,6 +113,9 @@ def test_quiz_options(spark):
         assert r["option"] != r["answer"]
         by.setdefault(r["slug"], set()).add(r["option"])
     assert len(by) == 30 and all(len(v) == 3 for v in by.values())
+    wide = spark.createDataFrame([(f"x{i}",) for i in range(3000)], "option string")
+    drawn = Z.distractors(spark.createDataFrame([(f"q{i}", f"x{i}") for i in range(600)], "slug string, answer string"), wide, seed=2)
+    assert drawn.count() == 1800 and drawn.select("option").distinct().count() > 1000
     few = Z.distractors(asked, spark.createDataFrame([("o0",), ("o1",)], "option string"), seed=1)
     assert few.filter("slug = 's0'").count() == 1
     assert Z.questions(asked, 50, 1).count() == 30 and Z.questions(asked, 4, 1).count() == 4
