@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from termloom.llm.common import durable, texts
+from termloom.llm.common import discard, durable, texts
 from termloom.llm.suffixes import suffix_array
 
 LENGTH, CORE = 400, 256
@@ -335,32 +334,24 @@ def suffix_dedup(docs: DataFrame, many: int = MANY) -> DataFrame:
     table gives no rows.  ``kept`` is binary, since a span may cut a character.
     """
     d = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("text"))
-    dealt = d.mapInArrow(_gather, _RUN)
-    by_anchor = W.partitionBy("h1", "h2")
-    ordered = by_anchor.orderBy("whole")
-    every = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    seen = dealt.select(
-        "*",
-        F.lag("whole").over(ordered).alias("before"),
-        F.lead("whole").over(ordered).alias("after"),
-        (F.first("whole").over(every) != F.last("whole").over(every)).alias("differs"),
-    )
-    again = F.coalesce(F.col("before") == F.col("whole"), F.lit(False)) | F.coalesce(F.col("after") == F.col("whole"), F.lit(False))
-    one_of_each = F.coalesce(F.col("before") != F.col("whole"), F.lit(True)) & F.col("differs") & (F.col("off") >= 0)
-    seen = durable(
-        seen.select(*_RUN_NAMES, again.alias("again"), one_of_each.alias("wanted"))
-        .filter((again & (F.col("twice") == 0)) | one_of_each | (F.col("off") < 0))
-        .withColumn("many", F.sum(F.col("wanted").cast("long")).over(by_anchor))
-    )
-    wanted = (
-        seen.filter("wanted")
-        .groupBy("doc_id", "th")
-        .agg(F.collect_list(F.struct("h1", "h2", "start", "count", "off", (F.col("again") | (F.col("twice") == 1)).cast("int").alias("twice"), "many")).alias("wanted"))
-    )
+    dealt = durable(d.mapInArrow(_gather, _RUN))
+    anchor, place = ["h1", "h2"], ["doc_id", "th", "start", "count"]
+    # Anchors met more than once, by partial sums: a hot one reaches this shuffle once a task.
+    again = dealt.filter("off >= 0").groupBy("h1").agg(F.count("*").alias("n"), F.max("twice").alias("t")).filter("n > 1 or t = 1").select("h1")
+    # An ordinary join: adaptive execution splits an anchor that many runs share.
+    seen = durable(dealt.filter("off >= 0").join(again, "h1", "left_semi").unionByName(dealt.filter("off < 0")))
+    discard(dealt)
+    met = seen.filter("off >= 0")
+    # One of each different run at an anchor goes to the suffix array, marked if it has copies.
+    kinds = durable(met.groupBy(*anchor, "whole").agg(F.min(F.struct(*place, "off")).alias("r"), F.max("twice").alias("t"), F.count("*").alias("n")))
+    copied = kinds.filter("n > 1 or t = 1").select(*anchor, "whole")
+    whole = met.filter("twice = 0").join(copied, [*anchor, "whole"], "left_semi").select(*place).unionByName(seen.filter("off < 0").select(*place))
+    several = kinds.groupBy(*anchor).agg(F.count("*").alias("many")).filter("many > 1")
+    wanted = kinds.join(several, anchor).select(*anchor, "r.*", ((F.col("n") > 1) | (F.col("t") == 1)).cast("int").alias("twice"), "many")
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h1", "h2", "start", "count", "off", "twice", "many")).alias("wanted"))
     strings = _with_texts(d, wanted, "wanted", "inner").select(d["doc_id"], "text", "th", "wanted").mapInArrow(partial(_cut, limit=many), _STRING)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partly = strings.repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2", "core", "before", "after").mapInArrow(_sorted_out, _SPAN)
-    whole = seen.filter("off < 0 or (again and twice = 0)").select("doc_id", "th", "start", "count")
     spans = whole.unionByName(partly).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count")).alias("found"))
     return (
         _with_texts(d, spans, "found", "left").select(d["doc_id"], "text", "found")
