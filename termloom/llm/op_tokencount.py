@@ -2,8 +2,8 @@
 
 A pre-token's best segmentation maximises the sum of its tokens' log
 probabilities.  The forward scores of a prefix serve every pre-token that
-begins with it, so distinct pre-tokens are walked in trie order and each trie
-node is scored once; terminal nodes hold the counts.
+begins with it: distinct pre-tokens are inserted in a trie, each node is scored
+once, when it is made, and terminal nodes hold the counts.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from termloom.llm.common import texts
 from termloom.llm.pretokens import split
 
-#: Distinct pre-tokens whose counts a task remembers before it starts afresh.
-CACHE = 400_000
+#: Nodes of a worker's trie beyond which it starts afresh (about 150 bytes each).
+NODES = 1_000_000
 
 
 def unigram_scores(path: str) -> dict[bytes, float]:
@@ -39,48 +39,64 @@ def unigram_scores(path: str) -> dict[bytes, float]:
 
 
 class TokenCounter:
-    def __init__(self, scores: dict[bytes, float]):
-        self.scores = scores
+    """A trie of the distinct pre-tokens met so far; it lasts as long as its worker.
+
+    A node stands for a prefix.  ``best`` and ``many`` hold its forward score, the greatest
+    sum of log probabilities of a segmentation of the prefix, and the number of tokens in
+    it; ``ends`` leads from a pre-token to its terminal node, where its count is thus kept.
+    """
+
+    def __init__(self, scores: dict[bytes, float], nodes: int = NODES):
+        self.scores, self.most = scores, nodes
         self.longest = max(map(len, scores))
-        self.counts: dict[str, int] = {}
+        self.clear()
 
-    def learn(self, words) -> None:
-        """Count the tokens of new pre-tokens.
+    def clear(self) -> None:
+        self.next: dict[int, int] = {}  # node * 256 + byte -> node
+        self.best, self.many, self.ends = [0.0], [0], {}
 
-        Sorting puts the words in depth-first order of their trie; ``best`` and
-        ``many`` hold the nodes on the path to the current word.  A word that
-        shares d bytes with the one before starts from node d: no node is
-        scored twice.  Equal sums take the segmentation of fewer tokens.
+    def insert(self, word: str) -> int:
+        """The number of tokens of a pre-token, scoring the prefixes that are new.
+
+        Equal sums take the segmentation of fewer tokens.
         """
-        get, longest, counts = self.scores.get, self.longest, self.counts
-        best, many, last = [0.0], [0], b""
-        for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
-            top = min(len(raw), len(last))
-            d = 0
-            while d < top and raw[d] == last[d]:
-                d += 1
-            del best[d + 1 :], many[d + 1 :]
-            for end in range(d + 1, len(raw) + 1):
+        get, longest, next_, best, many = self.scores.get, self.longest, self.next, self.best, self.many
+        raw = word.encode("utf-8", "surrogatepass")
+        node, path = 0, [0]
+        for end, byte in enumerate(raw, 1):
+            child = next_.get(node << 8 | byte)
+            if child is None:
                 high, few = -1e300, 0
                 for at in range(max(0, end - longest), end):
                     s = get(raw[at:end])
                     if s is not None:
-                        s += best[at]
-                        if s > high or (s == high and many[at] + 1 < few):
-                            high, few = s, many[at] + 1
+                        s += best[path[at]]
+                        if s > high or (s == high and many[path[at]] + 1 < few):
+                            high, few = s, many[path[at]] + 1
+                child = next_[node << 8 | byte] = len(best)
                 best.append(high)
                 many.append(few)
-            counts[word] = many[-1]
-            last = raw
+            node = child
+            path.append(node)
+        self.ends[word] = node
+        return many[node]
+
+    def tokens(self, word: str) -> int:
+        node = self.ends.get(word)
+        return self.insert(word) if node is None else self.many[node]
 
     def count(self, texts_: list[str | None]) -> list[tuple[int, int]]:
-        """Per text: pre-tokens and tokens.  One trie serves the whole batch."""
-        if len(self.counts) > CACHE:
-            self.counts.clear()
-        pieces = [split(t) if t else [] for t in texts_]
-        new = set().union(*pieces).difference(self.counts)
-        self.learn(new)
-        return [(len(p), sum(map(self.counts.__getitem__, p))) for p in pieces]
+        """Per text: pre-tokens and tokens.  Beyond its bound of nodes the trie starts afresh, between texts."""
+        out = []
+        for t in texts_:
+            if len(self.best) > self.most:
+                self.clear()
+            pieces = split(t) if t else []
+            ends, many, insert = self.ends, self.many, self.insert
+            for new in set(pieces).difference(ends):
+                insert(new)
+            out.append((len(pieces), sum(many[ends[p]] for p in pieces)))
+        return out
 
 
 @lru_cache(maxsize=2)
