@@ -20,6 +20,17 @@ def letters(text: str | None) -> np.ndarray:
     return b[keep]
 
 
+CHUNK = 1 << 20
+
+
+def chunks(b: np.ndarray, sizes: tuple[int, ...], bits: int):
+    """The buckets of every n-gram, once each, size by size for a stretch of the text at a time: an
+    n-gram belongs to the stretch in which it starts."""
+    for at in range(0, len(b), CHUNK):
+        for n in sizes:
+            yield hashed(b[at : at + CHUNK + n - 1], (n,), bits)[0]
+
+
 def hashed(b: np.ndarray, sizes: tuple[int, ...], bits: int) -> list[np.ndarray]:
     """Per n-gram size the bucket, below 2**bits, of each n-gram in order.
 

@@ -8,16 +8,16 @@ language whose codeword loses least against the classifiers' margins.
 from __future__ import annotations
 
 import random
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import P, hash_fraction, held_out, texts
-from termloom.llm.ngrams import hashed, letters
+from termloom.llm.ngrams import chunks, letters
 
 SIZES, BITS = (1, 2, 3, 4), 15
 #: Training texts per language, at most about so many (a reproducible random sample).
@@ -25,7 +25,7 @@ SAMPLE = 3000
 #: Nearer to the next language than this, a decision counts as ambiguous.
 MARGIN = 0.2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def codewords(k: int) -> np.ndarray:
@@ -47,7 +47,7 @@ def codewords(k: int) -> np.ndarray:
 
 
 def counts_of(text: str | None) -> np.ndarray:
-    return np.bincount(np.concatenate(hashed(letters(text), SIZES, BITS)), minlength=1 << BITS)
+    return sum((np.bincount(idx, minlength=1 << BITS) for idx in chunks(letters(text), SIZES, BITS)), np.zeros(1 << BITS, np.int64))
 
 
 @dataclass
@@ -64,12 +64,11 @@ class LanguageModel:
             return UNKNOWN, 0.0, True
         b = letters(text)
         total, n = np.zeros(self.weights.shape[1]), 0
-        for at in range(0, len(b), 1 << 20):
-            for idx in hashed(b[at : at + (1 << 20) + SIZES[-1]], SIZES, BITS):
-                c = np.bincount(idx, minlength=1 << BITS)
-                used = np.flatnonzero(c)
-                total += c[used] @ self.weights[used]
-                n += len(idx)
+        for idx in chunks(b, SIZES, BITS):
+            c = np.bincount(idx, minlength=1 << BITS)
+            used = np.flatnonzero(c)
+            total += c[used] @ self.weights[used]
+            n += len(idx)
         margin = total / max(n, 1) / self.scale
         loss = np.logaddexp(0, -2 * self.codes * margin) @ self.weight_of_bit
         order = np.argsort(loss, kind="stable")
@@ -87,8 +86,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, lang_col: str = "lang") -> Lang
     """
     rows = texts(docs).withColumn("lang", F.lit(None)) if lang_col not in docs.columns else docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    # One row a language; the texts are not read for it.
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.filter(F.col("text").isNotNull())
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.ones((0, 1)), np.zeros((1 << BITS, 1)), np.ones(1), np.ones(1))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import hash_fraction, held_out, texts
-from termloom.llm.ngrams import hashed, letters
+from termloom.llm.ngrams import chunks, letters
 
 SIZES, BITS = (3, 4, 5, 6), 20
 #: Training texts, at most about so many (a reproducible random sample of the labelled rows).
@@ -33,26 +33,24 @@ class ToxicityModel:
 
 def buckets_of(text: str | None) -> np.ndarray:
     """The distinct buckets of a text's n-grams."""
-    b, seen = letters(text), []
-    for at in range(0, len(b), 1 << 20):
-        seen.append(np.unique(np.concatenate(hashed(b[at : at + (1 << 20) + SIZES[-1]], SIZES, BITS))))
-    return seen[0] if len(seen) == 1 else np.unique(np.concatenate([np.empty(0, np.int64), *seen]))
+    seen = [np.empty(0, np.int64), *map(np.unique, chunks(letters(text), SIZES, BITS))]
+    return np.unique(np.concatenate(seen))
 
 
 def present(text: str | None, slot: np.ndarray) -> np.ndarray:
     """The features that a text has, each once."""
-    b, seen = letters(text), [np.empty(0, slot.dtype)]
-    for at in range(0, len(b), 1 << 20):
-        for h in hashed(b[at : at + (1 << 20) + SIZES[-1]], SIZES, BITS):
-            f = slot[h]
-            seen.append(np.unique(f[f >= 0]))
+    seen = [np.empty(0, slot.dtype)]
+    for h in chunks(letters(text), SIZES, BITS):
+        f = slot[h]
+        seen.append(np.unique(f[f >= 0]))
     return np.unique(np.concatenate(seen))
 
 
 def _examples(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``(toxic, text)`` of a bounded sample of the labelled rows outside the fold.
+    """``(toxic, text)`` of a bounded sample of the labelled documents outside the fold.
 
-    A document with several labels counts as toxic if any says so.
+    A document with several labels counts as toxic if any says so; of several texts under one
+    doc_id that of the least hash counts, so that ``sample`` bounds rows too.
     """
     named = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -62,7 +60,8 @@ def _examples(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     share = min(1.0, sample / max(1, named.count()))
     chosen = named.filter(hash_fraction(F.col("doc_id")) < share)
     # A few thousand ids and labels: bounded by ``sample``, so this side is sent to all.
-    return texts(docs).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    found = texts(docs).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
