@@ -42,6 +42,25 @@ TEMPLATES = {
     "mpl2_notice": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
 
+#: Whole license texts.
+FULL_TEMPLATES = {
+    "mit_text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd3_text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "isc_text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib_text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+}
+
 #: Notices under five words, which match as a whole or not at all.
 SHORT_TEMPLATES = {
     "all_rights_reserved": "All rights reserved.",
@@ -136,20 +155,31 @@ class Scanner:
     def _flag(keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FLAGS)).astype(np.int64)
 
-    def retrieve(self, s: np.ndarray, block: int, names: list[str], keys: np.ndarray, which: np.ndarray, flags: np.ndarray) -> set[tuple[int, str]]:
-        """(window, template) pairs that agree in a band."""
-        out: set[tuple[int, str]] = set()
-        step = max(block, 8192 // block * block)
+    def retrieve(self, s: np.ndarray):
+        """(class, window, template) for windows that agree with a template in a band.
+
+        A stretch of the text is hashed once, for the smallest blocks; those of the
+        next class, twice or more as wide, take the lesser of neighbouring minima.
+        """
+        if not self.classes or not len(s):
+            return
+        first, last = self.classes[0][0], self.classes[-1][0]
+        step = max(last, 8192 // last * last)
         for at in range(0, len(s), step):
-            mins = _minima(s[at : at + step + block], block)
-            k = (mins[: max(1, step // block)] | _BAND_BASE).ravel()
-            hit = np.flatnonzero(flags[self._flag(k)])
-            if len(hit):
+            part = s[at : at + step + last]
+            g = _mix(part[:, None] * _FACTORS) >> np.uint64(32)
+            mins, size = np.minimum.reduceat(g, np.arange(0, len(part), first), axis=0) if first > 1 else g, first
+            for c, (block, names, keys, which, flags) in enumerate(self.classes):
+                while size < block:
+                    pairs = np.minimum(mins[: len(mins) // 2 * 2 : 2], mins[1::2])
+                    mins, size = (np.concatenate([pairs, mins[-1:]]) if len(mins) % 2 else pairs), 2 * size
+                windows = mins.copy()
+                windows[:-1] = np.minimum(mins[:-1], mins[1:])
+                k = (windows[: step // block] | _BAND_BASE).ravel()
+                hit = np.flatnonzero(flags[self._flag(k)])
                 lo, hi = np.searchsorted(keys, k[hit], "left"), np.searchsorted(keys, k[hit], "right")
-                for h, i, j in zip(hit.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    for t in which[i:j].tolist():
-                        out.add((at // block + h // BANDS, names[t]))
-        return out
+                found = {(at // block + h // BANDS, t) for h, i, j in zip(hit.tolist(), lo.tolist(), hi.tolist(), strict=True) for t in which[i:j].tolist()}
+                yield from ((c, w, names[t]) for w, t in sorted(found, key=lambda x: (x[0], names[x[1]])))
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """Per matching template: name, best containment, first word of the best
@@ -165,19 +195,27 @@ class Scanner:
                 windows = np.union1d(own, own[own > 0] - 1)  # of two neighbouring shingles each
                 for name in known[key]:
                     best[name] = (1.0, int(own[0]), len(windows))
-        for block, *rest in self.classes:
-            for w, name in sorted(self.retrieve(s, block, *rest)) if len(s) else ():
-                part, own = s[w * block : (w + 2) * block], self.sets[name]
-                here = np.isin(part, own)
-                share = len(np.unique(part[here])) / len(own)
-                if share >= CONTAINED:
-                    old = best.get(name, (0.0, 0, 0))
-                    top = (share, w * block + int(np.argmax(here))) if share > old[0] else old[:2]
-                    best[name] = (*top, old[2] + 1)
+        for c, w, name in self.retrieve(s):
+            block, own = self.classes[c][0], self.sets[name]
+            part = s[w * block : (w + 2) * block]
+            here = np.isin(part, own)
+            share = len(np.unique(part[here])) / len(own)
+            if share >= CONTAINED:
+                old = best.get(name, (0.0, 0, 0))
+                top = (share, w * block + int(np.argmax(here))) if share > old[0] else old[:2]
+                best[name] = (*top, old[2] + 1)
         return [(n, *v) for n, v in sorted(best.items())]
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def template_table(templates: DataFrame) -> dict[str, str]:
+    """``(license_id, text)`` as the scanner takes it; more than MAX_TEMPLATES rows raise."""
+    rows = templates.select("license_id", "text").limit(MAX_TEMPLATES + 1).collect()
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    return {r["license_id"]: r["text"] for r in rows}
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """One row per document and template found in it:
     ``doc_id, license_id, containment, start_word, n_windows``.
 
@@ -186,9 +224,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
     the first gives ``start_word``.  Null texts, empty ones and those under three
     words match nothing.  Rows that repeat a doc_id
     are scanned each; null doc_ids are reported as null; extra columns are
-    ignored.  Templates need three words; there may be at most MAX_TEMPLATES.
+    ignored.  ``templates``: name to text, or a table ``license_id, text``; they need
+    three words each, and there may be at most MAX_TEMPLATES.
     """
-    templates = TEMPLATES | SHORT_TEMPLATES if templates is None else templates
+    templates = TEMPLATES | FULL_TEMPLATES | SHORT_TEMPLATES if templates is None else templates
+    templates = template_table(templates) if isinstance(templates, DataFrame) else templates
 
     def run(batches):
         scanner = Scanner(templates)
