@@ -2,7 +2,8 @@
 
 Six triplets of each 5-byte window are hashed into 128 buckets.  The digest
 holds two bits per bucket (which quartile its count is in), a length code and
-a checksum.  Digests compare by a bounded difference score.
+a checksum: the sum of the hashes of the first triplet of every window.  Digests
+compare by a bounded difference score.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from termloom.llm.common import durable, small_batches, texts
 
@@ -21,6 +23,8 @@ BUCKETS = 128
 #: Offsets of the triplets in a window that ends at 0, each with a salt of its own.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 WINDOW = 5
+#: Windows hashed at a time.
+STRETCH = 1 << 20
 #: A bucket two or more quartiles off counts more than twice one quartile.
 STEP = (0, 1, 2, 6)
 _TABLE = np.array(random.Random(0).sample(range(256), 256), np.uint8)
@@ -41,16 +45,17 @@ def digest(data: bytes) -> str:
     b = np.frombuffer(data if len(data) >= WINDOW else data.ljust(WINDOW, b"\0"), np.uint8)
     counts = np.zeros(256, np.int64)
     check = 0
-    for at in range(0, len(b) - WINDOW + 1, 1 << 20):
-        part = b[at : at + (1 << 20) + WINDOW - 1]
+    for at in range(0, len(b) - WINDOW + 1, STRETCH):
+        part = b[at : at + STRETCH + WINDOW - 1]
         n = len(part) - WINDOW + 1
         for salt, offs in enumerate(TRIPLETS):
             h = np.full(n, _TABLE[salt + 1], np.uint8)
             for o in offs:
                 h = _TABLE[h ^ part[WINDOW - 1 - o : WINDOW - 1 - o + n]]
-            counts += np.bincount(h, minlength=256)
-    for salt, c in enumerate(b[:16].tolist()):
-        check = int(_TABLE[check ^ c ^ salt])
+            own = np.bincount(h, minlength=256)
+            counts += own
+            if salt == 0:
+                check = (check + int(own @ np.arange(256))) & 255
     low = counts[:BUCKETS]
     q1, q2, q3 = np.sort(low)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
     codes = (low > q1).astype(np.uint8) + (low > q2) + (low > q3)
@@ -140,12 +145,12 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     walked = durable(placed.mapInArrow(walk, f"part int, edge string, text string, {_OUT}"))
     columns = [c.split()[0] for c in _OUT.split(", ")]
     edges = walked.filter("edge is not null").select("part", "edge", "text", "doc_id", "fingerprint")
-    # Which partition follows which: a number per partition, so a list of at most n numbers.
-    parts = sorted(r["part"] for r in edges.filter("edge = 'last'").select("part").collect())
-    if not parts:
-        return walked.select(*columns)
-    after = F.create_map(*[F.lit(x) for pair in zip(parts, parts[1:] + parts[:1], strict=True) for x in pair])
-    last = edges.filter("edge = 'last'").select("doc_id", "text", "fingerprint", F.element_at(after, F.col("part")).alias("part"))
+    # Which partition follows which: two numbers per partition, ordered in one small window.
+    number = edges.filter("edge = 'last'").select("part")
+    order = W.orderBy("part")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    after = number.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(whole)).alias("next"))
+    last = edges.filter("edge = 'last'").join(after, "part").select("doc_id", "text", "fingerprint", F.col("next").alias("part"))
     first = edges.filter("edge = 'first'").select("part", F.col("text").alias("following"), F.col("fingerprint").alias("next_print"))
 
     def finish(batches):
