@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import op_bpe, op_decontam, op_langid, op_linededup, op_simhash
-from termloom.llm.common import durable, table
+from termloom.llm.common import discard, durable, table
 from termloom.llm.queries import tokenizer_path
 
 
@@ -58,9 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = durable(docs)
+            before, docs = written, durable(docs)
+            written = docs
+            if before is not None:
+                discard(before)
     return docs

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.sources.shared import fresh_path
+
 #: Internal columns start with this, so that a caller's columns never clash.
 P = "__llm_"
 
@@ -16,36 +15,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    On a cluster the session names it in ``spark.checkpoint.dir``.  Only where
-    that is unset (a local session, tests) does a fresh local folder serve.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it back.
 
     The plan above starts from files that outlive any executor, and the file
     sizes give the optimizer real statistics.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.durable_path = path
+    return back
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows``, not 10,000, unless the session says otherwise: texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``durable`` wrote for these, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Texts are long: an Arrow batch holds so many rows and, where Spark knows the setting, bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches, unless the session says otherwise.
+
+    These two settings of the session are the only ones that the operators touch; each
+    keeps a value that the caller gave it.
+    """
+    for key, usual, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is not None and (now == usual or usual is None and not 0 < int(now) < (1 << 31) - 1):
+            spark.conf.set(name, str(own))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import durable
+from termloom.llm.common import discard, durable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,13 +32,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star rewiring: each round sends every node
     towards the least node it can see, so a component of diameter d settles in
     about log(d) rounds.  Each round is written to the shared folder, so lineage
-    stays one round deep.  Only a count and a checksum reach the driver.
+    stays one round deep, and removed once the next is there.  Only a count and a checksum reach the driver.
     Nodes without links do not appear.
     """
     edges = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
-        edges = durable(_small_star(_large_star(edges)))
+        before, edges = edges, durable(_small_star(_large_star(edges)))
+        discard(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

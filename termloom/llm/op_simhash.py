@@ -11,11 +11,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from termloom.llm.common import P, durable, small_batches, texts
+from termloom.llm.common import P, discard, durable, small_batches, texts
 from termloom.llm.components import connected_components
 
 BITS = 64
@@ -65,14 +64,15 @@ def _signed(x: int) -> int:
 
 
 def close_pairs(fps: DataFrame, distance: int = 2, blocks: int = 4, pair_limit: int = 24) -> DataFrame:
-    """``(u, v)`` links whose closure joins exactly the fingerprints within ``distance`` (1 or 2).
+    """``(u, v)``, u > v: all pairs of fingerprints that differ in at most ``distance`` (1 or 2) bits.
 
     ``fps``: distinct ``fp``.  Buckets of up to ``pair_limit`` fingerprints are
-    compared pair by pair.  A larger bucket, where all pairs would be quadratic,
-    is linked through midpoints: every member names itself and each fingerprint
-    one flip away.  Members that name the same midpoint are within two bits of
-    each other; members within two bits share one.  A midpoint has at most 65 members, so no group is unbounded and no
-    link is lost.
+    compared pair by pair.  In a larger bucket, where all pairs would be quadratic,
+    every member names the fingerprints one flip away.  At distance 1 a named one that is there is a
+    link.  At distance 2 every member names itself too, and members that name the same are
+    linked: two are within two bits of each other exactly if some fingerprint is within
+    one bit of both.  A name has at most 65 members, so no group is unbounded, and the
+    links are the same whatever the limit.
     """
     if distance not in (1, 2) or blocks <= distance:
         raise ValueError("distance must be 1 or 2, and less than the number of blocks")
@@ -92,19 +92,19 @@ def close_pairs(fps: DataFrame, distance: int = 2, blocks: int = 4, pair_limit:
     )
 
     large = members.filter(F.col("n") > pair_limit).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS)])
-    named = large.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    hubs = named.select("fp", F.min("fp").over(W.partitionBy("mid")).alias("hub"))
-    linked = hubs.filter((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance))
-    return pairs.union(linked.select(F.col("fp").alias("u"), F.col("hub").alias("v"))).distinct()
+    flips = F.array(*[F.lit(_signed(1 << i)) for i in range(BITS)], *([F.lit(0).cast("long")] if distance == 2 else []))
+    named = large.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"))
+    others = named.select(F.col("fp").alias("v"), "name") if distance == 2 else large.select(F.col("fp").alias("v"), F.col("fp").alias("name"))
+    linked = named.select(F.col("fp").alias("u"), "name").join(others, "name").filter("u > v").select("u", "v")
+    return pairs.union(linked).distinct()
 
 
 def simhash_classes(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int = 4, seed: int = 42) -> DataFrame:
     """One row per input row: ``doc_id, fp, fingerprint, component_id, n_links``.
 
     ``component_id`` is the least ``doc_id`` reachable through links of at most
-    ``distance`` differing bits, itself included.  ``n_links`` counts the links
-    that the search recorded at this fingerprint, copies not expanded.
+    ``distance`` differing bits, itself included.  ``n_links`` counts the other
+    fingerprints that are that close to the row's, copies not expanded.
 
     Null and empty texts have fingerprint zero and link like any other.  Rows
     that repeat a doc_id are each kept; a null doc_id joins its class but never
@@ -171,14 +171,26 @@ def _band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24) -> DataFrame:
-    """``(u, v)``: ``own`` of different texts whose five-word shingles are verified to have a
-    Jaccard similarity of ``jaccard`` or more.
+#: Times that a large bucket is dealt out again before its texts are compared pair by pair.
+LEVELS = 3
+
+
+def _dealt_again(level: int) -> Column:
+    """Keys of a bucket's members at a further level: bands over the same MinHashes, drawn anew."""
+    order = np.random.RandomState(100 + level).permutation(BANDS * ROWS).reshape(BANDS, ROWS).tolist()
+    return F.array(*[F.xxhash64("key", F.lit(level), F.lit(i), *[F.col("sig")[j] for j in band]) for i, band in enumerate(order)])
+
+
+def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24, levels: int = LEVELS) -> DataFrame:
+    """``(u, v)``: links between ``own`` of different texts whose five-word shingles are verified to have
+    a Jaccard similarity of ``jaccard`` or more.  Their closure joins what any compared pair would.
 
     ``rows``: ``own, text``, where ``own`` stands for the text.  Buckets of up to ``pair_limit``
-    texts are compared pair by pair; in a larger one every text is compared with the
-    bucket's least only, since all pairs would be quadratic.  Two texts that meet in
-    such buckets alone are linked through these, or not at all.
+    texts are compared pair by pair.  In a larger one, where all pairs would be quadratic, every text is
+    compared with the least.  Where that does not make the bucket one class, its members are
+    dealt out again by further bands, and only pairs that are not in one class yet are
+    compared; what is left together after ``levels`` such steps is compared pair by
+    pair.  So a group of near copies costs one comparison each, and no member is dropped.
     """
 
     def sign(batches):
@@ -190,23 +202,8 @@ def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24) ->
             yield pa.RecordBatch.from_arrays([b.column(0), sigs, bands], ["own", "sig", "bands"])
 
     signed = durable(rows.select("own", "text").mapInArrow(sign, "own long, sig array<int>, bands array<long>").dropDuplicates(["own"]))
-    buckets = signed.select("own", F.explode("bands").alias("band"))
-    sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("own").alias("hub")).filter("n > 1")
-    members = durable(buckets.join(sizes, "band"))
-    small = members.filter(F.col("n") <= pair_limit).select("band", "own")
-    pairs = small.alias("a").join(small.alias("b"), "band").filter("a.own > b.own").select(F.col("a.own").alias("u"), F.col("b.own").alias("v"))
-    stars = members.filter((F.col("n") > pair_limit) & (F.col("own") != F.col("hub"))).select(F.col("own").alias("u"), F.col("hub").alias("v"))
     sig = signed.select("own", "sig")
     equal = F.aggregate(F.zip_with("us", "vs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
-    likely = durable(
-        pairs.union(stars).distinct()
-        .join(sig.select(F.col("own").alias("u"), F.col("sig").alias("us")), "u")
-        .join(sig.select(F.col("own").alias("v"), F.col("sig").alias("vs")), "v")
-        .filter(equal >= LIKELY * len(_FACTORS)).select("u", "v")
-    )
-    needed = likely.select(F.explode(F.array("u", "v")).alias("own")).distinct()
-    found = durable(rows.select("own", "text").join(needed, "own", "left_semi").dropDuplicates(["own"]))
-    sides = likely.join(found.select(F.col("own").alias("u"), F.col("text").alias("ut")), "u").join(found.select(F.col("own").alias("v"), F.col("text").alias("vt")), "v")
 
     def verify(batches):
         for b in batches:
@@ -217,7 +214,37 @@ def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24) ->
                 same.append(both >= jaccard * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(same, pa.bool_()))
 
-    return sides.select("u", "v", "ut", "vt").mapInArrow(verify, "u long, v long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = durable(
+            pairs.distinct()
+            .join(sig.select(F.col("own").alias("u"), F.col("sig").alias("us")), "u")
+            .join(sig.select(F.col("own").alias("v"), F.col("sig").alias("vs")), "v")
+            .filter(equal >= LIKELY * len(_FACTORS)).select("u", "v")
+        )
+        needed = likely.select(F.explode(F.array("u", "v")).alias("own")).distinct()
+        found = durable(rows.select("own", "text").join(needed, "own", "left_semi").dropDuplicates(["own"]))
+        sides = likely.join(found.select(F.col("own").alias("u"), F.col("text").alias("ut")), "u").join(found.select(F.col("own").alias("v"), F.col("text").alias("vt")), "v")
+        links = durable(sides.select("u", "v", "ut", "vt").mapInArrow(verify, "u long, v long"))
+        discard(likely, found)
+        return links
+
+    members = signed.select("own", F.col("own").alias("label"), F.explode("bands").alias("key"))
+    links = None
+    for level in range(levels + 1):
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+        met = durable(members.join(sizes.filter("low <> high").drop("low", "high"), "key"))
+        few = F.lit(True) if level == levels else F.col("n") <= pair_limit
+        small, large = met.filter(few).select("key", "own", "label"), met.filter(~few)
+        pairs = small.alias("a").join(small.alias("b"), "key").filter("a.own > b.own and a.label <> b.label").select(F.col("a.own").alias("u"), F.col("b.own").alias("v"))
+        stars = large.filter("own <> hub").select(F.col("own").alias("u"), F.col("hub").alias("v"))
+        new = verified(pairs.union(stars))
+        links = new if links is None else links.union(new)
+        if level == levels or not large.limit(1).count():
+            return links
+        roots = connected_components(links).select(F.col("node").alias("own"), "root")
+        again = large.select("key", "own").join(roots, "own", "left").join(sig, "own")
+        members = again.select("own", F.coalesce("root", "own").alias("label"), F.explode(_dealt_again(level)).alias("key"))
+    return links
 
 
 def near_dedup(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int = 4, seed: int = 42, jaccard: float | None = None) -> DataFrame:
