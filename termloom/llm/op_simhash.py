@@ -11,7 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import P, discard, durable, small_batches, texts
@@ -129,11 +129,11 @@ def simhash_classes(docs: DataFrame, width: int = 3, distance: int = 2, blocks:
 
 
 #: Retrieval of texts alike in their five-word shingles: bands of MinHashes.  A pair of
-#: Jaccard similarity 0.8 agrees in a band with probability 1 - (1 - 0.8 ** 4) ** 16 > 0.999.
-WORDS, BANDS, ROWS = 5, 16, 4
-#: Share of equal MinHashes from which a pair is compared shingle by shingle; five
-#: standard deviations below 0.8.
-LIKELY = 0.55
+#: Jaccard similarity 0.8 agrees in a band with probability 1 - (1 - 0.8 ** 6) ** 20 > 0.997.
+WORDS, BANDS, ROWS = 5, 20, 6
+#: Of so many MinHashes a share must be equal for a pair to be compared shingle by shingle:
+#: five standard deviations below 0.8.
+SKETCH, LIKELY = 64, 0.55
 _rng = np.random.RandomState(17)
 _FACTORS = (_rng.randint(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -159,8 +159,8 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 def _minhashes(s: np.ndarray) -> np.ndarray:
     low = np.full(len(_FACTORS), (1 << 32) - 1, np.uint64)
-    for at in range(0, len(s), 4096):
-        low = np.minimum(low, (_mix(s[at : at + 4096, None] * _FACTORS) >> np.uint64(32)).min(axis=0))
+    for at in range(0, len(s), 1024):
+        low = np.minimum(low, (_mix(s[at : at + 1024, None] * _FACTORS) >> np.uint64(32)).min(axis=0))
     return low
 
 
@@ -171,33 +171,23 @@ def _band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-#: Times that a large bucket is dealt out again before its texts are compared pair by pair.
-LEVELS = 3
-
-
-def _dealt_again(level: int) -> Column:
-    """Keys of a bucket's members at a further level: bands over the same MinHashes, drawn anew."""
-    order = np.random.RandomState(100 + level).permutation(BANDS * ROWS).reshape(BANDS, ROWS).tolist()
-    return F.array(*[F.xxhash64("key", F.lit(level), F.lit(i), *[F.col("sig")[j] for j in band]) for i, band in enumerate(order)])
-
-
-def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24, levels: int = LEVELS) -> DataFrame:
-    """``(u, v)``: links between ``own`` of different texts whose five-word shingles are verified to have
-    a Jaccard similarity of ``jaccard`` or more.  Their closure joins what any compared pair would.
+def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24) -> DataFrame:
+    """``(u, v)``: ``own`` of different texts whose five-word shingles are verified to have a
+    Jaccard similarity of ``jaccard`` or more.
 
     ``rows``: ``own, text``, where ``own`` stands for the text.  Buckets of up to ``pair_limit``
-    texts are compared pair by pair.  In a larger one, where all pairs would be quadratic, every text is
-    compared with the least.  Where that does not make the bucket one class, its members are
-    dealt out again by further bands, and only pairs that are not in one class yet are
-    compared; what is left together after ``levels`` such steps is compared pair by
-    pair.  So a group of near copies costs one comparison each, and no member is dropped.
+    texts are compared pair by pair; in a larger one every text is compared with the
+    bucket's least only, since all pairs would be quadratic.  Bands of six MinHashes keep
+    unlike texts apart, so that a large bucket is mostly one group of near copies, which that
+    comparison links.  Two texts that meet in large buckets alone, and are like each other but not
+    like the least, are not linked.
     """
 
     def sign(batches):
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             lows = [_minhashes(s) if len(s) else None for s in sets]
-            sigs = pa.array([None if x is None else x.astype(np.uint32).view(np.int32) for x in lows], pa.list_(pa.int32()))
+            sigs = pa.array([None if x is None else x[:SKETCH].astype(np.uint32).view(np.int32) for x in lows], pa.list_(pa.int32()))
             bands = pa.array([None if x is None else _band_keys(x) for x in lows], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), sigs, bands], ["own", "sig", "bands"])
 
@@ -219,7 +209,7 @@ def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24, lev
             pairs.distinct()
             .join(sig.select(F.col("own").alias("u"), F.col("sig").alias("us")), "u")
             .join(sig.select(F.col("own").alias("v"), F.col("sig").alias("vs")), "v")
-            .filter(equal >= LIKELY * len(_FACTORS)).select("u", "v")
+            .filter(equal >= LIKELY * SKETCH).select("u", "v")
         )
         needed = likely.select(F.explode(F.array("u", "v")).alias("own")).distinct()
         found = durable(rows.select("own", "text").join(needed, "own", "left_semi").dropDuplicates(["own"]))
@@ -228,22 +218,14 @@ def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24, lev
         discard(likely, found)
         return links
 
-    members = signed.select("own", F.col("own").alias("label"), F.explode("bands").alias("key"))
-    links = None
-    for level in range(levels + 1):
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
-        met = durable(members.join(sizes.filter("low <> high").drop("low", "high"), "key"))
-        few = F.lit(True) if level == levels else F.col("n") <= pair_limit
-        small, large = met.filter(few).select("key", "own", "label"), met.filter(~few)
-        pairs = small.alias("a").join(small.alias("b"), "key").filter("a.own > b.own and a.label <> b.label").select(F.col("a.own").alias("u"), F.col("b.own").alias("v"))
-        stars = large.filter("own <> hub").select(F.col("own").alias("u"), F.col("hub").alias("v"))
-        new = verified(pairs.union(stars))
-        links = new if links is None else links.union(new)
-        if level == levels or not large.limit(1).count():
-            return links
-        roots = connected_components(links).select(F.col("node").alias("own"), "root")
-        again = large.select("key", "own").join(roots, "own", "left").join(sig, "own")
-        members = again.select("own", F.coalesce("root", "own").alias("label"), F.explode(_dealt_again(level)).alias("key"))
+    buckets = signed.select("own", F.explode("bands").alias("key"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("hub")).filter("n > 1")
+    members = durable(buckets.join(sizes, "key"))
+    small = members.filter(F.col("n") <= pair_limit).select("key", "own")
+    pairs = small.alias("a").join(small.alias("b"), "key").filter("a.own > b.own").select(F.col("a.own").alias("u"), F.col("b.own").alias("v"))
+    stars = members.filter((F.col("n") > pair_limit) & (F.col("own") != F.col("hub"))).select(F.col("own").alias("u"), F.col("hub").alias("v"))
+    links = verified(pairs.union(stars))
+    discard(members, signed)
     return links
 
 
