@@ -10,6 +10,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,16 +172,62 @@ def _band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24) -> DataFrame:
-    """``(u, v)``: ``own`` of different texts whose five-word shingles are verified to have a
-    Jaccard similarity of ``jaccard`` or more.
+#: Two parts of a large bucket meet in one task: at most about so many texts and so many shingles each.
+PART_ROWS, PART_WORDS = 1024, 1 << 20
+#: Shingles whose occurrences are multiplied at once.
+_COLUMNS = 2048
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share, exactly."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = times > 1
+    place = np.cumsum(twice) - 1
+    owner, column = owner[twice[column]], place[column[twice[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(twice.sum()), _COLUMNS):
+        low, high = np.searchsorted(column, (at, at + _COLUMNS))
+        occurs = np.zeros((len(sets), _COLUMNS), np.float32)
+        occurs[owner[low:high], column[low:high] - at] = 1
+        both += occurs @ occurs.T
+    return both.astype(np.int64)
+
+
+def _cell_links(frame: pd.DataFrame, jaccard: float) -> pd.DataFrame:
+    """Links ``u > v`` that join different classes among the texts of two parts, one for each joining."""
+    frame = frame.sort_values("own", ignore_index=True)
+    own, links = frame["own"].to_numpy(), []
+    classes = np.unique(frame["label"], return_inverse=True)[1]
+    if len(own) and classes.max() > 0:
+        sets = [shingle_set(t) for t in frame["text"]]
+        size = np.array([len(s) for s in sets])
+        both = _shared(sets)
+        alike = both >= jaccard * (size[:, None] + size - both)
+        for u in range(len(own)):
+            near = np.flatnonzero(alike[u] & (classes != classes[u]))
+            for other, first in zip(*np.unique(classes[near], return_index=True), strict=True):
+                v = near[first]
+                links.append((max(own[u], own[v]), min(own[u], own[v])))
+                classes[classes == other] = classes[u]
+    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+
+def alike_pairs(
+    rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24, part_rows: int = PART_ROWS, part_words: int = PART_WORDS
+) -> DataFrame:
+    """``(u, v)``: links between ``own`` of different texts whose five-word shingles are verified to have
+    a Jaccard similarity of ``jaccard`` or more.  Their closure joins what comparing every pair of
+    each bucket would.
 
     ``rows``: ``own, text``, where ``own`` stands for the text.  Buckets of up to ``pair_limit``
-    texts are compared pair by pair; in a larger one every text is compared with the
-    bucket's least only, since all pairs would be quadratic.  Bands of six MinHashes keep
-    unlike texts apart, so that a large bucket is mostly one group of near copies, which that
-    comparison links.  Two texts that meet in large buckets alone, and are like each other but not
-    like the least, are not linked.
+    texts are compared pair by pair.  In a larger one every text is compared with the bucket's least
+    first, which makes one class of most groups of near copies.  Buckets that hold several
+    classes after that are dealt into parts of bounded size, and each two parts meet in a task of
+    their own (``_cell_links``), which returns the links that join classes.  The result is the
+    same whatever the limit.
     """
 
     def sign(batches):
@@ -189,9 +236,12 @@ def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24) ->
             lows = [_minhashes(s) if len(s) else None for s in sets]
             sigs = pa.array([None if x is None else x[:SKETCH].astype(np.uint32).view(np.int32) for x in lows], pa.list_(pa.int32()))
             bands = pa.array([None if x is None else _band_keys(x) for x in lows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), sigs, bands], ["own", "sig", "bands"])
+            words = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), words, sigs, bands], ["own", "words", "sig", "bands"])
 
-    signed = durable(rows.select("own", "text").mapInArrow(sign, "own long, sig array<int>, bands array<long>").dropDuplicates(["own"]))
+    signed = durable(
+        rows.select("own", "text").mapInArrow(sign, "own long, words long, sig array<int>, bands array<long>").dropDuplicates(["own"])
+    )
     sig = signed.select("own", "sig")
     equal = F.aggregate(F.zip_with("us", "vs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
 
@@ -218,14 +268,30 @@ def alike_pairs(rows: DataFrame, jaccard: float = 0.8, pair_limit: int = 24) ->
         discard(likely, found)
         return links
 
-    buckets = signed.select("own", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("hub")).filter("n > 1")
+    buckets = signed.select("own", "words", F.explode("bands").alias("key"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("total"), F.min("own").alias("hub")).filter("n > 1")
     members = durable(buckets.join(sizes, "key"))
-    small = members.filter(F.col("n") <= pair_limit).select("key", "own")
+    small, large = members.filter(F.col("n") <= pair_limit), members.filter(F.col("n") > pair_limit)
+    small = small.select("key", "own")
     pairs = small.alias("a").join(small.alias("b"), "key").filter("a.own > b.own").select(F.col("a.own").alias("u"), F.col("b.own").alias("v"))
-    stars = members.filter((F.col("n") > pair_limit) & (F.col("own") != F.col("hub"))).select(F.col("own").alias("u"), F.col("hub").alias("v"))
+    stars = large.filter("own <> hub").select(F.col("own").alias("u"), F.col("hub").alias("v"))
     links = verified(pairs.union(stars))
-    discard(members, signed)
+
+    roots = connected_components(links).select(F.col("node").alias("own"), "root")
+    parts = F.ceil(F.greatest(F.col("n") / part_rows, F.col("total") / part_words)).cast("int")
+    classed = large.join(roots, "own", "left").select("key", "own", F.coalesce("root", "own").alias("label"), parts.alias("parts"))
+    several = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    part = F.pmod(F.xxhash64("own", F.lit("part")), F.col("parts")).cast("int")
+    left = durable(classed.join(several, "key", "left_semi").withColumn("part", part))
+    if not left.isEmpty():
+        found = rows.select("own", "text").join(left.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"])
+        other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: (q != F.col("part")) | (F.col("parts") == 1))
+        met = F.transform(other, lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
+        cells = left.join(found, "own").select("key", F.explode(met).alias("cell"), "part", "own", "label", "text")
+        cells = cells.select("key", "cell.i", "cell.j", "part", "own", "label", "text")
+        joined = cells.groupBy("key", "i", "j").applyInPandas(lambda f: _cell_links(f, jaccard), "u long, v long")
+        links = durable(links.union(joined).distinct())
+    discard(members, signed, left)
     return links
 
 

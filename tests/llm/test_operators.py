@@ -549,9 +549,19 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     assert left == sorted([(1, a), (1, b), (None, c), (None, "other words here")], key=str)
 
 
-@pytest.mark.parametrize("limit", [24, 1])
-def test_near_copies_go(spark, limit):
-    """Pairs of Jaccard similarity 0.8 or more, and no others, against all pairs."""
+def closure(pairs):
+    """Members of each class of linked numbers, by plain union."""
+    at = {}
+    for u, v in pairs:
+        both = at.get(u, {u}) | at.get(v, {v})
+        at.update(dict.fromkeys(both, both))
+    return {frozenset(c) for c in at.values()}
+
+
+@pytest.mark.parametrize("limit, part_rows", [(24, 1024), (1, 1024), (1, 3)])
+def test_near_copies_go(spark, limit, part_rows):
+    """Pairs of Jaccard similarity 0.8 or more, and no others, against all pairs; in large
+    buckets the links make the same classes."""
     rng = random.Random(21)
     texts = []
     for _ in range(20):
@@ -564,8 +574,8 @@ def test_near_copies_go(spark, limit):
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     rows = spark.createDataFrame(list(enumerate(texts)), "own long, text string")
-    got = {tuple(sorted(p)) for p in rows_of(op_simhash.alike_pairs(rows, pair_limit=limit))}
-    assert want and (got == want if limit > 1 else got <= want)
+    got = {tuple(sorted(p)) for p in rows_of(op_simhash.alike_pairs(rows, pair_limit=limit, part_rows=part_rows))}
+    assert want and got <= want and closure(got) == closure(want) and (limit == 1 or got == want)
     if limit > 1:
         import corpus_pipeline
 
@@ -573,6 +583,30 @@ def test_near_copies_go(spark, limit):
         assert all(not {i, j} <= left for i, j in want) and len(left) >= 20
 
 
+@pytest.mark.parametrize("part_rows", [1024, 16])
+def test_large_bucket_loses_no_class(spark, part_rows):
+    """Copies of one text that are 0.6 to 0.8 like it and near each other in small families only:
+    comparing with one of them finds few links, the parts find the rest."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for f in range(40):
+        family = list(base)
+        for at in rng.sample(range(300), 9):
+            family[at] = f"f{f}x{at}"
+        for m in range(3):
+            words = list(family)
+            for at in rng.sample(range(300), 2):
+                words[at] = f"m{f}y{m}z{at}"
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    rows = spark.createDataFrame(list(enumerate(texts)), "own long, text string")
+    got = {tuple(sorted(p)) for p in rows_of(op_simhash.alike_pairs(rows, part_rows=part_rows))}
+    classes = closure(want)
+    assert len(classes) > 20 and got <= want and closure(got) == classes
+
+
 # 10 line dedup
 
 
