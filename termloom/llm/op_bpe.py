@@ -26,6 +26,8 @@ from termloom.llm.pretokens import split
 PRINTABLE = (range(33, 127), range(161, 173), range(174, 256))
 #: Distinct pre-tokens, and pairs of tokens, that a task remembers before it starts afresh.
 CACHE = 200_000
+#: A batch of results is sent on once it holds so many decoded characters.
+OUT_CHARS = 4 << 20
 
 
 def _byte_chars() -> dict[str, int]:
@@ -224,10 +226,40 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def bpe_round_trip(docs: DataFrame, path: str, out_chars: int = OUT_CHARS) -> DataFrame:
+    """``(doc_id, ids, decoded)`` for every row: ``bpe_encode`` and ``bpe_decode`` in one
+    pass of the same worker, so that each task holds one set of tables and ids cross
+    to Spark once.  Null and empty texts give no ids and an empty text; an empty table no rows.
+    """
+
+    def run(batches):
+        bpe = vocabulary(path)
+        for b in batches:
+            doc_ids, ids, decoded, held = [], [], [], 0
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.array(bpe.encode(t.as_py() or ""), np.int32)
+                doc_ids.append(d)
+                ids.append(x)
+                decoded.append(bpe.decode(x))
+                held += len(decoded[-1])
+                if held > out_chars:
+                    yield _batch(doc_ids, ids, decoded)
+                    doc_ids, ids, decoded, held = [], [], [], 0
+            if doc_ids:
+                yield _batch(doc_ids, ids, decoded)
+
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def _batch(doc_ids: list, ids: list[np.ndarray], decoded: list[str]) -> pa.RecordBatch:
+    ends = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+
+
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """Encode, decode, and sum up each row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    both = bpe_decode(bpe_encode(docs, path), path)
-    return both.select(
+    return bpe_round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

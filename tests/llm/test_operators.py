@@ -96,6 +96,13 @@ def test_bpe_equals_the_library(spark):
         assert mine.decode(np.array(ids, np.int32)) == theirs.decode(ids, skip_special_tokens=False) == t
 
 
+@pytest.mark.parametrize("out_chars", [op_bpe.OUT_CHARS, 1000])
+def test_bpe_round_trip_is_encode_then_decode(spark, hostile, out_chars):
+    path = queries.tokenizer_path()
+    want = op_bpe.bpe_decode(op_bpe.bpe_encode(hostile, path), path)
+    assert sorted(map(str, rows_of(op_bpe.bpe_round_trip(hostile, path, out_chars)))) == sorted(map(str, rows_of(want)))
+
+
 def test_bpe_query(spark):
     from tokenizers import Tokenizer
 
