@@ -156,5 +156,5 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     An ambiguous text stays, since it is in one language or another.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    known = F.pandas_udf(lambda s: s.map(lambda t: sent.value.predict(t)[0] != UNKNOWN), "boolean")
+    known = F.arrow_udf(lambda s: pa.array([sent.value.predict(t)[0] != UNKNOWN for t in s.to_pylist()], pa.bool_()), "boolean")
     return docs.withColumn(f"{P}known", known(F.col("text").cast("string"))).filter(f"{P}known").drop(f"{P}known")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,26 +192,26 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
         occurs = np.zeros((len(sets), _COLUMNS), np.float32)
         occurs[owner[low:high], column[low:high] - at] = 1
         both += occurs @ occurs.T
-    return both.astype(np.int64)
+    return both
 
 
-def _cell_links(frame: pd.DataFrame, jaccard: float) -> pd.DataFrame:
+def _cell_links(rows: pa.Table, jaccard: float) -> pa.Table:
     """Links ``u > v`` that join different classes among the texts of two parts, one for each joining."""
-    frame = frame.sort_values("own", ignore_index=True)
-    own, links = frame["own"].to_numpy(), []
-    classes = np.unique(frame["label"], return_inverse=True)[1]
+    rows = rows.sort_by("own")
+    own, links = rows["own"].to_numpy(), []
+    classes = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
     if len(own) and classes.max() > 0:
-        sets = [shingle_set(t) for t in frame["text"]]
+        sets = [shingle_set(t) for t in rows["text"].to_pylist()]
         size = np.array([len(s) for s in sets])
         both = _shared(sets)
-        alike = both >= jaccard * (size[:, None] + size - both)
         for u in range(len(own)):
-            near = np.flatnonzero(alike[u] & (classes != classes[u]))
+            alike = both[u] >= jaccard * (size[u] + size - both[u].astype(np.float64))
+            near = np.flatnonzero(alike & (classes != classes[u]))
             for other, first in zip(*np.unique(classes[near], return_index=True), strict=True):
                 v = near[first]
                 links.append((max(own[u], own[v]), min(own[u], own[v])))
                 classes[classes == other] = classes[u]
-    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+    return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
 
 def alike_pairs(
@@ -289,7 +288,7 @@ def alike_pairs(
         met = F.transform(other, lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
         cells = left.join(found, "own").select("key", F.explode(met).alias("cell"), "part", "own", "label", "text")
         cells = cells.select("key", "cell.i", "cell.j", "part", "own", "label", "text")
-        joined = cells.groupBy("key", "i", "j").applyInPandas(lambda f: _cell_links(f, jaccard), "u long, v long")
+        joined = cells.groupBy("key", "i", "j").applyInArrow(lambda t: _cell_links(t, jaccard), "u long, v long")
         links = durable(links.union(joined).distinct())
     discard(members, signed, left)
     return links
