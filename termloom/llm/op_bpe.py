@@ -30,7 +30,7 @@ CACHE = 200_000
 OUT_CHARS = 4 << 20
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """Character -> byte of the byte-level alphabet: printable bytes stand for
     themselves, the others for the characters from 256 on."""
     own = set(chain.from_iterable(PRINTABLE))
@@ -47,7 +47,7 @@ class Bpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte = _byte_chars()
+        byte = byte_chars()
         raw = {t: bytes(byte[c] for c in t) for t in spec["model"]["vocab"]}
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -156,6 +156,55 @@ FROM good GROUP BY doc_id, item_id
 """
 
 
+def op12_vector_code(spark, sf_dir):
+    from termloom.llm.op_vectorcode import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+#: Parts and entries by position, distances of all parts to all entries, twice a new codebook, once more the codes.
+OP12_SQL = """
+WITH kept AS (
+  SELECT vec_id, label, embedding AS v, len(embedding) // 16 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), x AS (
+  SELECT vec_id, (j - 1) // w AS p, (j - 1) % w AS i, floor(256 * v[j]::DOUBLE)::BIGINT AS c
+  FROM (SELECT vec_id, v, w, unnest(generate_series(1, len(v))) AS j FROM kept)
+), b0 AS (
+  SELECT p, e, i, c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)
+), d0 AS (
+  SELECT vec_id, p, e, sum((x.c - b.c) * (x.c - b.c)) AS d FROM x JOIN b0 b USING (p, i) GROUP BY ALL
+), a0 AS (SELECT vec_id, p, min({'d': d, 'e': e}).e AS e FROM d0 GROUP BY ALL
+), b1 AS (
+  SELECT p, e, i, coalesce(n.c, b0.c) AS c
+  FROM b0 LEFT JOIN (SELECT p, e, i, floor(sum(c) / count(*))::BIGINT AS c FROM x JOIN a0 USING (vec_id, p) GROUP BY ALL) n USING (p, e, i)
+), d1 AS (
+  SELECT vec_id, p, e, sum((x.c - b.c) * (x.c - b.c)) AS d FROM x JOIN b1 b USING (p, i) GROUP BY ALL
+), a1 AS (SELECT vec_id, p, min({'d': d, 'e': e}).e AS e FROM d1 GROUP BY ALL
+), b2 AS (
+  SELECT p, e, i, coalesce(n.c, b1.c) AS c
+  FROM b1 LEFT JOIN (SELECT p, e, i, floor(sum(c) / count(*))::BIGINT AS c FROM x JOIN a1 USING (vec_id, p) GROUP BY ALL) n USING (p, e, i)
+), d2 AS (
+  SELECT vec_id, p, e, sum((x.c - b.c) * (x.c - b.c)) AS d FROM x JOIN b2 b USING (p, i) GROUP BY ALL
+), a2 AS (SELECT vec_id, p, min({'d': d, 'e': e}) AS m FROM d2 GROUP BY ALL
+), coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a2 JOIN kept USING (vec_id) GROUP BY ALL
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) FROM b2) AS codebooks_sha256
+FROM coded
+"""
+
+
+WORDS = "word_bpe_49k.json"
+
+
+def op13_packing(spark, sf_dir):
+    from termloom.llm.op_packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(WORDS))
+
+
 def queries():
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -168,6 +217,8 @@ def queries():
         "op8_license_scan": op8_license_scan,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
+        "op12_vector_code": op12_vector_code,
+        "op13_packing": op13_packing,
     }
 
 
@@ -176,4 +227,5 @@ def oracle_sql():
     return {
         "op6_decontamination": OP6_SQL,
         "op10_line_dedup": OP10_SQL,
+        "op12_vector_code": OP12_SQL,
     }
