@@ -156,6 +156,15 @@ FROM good GROUP BY doc_id, item_id
 """
 
 
+PIECES = "piece_bpe_32k.model"
+
+
+def op11_alignment(spark, sf_dir):
+    from termloom.llm.op_alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 def op12_vector_code(spark, sf_dir):
     from termloom.llm.op_vectorcode import compress
 
@@ -166,7 +175,7 @@ def op12_vector_code(spark, sf_dir):
 OP12_SQL = """
 WITH kept AS (
   SELECT vec_id, label, embedding AS v, len(embedding) // 16 AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), x AS (
   SELECT vec_id, (j - 1) // w AS p, (j - 1) % w AS i, floor(256 * v[j]::DOUBLE)::BIGINT AS c
   FROM (SELECT vec_id, v, w, unnest(generate_series(1, len(v))) AS j FROM kept)
@@ -217,6 +226,7 @@ def queries():
         "op8_license_scan": op8_license_scan,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
+        "op11_alignment": op11_alignment,
         "op12_vector_code": op12_vector_code,
         "op13_packing": op13_packing,
     }
