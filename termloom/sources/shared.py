@@ -32,9 +32,29 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: what follows starts from files
-    that outlive any executor, and is not computed twice."""
+    that outlive any executor, and is not computed twice.
+
+    The files belong to the session: they go when it ends, or with ``removed``.
+    """
     spark, path = df.sparkSession, fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.kept_at = path
+    return back
+
+
+def removed(*frames: DataFrame) -> None:
+    """Remove what ``kept`` wrote for these, once nothing reads them any more."""
+    for df in frames:
+        fs, at = _file_system(df.sparkSession, df.kept_at)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
