@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.sources.shared import fresh_path
+from termloom.sources.shared import kept, removed
 
 #: Internal columns start with this, so that a caller's columns never clash.
 P = "__llm_"
@@ -19,21 +19,14 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it back.
 
     The plan above starts from files that outlive any executor, and the file
-    sizes give the optimizer real statistics.
+    sizes give the optimizer real statistics.  The files go with ``discard``, or when the session ends.
     """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.durable_path = path
-    return back
+    return kept(df)
 
 
 def discard(*frames: DataFrame) -> None:
     """Remove what ``durable`` wrote for these, once nothing reads them any more."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    removed(*frames)
 
 
 #: Texts are long: an Arrow batch holds so many rows and, where Spark knows the setting, bytes.
