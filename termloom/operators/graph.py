@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from termloom.functions.text import similarity_tokens
+from termloom.operators.partners import HOLDERS, SEEKERS, profiles, ranked_kinds
 from termloom.operators.ranking import placed_in_group
 from termloom.operators.taxonomy import UNSORTED
-from termloom.sources.shared import kept
+from termloom.sources.shared import kept, removed
 
 MIN_RELATED, MAX_RELATED = 3, 5
-#: Tokens that more terms than this share are met through sets of such tokens, not one by one.
-COMMON = 64
+#: Short terms that one step of ``refilled`` serves.
+STRETCH = 8192
 
 
 def edges_of(terms: DataFrame) -> DataFrame:
@@ -27,84 +28,19 @@ def clean_edges(terms: DataFrame) -> DataFrame:
     return e.join(terms.select(F.col("slug").alias("dst")), "dst", "left_semi").select("src", "dst", "pos")
 
 
-def pair_score(cats: tuple[Column, Column], tokens: tuple[Column, Column]) -> Column:
-    """100 for each shared category, 20 for each shared title token, 2 for each shared token of
-    the definitions, and 15 if the category sets are the same.  Tokens carry ``t`` or ``d`` in front."""
-    shared, both = F.array_intersect(*cats), F.array_intersect(*tokens)
-    titles = F.size(F.filter(both, lambda t: t.startswith("t")))
-    same = (F.size(cats[0]) == F.size(cats[1])) & (F.size(shared) == F.size(cats[0]))
-    return (100 * F.size(shared) + 18 * titles + 2 * F.size(both) + F.when(same, 15).otherwise(0)).cast("int")
-
-
-def _profiles(terms: DataFrame, common: int) -> DataFrame:
-    """``(slug, cats, toks, often, sig, often_sig)``: what a term's scores rest on.
-
-    ``toks``: tokens that some other term has too; ``often``: those of them that more than
-    ``common`` terms have.  Terms with one ``sig`` score alike against every term.
-    """
-    none = F.array().cast("array<string>")
-    marked = lambda mark, c: F.transform(F.coalesce(similarity_tokens(c), none), lambda t: F.concat(F.lit(mark), t))
-    toks = F.array_union(marked("t", F.concat_ws(" ", "slug", "title_ko", "title_en")), marked("d", F.col("definition")))
-    t = terms.select("slug", F.array_sort(F.array_distinct("categories")).alias("cats"), toks.alias("toks"))
-    long = t.select("slug", F.explode("toks").alias("tok"))
-    shared = long.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
-    own = long.join(shared, "tok").groupBy("slug").agg(
-        F.array_sort(F.collect_list("tok")).alias("toks"), F.array_sort(F.collect_list(F.when(F.col("df") > common, F.col("tok")))).alias("often"))
-    p = t.select("slug", "cats").join(own, "slug", "left").select("slug", "cats", F.coalesce("toks", none).alias("toks"), F.coalesce("often", none).alias("often"))
-    key = lambda c: F.md5(F.to_json(F.struct("cats", c)).cast("binary"))
-    return p.withColumn("sig", key("toks")).withColumn("often_sig", key("often"))
-
-
-def _least(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """The ``k`` least slugs of each group."""
-    return rows.select(by, F.col("slug").alias("dst")).withColumn("i", F.row_number().over(W.partitionBy(by).orderBy("dst"))).filter(F.col("i") <= k).drop("i")
-
-
 def _best(rows: DataFrame, by: str, k: int) -> DataFrame:
     """The ``k`` best of each group: highest score, then slug."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "dst"))).filter(F.col("rank") <= k)
 
 
-def best_pairs(terms: DataFrame, k: int = MAX_RELATED, common: int = COMMON) -> DataFrame:
+def best_pairs(terms: DataFrame, k: int = MAX_RELATED, holders: int = HOLDERS) -> DataFrame:
     """``(src, dst, score, rank)``: the best ``k`` partners of each term among all that share a
-    category with it (``pair_score``); ties go by slug.  The result is exact, yet no
-    category is paired with itself term by term:
-
-    - Terms with equal categories and shared tokens score alike, so they are paired as one and
-      ranked once, each kind by its ``k + 1`` least slugs.
-    - Kinds that share a token of at most ``common`` terms meet on that token.
-    - Any other pair shares common tokens only.  Its score is that of two *sets* of common
-      tokens, so these sets are paired within categories, and of each only the ``k + 1`` least
-      slugs can be among the best.
-
-    Work grows with the terms and with the different sets of common tokens in a
-    category, not with the square of the category.
-    """
-    p = kept(_profiles(terms, common))
-    kinds = p.select("sig", "often_sig", "cats", "toks", "often").distinct()
-
-    rare = kinds.select("sig", F.explode(F.array_except("toks", "often")).alias("tok"))
-    met = rare.alias("a").join(rare.withColumnRenamed("sig", "other").alias("b"), "tok").select("sig", "other").distinct()
-    near = (
-        met.join(kinds.select("sig", F.col("cats").alias("c1"), F.col("toks").alias("t1")), "sig")
-        .join(kinds.select(F.col("sig").alias("other"), F.col("cats").alias("c2"), F.col("toks").alias("t2")), "other")
-        .filter(F.arrays_overlap("c1", "c2"))
-        .select("sig", F.col("other"), pair_score((F.col("c1"), F.col("c2")), (F.col("t1"), F.col("t2"))).alias("score"))
-    )
-    near = near.join(_least(p, "sig", k + 1).withColumnRenamed("sig", "other"), "other").select("sig", "dst", "score")
-
-    sets = p.select("often_sig", "cats", F.col("often").alias("toks")).distinct()
-    by = sets.select("*", F.explode("cats").alias("c"))
-    a, b = by.alias("a"), by.alias("b")
-    pairs = a.join(b, F.col("a.c") == F.col("b.c")).filter(F.col("a.c") == F.array_intersect("a.cats", "b.cats")[0])
-    pairs = pairs.select(
-        F.col("a.often_sig").alias("often_sig"), F.col("b.often_sig").alias("other"),
-        pair_score((F.col("a.cats"), F.col("b.cats")), (F.col("a.toks"), F.col("b.toks"))).alias("score"))
-    far = pairs.join(_least(p, "often_sig", k + 1).withColumnRenamed("often_sig", "other"), "other").select("often_sig", "dst", "score")
-    far = kinds.select("sig", "often_sig").join(_best(far, "often_sig", k + 1).drop("rank"), "often_sig").select("sig", "dst", "score")
-
-    ranked = _best(near.unionByName(far).groupBy("sig", "dst").agg(F.max("score").alias("score")), "sig", k + 1).drop("rank")
-    own = p.select(F.col("slug").alias("src"), "sig").join(ranked, "sig").filter("src <> dst").select("src", "dst", "score")
+    category with it; ties go by slug.  Exact; see ``partners`` for scores, bounds and pieces of ``holders`` kinds."""
+    p = kept(profiles(terms))
+    kinds = p.select("sig", "cats", "feats").distinct()
+    # One more than wanted, as a term is among its own kind's partners.
+    ranked = ranked_kinds(kinds.withColumn("k", F.lit(k + 1)), kinds, p.select("sig", "slug"), (SEEKERS, max(holders, 1)))
+    own = p.select(F.col("slug").alias("src"), "sig").join(ranked.drop("rank"), "sig").filter("src <> dst").select("src", "dst", "score")
     return _best(own, "src", k)
 
 
@@ -132,7 +68,7 @@ def mutual_top(best: DataFrame) -> DataFrame:
     return best.join(back, ["src", "dst"]).select("src", "dst", "score", "rank")
 
 
-def reciprocated(terms: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
+def reciprocated(terms: DataFrame, links: DataFrame) -> DataFrame:
     """``(src, dst, pos)``: every one-way link is answered or dropped, term after term in input order.
 
     A term asks, at its turn, each one-way partner for a link back.  A list with room (under
@@ -140,8 +76,9 @@ def reciprocated(terms: DataFrame, links: DataFrame, max_rounds: int = 200) -> D
     from ranks, with no fold over the terms: before its owner's turn it takes the first
     askers that fit; at that turn it loses the links that were refused to the owner; after
     it, the first later askers that fit what is then free.  Only the last depends on other lists,
-    those that refused the owner, so lists are settled in rounds along chains of links
-    to ever earlier terms.  A round is one join over the links still open.
+    by how many of them refused the owner.  Each round bounds that number from both sides and settles every asker whose
+    answer is the same at either bound; in any case the earliest list that is open is settled.  A round is one join
+    over the links still open, and only chains of links to ever earlier terms on which room really hangs need many.
     """
     order = terms.select("slug", "term_ord")
     e = links.select("src", "dst", "pos").join(order.select(F.col("slug").alias("src"), F.col("term_ord").alias("at")), "src").join(
@@ -161,90 +98,101 @@ def reciprocated(terms: DataFrame, links: DataFrame, max_rounds: int = 200) -> D
     asks = kept(asks.join(taken, "dst", "left").withColumn("left", F.col("room") - F.coalesce("took", F.lit(0))).drop("took"))
     done = asks.filter("early").select("src", "dst", (F.col("nth") <= F.col("room")).alias("ok"))
     opened = asks.filter("not early")
-    n_asks = asks.groupBy("src").agg(F.count("*").alias("asked"))
-    for _ in range(max_rounds):
-        done = kept(done)
-        settled = done.groupBy("src").agg(F.count("*").alias("heard"), F.count_if(~F.col("ok")).alias("refused"))
-        # An owner whose own asks have all been heard has its final list at its turn.
-        owner = n_asks.join(settled, "src", "left").select(F.col("src").alias("dst"), (F.col("asked") == F.coalesce("heard", F.lit(0))).alias("ready"), F.coalesce("refused", F.lit(0)).alias("refused"))
-        state = opened.join(done.select("src", "dst"), ["src", "dst"], "left_anti").join(owner, "dst", "left")
-        ready = F.coalesce("ready", F.lit(True))
-        new = state.filter(ready).select("src", "dst", (F.col("nth") <= F.col("left") + F.coalesce("refused", F.lit(0))).alias("ok"))
-        if not state.limit(1).count():
-            break
-        done = done.unionByName(new)
-    else:
-        raise RuntimeError(f"links did not settle in {max_rounds} rounds")
+    n_asks = kept(asks.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("asked")))
+    done, opened = kept(done), kept(opened.join(n_asks, "dst", "left").fillna(0, ["asked"]))
+    while opened.limit(1).count():
+        settled = done.groupBy(F.col("src").alias("dst")).agg(F.count_if("ok").alias("took"), F.count_if(~F.col("ok")).alias("refused"))
+        state = opened.join(settled, "dst", "left").fillna(0, ["took", "refused"])
+        # An owner gets back at least the links refused so far, at most those not accepted so far.
+        yes, no = F.col("nth") <= F.col("left") + F.col("refused"), F.col("nth") > F.col("left") + F.col("asked") - F.col("took")
+        state = kept(state.withColumn("ok", F.when(yes, True).when(no, False)).drop("took", "refused"))
+        before = done, opened
+        done = kept(done.unionByName(state.filter("ok IS NOT NULL").select("src", "dst", "ok")))
+        opened = kept(state.filter("ok IS NULL").drop("ok"))
+        removed(*before, state)
     own = e.join(done, ["src", "dst"], "left").filter("answered or ok").select("src", "dst", F.col("pos").cast("long").alias("pos"))
     pushed = done.filter("ok").join(order.select(F.col("slug").alias("src"), "term_ord"), "src")
     return own.unionByName(pushed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("term_ord") + 2_000_000).cast("long").alias("pos")))
 
 
-def refilled(terms: DataFrame, links: DataFrame, k: int = 32, max_rounds: int = 400) -> DataFrame:
+def _served(members: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """Serve ``members`` in input order, each with the first candidates of its kind that have room.
+
+    Ends at the first member whose list ends before it has enough though the kind has more candidates.  The last row
+    holds, without a partner, the last member served.
+    """
+    size = dict(zip(lists["dst"], lists["z"], strict=True)) | dict(zip(members["slug"], members["z"], strict=True))
+    linked = {s: {s, *x} for s, x in zip(members["slug"], members["links"], strict=True)}
+    lists = lists.sort_values(["sig", "rank"])
+    of = {sig: (g["dst"].tolist(), bool(g["whole"].iloc[0])) for sig, g in lists.groupby("sig")}
+    first: dict[str, int] = {}
+    rows, last = [], None
+    for at, slug, sig in members.sort_values("at")[["at", "slug", "sig"]].itertuples(index=False):
+        names, whole = of.get(sig, ([], True))
+        i = first.get(sig, 0)
+        while i < len(names) and size[names[i]] >= MAX_RELATED:
+            i += 1
+        first[sig] = i
+        need, picks = MIN_RELATED - size[slug], []
+        while len(picks) < need and i < len(names):
+            if size[names[i]] < MAX_RELATED and names[i] not in linked[slug]:
+                picks.append(names[i])
+            i += 1
+        if len(picks) < need and not whole:
+            break
+        for n, other in enumerate(picks):
+            size[slug] += 1
+            size[other] += 1
+            linked[slug].add(other)
+            if other in linked:
+                linked[other].add(slug)
+            rows.append((slug, other, at, n))
+        last = at
+    return pd.DataFrame([*rows, (None, None, last, 0)], columns=["src", "dst", "at", "n"])
+
+
+def refilled(terms: DataFrame, links: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Terms with under three links take, in input order, their best candidates that still have room;
     both ends gain the link.
 
-    What a term takes depends on what earlier terms took.  Each round lets all short terms choose
-    at once under the choices that the last round gave their predecessors.  The first
-    term is right after one round, the next after two at the latest, and choices that no longer
-    change are those of the term-by-term pass.  A list with five links takes no
-    more, so at most five gains of it count in any join.  ``k``: candidates looked at for
-    each short term; where they run out, twice as many are taken.
+    What a term takes depends on what every earlier one took, so short terms are served in input order, a stretch of bounded
+    size at a time.  Before each stretch all lists and their room are brought up to date by joins, and each *kind* in
+    it gets one ranked list of the terms with room, long enough for all its members: terms that tie share a list and take
+    the next free places of it one after the other.  A task then serves the stretch; it holds at most ``stretch`` terms
+    and some four candidates for each.  If other kinds have used up a list that was cut, the stretch ends there and the
+    next one begins with a fresh list.  So steps are the number of short terms over ``stretch``, ties or not, and every step
+    serves at least one term.
     """
-    order = terms.select("slug", "term_ord")
-    size = links.groupBy(F.col("src").alias("slug")).agg(F.count("*").alias("z"))
-    size = kept(order.join(size, "slug", "left").select("slug", "term_ord", F.coalesce("z", F.lit(0)).alias("z")))
-    short = size.filter(F.col("z") < MIN_RELATED).select(F.col("slug").alias("src"), F.col("term_ord").alias("at"), F.col("z").alias("own"))
-    if not short.limit(1).count():
-        return links
-    everyone = terms.count()
+    p = kept(profiles(terms).join(terms.select("slug", F.col("term_ord").cast("long").alias("at")), "slug"))
+    kinds = kept(p.select("sig", "cats", "feats").distinct())
+    now, gained, served = links.select("src", "dst"), None, None
     while True:
-        cand = best_pairs(terms, k).select("src", "dst", "rank").join(short, "src").join(links.select("src", "dst"), ["src", "dst"], "left_anti")
-        cand = kept(cand.join(size.select(F.col("slug").alias("dst"), "z"), "dst").filter(F.col("z") < MAX_RELATED))
-        picks, last = None, None
-        for _ in range(max_rounds):
-            if picks is None:
-                open_ = cand.withColumn("more", F.lit(0)).withColumn("gained", F.lit(0)).withColumn("has", F.lit(False))
-            else:
-                gain = picks.select(F.col("dst").alias("v"), F.col("at").alias("when"), F.lit(1).alias("n")).unionByName(
-                    picks.groupBy(F.col("src").alias("v"), F.col("at").alias("when")).agg(F.count("*").cast("int").alias("n")))
-                first = gain.withColumn("i", F.row_number().over(W.partitionBy("v").orderBy("when"))).filter(F.col("i") <= MAX_RELATED).drop("i")
-                more = cand.join(first, (F.col("dst") == F.col("v")) & (F.col("when") < F.col("at"))).groupBy("src", "dst").agg(F.sum("n").alias("more"))
-                got = first_gains(picks)
-                partner = picks.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("at").alias("when"))
-                open_ = (
-                    cand.join(more, ["src", "dst"], "left").join(got, "src", "left").join(partner, ["src", "dst"], "left")
-                    .withColumn("more", F.coalesce("more", F.lit(0))).withColumn("has", F.coalesce(F.col("when") < F.col("at"), F.lit(False)))
-                    .withColumn("gained", F.size(F.filter(F.coalesce("whens", F.array().cast("array<int>")), lambda w: w < F.col("at"))))
-                )
-            free = open_.filter((F.col("z") + F.col("more") < MAX_RELATED) & ~F.col("has"))
-            nth = F.row_number().over(W.partitionBy("src").orderBy("rank"))
-            chosen = free.withColumn("nth", nth).filter(F.col("nth") <= MIN_RELATED - F.col("own") - F.col("gained"))
-            picks = kept(chosen.select("src", "dst", F.col("at").cast("int").alias("at")))
-            state = picks.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-            if state == last:
-                break
-            last = state
-        else:
-            raise RuntimeError(f"choices did not settle in {max_rounds} rounds")
-        # A term that is still short may have run out of the candidates looked at.
-        ends = picks.select("src", "dst").unionByName(picks.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        still = short.join(ends.groupBy("src").agg(F.count("*").alias("n")), "src", "left").filter(F.col("own") + F.coalesce("n", F.lit(0)) < MIN_RELATED)
-        if k >= everyone or not still.limit(1).count():
+        size = now.groupBy(F.col("src").alias("slug")).agg(F.count("*").cast("int").alias("z"), F.collect_list("dst").alias("links"))
+        state = kept(p.select("slug", "at", "sig").join(size, "slug", "left").select(
+            "slug", "at", "sig", F.coalesce("z", F.lit(0)).alias("z"), F.when(F.col("z") < MIN_RELATED, F.col("links")).otherwise(F.array().cast("array<string>")).alias("links")))
+        short = state.filter(F.col("z") < MIN_RELATED)
+        members = kept((short if served is None else short.filter(F.col("at") > served)).orderBy("at").limit(stretch)).withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+        if not members.limit(1).count():
             break
-        k *= 2
-    both = picks.select("src", "dst", "at").unionByName(picks.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "at"))
-    # A term's own choices come in order of rank, after what it had.
-    rank = cand.select("src", "dst", "rank")
-    new = both.join(rank, ["src", "dst"], "left").select("src", "dst", (F.col("at").cast("long") * (1 << 31) + (1 << 40) + F.coalesce("rank", F.lit(0))).alias("pos"))
-    return links.unionByName(new)
-
-
-def first_gains(picks: DataFrame) -> DataFrame:
-    """``(src, whens)``: when a term was first chosen by others; three suffice to need nothing more."""
-    by = W.partitionBy("dst").orderBy("at")
-    few = picks.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= MIN_RELATED)
-    return few.groupBy(F.col("dst").alias("src")).agg(F.collect_list(F.col("at").cast("int")).alias("whens"))
+        room = state.filter(F.col("z") < MAX_RELATED)
+        wanted = members.groupBy("sig").agg((MIN_RELATED * F.count("*") + 32).cast("int").alias("k"))
+        holders = kinds.join(room.select("sig").distinct(), "sig", "left_semi")
+        lists = ranked_kinds(kinds.join(wanted, "sig"), holders, room.select("sig", "slug"))
+        n = W.partitionBy("sig")
+        lists = lists.join(wanted, "sig").withColumn("whole", F.count("*").over(n) < F.col("k")).join(room.select(F.col("slug").alias("dst"), "z"), "dst")
+        one = lambda d, *c: d.select(F.lit(0).alias("one"), *c).groupBy("one")
+        picks = kept(
+            one(members, "at", "slug", "sig", "z", "links").cogroup(one(lists, "sig", "rank", "dst", "z", "whole"))
+            .applyInPandas(lambda m, c: _served(m, c), "src string, dst string, at long, n int"))
+        served = picks.agg(F.max("at")).first()[0]
+        new = picks.filter("src IS NOT NULL")
+        both = new.select("src", "dst", (F.col("at") * 8 + F.col("n") + (1 << 40)).alias("pos")).unionByName(
+            new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("at") * 8 + (1 << 40)).alias("pos")))
+        before, gained = gained, kept(both if gained is None else gained.unionByName(both))
+        removed(*([before] if before is not None else []), picks, state)
+        now = links.select("src", "dst").unionByName(gained.select("src", "dst"))
+    removed(kinds, p)
+    return links if gained is None else links.unionByName(gained)
 
 
 def reconcile(terms: DataFrame, links: DataFrame) -> DataFrame:
