@@ -85,7 +85,7 @@ def best_of(flat: np.ndarray, sizes: np.ndarray, seekers: list[np.ndarray], ks:
             score[rows[start[f] : start[f + 1]]] += w
         i, among = few, None
         while i < len(at):
-            if among is None:
+            if among is None and score.max() > left[i]:
                 least = int(np.partition(score, n - k)[n - k])
                 if least > left[i]:
                     among = np.flatnonzero(score >= least - left[i])

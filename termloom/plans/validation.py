@@ -15,20 +15,20 @@ def _slug(c: str):
 
 
 def related_lists(spark, sf_dir):
-    """``(slug, term_ord, related)``: parts with lists out of large returned lines, in order of line.
+    """``(slug, term_ord, related)``: parts with lists out of all lines, by line number.
 
-    A line of part p with number n leads to part p + n - 1, so lists hold the part itself, repeats
-    and, at the end of the table, parts that do not exist."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 46 and l_returnflag = 'R'")
-    own = lines.groupBy(F.col("l_partkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_linenumber"]).alias("ns"))
+    Where at least half the lines of part p with number n were returned, p leads to part p + (n - 1) mod 6, so lists hold
+    the part itself, repeats and, at the end of the table, parts that do not exist."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linenumber").agg((2 * F.count_if(F.col("l_returnflag") == "R") >= F.count("*")).alias("back")).filter("back")
+    own = lines.groupBy(F.col("l_partkey").alias("k")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("ns"))
     p = table(spark, sf_dir, "part").join(own, F.col("k") == F.col("p_partkey"), "left")
-    related = F.transform("ns", lambda n: F.concat(F.lit("part-"), (F.col("p_partkey") + n - 1).cast("string")))
+    related = F.transform("ns", lambda n: F.concat(F.lit("part-"), (F.col("p_partkey") + (n - 1) % 6).cast("string")))
     return p.select(_slug("p_partkey").alias("slug"), F.col("p_partkey").cast("int").alias("term_ord"), related.alias("related"), "p_name", "p_type", "p_brand", "p_size")
 
 
-_RELATED = """l AS (
-  SELECT l_partkey AS src, l_partkey + l_linenumber - 1 AS dst, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos
-  FROM lineitem WHERE l_quantity >= 46 AND l_returnflag = 'R'
+_RELATED = """l AS MATERIALIZED (
+  SELECT l_partkey AS src, l_partkey + (l_linenumber - 1) % 6 AS dst, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber) - 1 AS pos
+  FROM (SELECT l_partkey, l_linenumber FROM lineitem GROUP BY ALL HAVING 2 * count(*) FILTER (l_returnflag = 'R') >= count(*))
 ), n AS (SELECT p_partkey AS k, count(l.src) AS n FROM part LEFT JOIN l ON src = p_partkey GROUP BY 1)"""
 
 
@@ -174,18 +174,51 @@ def links_filled(spark, sf_dir):
 
 
 _TOK = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({}), '[^a-z0-9가-힣]+', ' ', 'g'), '\\s+'), lambda t: length(t) >= 2))"
-LINKS_FILLED = f"""WITH {_RELATED}, own AS MATERIALIZED (
+_OWN = f"""{_RELATED}, own AS MATERIALIZED (
   SELECT src, dst, min(pos) AS pos FROM l JOIN part ON p_partkey = dst WHERE src <> dst GROUP BY 1, 2
-), t AS MATERIALIZED (
+)"""
+_SCORED = f"""t AS MATERIALIZED (
   SELECT p_partkey AS k, 'part-' || p_partkey AS slug, p_type, p_brand, {_TOK.format("'part-' || p_partkey || ' ' || p_name")} AS title, {_TOK.format("p_name || ' ' || p_type || ' ' || p_brand")} AS def FROM part
-), short AS (SELECT p_partkey AS k, count(own.src) AS n FROM part LEFT JOIN own ON src = p_partkey GROUP BY 1 HAVING count(own.src) < 3
-), s AS (
-  SELECT a.slug AS src, b.slug AS dst, n, 100 * ((a.p_type = b.p_type)::INT + (a.p_brand = b.p_brand)::INT) + 20 * len(list_intersect(a.title, b.title)) + 2 * len(list_intersect(a.def, b.def))
+), s AS MATERIALIZED (
+  SELECT a.k AS src, b.k AS dst, 'part-' || b.k AS name, 100 * ((a.p_type = b.p_type)::INT + (a.p_brand = b.p_brand)::INT) + 20 * len(list_intersect(a.title, b.title)) + 2 * len(list_intersect(a.def, b.def))
     + CASE WHEN a.p_type = b.p_type AND a.p_brand = b.p_brand THEN 15 ELSE 0 END AS score
-  FROM short JOIN t a ON a.k = short.k JOIN t b ON (a.p_type = b.p_type OR a.p_brand = b.p_brand) AND a.k <> b.k
-  WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.src = a.k AND own.dst = b.k)
-), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS i FROM s)
-SELECT 'part-' || src AS src, 'part-' || dst AS dst, pos FROM own UNION ALL SELECT src, dst, i + 1000000 FROM r WHERE i <= 5 - n"""
+  FROM t a JOIN t b ON (a.p_type = b.p_type OR a.p_brand = b.p_brand) AND a.k <> b.k
+), short AS (SELECT p_partkey AS src, count(own.src) AS n FROM part LEFT JOIN own ON own.src = p_partkey GROUP BY 1 HAVING count(own.src) < 3
+), r AS (
+  SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY score DESC, name) AS i FROM s JOIN short USING (src) ANTI JOIN own USING (src, dst)
+), filled AS MATERIALIZED (SELECT src, dst, pos FROM own UNION ALL SELECT src, dst, i + 1000000 FROM r WHERE i <= 5 - n)"""
+LINKS_FILLED = f"WITH {_OWN}, {_SCORED} SELECT 'part-' || src AS src, 'part-' || dst AS dst, pos FROM filled"
+
+
+def _lists(links):
+    """All parts' lists as one row; place k + 1 of ``lists`` is the list of part k, as places of other lists."""
+    return f"""SELECT 0 AS t, list(coalesce(ls, []) ORDER BY k) AS lists FROM (
+    SELECT p_partkey AS k, list(dst + 1 ORDER BY pos) FILTER (dst IS NOT NULL) AS ls FROM part LEFT JOIN {links} ON src = p_partkey GROUP BY 1)"""
+
+
+#: One turn: partners that lack the term take it up where they have room; it drops those that have none.
+_ANSWER = """list_transform(lists, lambda l, i: CASE
+    WHEN i = t + 1 THEN list_filter(l, lambda p: list_contains(lists[p], i) OR len(lists[p]) < 5)
+    WHEN list_contains(lists[t + 1], i) AND NOT list_contains(l, t + 1) AND len(l) < 5 THEN list_append(l, t + 1) ELSE l END)"""
+_TURNS = "(SELECT count(*) FROM part)"
+#: Parts are numbered from 0 in input order, so turn t + 1 is that of part t.
+LINKS_ANSWERED = f"""WITH RECURSIVE {_OWN}, turn AS ({_lists('own')}
+  UNION ALL SELECT t + 1, {_ANSWER} FROM turn WHERE t < {_TURNS}
+), last AS (SELECT lists FROM turn WHERE t = {_TURNS})
+SELECT 'part-' || p_partkey AS src, 'part-' || (unnest(lists[p_partkey + 1]) - 1) AS dst FROM part, last"""
+
+LINKS_RECONCILED = f"""WITH RECURSIVE {_OWN}, {_SCORED}, turn AS ({_lists('filled')}
+  UNION ALL SELECT t + 1, {_ANSWER} FROM turn WHERE t < {_TURNS}
+), best AS MATERIALIZED (SELECT src, list(dst + 1 ORDER BY score DESC, name) AS c FROM s GROUP BY 1
+), again AS (SELECT 0 AS t, lists FROM turn WHERE t = {_TURNS}
+  UNION ALL SELECT t + 1, list_transform(lists, lambda l, i: CASE
+    WHEN i = t + 1 THEN list_concat(l, picks) WHEN list_contains(picks, i) THEN list_append(l, t + 1) ELSE l END)
+  FROM (SELECT t, lists, CASE WHEN len(lists[t + 1]) < 3
+    THEN list_filter(coalesce(c, []), lambda x: len(lists[x]) < 5 AND NOT list_contains(lists[t + 1], x))[:3 - len(lists[t + 1])] ELSE [] END AS picks
+    FROM again LEFT JOIN best ON best.src = t WHERE t < {_TURNS})
+), last AS (SELECT lists FROM again WHERE t = {_TURNS})
+SELECT 'part-' || k AS src, 'part-' || (l[i] - 1) AS dst, i - 1 AS pos FROM (
+  SELECT p_partkey AS k, lists[p_partkey + 1] AS l, unnest(generate_series(1, least(5, len(lists[p_partkey + 1])))) AS i FROM part, last)"""
 
 
 def links_answered(spark, sf_dir):
@@ -199,12 +232,12 @@ def links_reconciled(spark, sf_dir):
     from termloom.sources.shared import kept
 
     t = graph_terms(spark, sf_dir)
-    return G.reconcile(t, kept(G.fill(t)))
+    return G.reconcile(t, kept(G.fill(t))).select("src", "dst", F.col("pos").cast("long").alias("pos"))
 
 
 _NAMES = [
     "dq_unknown_categories", "dq_wrong_subcategory", "dq_broken_links", "dq_english_titles", "dq_korean_titles", "dq_thin_entries", "dq_edge_rules", "dq_pages", "dq_slug_rules",
-    "dq_category_overlap", "batch_tallies", "links_filled",
+    "dq_category_overlap", "batch_tallies", "links_filled", "links_answered", "links_reconciled",
 ]
-QUERIES = {n: globals()[n] for n in [*_NAMES, "links_answered", "links_reconciled"]}
+QUERIES = {n: globals()[n] for n in _NAMES}
 SQL = {n: globals()[n.upper()] for n in _NAMES}
