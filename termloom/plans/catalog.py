@@ -174,13 +174,13 @@ def edge_symmetry(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     a, b = lines.alias("a"), lines.alias("b")
     led = a.join(b, "l_orderkey").filter("a.l_partkey <> b.l_partkey and a.l_quantity > b.l_quantity")
-    return G.asymmetric(led.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct())
+    return G.asymmetric(kept(led.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()))
 
 
 EDGES = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey)"
 EDGE_SYMMETRY = """WITH e AS MATERIALIZED (
-  SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey AND a.l_quantity > b.l_quantity
-) SELECT src, dst FROM e ANTI JOIN (SELECT dst AS src, src AS dst FROM e) USING (src, dst)"""
+  SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey <> b.l_partkey AND a.l_quantity > b.l_quantity
+) SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)"""
 
 
 def edge_dedup(spark, sf_dir):
@@ -329,8 +329,50 @@ p AS (SELECT word, key, levenshtein(word, key) AS e FROM w JOIN k ON length(word
 r AS (SELECT word, key, e / greatest(length(word), length(key)) AS score FROM p)
 SELECT word, key, round(score, 6) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score, key) AS place FROM r WHERE score <= 0.2) WHERE place <= 3"""
 
+def named_terms(spark, sf_dir):
+    """Parts, suppliers and customers as terms: a part's type and brand as aliases, a name's number as the alias of the others."""
+    p = part_terms(spark, sf_dir).select("slug", "title_ko", "title_en", "aliases", F.col("term_ord").cast("long").alias("term_ord"))
+    for t, key, name, base in (("supplier", "s_suppkey", "s_name", 1 << 40), ("customer", "c_custkey", "c_name", 1 << 41)):
+        p = p.unionByName(table(spark, sf_dir, t).select(
+            F.concat(F.lit(t + "-"), F.col(key).cast("string")).alias("slug"), F.col(name).alias("title_ko"), F.lit(t).alias("title_en"),
+            F.array(F.col(key).cast("string")).alias("aliases"), (F.col(key) + base).cast("long").alias("term_ord")))
+    return p
+
+
+def fuzzy_search(spark, sf_dir):
+    """Every word of the benchmark, and every part's name cut by its last letter, searched in all names at once."""
+    from termloom.operators import fuzzy
+
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("query"))
+    cut = table(spark, sf_dir, "part").select(F.expr("left(p_name, length(p_name) - 1)").alias("query"))
+    found = fuzzy.search_many(words.unionByName(cut), named_terms(spark, sf_dir))
+    return found.select("query", "slug", "tier", F.round("score", 6).alias("score"), "place")
+
+
+FUZZY_SEARCH = """WITH q AS (
+  SELECT DISTINCT q FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS q FROM benchmark UNION ALL SELECT lower(trim(left(p_name, length(p_name) - 1))) FROM part) WHERE q <> ''
+), f AS (
+  SELECT slug, term_ord, u.f AS field, lower(trim(u.n)) AS name FROM (
+    SELECT 'part-' || p_partkey AS slug, p_partkey AS term_ord, unnest([{'f': 'title_en', 'n': p_name}, {'f': 'alias', 'n': p_type}, {'f': 'alias', 'n': p_brand}]) AS u FROM part
+    UNION ALL SELECT 'supplier-' || s_suppkey, s_suppkey + (1::BIGINT << 40), unnest([{'f': 'title_ko', 'n': s_name}, {'f': 'title_en', 'n': 'supplier'}, {'f': 'alias', 'n': s_suppkey::VARCHAR}]) FROM supplier
+    UNION ALL SELECT 'customer-' || c_custkey, c_custkey + (1::BIGINT << 41), unnest([{'f': 'title_ko', 'n': c_name}, {'f': 'title_en', 'n': 'customer'}, {'f': 'alias', 'n': c_custkey::VARCHAR}]) FROM customer
+  ) WHERE trim(u.n) <> ''
+), m AS MATERIALIZED (
+  SELECT q, name, levenshtein(q, name) / greatest(length(q), length(name)) AS share
+  FROM q JOIN (SELECT DISTINCT name FROM f) n ON abs(length(q) - length(name)) <= 0.4 * greatest(length(q), length(name))
+  WHERE levenshtein(q, name) / greatest(length(q), length(name)) <= 0.4
+), p AS (
+  SELECT q, slug, field, min(share) AS share, min(term_ord) AS term_ord FROM m JOIN f USING (name) GROUP BY ALL
+), h AS (
+  SELECT q, slug, sum(round(CASE field WHEN 'title_ko' THEN 0.55 WHEN 'title_en' THEN 0.3 ELSE 0.15 END::DOUBLE * (1 - share), 9)::DECIMAL(12,9)) AS score,
+    min(CASE WHEN share = 0 THEN 0 ELSE 1 END) AS tier, min(term_ord) AS term_ord FROM p GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, CASE WHEN tier = 1 THEN -score END, term_ord, slug) AS place FROM h
+) SELECT q AS query, slug, tier, round(score::DOUBLE, 6) AS score, place::INT AS place FROM r WHERE place <= 8"""
+
+
 _NAMES = [
-    "search_rank", "contains_filter", "near_titles", "header_search", "category_counts", "primary_counts", "taxonomy_rollup", "featured_counts",
+    "fuzzy_search", "search_rank", "contains_filter", "near_titles", "header_search", "category_counts", "primary_counts", "taxonomy_rollup", "featured_counts",
     "subcategory_order", "subcategory_pages", "related_topk", "related_mutual", "edge_symmetry", "edge_dedup", "indegree", "difficulty_tertiles",
     "prerequisites", "learning_order", "progress_pct", "largest_subgraph", "section_starts", "newest_items",
     "circular_layout", "category_order", "facets", "near_words",
