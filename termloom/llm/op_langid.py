@@ -81,7 +81,7 @@ class LanguageModel:
 def train(docs: DataFrame, sample: int = SAMPLE, lang_col: str = "lang") -> LanguageModel:
     """Fit on rows outside the evaluation fold with a language.
 
-    The n-grams of about ``sample`` texts per language are counted by Spark; only
+    The n-grams of at most about ``sample`` different texts per language are counted by Spark; only
     the sums, one vector per language, reach the driver.
     """
     rows = texts(docs).withColumn("lang", F.lit(None)) if lang_col not in docs.columns else docs.select(
@@ -94,7 +94,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, lang_col: str = "lang") -> Lang
     if not languages:
         return LanguageModel([], np.ones((0, 1)), np.zeros((1 << BITS, 1)), np.ones(1), np.ones(1))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / sizes[k])))])
-    chosen = rows.filter(hash_fraction(F.col("doc_id")) < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    # Drawn by id and text, each different text once: however many rows repeat an id or a text, the bound holds.
+    chosen = rows.filter(hash_fraction(F.col("doc_id"), F.col("text")) < F.try_element_at(share, F.col("lang"))).select("lang", "text").distinct()
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

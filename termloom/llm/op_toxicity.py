@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import hash_fraction, held_out, texts
+from termloom.llm.common import discard, durable, hash_fraction, held_out, texts
 from termloom.llm.ngrams import chunks, letters
 
 SIZES, BITS = (3, 4, 5, 6), 20
@@ -18,6 +18,8 @@ SAMPLE = 12_000
 #: n-grams kept: those whose log-count ratio stands out most against its own error.
 FEATURES = 4096
 SMOOTH = 0.5
+#: An n-gram that fewer training texts hold is no feature: its ratio says nothing yet.
+LEAST = 3
 
 
 @dataclass
@@ -73,7 +75,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     driver.  With labels of one kind only, or none, every score is 1 or 0 by kind,
     or 0.
     """
-    chosen = _examples(docs, labels, sample)
+    # A few thousand texts at most, read three times below: written once.
+    chosen = durable(_examples(docs, labels, sample))
 
     def count(batches):
         sums = np.zeros((2, 1 << BITS), np.int64)
@@ -87,6 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     pos, neg = n["pos"] or 0, n["all"] - (n["pos"] or 0)
     slot = np.full(1 << BITS, -1, np.int32)
     if not pos or not neg:
+        discard(chosen)
         return ToxicityModel(slot, np.zeros(1), 30.0 if pos else -30.0)
     p = (F.col("pos") + SMOOTH) / (pos + 2 * SMOOTH)
     q = (F.col("neg") + SMOOTH) / (neg + 2 * SMOOTH)
@@ -95,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     kept = (
         chosen.mapInArrow(count, "bucket int, pos long, neg long")
         .groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .filter(F.col("pos") + F.col("neg") >= 3)
+        .filter(F.col("pos") + F.col("neg") >= LEAST)
         # At most 2**BITS rows are left; few partitions, as each sends its best to the driver.
         .repartition(8)
         .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / error).alias("stands_out"))
@@ -111,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
 
     rows = chosen.mapInArrow(reduce, "toxic int, features array<int>").toPandas()
     # Rows arrive in any order; the fit below sums over all of them.
+    discard(chosen)
     y = (rows["toxic"].to_numpy() > 0).astype(float)
     lens = rows["features"].map(len).to_numpy()
     doc, feat = np.repeat(np.arange(len(rows)), lens), np.concatenate([np.empty(0, np.int32), *rows["features"]]).astype(int)

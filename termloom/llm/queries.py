@@ -119,40 +119,30 @@ def op7_fingerprint(spark, sf_dir):
 def op6_decontamination(spark, sf_dir):
     from termloom.llm.op_decontam import contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shift", "n_equal")
 
 
+#: Every alignment of every document with every item that has an equal token, without masks.
 OP6_SQL = r"""
-WITH dt AS (
-  SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents
-), bt AS (
-  SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark
-), dw AS (
-  SELECT id, t, unnest(generate_series(1, len(t) - 7)) AS p FROM dt WHERE len(t) >= 8
-), bw AS (
-  SELECT id, t, unnest(generate_series(1, len(t) - 7)) AS p FROM bt WHERE len(t) >= 8
-), hit AS (
-  SELECT d.id AS doc_id, b.id AS item_id, d.p, b.p AS q
-  FROM (SELECT id, p, [t[p], t[p+1], t[p+2], t[p+4], t[p+6], t[p+7]] AS k FROM dw) d
-  JOIN (SELECT id, p, [t[p], t[p+1], t[p+2], t[p+4], t[p+6], t[p+7]] AS k FROM bw) b ON d.k = b.k
-  UNION
-  SELECT d.id, b.id, d.p, b.p
-  FROM (SELECT id, p, [t[p], t[p+1], t[p+4], t[p+5], t[p+6], t[p+7]] AS k FROM dw) d
-  JOIN (SELECT id, p, [t[p], t[p+1], t[p+4], t[p+5], t[p+6], t[p+7]] AS k FROM bw) b ON d.k = b.k
-), tok AS (
-  SELECT h.*, len(bt.t) AS n, j,
-         (p + j >= 1 AND q + j >= 1 AND coalesce(dt.t[p + j] = bt.t[q + j], false))::INT AS eq
-  FROM hit h JOIN dt ON dt.id = h.doc_id JOIN bt ON bt.id = h.item_id,
-       unnest(generate_series(-5, 12)) AS u(j)
+WITH dt AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents
+), bt AS MATERIALIZED (
+  SELECT item_id, row_number() OVER () AS i, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) >= 8
+), bw AS MATERIALIZED (SELECT i, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS q FROM bt
+), dw AS (SELECT r, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS p FROM dt
+), eq AS (SELECT r, i, p - q AS shift, q FROM dw JOIN bw USING (w)
+), many AS (SELECT r, i, shift, list(q ORDER BY q) AS qs FROM eq GROUP BY ALL HAVING count(*) >= 7
 ), run AS (
-  SELECT *, sum(eq) OVER (PARTITION BY doc_id, item_id, p, q ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s FROM tok
+  SELECT r, i, shift, q, count(*) OVER (PARTITION BY r, i, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n
+  FROM (SELECT r, i, shift, unnest(qs) AS q FROM many)
 ), good AS (
-  SELECT doc_id, item_id, p - q AS shift, q, max(s) AS n_equal
-  FROM run GROUP BY doc_id, item_id, p, q, n HAVING max(s) >= ceil(least(n, 13) * 0.8)
+  SELECT r, i, shift, max(n) AS n_equal FROM run JOIN dt USING (r) JOIN bt USING (i)
+  WHERE least(len(bt.t), len(dt.t) - shift) - greatest(0, -shift) >= 8
+  GROUP BY r, i, shift, len(bt.t) HAVING max(n) >= ceil(least(len(bt.t), 13) * 0.8)
 )
-SELECT doc_id, item_id, arg_max(shift, (n_equal, -shift))::BIGINT AS shift, max(n_equal)::BIGINT AS n_equal,
-       (min(q) - 1)::BIGINT AS item_from, (max(q) + 7)::BIGINT AS item_to
-FROM good GROUP BY doc_id, item_id
+SELECT doc_id, item_id, arg_max(shift, (n_equal, -shift))::BIGINT AS shift, max(n_equal)::BIGINT AS n_equal
+FROM good JOIN dt USING (r) JOIN bt USING (i) GROUP BY doc_id, item_id
 """
 
 
