@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from termloom.operators.ranking import placed_in_group
+from termloom.operators.ranking import DAY, placed_in_group, running, slices
 
 
 def owned(rows: DataFrame, user_id, user: str = "user_id") -> DataFrame:
@@ -112,12 +112,14 @@ def study_deck(cards: DataFrame, last: DataFrame, session: list[str], deck: str,
 
 
 def streaks(answers: DataFrame, user: str, good: Column, order: list[str]) -> DataFrame:
-    """Each answer's running streak: good ones in a row, 0 at a bad one."""
-    by = W.partitionBy(user).orderBy(*order)
-    island = F.sum((~good).cast("long")).over(by)
-    rows = answers.withColumn("_good", good).withColumn("_island", island)
-    inside = F.sum(F.col("_good").cast("long")).over(W.partitionBy(user, "_island").orderBy(*order))
-    return rows.withColumn("streak", F.when(F.col("_good"), inside).otherwise(0)).drop("_good", "_island")
+    """Each answer's running streak: good ones in a row, 0 at a bad one.
+
+    The good answers so far, less those up to the last bad one; both run over days (``running``), so that one user's
+    answers are spread over tasks."""
+    cell = slices(answers, order[0])
+    rows = running(answers.withColumn("_good", good), [user], cell, order, {"_so_far": ("sum", F.col("_good").cast("long"))})
+    rows = running(rows, [user], cell, order, {"_at_bad": ("max", F.when(~F.col("_good"), F.col("_so_far")))})
+    return rows.withColumn("streak", F.when(F.col("_good"), F.col("_so_far") - F.coalesce("_at_bad", F.lit(0))).otherwise(0)).drop("_good", "_so_far", "_at_bad")
 
 
 def quiz_totals(answers: DataFrame, user: str, good: Column, order: list[str], timed_out: Column | None = None) -> DataFrame:
@@ -147,9 +149,32 @@ def retry_questions(answers: DataFrame, user: str, item: str, good: Column, time
 
 
 def debounced(events: DataFrame, key: str, quiet: str, time: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Events after which their key stays quiet for the interval: the last keystroke of each burst."""
-    nxt = F.lead(time).over(W.partitionBy(key).orderBy(time, tie))
-    return events.withColumn("_next", nxt).filter(F.col("_next").isNull() | (F.col("_next") >= F.col(time) + F.expr(f"INTERVAL {quiet}"))).drop("_next")
+    """Events after which their key stays quiet for the interval: the last keystroke of each burst.
+
+    The next event is the earliest later one, found within the day or carried back from the next day that has any."""
+    rows = running(events, [key], slices(events, time), [time, tie], {"_next": ("min", F.col(time))}, later=True, own=False)
+    return rows.filter(F.col("_next").isNull() | (F.col("_next") >= F.col(time) + F.expr(f"INTERVAL {quiet}"))).drop("_next")
+
+
+#: Seconds for a question of the quiz.
+QUESTION_SECONDS = 15
+# What becomes of a question.
+ANSWERED, TIMED_OUT, LEFT = "answered", "timed_out", "left"
+
+
+def question_outcomes(events: DataFrame, seconds: int = QUESTION_SECONDS, time: str = "ts", tie: str = "event_id") -> DataFrame:
+    """``(user_id, question, shown_at, outcome, ended_at)`` for every question shown.
+
+    ``events (user_id, question, shown boolean, ts, event_id)``: a question is shown, or the open one answered.  It is
+    ``answered`` if an answer is the user's next event and comes before the time is up, ``left`` if another question is shown before that,
+    and otherwise ``timed_out`` when the time is up, though no event says so.  An answer without an open question
+    is no outcome.  The streaming twin is ``state.question_timer``."""
+    following = F.struct(F.col(time).cast("timestamp").alias("at"), F.col(tie).alias("tie"), F.col("shown").alias("again"))
+    rows = running(events, ["user_id"], slices(events, time), [time, tie], {"_next": ("min", following)}, later=True, own=False)
+    shown_at, limit = F.col(time).cast("timestamp"), F.make_dt_interval(secs=F.lit(seconds))
+    in_time = F.coalesce(F.col("_next.at") < shown_at + limit, F.lit(False))
+    outcome = F.when(~in_time, TIMED_OUT).when(F.col("_next.again"), LEFT).otherwise(ANSWERED)
+    return rows.filter("shown").select("user_id", "question", shown_at.alias("shown_at"), outcome.alias("outcome"), F.when(in_time, F.col("_next.at")).otherwise(shown_at + limit).alias("ended_at"))
 
 
 def lockout_step(n: int, until: int | None, ts: int, bad: bool, most: int, length: int) -> tuple[int, int | None, bool]:
@@ -168,27 +193,38 @@ def lockouts(attempts: DataFrame, user: str, failed: Column, most: int = 5, minu
     """``(user, locked_at, unlocks_at, n_failures)``: when ``most`` failures in a row lock an account.
 
     Failures have no time window; a success forgets them.  While locked, attempts do
-    nothing; the first one after the lock has run out starts afresh.  A task streams its
-    users' attempts in order of time and holds one user's count and lock, whatever their number.
+    nothing; the first one after the lock has run out starts afresh.
+
+    After a success that no failure precedes by less than a lock's length, the account is neither locked nor counting,
+    whatever came before.  Such successes cut a user's attempts into stretches that are folded apart, so one user keeps many tasks
+    busy; a task streams its stretches in order of time and holds one count and one lock.  Only failures that never cease for
+    ``minutes`` are one stretch.  The user's own type is kept.
     """
     length = minutes * 60_000_000
+    rows = attempts.select(F.col(user).alias("u"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.coalesce(failed, F.lit(False)).alias("bad"), F.col(tie).alias("tie"))
+    kind = rows.schema["u"].dataType.simpleString()
+    cell = F.floor(F.col("t") / DAY)
+    rows = running(rows, ["u"], cell, ["t", "tie"], {"_failed": ("max", F.when(F.col("bad"), F.col("t")))}, own=False)
+    clear = ~F.col("bad") & (F.col("_failed").isNull() | (F.col("t") - F.col("_failed") >= length))
+    rows = running(rows, ["u"], cell, ["t", "tie"], {"stretch": ("max", F.when(clear, F.col("t")))})
 
     def fold(batches):
         last, n, until = None, 0, None
         for b in batches:
-            out = []
-            for u, t, bad in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if u != last:
-                    last, n, until = u, 0, None
+            at, bounds, counts = [], [], []
+            for i, (u, s, t, bad) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)):
+                if (u, s) != last:
+                    last, n, until = (u, s), 0, None
                 n, until, locked = lockout_step(n, until, t, bad, most, length)
                 if locked:
-                    out.append((u, t, until, n))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["u", "l", "e", "n"])
-
-    rows = attempts.select(F.col(user).cast("long").alias("u"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.coalesce(failed, F.lit(False)).alias("bad"), F.col(tie).alias("tie"))
-    rows = rows.repartition("u").sortWithinPartitions("u", "t", "tie").select("u", "t", "bad")
-    out = rows.mapInArrow(fold, "u long, l long, e long, n int")
+                    at.append(i)
+                    bounds.append(until)
+                    counts.append(n)
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(2).take(where), pa.array(bounds, pa.int64()), pa.array(counts, pa.int32())], ["u", "l", "e", "n"])
+
+    rows = rows.repartition("u", "stretch").sortWithinPartitions("u", "stretch", "t", "tie").select("u", "stretch", "t", "bad")
+    out = rows.mapInArrow(fold, f"u {kind}, l long, e long, n int")
     return out.select(F.col("u").alias(user), F.timestamp_micros("l").alias("locked_at"), F.timestamp_micros("e").alias("unlocks_at"), F.col("n").alias("n_failures"))
 
 

@@ -8,6 +8,8 @@ from termloom.functions import text as T
 from termloom.operators import ledger as L
 from termloom.operators import quiz as Z
 from termloom.plans.common import part_terms, table
+from termloom.sources.shared import fresh_path
+from termloom.streaming import state as ST
 
 
 def latest_state(spark, sf_dir):
@@ -200,8 +202,56 @@ def annotation_records(spark, sf_dir):
 ANNOTATION_RECORDS = """SELECT event_id AS id, user_id AS "documentId", row_number() OVER (PARTITION BY user_id ORDER BY (props::JSON->>'k')::INT, event_id % 50, event_id) AS position, (props::JSON->>'k')::INT AS "pageNumber", event_id % 50 AS "startOffset", event_id % 50 + 5 AS "endOffset", event_type AS "quoteText",
   CASE WHEN event_type <> 'error' THEN event_type ELSE '' END AS note FROM events"""
 
+def _questions(spark, sf_dir):
+    """Views and sign-ups show a question, the others answer one."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("question"), F.col("event_type").isin("view", "signup").alias("shown"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _outcome(rows):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return rows.select("user_id", "question", day("shown_at"), "outcome", day("ended_at"))
+
+
+def question_outcomes(spark, sf_dir):
+    """Questions with three hours for each."""
+    return _outcome(L.question_outcomes(_questions(spark, sf_dir), 10_800))
+
+
+QUESTION_OUTCOMES = """WITH e AS (
+  SELECT user_id, (props::JSON->>'k')::BIGINT AS question, event_type IN ('view', 'signup') AS shown, ts,
+    lead(ts) OVER w AS nxt, lead(event_type IN ('view', 'signup')) OVER w AS again FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), o AS (SELECT *, coalesce(nxt < ts + INTERVAL 3 HOURS, false) AS in_time FROM e WHERE shown)
+SELECT user_id, question, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS shown_at, CASE WHEN NOT in_time THEN 'timed_out' WHEN again THEN 'left' ELSE 'answered' END AS outcome,
+  strftime(CASE WHEN in_time THEN nxt ELSE ts + INTERVAL 3 HOURS END, '%Y-%m-%d %H:%M:%S.%f') AS ended_at FROM o"""
+
+
+def question_timer(spark, sf_dir):
+    """The same from a stream that gets the month in three parts; a last row of no user moves the watermark past all timers."""
+    e = _questions(spark, sf_dir)
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("question"), F.lit(False).alias("shown"), "ts")
+    source, out = fresh_path(spark), fresh_path(spark)
+    day = F.dayofmonth("ts")
+    slices = [e.filter(day <= 10), e.filter((day > 10) & (day <= 20)), e.filter(day > 20), last]
+    slices[0].write.parquet(source)
+    stream = spark.readStream.schema(e.schema).parquet(source)
+    q = ST.question_timer(stream, 10_800).writeStream.format("parquet").option("checkpointLocation", fresh_path(spark)).option("path", out).start()
+    try:
+        q.processAllAvailable()
+        for more in slices[1:]:
+            more.write.mode("append").parquet(source)
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return _outcome(spark.read.parquet(out))
+
+
+QUESTION_TIMER = QUESTION_OUTCOMES
+
+
 _NAMES = [
-    "latest_state", "live_rows", "toggle_state", "mru_queries", "streaks", "quiz_totals", "debounce_sessions", "lockout", "tagged_items", "migrated",
+    "latest_state", "live_rows", "toggle_state", "mru_queries", "streaks", "quiz_totals", "question_outcomes", "question_timer", "debounce_sessions", "lockout", "tagged_items", "migrated",
     "history_dates", "quiz_bands", "event_windows", "lock_seconds", "annotation_records", "quiz_distractors",
 ]
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-from termloom.operators.ledger import lockout_step
+from termloom.operators.ledger import ANSWERED, LEFT, QUESTION_SECONDS, TIMED_OUT, lockout_step
 
 
 def event_time(events: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -49,29 +49,117 @@ def counts_by_window(events: DataFrame, key: str, width: str = "5 minutes", time
     return events.groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
 
 
-def lockouts(attempts: DataFrame, most: int = 5, minutes: int = 5) -> DataFrame:
-    """Streaming twin of ``ledger.lockouts`` over ``(user_id, ts, bad)``.
+def _with_states(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str) -> DataFrame:
+    """``rows`` through a processor with states and timers, which Spark keeps in RocksDB: a setting of the session."""
+    name, usual = "spark.sql.streaming.stateStore.providerClass", "HDFSBackedStateStoreProvider"
+    if rows.sparkSession.conf.get(name).endswith(usual):
+        rows.sparkSession.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time_mode)
 
-    A batch's attempts are taken in order of time; ones that come in a later batch than
-    their successors are taken as they come.
-    """
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, until = state.get if state.exists else (0, None)
+class _Lockouts(StatefulProcessor):
+    def __init__(self, most: int, length: int):
+        self.most, self.length = most, length
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", "n int, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, until = self.state.get() if self.state.exists() else (0, None)
         out = []
-        rows = pd.concat(list(batches)).sort_values("us")
-        for us, bad in zip(rows["us"], rows["bad"], strict=True):
-            n, until, locked = lockout_step(n, until, us, bool(bad), most, minutes * 60_000_000)
+        every = pd.concat(list(rows)).sort_values("us", kind="stable")
+        for us, bad in zip(every["us"], every["bad"], strict=True):
+            n, until, locked = lockout_step(n, until, us, bool(bad), self.most, self.length)
             if locked:
                 out.append((key[0], us, until, n))
-        state.update((n, until))
+        self.state.update((n, until))
         yield pd.DataFrame(out, columns=["user_id", "l", "e", "n"])
 
+    def close(self) -> None:
+        pass
+
+
+def lockouts(attempts: DataFrame, most: int = 5, minutes: int = 5) -> DataFrame:
+    """Streaming twin of ``ledger.lockouts`` over ``(user_id, ts, bad)``.
+
+    A batch's attempts are taken in order of time; ones that come in a later batch than
+    their successors are taken as they come.  A user's state is a count and a time.
+    """
+    kind = attempts.schema["user_id"].dataType.simpleString()
     rows = attempts.select("user_id", F.unix_micros("ts").alias("us"), "bad")
-    locks = rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, l long, e long, n int", "n int, until long", "append", GroupStateTimeout.NoTimeout)
+    locks = _with_states(rows, "user_id", _Lockouts(most, minutes * 60_000_000), f"user_id {kind}, l long, e long, n int", "None")
     return locks.select("user_id", F.timestamp_micros("l").alias("locked_at"), F.timestamp_micros("e").alias("unlocks_at"), F.col("n").alias("n_failures"))
 
 
+class _Questions(StatefulProcessor):
+    """One open question a user; its timer fires without an event."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "question long, at long")
+
+    def _end(self, key, question, at, outcome, ended):
+        self.ended.append((key[0], question, at, outcome, ended))
+
+    def _timer(self, at: int) -> int:
+        return -(-(at + self.limit) // 1000)  # timers count milliseconds
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.ended = []
+        now = self.open.get() if self.open.exists() else None
+        first = now
+        every = pd.concat(list(rows)).sort_values(["us", "tie"])
+        for question, shown, us in zip(every["question"], every["shown"], every["us"], strict=True):
+            if now and us >= now[1] + self.limit:
+                self._end(key, *now, TIMED_OUT, now[1] + self.limit)
+                now = None
+            if shown:
+                if now:
+                    self._end(key, *now, LEFT, us)
+                now = (int(question), int(us))
+            elif now:
+                self._end(key, *now, ANSWERED, us)
+                now = None
+        if now != first:
+            if first:
+                self.handle.deleteTimer(self._timer(first[1]))
+            if now:
+                self.handle.registerTimer(self._timer(now[1]))
+                self.open.update(now)
+            else:
+                self.open.clear()
+        yield self._rows()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ended = []
+        now = self.open.get() if self.open.exists() else None
+        if now and self._timer(now[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self._end(key, *now, TIMED_OUT, now[1] + self.limit)
+            self.open.clear()
+        yield self._rows()
+
+    def _rows(self) -> pd.DataFrame:
+        return pd.DataFrame(self.ended, columns=["user_id", "question", "s", "outcome", "e"])
+
+    def close(self) -> None:
+        pass
+
+
+def question_timer(events: DataFrame, seconds: int = QUESTION_SECONDS, late: str = "1 minute") -> DataFrame:
+    """Streaming twin of ``ledger.question_outcomes`` over ``(user_id, question long, shown, ts, event_id)``.
+
+    A user's open question is a value state with a timer in event time: when the watermark passes its end and no answer has come, the
+    question times out, though no event of that user follows.  Rows later than the watermark are not taken.
+    """
+    kind = events.schema["user_id"].dataType.simpleString()
+    rows = event_time(events, "ts", late).select("user_id", F.col("question").cast("long").alias("question"), "shown", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("tie"))
+    out = _with_states(rows, "user_id", _Questions(seconds * 1_000_000), f"user_id {kind}, question long, s long, outcome string, e long", "EventTime")
+    return out.select("user_id", "question", F.timestamp_micros("s").alias("shown_at"), "outcome", F.timestamp_micros("e").alias("ended_at"))
+
+
 BUCKETS = 64
 
 
