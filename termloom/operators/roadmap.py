@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from termloom.operators.graph import in_degree, inner_edges
 from termloom.operators.ranking import placed_in_group
-from termloom.sources.shared import kept
+from termloom.sources.shared import kept, removed
 
 MAX_PREREQUISITES = 3
 #: Terms of one cell when a group is ranked by input order.
@@ -47,52 +47,83 @@ def learning_order(levels: DataFrame) -> DataFrame:
     return placed_in_group(levels, ["grp"], [level, F.floor(F.col("term_ord") / CELL)], ["term_ord"])
 
 
-def topological_order(levels: DataFrame, needs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _least_before(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(slug, label)``: the least term that leads to a term along edges ``(src, dst)``, itself included.
+
+    In each round a term takes the least label of those that lead to it and then that label's own label, so labels travel about twice
+    as far with every round."""
+    labels = kept(nodes.select("slug", F.col("slug").alias("label")))
+    while True:
+        got = labels.select(F.col("slug").alias("src"), "label").join(edges, "src").groupBy(F.col("dst").alias("slug")).agg(F.min("label").alias("got"))
+        near = labels.join(got, "slug", "left").select("slug", "label", F.least("label", "got").alias("new"))
+        further = labels.select(F.col("slug").alias("new"), F.col("label").alias("jump"))
+        after = kept(near.join(further, "new").select("slug", F.least("new", "jump").alias("label"), (F.least("new", "jump") != F.col("label")).alias("moved")))
+        moved = after.filter("moved").limit(1).count()
+        removed(labels)
+        labels = after
+        if not moved:
+            return labels.select("slug", "label")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(slug, root)``: terms that lead to each other along edges ``(src, dst)`` share a root, the least of them.
+
+    Each term takes the least term that leads to it as its colour.  Of a colour, the terms that lead back to the
+    one it is named after are one component; they go, and the rest is coloured again.  Terms that nothing leads to or that lead
+    nowhere are components of their own and go first.  Every pass ends at least one component of each colour.
+    """
+    left = kept(nodes.select("slug").distinct())
+    ends = lambda e, n: e.join(n.withColumnRenamed("slug", "src"), "src", "left_semi").join(n.withColumnRenamed("slug", "dst"), "dst", "left_semi")
+    inner = kept(ends(edges.select("src", "dst").filter("src <> dst").distinct(), left))
+    found = []
+    while inner.limit(1).count():
+        busy = inner.select(F.col("src").alias("slug")).distinct().join(inner.select(F.col("dst").alias("slug")).distinct(), "slug", "left_semi")
+        live = kept(left.join(busy, "slug", "left_semi"))
+        within = kept(ends(inner, live))
+        colours = kept(_least_before(live, within))
+        of = lambda c: colours.select(F.col("slug").alias(c), F.col("label").alias(f"{c}_label"))
+        same = kept(within.join(of("src"), "src").join(of("dst"), "dst").filter("src_label = dst_label").select("src", "dst"))
+        # The term that a colour is named after is the least of the colour: a term leads back to it if it leads to none less.
+        back = _least_before(live, same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        part = colours.join(back.withColumnRenamed("label", "to"), "slug").filter("label = to").select("slug", F.col("label").alias("root"))
+        part = kept(part.unionByName(left.join(live, "slug", "left_anti").select("slug", F.col("slug").alias("root"))))
+        found.append(part)
+        rest = kept(live.join(part, "slug", "left_anti"))
+        still = kept(ends(same, rest))
+        removed(left, inner, live, within, same, colours)
+        left, inner = rest, still
+    # What no edge is left for is alone.
+    return reduce(DataFrame.unionByName, [*found, left.select("slug", F.col("slug").alias("root"))])
+
+
+def topological_order(levels: DataFrame, needs: DataFrame) -> DataFrame:
     """``(grp, slug, place)`` for any prerequisites ``(src, dst)`` of a group: each term after what it needs.
 
-    Rounds of joins release the terms whose prerequisites are all released.  A term is as
-    hard as the hardest that it rests on; ``place`` goes by that, then depth among equally hard
-    ones, then input order, so that where prerequisites are easier this is
-    ``learning_order``.  Terms on a cycle hold each other up: in a group where nothing
-    can be released, the easiest, first term of those on a cycle is, which cuts it.
-    Unknown slugs and self links are skipped.  A round is as wide as the graph; the number
-    of rounds is the longest chain.
+    Terms that need each other in a circle (``strong_components``) count as one.  It is as hard as the hardest term that it
+    holds or rests on, directly or not, and as deep as the longest chain of equally hard ones below it.
+    ``place`` goes by that, then by a term's own difficulty, then input order.  So where prerequisites are easier than the term this is
+    ``learning_order`` and the depth-first walk; elsewhere a depth-first walk would go down one chain before the
+    next, and this takes all chains level by level.  Unknown slugs and self links are skipped.
+
+    Rounds of joins release what rests only on released terms: as many as the longest chain of different circles.
     """
-    nodes = kept(levels.select("grp", "slug", "term_ord", F.coalesce("difficulty", F.lit(3)).alias("difficulty")))
+    nodes = kept(levels.select("grp", "slug", "term_ord", F.coalesce("difficulty", F.lit(3)).cast("int").alias("difficulty")))
     edges = kept(inner_edges(nodes, needs.select("src", "dst", F.lit(0).alias("pos"))).filter("src <> dst").select("src", "dst").distinct())
-    left, parts = nodes.withColumn("below", F.lit(None).cast("struct<hard:int,depth:int>")), []
-    for _ in range(max_rounds):
-        open_ = edges.join(left.select(F.col("slug").alias("dst")), "dst", "left_semi").select(F.col("src").alias("slug")).distinct()
-        free = left.join(open_, "slug", "left_anti")
-        held = left.join(free.select("grp").distinct(), "grp", "left_anti")
-        if held.limit(1).count():
-            free = free.unionByName(left.join(_cut(held, edges), "slug", "left_semi"))
-        eased = F.col("below").isNull() | (F.col("below.hard") < F.col("difficulty"))
-        own = F.when(eased, F.struct(F.col("difficulty").cast("int").alias("hard"), F.lit(0).alias("depth"))).otherwise(F.struct(F.col("below.hard").alias("hard"), (F.col("below.depth") + 1).alias("depth")))
-        now = kept(free.withColumn("own", own).select("grp", "slug", "term_ord", "own"))
+    of = kept(strong_components(nodes, edges))
+    units = kept(nodes.join(of, "slug").groupBy("root").agg(F.max("difficulty").alias("own")))
+    end = lambda c: of.select(F.col("slug").alias(c), F.col("root").alias(f"{c}_root"))
+    rests = kept(edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).filter("src <> dst").distinct())
+    left, parts = units.withColumn("below", F.lit(None).cast("struct<hard:int,depth:int>")), []
+    while left.limit(1).count():
+        held = rests.join(left.select(F.col("root").alias("dst")), "dst", "left_semi").select(F.col("src").alias("root")).distinct()
+        eased = F.col("below").isNull() | (F.col("below.hard") < F.col("own"))
+        at = F.when(eased, F.struct(F.col("own").alias("hard"), F.lit(0).alias("depth"))).otherwise(F.struct(F.col("below.hard").alias("hard"), (F.col("below.depth") + 1).alias("depth")))
+        now = kept(left.join(held, "root", "left_anti").select("root", at.alias("at")))
         parts.append(now)
-        rests = edges.join(now.select(F.col("slug").alias("dst"), "own"), "dst").groupBy(F.col("src").alias("slug")).agg(F.max("own").alias("own"))
-        left = left.join(now.select("slug"), "slug", "left_anti").join(rests, "slug", "left")
-        left = kept(left.withColumn("below", F.greatest("below", "own")).drop("own"))
-        if not left.limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"chains of prerequisites are longer than {max_rounds}")
-    every = reduce(DataFrame.unionByName, parts)
-    return placed_in_group(every, ["grp"], [F.col("own"), F.floor(F.col("term_ord") / CELL)], ["term_ord", "slug"]).select("grp", "slug", "place")
-
-
-def _cut(held: DataFrame, edges: DataFrame) -> DataFrame:
-    """``slug``: the easiest, first term that lies on a cycle in each group of ``held``, where every term
-    needs another.  Each term points at one that it needs; following pointers for
-    longer than there are terms, by doubling, ends on a cycle."""
-    own = held.select(F.col("slug").alias("dst"), "difficulty", "term_ord")
-    inside = edges.join(own, "dst").join(held.select(F.col("slug").alias("src")), "src", "left_semi")
-    to = kept(inside.groupBy("src").agg(F.min(F.struct("difficulty", "term_ord", "dst")).alias("f")).select("src", F.col("f.dst").alias("to")))
-    for _ in range(held.count().bit_length()):
-        to = kept(to.join(to.select(F.col("src").alias("to"), F.col("to").alias("next")), "to").select("src", F.col("next").alias("to")))
-    on = held.join(to.select(F.col("to").alias("slug")), "slug", "left_semi")
-    return on.groupBy("grp").agg(F.min(F.struct("difficulty", "term_ord", "slug")).alias("f")).select(F.col("f.slug").alias("slug"))
+        above = rests.join(now.withColumnRenamed("root", "dst"), "dst").groupBy(F.col("src").alias("root")).agg(F.max("at").alias("at"))
+        left = kept(left.join(now.select("root"), "root", "left_anti").join(above, "root", "left").select("root", "own", F.greatest("below", "at").alias("below")))
+    every = nodes.join(of, "slug").join(reduce(DataFrame.unionByName, parts), "root") if parts else nodes.withColumn("at", F.lit(None).cast("struct<hard:int,depth:int>"))
+    return placed_in_group(every, ["grp"], [F.col("at"), F.col("difficulty"), F.floor(F.col("term_ord") / CELL)], ["term_ord", "slug"]).select("grp", "slug", "place")
 
 
 def progress(levels: DataFrame, done: DataFrame) -> DataFrame:

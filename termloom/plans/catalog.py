@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.operators import graph as G
@@ -239,6 +240,28 @@ def learning_order(spark, sf_dir):
 LEARNING_ORDER = f"WITH {_INNER} SELECT slug, grp, row_number() OVER (PARTITION BY grp ORDER BY difficulty, slug)::INT AS place FROM lev"
 
 
+def learning_paths(spark, sf_dir):
+    """Each part rests on the two parts of its brand, by number, that share an order with it: circles and chains of any difficulty."""
+    nodes, edges = _graph(spark, sf_dir)
+    levels = kept(R.difficulty(nodes, edges))
+    place = F.row_number().over(W.partitionBy("src").orderBy("dst"))
+    needs = G.inner_edges(levels, edges).withColumn("i", place).filter("i <= 2")
+    return R.topological_order(levels, needs).select("grp", "slug", F.col("place").cast("long").alias("place"))
+
+
+LEARNING_PATHS = f"""WITH RECURSIVE {_INNER}, lvl AS MATERIALIZED (SELECT slug, grp, difficulty FROM lev), need AS MATERIALIZED (
+  SELECT src, dst FROM (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.src ORDER BY e.dst) AS i FROM edges e JOIN lvl a ON a.slug = e.src JOIN lvl b ON b.slug = e.dst WHERE a.grp = b.grp) WHERE i <= 2
+), reach AS (SELECT slug AS src, slug AS dst FROM lvl UNION SELECT r.src, n.dst FROM reach r JOIN need n ON n.src = r.dst
+), root AS MATERIALIZED (SELECT a.src AS slug, min(a.dst) AS root FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1
+), hard AS MATERIALIZED (SELECT r.src AS slug, max(l.difficulty) AS hard FROM reach r JOIN lvl l ON l.slug = r.dst GROUP BY 1
+), down AS MATERIALIZED (
+  SELECT DISTINCT a.root AS src, b.root AS dst FROM need n JOIN root a ON a.slug = n.src JOIN root b ON b.slug = n.dst JOIN hard h ON h.slug = n.src JOIN hard k ON k.slug = n.dst
+  WHERE a.root <> b.root AND h.hard = k.hard
+), chain AS (SELECT DISTINCT root, 0 AS n FROM root UNION SELECT d.src, c.n + 1 FROM chain c JOIN down d ON d.dst = c.root
+), deep AS (SELECT root, max(n) AS depth FROM chain GROUP BY 1
+) SELECT grp, slug, row_number() OVER (PARTITION BY grp ORDER BY hard, depth, difficulty, slug) AS place FROM lvl JOIN root USING (slug) JOIN hard USING (slug) JOIN deep USING (root)"""
+
+
 def progress_pct(spark, sf_dir):
     """Parts that were ever returned, by brand."""
     nodes, _ = _graph(spark, sf_dir)
@@ -374,7 +397,7 @@ FUZZY_SEARCH = """WITH q AS (
 _NAMES = [
     "fuzzy_search", "search_rank", "contains_filter", "near_titles", "header_search", "category_counts", "primary_counts", "taxonomy_rollup", "featured_counts",
     "subcategory_order", "subcategory_pages", "related_topk", "related_mutual", "edge_symmetry", "edge_dedup", "indegree", "difficulty_tertiles",
-    "prerequisites", "learning_order", "progress_pct", "largest_subgraph", "section_starts", "newest_items",
+    "prerequisites", "learning_order", "learning_paths", "progress_pct", "largest_subgraph", "section_starts", "newest_items",
     "circular_layout", "category_order", "facets", "near_words",
 ]
 QUERIES = {n: globals()[n] for n in _NAMES}

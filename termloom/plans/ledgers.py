@@ -146,6 +146,27 @@ def daily_terms(spark, sf_dir):
     return sampling.daily_pick(part_terms(spark, sf_dir), "2026-8-15").select("slug", "pick")
 
 
+#: The generator's steps in 128-bit integers, kept to 32 bits; then five draws without replacement.
+DAILY_TERMS = """WITH RECURSIVE seed AS (
+  SELECT list_reduce(list_prepend(0::HUGEINT, list_transform(string_split('2026-8-15', ''), lambda c: ord(c)::HUGEINT)), lambda h, x: (h * 31 + x) % 4294967296) AS s
+), a AS (SELECT k, (s + k * 1831565813) % 4294967296 AS s FROM seed, generate_series(1, 5) AS g(k)
+), b AS (SELECT k, xor(s, s >> 15) * (s | 1) % 4294967296 AS a FROM a
+), c AS (SELECT k, xor(a, (a + xor(a, a >> 7) * (a | 61) % 4294967296) % 4294967296) AS a FROM b
+), u AS (SELECT k, xor(a, a >> 14)::DOUBLE / 4294967296 AS u FROM c
+), d AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+  SELECT d.k + 1, list_append(gone, list_reduce(list_prepend(floor(u * (n - d.k))::BIGINT, list_sort(gone)), lambda p, g: p + (g <= p)::BIGINT))
+  FROM d JOIN u ON u.k = d.k + 1, (SELECT count(*) AS n FROM part)
+) SELECT 'part-' || p_partkey AS slug, (i - 1)::INT AS pick FROM (SELECT unnest(gone) AS place, generate_subscripts(gone, 1) AS i FROM d WHERE k = 5) JOIN part ON p_partkey = place"""
+
+
+def shuffled_questions(spark, sf_dir):
+    """All parts in a shuffled order, a place for each."""
+    return Z.shuffled(part_terms(spark, sf_dir), "slug", 7).select("slug", F.col("place").cast("long").alias("place"))
+
+
+SHUFFLED_QUESTIONS = "SELECT 'part-' || p_partkey AS slug, row_number() OVER (ORDER BY md5('7:part-' || p_partkey), '7:part-' || p_partkey) - 1 AS place FROM part"
+
+
 def grouped_terms(spark, sf_dir):
     """Parts by brand; small ones have none and count as unsorted."""
     t = part_terms(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("term_ord"), "p_size"), "term_ord")
@@ -179,7 +200,7 @@ SELECT user_id, arg_max(value, ts) AS value, count(*) AS n FROM g GROUP BY user_
 
 _NAMES = [
     "bookmark_terms", "history_list", "own_rows", "valid_records", "cascaded_tags", "quiz_best_scores", "quiz_retry", "flashcard_counts", "flashcard_decks", "quiz_scope",
-    "quiz_questions", "grouped_terms", "search_log", "typing_bursts",
+    "quiz_questions", "daily_terms", "shuffled_questions", "grouped_terms", "search_log", "typing_bursts",
 ]
-QUERIES = {n: globals()[n] for n in [*_NAMES, "daily_terms"]}
+QUERIES = {n: globals()[n] for n in _NAMES}
 SQL = {n: globals()[n.upper()] for n in _NAMES}
