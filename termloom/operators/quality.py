@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.functions.text import spelling_key
@@ -85,13 +86,34 @@ def korean_titles(terms: DataFrame) -> DataFrame:
     return finding(terms.filter((ko != "") & ~ko.rlike("[가-힣]") & ~ko.rlike(r"^[A-Za-z0-9/\-\.\+ ]{1,20}$")), "korean title missing", F.col("slug"), ko)
 
 
-def same_title(terms: DataFrame) -> DataFrame:
-    """Titles that two terms share within overlapping categories."""
+#: Values that a finding names; it counts the others.
+NAMED = 20
+
+
+def named_some(count: Column, values: Column) -> Column:
+    """The first values, and how many more there are."""
+    more = count - F.size(values)
+    return F.concat(F.array_join(values, ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def sharing_titles(terms: DataFrame) -> DataFrame:
+    """``(title, slug)`` of titles that two terms share within overlapping categories: a row for each term."""
     rows = terms.filter("title_ko <> ''").select(F.trim("title_ko").alias("title"), "slug", F.explode(F.array_distinct("categories")).alias("category"))
     # Two terms overlap if they share one category: count terms by title and category.
     twice = rows.groupBy("title", "category").agg(F.countDistinct("slug").alias("n")).filter("n > 1").select("title").distinct()
-    slugs = rows.join(twice, "title").groupBy("title").agg(F.array_join(F.array_sort(F.collect_set("slug")), ", ").alias("slugs"))
-    return finding(slugs, "same title in category", F.col("title"), F.col("slugs"))
+    return rows.select("title", "slug").distinct().join(twice, "title")
+
+
+def same_title(terms: DataFrame) -> DataFrame:
+    """A finding for each title of ``sharing_titles``: its first terms and the number of the others.
+
+    The first ones come from 64 parts of each title's terms, so that no row or task grows with a title that many share."""
+    each = sharing_titles(terms).withColumn("part", F.pmod(F.xxhash64("slug"), F.lit(64)))
+    for by in (["title", "part"], ["title"]):
+        each = each.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy("slug"))).filter(F.col("i") <= NAMED)
+    counts = sharing_titles(terms).groupBy("title").agg(F.count("*").alias("n"))
+    first = each.groupBy("title").agg(F.array_sort(F.collect_list("slug")).alias("slugs")).join(counts, "title")
+    return finding(first, "same title in category", F.col("title"), named_some(F.col("n"), F.col("slugs")))
 
 
 def spelling_drift(terms: DataFrame, title: str) -> DataFrame:

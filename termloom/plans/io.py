@@ -18,7 +18,7 @@ def _dictionary(spark, sf_dir):
 def stored_terms(spark, sf_dir):
     """Terms as JSON lines, read back with defaults and numbered."""
     path = fresh_path(spark)
-    sinks.write_lines(_dictionary(spark, sf_dir).drop("term_ord").coalesce(1).sortWithinPartitions("slug"), path)
+    sinks.write_lines(_dictionary(spark, sf_dir).drop("term_ord"), path)
     t = readers.read_terms(spark, path, lines=True)
     full = readers.with_defaults(t)
     return full.select("slug", "title_en", F.size("related").alias("n_related"), F.size("prerequisites").alias("n_prerequisites"))
@@ -28,14 +28,25 @@ STORED_TERMS = "SELECT 'part-' || p_partkey AS slug, p_name AS title_en, CASE WH
 
 
 def stored_array(spark, sf_dir):
-    """Nations as one JSON array in a file; the reader takes the array and keeps the order."""
+    """Parts as one JSON array over several files, read back in parallel with their order."""
     path = fresh_path(spark)
-    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("slug"), F.concat(F.lit("N "), F.col("n_nationkey").cast("string")).alias("title_en"), F.array(F.col("n_regionkey").cast("string")).alias("categories"), F.col("n_nationkey").alias("term_ord"))
-    sinks.write_array(n, path)
-    return readers.read_terms(spark, path).select("slug", "title_en", "term_ord")
+    sinks.write_array(_dictionary(spark, sf_dir), path)
+    return readers.read_terms(spark, path).select("slug", "title_en", F.coalesce(F.size("related"), F.lit(0)).alias("n_related"), F.col("term_ord").cast("long").alias("term_ord"))
 
 
-STORED_ARRAY = "SELECT n_name AS slug, 'N ' || n_nationkey AS title_en, n_nationkey AS term_ord FROM nation"
+STORED_ARRAY = "SELECT 'part-' || p_partkey AS slug, p_name AS title_en, CASE WHEN p_partkey > 9 THEN 1 ELSE 0 END AS n_related, row_number() OVER (ORDER BY p_partkey) - 1 AS term_ord FROM part"
+
+
+def stored_pretty(spark, sf_dir):
+    """Suppliers as JSON that people read; such layouts are read a file at a time."""
+    path = fresh_path(spark)
+    t = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("slug"), F.lit('a "b"').alias("title_en"), F.array(F.col("s_nationkey").cast("string")).alias("categories"), F.col("s_suppkey").alias("term_ord"))
+    sinks.write_pretty(t, path)
+    text = readers.numbered_lines(spark, path)
+    return text.filter("value rlike '^    .slug'").select(F.regexp_extract("value", r'"slug": "(.*)",$', 1).alias("slug"), (F.col("ord") % 7).alias("at"))
+
+
+STORED_PRETTY = "SELECT s_name AS slug, (2 + 5 * (row_number() OVER (ORDER BY s_suppkey) - 1)) % 7 AS at FROM supplier"
 
 
 def stored_index(spark, sf_dir):
@@ -68,14 +79,14 @@ def stored_maps(spark, sf_dir):
     """Two JSON objects: suppliers' nations, then customers' of the same key; the later wins."""
     paths = []
     for name, key, value in (("supplier", "s_suppkey", "s_nationkey"), ("customer", "c_custkey", "c_nationkey")):
-        rows = table(spark, sf_dir, name).filter(F.col(value) < 20).select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
+        rows = table(spark, sf_dir, name).select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
         paths.append(fresh_path(spark))
         sinks.write_map(rows, paths[-1])
     return readers.read_maps(spark, paths)
 
 
 STORED_MAPS = """SELECT coalesce(c_custkey, s_suppkey)::VARCHAR AS key, coalesce(c_nationkey, s_nationkey)::VARCHAR AS value
-FROM (SELECT * FROM customer WHERE c_nationkey < 20) FULL JOIN (SELECT * FROM supplier WHERE s_nationkey < 20) ON s_suppkey = c_custkey"""
+FROM customer FULL JOIN supplier ON s_suppkey = c_custkey"""
 
 
 def page_dates(spark, sf_dir):
@@ -90,6 +101,23 @@ PAGE_DATES = """SELECT c_custkey AS path, coalesce(strftime(max(o_orderdate), '%
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"""
 
 
+def log_dates(spark, sf_dir):
+    """Orders as an exported log: the customer is the file that a record touches, and its nation's page another; dates out of the log."""
+    path = fresh_path(spark)
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    record = F.concat(F.lit("commit "), F.col("o_orderkey").cast("string"), F.lit("\nAuthor: x\nDate: "), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("\n\nterms/"), F.col("c_custkey").cast("string"), F.lit(".html\nnation/"), F.col("c_nationkey").cast("string"), F.lit(".html\n"))
+    o.select(record.alias("value")).write.text(path)
+    pages = table(spark, sf_dir, "customer").select(F.concat(F.lit("terms/"), F.col("c_custkey").cast("string"), F.lit(".html")).alias("path")).unionByName(
+        table(spark, sf_dir, "nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string"), F.lit(".html")).alias("path")))
+    found = readers.page_dates(pages.withColumn("modified", F.lit("1990-01-01").cast("timestamp")), readers.read_history(spark, path))
+    return found.select("path", F.date_format("last_changed", "yyyy-MM-dd").alias("last_changed"), F.date_format("first_added", "yyyy-MM-dd").alias("first_added"))
+
+
+LOG_DATES = """WITH h AS (SELECT unnest(['terms/' || c_custkey || '.html', 'nation/' || c_nationkey || '.html']) AS path, o_orderdate AS t FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT path, coalesce(strftime(max(t), '%Y-%m-%d'), '1990-01-01') AS last_changed, coalesce(strftime(min(t), '%Y-%m-%d'), '1990-01-01') AS first_added
+FROM (SELECT 'terms/' || c_custkey || '.html' AS path FROM customer UNION ALL SELECT 'nation/' || n_nationkey || '.html' FROM nation) p LEFT JOIN h USING (path) GROUP BY 1"""
+
+
 def page_texts(spark, sf_dir):
     """Conversations as documents of pages: turns are pages, lines their items."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("item", "text"))
@@ -155,8 +183,7 @@ def sitemap(spark, sf_dir):
     every = sinks.appended(pages, at("customer", "c_custkey", 0, "terms/c"))
     path = fresh_path(spark)
     sinks.write_sitemap(every, "https://example.org", path)
-    lines = spark.read.text(path).filter(F.col("value").startswith("<url>"))
-    return lines.select(F.regexp_extract("value", "<loc>(.*?)</loc>", 1).alias("loc"), F.regexp_extract("value", "<lastmod>(.*?)</lastmod>", 1).alias("day"))
+    return sinks.read_sitemap(spark, path).select("loc", F.col("lastmod").alias("day"))
 
 
 SITEMAP = """SELECT 'https://example.org/' || p AS loc, '2026-08-01' AS day FROM (
@@ -187,25 +214,34 @@ f AS (SELECT slug, min((part, ord)) AS f FROM u GROUP BY 1) SELECT slug, f[1]::I
 
 
 def subgraph_documents(spark, sf_dir):
-    """Brands as subcategories: their parts and the links inside."""
+    """Brands as subcategories: their parts and the links inside, in documents of 50 parts, and what the manifest says of each."""
     from termloom.operators.graph import grouped, inner_edges, undirected
 
     t = part_terms(spark, sf_dir)
     nodes = grouped(t)
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select("l_orderkey", F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("slug")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("slug")).distinct()
     a, b = lines.alias("a"), lines.alias("b")
     e = a.join(b, "l_orderkey").filter("a.slug <> b.slug").select(F.col("a.slug").alias("src"), F.col("b.slug").alias("dst"), F.lit(0).alias("pos")).distinct()
     inner = inner_edges(nodes, e)
     once = undirected(inner.withColumn("src_ord", F.col("src")))
     edges = once.join(nodes.select(F.col("slug").alias("src"), "grp"), "src")
-    g = sinks.subgraphs(nodes.join(t.select("slug", F.col("title_en").alias("title")), "slug"), edges)
-    return g.select("grp", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"), F.col("nodes")[0]["slug"].alias("first"))
+    path = fresh_path(spark)
+    sinks.write_subgraphs(nodes.join(t.select("slug", F.col("title_en").alias("title")), "slug"), edges, path, 50)
+    data = spark.read.schema("grp string, chunk int, nodes array<struct<slug:string>>, edges array<array<string>>").json(f"{path}/data")
+    whole = spark.read.schema("grp string, chunks long, nodes long, edges long").json(f"{path}/manifest")
+    return data.join(whole.select("grp", "chunks", F.col("edges").alias("all_edges")), "grp").select(
+        "grp", "chunk", "chunks", "all_edges", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"), F.col("nodes")[0]["slug"].alias("first"))
 
 
-SUBGRAPH_DOCUMENTS = """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 45),
-e AS (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS x, greatest(a.l_partkey, b.l_partkey) AS y FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
-i AS (SELECT p.p_brand AS grp, count(*) AS n FROM e JOIN part p ON p.p_partkey = x JOIN part q ON q.p_partkey = y WHERE p.p_brand = q.p_brand GROUP BY 1)
-SELECT p_brand AS grp, count(*)::INT AS n_nodes, coalesce(max(i.n), 0)::INT AS n_edges, 'part-' || min(p_partkey) AS first FROM part LEFT JOIN i ON i.grp = p_brand GROUP BY p_brand"""
+SUBGRAPH_DOCUMENTS = """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+n AS (SELECT p_brand AS grp, p_partkey AS k, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 50 AS chunk FROM part),
+e AS (SELECT DISTINCT CASE WHEN 'part-' || a.l_partkey < 'part-' || b.l_partkey THEN a.l_partkey ELSE b.l_partkey END AS x, CASE WHEN 'part-' || a.l_partkey < 'part-' || b.l_partkey THEN b.l_partkey ELSE a.l_partkey END AS y
+  FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
+i AS (SELECT p.grp, p.chunk, count(*) AS n FROM e JOIN n p ON p.k = x JOIN n q ON q.k = y WHERE p.grp = q.grp GROUP BY 1, 2)
+SELECT n.grp, n.chunk::INT AS chunk, max(w.chunks) AS chunks, max(w.all_edges) AS all_edges, count(*)::INT AS n_nodes, coalesce(max(i.n), 0)::INT AS n_edges, 'part-' || min(n.k) AS first
+FROM n LEFT JOIN i ON i.grp = n.grp AND i.chunk = n.chunk
+JOIN (SELECT grp, count(DISTINCT n.chunk) AS chunks, coalesce(any_value(s.t), 0)::BIGINT AS all_edges FROM n LEFT JOIN (SELECT grp, sum(n) AS t FROM i GROUP BY 1) s USING (grp) GROUP BY 1) w ON w.grp = n.grp
+GROUP BY n.grp, n.chunk"""
 
 
 def english_pages(spark, sf_dir):
@@ -244,8 +280,25 @@ def feed(spark, sf_dir):
 FEED = """SELECT o_orderkey::VARCHAR AS slug, '<item><title>' || o_orderstatus || ' &amp; ' || o_orderpriority || '</title><link>https://example.org/terms/' || o_orderkey || '.html</link><pubDate>'
   || strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate><description></description></item>' AS xml FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 30"""
 
+
+
+def feed_document(spark, sf_dir):
+    """The whole feed of the newest orders, read back as XML: the channel, and the items it holds."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("slug"), F.concat_ws(" & ", "o_orderstatus", "o_orderpriority").alias("title"), F.lit(None).cast("string").alias("text"),
+        F.col("o_orderdate").cast("timestamp").alias("added"), F.col("o_orderkey").alias("term_ord"))
+    xml = sinks.feed_document(o, "https://example.org", "Orders & more", "The newest")
+    channel = F.from_xml("xml", "channel struct<title:string,language:string,lastBuildDate:string,item:array<struct<title:string,link:string>>>").alias("f")
+    return xml.select(channel).select("f.channel.title", "f.channel.language", F.col("f.channel.lastBuildDate").alias("built"), F.posexplode("f.channel.item").alias("place", "i")).select(
+        F.col("title").alias("feed"), "language", "built", "place", F.col("i.title").alias("title"), F.col("i.link").alias("link"))
+
+
+FEED_DOCUMENT = """WITH n AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 30)
+SELECT 'Orders & more' AS feed, 'ko' AS language, strftime((SELECT max(o_orderdate) FROM n), '%a, %d %b %Y %H:%M:%S GMT') AS built,
+  (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1)::INT AS place, o_orderstatus || ' & ' || o_orderpriority AS title, 'https://example.org/terms/' || o_orderkey || '.html' AS link FROM n"""
+
 _NAMES = [
-    "stored_terms", "stored_array", "stored_index", "stored_pages", "stored_maps", "page_dates", "page_texts", "user_rows", "stored_lists", "appended_log", "upserted_rows", "sitemap",
+    "feed_document", "stored_pretty", "log_dates", "stored_terms", "stored_array", "stored_index", "stored_pages", "stored_maps", "page_dates", "page_texts", "user_rows", "stored_lists", "appended_log", "upserted_rows", "sitemap",
     "page_options", "translated_slugs", "subgraph_documents", "english_pages", "english_index", "feed",
 ]
 QUERIES = {n: globals()[n] for n in _NAMES}

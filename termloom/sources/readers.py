@@ -19,19 +19,55 @@ TERM = T.StructType([
 ])
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(value, ord)``: lines of text, numbered 0.. by file name and place in the file.
+
+    Files are read in parallel, by blocks; each block counts its lines and starts after those of the blocks before it, so
+    one row a block meets in one task.
+    """
+    block = lambda c: F.col(f"_metadata.{c}")
+    rows = spark.read.text(path).select("value", block("file_path").alias("_f"), block("file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    sizes = rows.groupBy("_f", "_b").agg(F.count("*").alias("n"), F.min("_i").alias("_first"))
+    sizes = sizes.select("_f", "_b", "_first", (F.sum("n").over(W.orderBy("_f", "_b")) - F.col("n")).alias("_start"))
+    return rows.join(sizes, ["_f", "_b"]).select("value", (F.col("_start") + F.col("_i") - F.col("_first")).alias("ord"))
+
+
+def _bracketed(lines: DataFrame, opens: str, closes: str, item: str) -> bool | None:
+    """Whether lines are ``opens``, one item each, ``closes``; None where the first character is another one."""
+    text = F.trim("value")
+    is_open, is_close, blank = text == opens, text == closes, text == ""
+    is_item = text.rlike(item)
+    c = lines.agg(
+        F.min_by(text, F.when(~blank, F.col("ord"))).alias("first"), F.count_if(is_open).alias("o"), F.count_if(is_close).alias("c"), F.count_if(~(is_open | is_close | blank | is_item)).alias("odd"),
+        F.min(F.when(is_item, F.col("ord"))).alias("lo"), F.max(F.when(is_item, F.col("ord"))).alias("hi"),
+        F.max(F.when(is_open, F.col("ord"))).alias("at"), F.min(F.when(is_close, F.col("ord"))).alias("end")).first()
+    if c["first"] is None or not c["first"].startswith(opens):
+        return None
+    return c["o"] == 1 and c["c"] == 1 and not c["odd"] and (c["lo"] is None or c["at"] < c["lo"] and c["hi"] < c["end"])
+
+
 def read_terms(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Terms from a JSON array (or JSON lines), with their place.
 
-    A file that is not an array of objects raises.  A single array is one file that Spark
-    parses whole; big dictionaries come as JSON lines, read in parallel.
+    An array that has its brackets and each object on lines of their own, as ``write_array`` and other tools of the
+    format leave it, is read in parallel: one pass sees that the lines are such and in order, another parses them.
+    Any other layout is parsed a file at a time.  A file that is not an array of objects raises.
     """
-    df = spark.read.schema(TERM).option("multiLine", not lines).json(path)
+    known = " or ".join(f"{f.name} is not null" for f in TERM.fields)  # what cannot be parsed comes back as all nulls
     if not lines:
-        head = spark.read.text(path, wholetext=True).filter(~F.col("value").rlike(r"^\s*\["))
-        if head.limit(1).count():
+        rows = numbered_lines(spark, path)
+        plain = _bracketed(rows, "[", "]", r"^\{.*\},?$")
+        if plain is None:
             raise ValueError(f"{path} is not a JSON array")
-    # What cannot be parsed comes back as all nulls.
-    return numbered(df.filter(" or ".join(f"{f.name} is not null" for f in TERM.fields)))
+        if not plain:
+            return numbered(spark.read.schema(TERM).option("multiLine", True).json(path).filter(known))
+        items = rows.withColumn("value", F.regexp_replace(F.trim("value"), ",$", "")).filter("value <> '' and value not in ('[', ']')")
+        parsed = items.select(F.from_json("value", TERM).alias("t"), "ord").select("t.*", "ord").filter(known)
+        # Lines that hold no object leave no gap: the opening bracket is the only line before.
+        first = parsed.agg(F.min("ord")).first()[0] or 0
+        return parsed.withColumn("term_ord", F.col("ord") - first).drop("ord")
+    rows = numbered_lines(spark, path).filter(F.trim("value") != "")
+    return rows.select(F.from_json("value", TERM).alias("t"), F.col("ord").alias("term_ord")).select("t.*", "term_ord").filter(known)
 
 
 def numbered(df: DataFrame, name: str = "term_ord") -> DataFrame:
@@ -70,14 +106,33 @@ def read_rows(spark: SparkSession, kind: str, user_id, columns: list[str] | None
 
 
 def read_maps(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(key, value)`` of several JSON objects; a later file's keys replace earlier ones."""
-    out = None
+    """``(key, value)`` of several JSON objects of texts; a later file's keys replace earlier ones, and a later line's those before it.
+
+    Objects with their braces and each pair on lines of their own are read in parallel; others a file at a time."""
+    kind, out = "map<string,string>", None
     for i, path in enumerate(paths):
-        one = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")).withColumn("_f", F.lit(i))
+        rows = numbered_lines(spark, path)
+        if _bracketed(rows, "{", "}", r'^".*"\s*:.*[^{\[],?$'):
+            pair = F.concat(F.lit("{"), F.regexp_replace(F.trim("value"), ",$", ""), F.lit("}"))
+            one = rows.filter(~F.trim("value").isin("{", "}", "")).select(F.explode(F.from_json(pair, kind)).alias("key", "value"), F.struct(F.lit(i), "ord").alias("_f"))
+        else:
+            one = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("key", "value"), F.struct(F.lit(i), F.lit(0).cast("long").alias("ord")).alias("_f"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("key").agg(F.max_by("value", "_f").alias("value"))
 
 
+def read_history(spark: SparkSession, path: str, mark: str = "commit ") -> DataFrame:
+    """``(path, ts)`` out of an exported log: records that start with ``mark`` and an id, a line ``Date: `` with an ISO time, and after a
+    blank line the paths that the record touches, one a line.
+
+    Spark splits the file at the marks, so a record is a row and its header meets its paths without a shuffle.
+    """
+    record = spark.read.option("lineSep", "\n" + mark).text(path).withColumn("value", F.regexp_replace("value", "^" + mark, ""))
+    when = F.try_to_timestamp(F.regexp_extract("value", r"(?m)^Date:\s*(\S+)\s*$", 1))
+    touched = F.split(F.regexp_extract("value", r"(?s)\n\n(.*)$", 1), "\n")
+    return record.select(when.alias("ts"), F.explode(touched).alias("path")).select(F.trim("path").alias("path"), "ts").filter("path <> '' and ts is not null")
+
+
 def page_dates(pages: DataFrame, history: DataFrame) -> DataFrame:
     """Last and first dates from a history ``(path, ts)``, else the file's own."""
     known = history.groupBy("path").agg(F.max("ts").alias("_last"), F.min("ts").alias("_first"))
@@ -106,8 +161,8 @@ def query_param(url: str, name: str):
 
 
 def resolve_redirects(links: DataFrame, redirects: DataFrame, column: str = "slug") -> DataFrame:
-    """``column`` with old slugs replaced by the ones they redirect to (one hop)."""
-    r = redirects.select(F.col("from_slug").alias(column), "to_slug")
+    """``column`` with old slugs replaced by the ones they redirect to (one hop); of several targets the greatest."""
+    r = redirects.groupBy(F.col("from_slug").alias(column)).agg(F.max("to_slug").alias("to_slug"))
     return links.join(r, column, "left").withColumn(column, F.coalesce("to_slug", column)).drop("to_slug")
 
 
@@ -119,12 +174,14 @@ def unknown_keys(updates: DataFrame, terms: DataFrame, key: str = "slug") -> Dat
 def map_update(terms: DataFrame, updates: DataFrame, column: str, only_if_empty: bool = False, strict: bool = False) -> DataFrame:
     """``column`` from ``updates (slug, value)`` where there is one.
 
-    ``only_if_empty`` keeps what is filled; ``strict`` raises if a key is no term.
+    ``only_if_empty`` keeps what is filled; ``strict`` raises if a key is no term.  Where updates name a slug more
+    than once the one of greatest ``ord`` counts, if they have that column, else the greatest value.
     """
+    by = F.col("ord") if "ord" in updates.columns else F.col("value")
     if strict:
         if unknown_keys(updates, terms).limit(1).count():
             raise ValueError("updates name slugs that are no terms")
-    both = terms.join(updates.select("slug", F.col("value").alias("_v")), "slug", "left")
+    both = terms.join(updates.groupBy("slug").agg(F.max_by("value", by).alias("_v")), "slug", "left")
     old = F.col(column)
     empty = old.isNull() | ((F.size(old) == 0) if isinstance(terms.schema[column].dataType, T.ArrayType) else (old == ""))
     return both.withColumn(column, F.when(F.col("_v").isNotNull() & (empty if only_if_empty else F.lit(True)), F.col("_v")).otherwise(old)).drop("_v")

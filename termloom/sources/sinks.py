@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from termloom.functions.text import date_only, escape_html, escape_xml, url_component, utc_string
+from termloom.operators.ranking import placed_in_group
 
 FEED_ITEMS = 30
 
@@ -16,19 +16,41 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_array(df: DataFrame, path: str) -> None:
-    """One JSON array in one file, a line for each object, in order of ``term_ord``: what other tools
-    read whole.  For dictionaries that one task can hold; big ones go out as lines."""
+def _bracketed(lines: DataFrame, opens: str, closes: str, path: str) -> None:
+    """``(ord, value)`` between two brackets, each on a line of its own and all but the last with a comma.
+
+    The lines are dealt out by ranges of ``ord``, whose first and last parts carry the brackets: the files, one after the
+    other by name, are the document, and no task holds more than its range.
+    """
+    ends = lines.agg(F.min("ord"), F.max("ord"), F.count("*"), F.countDistinct("ord")).first()
+    if ends[2] != ends[3]:
+        raise ValueError("places are not unique")
+    low, high = (ends[0], ends[1]) if ends[2] else (0, 0)
+    comma = lines.select(F.col("ord").cast("long").alias("ord"), F.concat("value", F.when(F.col("ord") < high, ",").otherwise("")).alias("value"))
+    brackets = lines.sparkSession.createDataFrame([(low - 1, opens), (high + 1, closes)], "ord long, value string")
+    comma.unionByName(brackets).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)
+
+
+def write_array(df: DataFrame, path: str, indent: str = "  ") -> None:
+    """A JSON array, a line for each object, in order of ``term_ord``, which must be unique; ``indent`` "" for the compact form."""
     one = F.to_json(F.struct(*[c for c in df.columns if c != "term_ord"]))
-    opens = F.row_number().over(W.orderBy("term_ord")) == 1
-    comma = df.select("term_ord", F.concat(F.when(opens, "[").otherwise(","), one).alias("value"))
-    end = df.sparkSession.createDataFrame([(1 << 62, "]")], "term_ord long, value string")
-    comma.unionByName(end).coalesce(1).sortWithinPartitions("term_ord").select("value").write.mode("overwrite").text(path)
+    _bracketed(df.select(F.col("term_ord").alias("ord"), F.concat(F.lit(indent), one).alias("value")), "[", "]", path)
+
+
+def write_pretty(df: DataFrame, path: str) -> None:
+    """A JSON array as people read it: each object over several lines, two blanks a level, in order of ``term_ord``."""
+    one = F.to_json(F.struct(*[c for c in df.columns if c != "term_ord"]), {"pretty": "true"})
+    deeper = F.concat(F.lit("  "), F.regexp_replace(F.regexp_replace(one, " : ", ": "), "\n", "\n  "))
+    _bracketed(df.select(F.col("term_ord").alias("ord"), deeper.alias("value")), "[", "]", path)
 
 
 def write_map(rows: DataFrame, path: str) -> None:
-    """``(key, value)`` as one JSON object."""
-    rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """``(key, value)`` as one JSON object, a pair a line; a null value is null.  Pairs come in order of a hash of the key, whose
+    first digits are sorted apart."""
+    pair = F.to_json(F.create_map("key", "value"), {"ignoreNullFields": "false"})
+    pairs = rows.select("key", F.concat(F.lit("  "), pair.substr(F.lit(2), F.length(pair) - 2)).alias("value"))
+    ranged = placed_in_group(pairs.withColumn("_all", F.lit(0)), ["_all"], [F.left(F.sha2("key", 256), F.lit(3))], ["key"], "ord")
+    _bracketed(ranged.select("ord", "value"), "{", "}", path)
 
 
 def write_pages(pages: DataFrame, root: str) -> None:
@@ -88,30 +110,83 @@ def write_by_category(terms: DataFrame, path: str) -> None:
     rows.repartition("primary_category", spread).write.mode("overwrite").partitionBy("primary_category").parquet(path)
 
 
-def subgraphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(grp, nodes, edges)``: a row for each group, as a graph viewer reads it."""
-    n = nodes.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("term_ord", "slug", "title"))).alias("nodes"))
-    e = edges.groupBy("grp").agg(F.sort_array(F.collect_list(F.array("src", "dst"))).alias("edges"))
-    return n.join(e, "grp", "left").withColumn("edges", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)))
+#: Nodes of a group in one document.
+CHUNK = 1000
+
+
+def subgraphs(nodes: DataFrame, edges: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``(grp, chunk, nodes, edges)``: each group as documents for a graph viewer.
+
+    A chunk holds up to ``size`` nodes in order of ``term_ord`` and the edges that start at them, so that no row grows with
+    its group, only with the links of ``size`` terms.
+    """
+    placed = placed_in_group(nodes, ["grp"], [F.floor(F.col("term_ord") / 65_536)], ["term_ord", "slug"])
+    at = placed.withColumn("chunk", F.floor((F.col("place") - 1) / size).cast("int"))
+    n = at.groupBy("grp", "chunk").agg(F.sort_array(F.collect_list(F.struct("term_ord", "slug", "title"))).alias("nodes"))
+    own = edges.join(at.select(F.col("slug").alias("src"), "grp", "chunk"), ["src", "grp"])
+    e = own.groupBy("grp", "chunk").agg(F.sort_array(F.collect_list(F.array("src", "dst"))).alias("edges"))
+    return n.join(e, ["grp", "chunk"], "left").withColumn("edges", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)))
+
+
+def write_subgraphs(nodes: DataFrame, edges: DataFrame, path: str, size: int = CHUNK) -> None:
+    """``subgraphs`` as JSON documents below ``path/data`` by ranges of group and chunk, and ``path/manifest``: of each group its
+    number of chunks, nodes and edges."""
+    spark = nodes.sparkSession
+    subgraphs(nodes, edges, size).repartitionByRange("grp", "chunk").sortWithinPartitions("grp", "chunk").write.mode("overwrite").json(f"{path}/data")
+    written = spark.read.schema("grp string, chunk int, nodes array<struct<slug:string>>, edges array<array<string>>").json(f"{path}/data")
+    counts = written.groupBy("grp").agg(F.count("*").alias("chunks"), F.sum(F.size("nodes").cast("long")).alias("nodes"), F.sum(F.size("edges").cast("long")).alias("edges"))
+    counts.write.mode("overwrite").json(f"{path}/manifest")
 
 
 def sitemap_entries(pages: DataFrame, base: str) -> DataFrame:
-    """``(ord, xml)`` of ``(ord, path, modified)``."""
+    """``(ord, loc, lastmod)`` of ``(ord, path, modified)``."""
     loc = F.concat(F.lit(base.rstrip("/") + "/"), F.array_join(F.transform(F.split("path", "/"), url_component), "/"))
-    return pages.select("ord", F.concat(F.lit("<url><loc>"), escape_xml(loc), F.lit("</loc><lastmod>"), date_only(F.col("modified")), F.lit("</lastmod></url>")).alias("xml"))
+    return pages.select("ord", loc.alias("loc"), date_only(F.col("modified")).alias("lastmod"))
+
+
+# What a sitemap is made of, and the entries that one file may hold.
+SITEMAP_NS, SITEMAP_MOST = "http://www.sitemaps.org/schemas/sitemap/0.9", 50_000
+_DECLARED = 'version="1.0" encoding="UTF-8"'
+
 
+def write_sitemap(pages: DataFrame, base: str, path: str, most: int = SITEMAP_MOST) -> int:
+    """Sitemap files of at most ``most`` entries below ``path``, in order of ``ord``, and below ``path`` + ``_index`` one that names them.
 
-def write_sitemap(pages: DataFrame, base: str, path: str) -> int:
-    """Sitemap text files in order of ``ord``; the number of entries must be that of pages."""
-    entries = sitemap_entries(pages, base)
-    head = pages.sparkSession.createDataFrame([(-1, '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), (1 << 62, "</urlset>")], "ord long, xml string")
-    entries.unionByName(head).orderBy("ord").select("xml").write.mode("overwrite").text(path)
-    written = pages.sparkSession.read.text(path).filter(F.col("value").startswith("<url>")).count()
+    Spark's XML source writes ranges of the pages side by side, escapes what needs it and reads the files back: the number of entries
+    must be that of pages.
+    """
+    spark, path = pages.sparkSession, path.rstrip("/")
+    xml = {"declaration": _DECLARED, "indent": ""}
+    entries = sitemap_entries(pages, base).repartitionByRange("ord").sortWithinPartitions("ord").select("loc", "lastmod")
+    entries.write.mode("overwrite").options(**xml, rootTag=f'urlset xmlns="{SITEMAP_NS}"', rowTag="url", maxRecordsPerFile=most).format("xml").save(path)
+    back = read_sitemap(spark, path)
+    files = back.groupBy(F.col("file").alias("loc")).agg(F.count("*").alias("n"), F.max("lastmod").alias("lastmod"))
+    index = files.select(F.concat(F.lit(base.rstrip("/") + "/"), "loc").alias("loc"), "lastmod", "n")
+    index.select("loc", "lastmod").write.mode("overwrite").options(**xml, rootTag=f'sitemapindex xmlns="{SITEMAP_NS}"', rowTag="sitemap").format("xml").save(f"{path}_index")
+    written = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if written != pages.count():
         raise ValueError(f"{written} entries written for {pages.count()} pages")
     return written
 
 
+def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """``(loc, lastmod, file)`` of the files that ``write_sitemap`` left."""
+    rows = spark.read.format("xml").schema("loc string, lastmod string").option("rowTag", "url").load(path)
+    return rows.select("loc", "lastmod", F.col("_metadata.file_name").alias("file"))
+
+
+def feed_document(items: DataFrame, base: str, title: str, description: str, language: str = "ko", limit: int = FEED_ITEMS) -> DataFrame:
+    """``(xml)``: the whole feed, one row: the channel and the newest items in order.  ``limit`` bounds it."""
+    newest = feed_items(items, base, limit)
+    each = newest.agg(F.sort_array(F.collect_list(F.struct(-F.unix_micros(F.col("added").cast("timestamp")), "term_ord", "xml"))).alias("i"), F.max("added").alias("built"))
+    built = utc_string(F.coalesce("built", F.lit("1970-01-01").cast("timestamp")))
+    say = lambda tag, text: F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>\n"))
+    head = F.concat(
+        say("title", escape_xml(F.lit(title))), say("link", escape_xml(F.lit(base.rstrip("/") + "/"))), say("description", escape_xml(F.lit(description))), say("language", F.lit(language)), say("lastBuildDate", built))
+    body = F.array_join(F.transform("i", lambda x: x["xml"]), "\n")
+    return each.select(F.concat(F.lit(f'<?xml {_DECLARED}?>\n<rss version="2.0">\n<channel>\n'), head, body, F.lit("\n</channel>\n</rss>\n")).alias("xml"))
+
+
 def feed_items(items: DataFrame, base: str, limit: int = FEED_ITEMS) -> DataFrame:
     """The newest items ``(slug, title, text, added, term_ord)`` as RSS elements, in order."""
     newest = items.orderBy(F.desc("added"), "term_ord").limit(limit)

@@ -257,3 +257,77 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.related_block(spark.createDataFrame([("b", "nope", 0)], "src string, dst string, pos int"), terms).collect()
     graph = sinks.subgraphs(terms.select(F.lit("g").alias("grp"), "term_ord", "slug", F.col("title_ko").alias("title")), links.withColumn("grp", F.lit("g"))).first()
     assert len(graph["nodes"]) == 2 and graph["edges"] == [["b", "a"]]
+
+
+def test_array_in_parts(spark, tmp_path):
+    """Arrays a line an object are read in parallel, in order, whatever their files; other layouts and bad ones as before."""
+    n = 500
+    t = spark.range(n).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("slug"), F.lit('x "y", [z]').alias("definition"), (F.col("id") * 3 - 7).alias("term_ord")).repartition(5)
+    for name, put in (("a", sinks.write_array), ("b", sinks.write_pretty)):
+        put(t, str(tmp_path / name))
+        got = [(r["slug"], r["term_ord"]) for r in readers.read_terms(spark, str(tmp_path / name)).orderBy("term_ord").collect()] if name == "a" else None
+        assert got is None or got == [(f"t{i}", i) for i in range(n)]
+        text = "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+        import json
+
+        assert [x["slug"] for x in json.loads(text)] == [f"t{i}" for i in range(n)]
+        (tmp_path / f"{name}.json").write_text(text)
+        assert [r["slug"] for r in readers.read_terms(spark, str(tmp_path / f"{name}.json")).orderBy("term_ord").collect()] == [f"t{i}" for i in range(n)]
+    (tmp_path / "one.json").write_text('[\n  {"slug": "q"}\n]\n')
+    (tmp_path / "none.json").write_text("[\n]\n")
+    (tmp_path / "twisted.json").write_text('{"slug": "q"}\n[\n]\n')
+    assert readers.read_terms(spark, str(tmp_path / "one.json")).first()["slug"] == "q"
+    assert readers.read_terms(spark, str(tmp_path / "none.json")).count() == 0
+    with pytest.raises(ValueError):
+        readers.read_terms(spark, str(tmp_path / "twisted.json"))
+    with pytest.raises(ValueError):
+        sinks.write_array(t.withColumn("term_ord", F.lit(1)), str(tmp_path / "ties"))
+
+
+def test_map_in_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", None if i == 3 else f'v "{i}",') for i in range(50)], "key string, value string")
+    sinks.write_map(rows, str(tmp_path / "m"))
+    import json
+
+    text = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
+    assert json.loads(text) == {r["key"]: r["value"] for r in rows.collect()}
+    (tmp_path / "late.json").write_text('{\n  "k1": "new",\n  "k1": "newest"\n}\n')
+    got = {r["key"]: r["value"] for r in readers.read_maps(spark, [str(tmp_path / "m"), str(tmp_path / "late.json")]).collect()}
+    assert got == json.loads(text) | {"k1": "newest"}
+
+
+def test_repeated_updates_and_redirects(spark):
+    terms = spark.createDataFrame([("a", "x"), ("b", "y")], "slug string, subcategory string")
+    twice = spark.createDataFrame([("a", "1", 2), ("a", "2", 1)], "slug string, value string, ord int")
+    assert sorted(map(tuple, readers.map_update(terms, twice, "subcategory").collect())) == [("a", "1"), ("b", "y")]
+    r = spark.createDataFrame([("a", "m"), ("a", "n")], "from_slug string, to_slug string")
+    assert [x["slug"] for x in readers.resolve_redirects(terms, r).orderBy("slug").collect()] == ["b", "n"]
+
+
+def test_sitemap_files_and_index(spark, tmp_path):
+    pages = spark.range(25).select(F.col("id").alias("ord"), F.concat(F.lit("terms/a&b "), F.col("id").cast("string")).alias("path"), F.lit(T0).cast("timestamp").alias("modified"))
+    assert sinks.write_sitemap(pages, "https://example.org", str(tmp_path / "map"), most=4) == 25
+    files = [p for p in (tmp_path / "map").iterdir() if p.name.startswith("part-")]
+    assert len(files) >= 7 and all(p.read_text().count("<url>") <= 4 and "<urlset xmlns=" in p.read_text() for p in files)
+    index = "".join(p.read_text() for p in (tmp_path / "map_index").iterdir() if p.name.startswith("part-"))
+    assert all(f"https://example.org/{p.name}" in index for p in files if "<url>" in p.read_text())
+    assert sinks.read_sitemap(spark, str(tmp_path / "map")).filter("loc like '%/terms/a%26b%20%'").count() == 25
+
+
+def test_subgraphs_in_chunks(spark, tmp_path):
+    nodes = spark.range(25).select(F.lit("g").alias("grp"), F.col("id").alias("term_ord"), F.format_string("t%02d", "id").alias("slug"), F.lit("x").alias("title"))
+    edges = spark.range(24).select(F.lit("g").alias("grp"), F.format_string("t%02d", "id").alias("src"), F.format_string("t%02d", F.col("id") + 1).alias("dst"))
+    got = {r["chunk"]: (len(r["nodes"]), len(r["edges"])) for r in sinks.subgraphs(nodes, edges, 10).collect()}
+    assert got == {0: (10, 10), 1: (10, 10), 2: (5, 4)}
+
+
+def test_finding_names_some(spark):
+    t = spark.range(30).select(F.format_string("s%02d", "id").alias("slug"), F.lit("T").alias("title_ko"), F.array(F.lit("c")).alias("categories"))
+    r = Q.same_title(t).first()
+    assert r["detail"].startswith("s00, s01") and r["detail"].endswith("s19 and 10 more")
+
+
+def test_history_from_a_log(spark, tmp_path):
+    (tmp_path / "log").write_text("commit a1\nAuthor: x\nDate: 2026-01-02T00:00:00\n\nb.html\nsub dir/a.html\n\ncommit a0\nDate: 2025-01-01T00:00:00\n\nb.html\ncommit zz\nDate: nonsense\n\nc.html\n")
+    got = sorted((r["path"], str(r["ts"].date())) for r in readers.read_history(spark, str(tmp_path / "log")).collect())
+    assert got == [("b.html", "2025-01-01"), ("b.html", "2026-01-02"), ("sub dir/a.html", "2026-01-02")]
