@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from termloom.functions.text import LETTERS, candidate_forms, escape_html, normalize_word, word_occurrences
 from termloom.operators.dictionary import sent_to_all, title_keys
+from termloom.operators.ranking import running, slices
 from termloom.sources.shared import kept
 
 
@@ -83,29 +86,40 @@ def kept_spans(matches: DataFrame) -> DataFrame:
 
 
 def sweep_spans(spans: DataFrame) -> DataFrame:
-    """The general sweep over any spans ``(doc_id, start, length, slug)`` of a document.
+    """The general sweep over any spans ``(doc_id, start, length, slug)`` of a document: kept ones with what they ``covered``.
 
-    Earliest first, longer before shorter; a span that begins before the last
-    kept one ends is folded into it.  The fold runs inside each document.
+    Earliest first, longer before shorter, then by ``ord``; a span that begins before the last
+    kept one ends is folded into it.  Spark sorts each document's spans and a task streams them, holding one
+    kept span at a time, so the work is linear in the spans however many a document has.
     """
-    item = "struct<start:int,length:int,slug:string,covered:array<string>>"
-    own = F.array_sort(F.collect_list(F.struct("start", "length", "slug", "ord")), lambda a, b: (
-        F.when(a["start"] != b["start"], a["start"] - b["start"])
-        .when(a["length"] != b["length"], b["length"] - a["length"])
-        .otherwise(F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))
-    ))
-    zero = F.array().cast(f"array<{item}>")
-
-    def step(acc, s):
-        last = F.try_element_at(acc, F.lit(-1))
-        ends = F.coalesce(last["start"] + last["length"], F.lit(-1))
-        fresh = F.struct(s["start"].cast("int").alias("start"), s["length"].cast("int").alias("length"), s["slug"].alias("slug"), F.array(s["slug"]).alias("covered"))
-        folded = F.struct(last["start"].alias("start"), last["length"].alias("length"), last["slug"].alias("slug"), F.array_union(last["covered"], F.array(s["slug"])).alias("covered"))
-        return F.when(s["start"] >= ends, F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(folded)))
-
     placed = spans.withColumn("ord", F.monotonically_increasing_id()) if "ord" not in spans.columns else spans
-    kept = placed.groupBy("doc_id").agg(own.alias("own")).select("doc_id", F.aggregate("own", zero, step).alias("kept"))
-    return kept.select("doc_id", F.inline("kept"))
+    rows = placed.select("doc_id", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"), "slug", "ord")
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "start", F.desc("length"), "ord").drop("ord")
+    ids, slugs = (rows.schema[c].dataType for c in ("doc_id", "slug"))
+
+    def sweep(batches):
+        types = [to_arrow_type(t) for t in (ids, IntegerType(), IntegerType(), slugs, ArrayType(slugs))]
+        doc, last, covered = None, None, {}
+        for b in batches:
+            out = []
+            for d, start, length, slug in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if last is None or d != doc or start >= last[1] + last[2]:
+                    if last is not None:
+                        out.append((*last, list(covered)))
+                    doc, last, covered = d, (d, start, length, slug), {slug: None}
+                else:
+                    covered[slug] = None
+            yield _columns(out, types)
+        if last is not None:
+            yield _columns([(*last, list(covered))], types)
+
+    kinds = ids.simpleString(), slugs.simpleString()
+    return rows.mapInArrow(sweep, f"doc_id {kinds[0]}, start int, length int, slug {kinds[1]}, covered array<{kinds[1]}>")
+
+
+def _columns(rows: list[tuple], types: list) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "slug", "covered"])
 
 
 _ENTITIES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})
@@ -172,19 +186,30 @@ def facet_filter(matches: DataFrame, hidden: DataFrame | None = None, title: str
     return out
 
 
-def clip_to_leaves(leaves: DataFrame, ranges: DataFrame) -> DataFrame:
+#: Characters of a bin in which leaves and ranges meet.
+BIN = 1024
+
+
+def clip_to_leaves(leaves: DataFrame, ranges: DataFrame, width: int = BIN) -> DataFrame:
     """Ranges of a page's text as pieces of its text leaves.
 
     ``leaves``: ``(page_id, leaf, text)``, joined by one space; ``ranges``:
     ``(page_id, range_id, start, end)``.  Gives ``(page_id, range_id, leaf, from, to)`` inside
-    each leaf.  Leaves of one page are few, so the join is by page.
+    each leaf.
+
+    Leaves and ranges go to the bins of ``width`` characters that they touch and meet there, each pair in the bin where the
+    later one of the two begins.  So a page of any size is spread over its bins, and
+    a leaf never meets ranges that lie elsewhere; where leaves stand is a sum over slices of the page (``running``).
     """
-    order = W.partitionBy("page_id").orderBy("leaf")
-    end = F.sum(F.length("text") + 1).over(order) - 1
-    placed = leaves.select("page_id", "leaf", (end - F.length("text")).alias("leaf_start"), end.alias("leaf_end"))
+    sized = running(leaves, ["page_id"], slices(leaves, "leaf", width), ["leaf"], {"_end": ("sum", F.length(F.coalesce("text", F.lit(""))) + 1)})
+    end = F.col("_end") - 1
+    placed = sized.select("page_id", "leaf", (end - F.length(F.coalesce("text", F.lit("")))).alias("leaf_start"), end.alias("leaf_end"))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width))).alias("bin")
+    left = placed.select("*", bins("leaf_start", "leaf_end"))
+    right = ranges.select("page_id", "range_id", "start", "end", bins("start", "end"))
     return (
-        placed.join(ranges, "page_id")
-        .filter((F.col("leaf_start") < F.col("end")) & (F.col("leaf_end") > F.col("start")))
+        left.join(right, ["page_id", "bin"])
+        .filter((F.col("bin") == F.floor(F.greatest("start", "leaf_start") / width)) & (F.col("leaf_start") < F.col("end")) & (F.col("leaf_end") > F.col("start")))
         .select(
             "page_id", "range_id", "leaf",
             (F.greatest("start", "leaf_start") - F.col("leaf_start")).alias("from"),

@@ -111,3 +111,42 @@ def test_clip_to_leaves(spark):
     ranges = spark.createDataFrame([(1, 7, 1, 8)], "page_id int, range_id int, start int, end int")
     got = [(r["leaf"], r["from"], r["to"]) for r in M.clip_to_leaves(leaves, ranges).orderBy("leaf").collect()]
     assert got == [(0, 1, 3), (1, 0, 2), (2, 0, 1)]
+
+
+def test_sweep_of_a_long_document(spark):
+    """Spans that overlap in any way, one document with most of them, against the loop."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["d", "d", "d", "e", None]), rng.randrange(4000), rng.randrange(1, 9), f"s{rng.randrange(30)}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id string, start int, length int, slug string, ord int")
+    got = {}
+    for r in M.sweep_spans(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["slug"], r["covered"]))
+    for d in ("d", "e", None):
+        want = []
+        for _, start, length, slug, _ in sorted((r for r in rows if r[0] == d), key=lambda r: (r[1], -r[2], r[4])):
+            if want and start < want[-1][0] + want[-1][1]:
+                if slug not in want[-1][3]:
+                    want[-1][3].append(slug)
+            else:
+                want.append((start, length, slug, [slug]))
+        assert sorted(got[d]) == want
+
+
+def test_leaves_and_ranges_in_bins(spark):
+    """One page of many leaves, long, short and empty ones, and many ranges, against all pairs."""
+    import random
+
+    rng = random.Random(2)
+    leaves = [(1, i, "x" * rng.choice([0, 1, 5, 30, 300])) for i in range(200)] + [(2, 0, None), (2, 1, "abc")]
+    ranges = [(rng.choice([1, 1, 1, 2]), i, s := rng.randrange(6000), s + rng.choice([0, 1, 10, 900])) for i in range(300)]
+    got = M.clip_to_leaves(spark.createDataFrame(leaves, "page_id int, leaf int, text string"), spark.createDataFrame(ranges, "page_id int, range_id int, start int, end int"), 16)
+    want, at = set(), {}
+    for page, leaf, text in leaves:
+        start = at.get(page, 0)
+        end = start + len(text or "")
+        at[page] = end + 1
+        want |= {(page, i, leaf, max(s, start) - start, min(e, end) - start) for p, i, s, e in ranges if p == page and start < e and end > s}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
