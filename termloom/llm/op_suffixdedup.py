@@ -26,7 +26,8 @@ LENGTH, CORE = 400, 256
 #: Bytes hashed at a time, and runs gathered before a task merges those that agree.
 BLOCK, GATHER = 1 << 18, 1 << 18
 #: An anchor with more different runs than this is dealt out again, by slices of
-#: SLICE neighbouring starts and by all bytes that the strings of a slice share.
+#: SLICE neighbouring starts and by all bytes that the strings of a slice share; in a slice
+#: with more strings than this, each start is counted by itself.
 MANY, SLICE = 200, 8
 #: Symbols that one suffix array takes before the next is begun.
 SYMBOLS = 60_000
@@ -317,6 +318,27 @@ def _finish(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _crowded(strings: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+    """The strings of slices with at most ``many`` of them, and the starts that repeat in all other slices.
+
+    A slice's strings share all but the few bytes of one start's play, so in a crowded one each start stands for itself: its LENGTH bytes are
+    the shared ones and what lies around them, and counting these settles it.  Nothing is sorted, partial
+    sums count, and a join that can be split hands the counts back, so no task holds the strings round a passage.
+    """
+    sliced = F.col("core") == LENGTH - SLICE + 1
+    crowd = durable(strings.filter(sliced).groupBy("g1", "g2").agg(F.count("*").alias("n")).filter(F.col("n") > many).select("g1", "g2"))
+    usual = strings.join(crowd, ["g1", "g2"], "left_anti")
+    n_before = F.octet_length("before")
+    starts = n_before + F.octet_length("after") + F.col("core") - LENGTH
+    each = strings.filter(sliced).join(crowd, ["g1", "g2"], "left_semi").select("*", F.explode(F.sequence(F.lit(0), starts)).alias("k"))
+    lead = F.substring("before", F.col("k") + 1, n_before - F.col("k"))
+    tail = F.substring("after", F.lit(1), LENGTH - F.col("core") - (n_before - F.col("k")))
+    each = each.select("g1", "g2", lead.alias("lead"), tail.alias("tail"), "doc_id", "th", (F.col("start") + F.col("k")).alias("start"), "twice")
+    key = ["g1", "g2", "lead", "tail"]
+    again = each.groupBy(*key).agg(F.count("*").alias("n"), F.max("twice").alias("t")).filter("n > 1 or t = 1").select(*key)
+    return usual, each.filter("twice = 0").join(again, key, "left_semi").select("doc_id", "th", "start", F.lit(1).alias("count"))
+
+
 def _with_texts(docs: DataFrame, found: DataFrame, column: str, how: str) -> DataFrame:
     """Documents joined to a column gathered per document, null doc_ids included."""
     f = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), column)
@@ -351,8 +373,9 @@ def suffix_dedup(docs: DataFrame, many: int = MANY) -> DataFrame:
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h1", "h2", "start", "count", "off", "twice", "many")).alias("wanted"))
     strings = _with_texts(d, wanted, "wanted", "inner").select(d["doc_id"], "text", "th", "wanted").mapInArrow(partial(_cut, limit=many), _STRING)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strings, crowded = _crowded(durable(strings), many)
     partly = strings.repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2", "core", "before", "after").mapInArrow(_sorted_out, _SPAN)
-    spans = whole.unionByName(partly).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count")).alias("found"))
+    spans = whole.unionByName(partly).unionByName(crowded).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count")).alias("found"))
     return (
         _with_texts(d, spans, "found", "left").select(d["doc_id"], "text", "found")
         .mapInArrow(_finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

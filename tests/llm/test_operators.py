@@ -50,6 +50,22 @@ def test_suffix_dedup_inside_one_text_and_low_entropy(spark):
     assert got == {i: w[:2] for i, w in enumerate(op_suffixdedup.brute_force(texts))}
 
 
+def test_suffix_dedup_round_one_core(spark):
+    """A passage just under 400 bytes between different bytes in most texts: many different strings with one core, a few of
+    which repeat."""
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(395))
+    noise = lambda n: "".join(rng.choice("klmnopqrst ") for _ in range(n))
+    texts = [noise(30 + i % 7) + passage + noise(40) for i in range(500)]
+    texts += [noise(9) + "mnpq" + passage + "zz" + noise(9), noise(12) + "npq" + passage + "zz" + noise(5), noise(7) + passage + "zzx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(op_suffixdedup.brute_force(texts)))
+    for many in (200, 5):
+        got = {r["doc_id"]: (r["n_bytes"], sum(x["end"] - x["start"] for x in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in op_suffixdedup.suffix_dedup(df, many).collect()}
+        assert got == want
+    assert 2 < sum(bool(v[1]) for v in want.values())
+
+
 def test_suffix_dedup_with_one_passage_everywhere(spark):
     """One 500-byte passage in many surroundings: one anchor with as many different runs as documents;
     and a text that is longer than a block."""
