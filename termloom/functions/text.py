@@ -146,8 +146,11 @@ def excerpt(text: Column, most: int = 40) -> Column:
     return F.concat(F.left(F.trim(text), F.lit(most)), F.lit("..."))
 
 
-def document_hash(content: Column) -> Column:
-    return F.sha2(content, 256)
+def document_hash(content: Column, name: Column | None = None, size: Column | None = None) -> Column:
+    """The content's SHA-256; of a file that could not be read (null), its ``name:size``."""
+    if name is None or size is None:
+        return F.sha2(content, 256)
+    return F.coalesce(F.sha2(content, 256), F.concat_ws(":", name, size.cast("string")))
 
 
 def first_filled(*cols: Column) -> Column:
@@ -164,7 +167,9 @@ def utc_string(ts: Column) -> Column:
 
 
 def korean_timestamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy년 M월 d일 HH:mm")
+    """The long Korean form: year, month and day, then the twelve-hour time with its half of the day in front."""
+    half = F.when(F.hour(ts) < 12, F.lit("오전")).otherwise(F.lit("오후"))
+    return F.concat_ws(" ", F.date_format(ts, "yyyy년 M월 d일"), half, F.date_format(ts, "hh:mm"))
 
 
 def day_seed(ts: Column) -> Column:

@@ -9,7 +9,7 @@ from termloom.operators import graph as G
 from termloom.operators import roadmap as R
 from termloom.operators import search as S
 from termloom.operators import taxonomy as X
-from termloom.plans.common import co_bought, part_terms, table
+from termloom.plans.common import RETURNED_PARTS, co_bought, part_terms, returned_parts, table
 from termloom.sources.shared import kept
 
 
@@ -263,14 +263,13 @@ LEARNING_PATHS = f"""WITH RECURSIVE {_INNER}, lvl AS MATERIALIZED (SELECT slug,
 
 
 def progress_pct(spark, sf_dir):
-    """Parts that were ever returned, by brand."""
+    """Parts that mostly came back, by brand."""
     nodes, _ = _graph(spark, sf_dir)
-    done = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("slug"))
-    return R.progress(nodes, done)
+    return R.progress(nodes, returned_parts(spark, sf_dir).withColumnRenamed("l_partkey", "slug"))
 
 
-PROGRESS_PCT = """SELECT p_brand AS grp, count(d.k) AS n_done, count(*) AS n, floor(100.0 * count(d.k) / count(*) + 0.5)::BIGINT AS pct
-FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) d ON d.k = p_partkey GROUP BY 1"""
+PROGRESS_PCT = f"""SELECT p_brand AS grp, count(d.k) AS n_done, count(*) AS n, floor(100.0 * count(d.k) / count(*) + 0.5)::BIGINT AS pct
+FROM part LEFT JOIN (SELECT l_partkey AS k FROM {RETURNED_PARTS}) d ON d.k = p_partkey GROUP BY 1"""
 
 
 def largest_subgraph(spark, sf_dir):
@@ -322,19 +321,19 @@ CATEGORY_ORDER = """SELECT n_name AS category, n_nationkey AS pos, g::INT AS gro
 
 
 def facets(spark, sf_dir):
-    """Parts as matches: hidden ones out, an easy or unknown level, a word in the title, one category."""
+    """Parts as matches: hidden ones, that mostly came back, out, an easy or unknown level, a word in the title, one category."""
     from termloom.operators.matching import facet_filter
 
     p = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("slug"), F.lit("").alias("title_ko"), F.col("p_name").alias("title_en"), F.array("p_type").alias("categories"),
         F.when(F.col("p_size") > 3, F.col("p_size") % 4).alias("difficulty"))
-    hidden = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("slug"))
+    hidden = returned_parts(spark, sf_dir).withColumnRenamed("l_partkey", "slug")
     kind = table(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
     return facet_filter(p, hidden, "r", [1, 2], kind, english_only=True).select("slug", "title_en", "difficulty")
 
 
-FACETS = """SELECT p_partkey AS slug, p_name AS title_en, CASE WHEN p_size > 3 THEN p_size % 4 END::INT AS difficulty FROM part
-WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND contains(lower(p_name), 'r')
+FACETS = f"""SELECT p_partkey AS slug, p_name AS title_en, CASE WHEN p_size > 3 THEN p_size % 4 END::INT AS difficulty FROM part
+WHERE p_partkey NOT IN {RETURNED_PARTS} AND contains(lower(p_name), 'r')
   AND (p_size <= 3 OR p_size IS NULL OR p_size % 4 IN (1, 2)) AND p_type = (SELECT min(p_type) FROM part)"""
 
 

@@ -37,3 +37,12 @@ def co_bought(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
         .distinct()
     )
+
+
+def returned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(l_partkey)``: parts of which at least half the lines, of all there are, were returned."""
+    back = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg((2 * F.count_if(F.col("l_returnflag") == "R") >= F.count("*")).alias("back"))
+    return back.filter("back").select("l_partkey")
+
+
+RETURNED_PARTS = "(SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING 2 * count(*) FILTER (l_returnflag = 'R') >= count(*))"

@@ -8,7 +8,7 @@ from termloom.operators import ledger as L
 from termloom.operators import quiz as Z
 from termloom.operators import sampling
 from termloom.operators.graph import grouped
-from termloom.plans.common import part_terms, table
+from termloom.plans.common import RETURNED_PARTS, part_terms, returned_parts, table
 from termloom.streaming import state as ST
 
 
@@ -125,12 +125,12 @@ UNION ALL SELECT user_id, day, deck, n_nationkey FROM f JOIN nation ON n_regionk
 
 
 def quiz_scope(spark, sf_dir):
-    """Questions on parts that were ever returned in bulk: the scope that another page hands over."""
-    scope = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48 and l_returnflag = 'R'").select(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("slug"))
+    """Questions on parts that mostly came back: the scope that another page hands over."""
+    scope = returned_parts(spark, sf_dir).select(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("slug"))
     return Z.in_scope(part_terms(spark, sf_dir), scope).select("slug", "title_en")
 
 
-QUIZ_SCOPE = """SELECT 'part-' || p_partkey AS slug, p_name AS title_en FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R')"""
+QUIZ_SCOPE = f"SELECT 'part-' || p_partkey AS slug, p_name AS title_en FROM part WHERE p_partkey IN {RETURNED_PARTS}"
 
 
 def quiz_questions(spark, sf_dir):

@@ -8,6 +8,7 @@ letters become particles, and ``an`` becomes an everyday word.
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
@@ -15,7 +16,7 @@ from termloom.operators import dictionary as D
 from termloom.operators import extract as E
 from termloom.operators import matching as M
 from termloom.operators import taxonomy as X
-from termloom.plans.common import part_terms, table
+from termloom.plans.common import co_bought, part_terms, table
 from termloom.sources import readers, sinks
 
 LATIN, HANGUL = "abcdefghijklmnopqrstuvwxyz", "단버코디은포고하이주가라만계오피큐로에도우브와스야즈"
@@ -173,14 +174,14 @@ REDIRECTED_ORDERS = "SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN c_custkey +
 
 
 def map_updates(spark, sf_dir):
-    """Part names overwritten by their last order's status; types only where they are empty (small parts)."""
+    """Part names overwritten by the flag of their last line, of all that name them; types only where they are empty (small parts)."""
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 5, F.col("p_type")).otherwise("").alias("kind"))
-    l = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
-    u = l.groupBy(F.col("l_partkey").alias("slug")).agg(F.max("l_returnflag").alias("value"))
+    l = table(spark, sf_dir, "lineitem")
+    u = l.select(F.col("l_partkey").alias("slug"), F.col("l_returnflag").alias("value"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("ord"))
     return readers.map_update(readers.map_update(t, u, "name", strict=True), u, "kind", only_if_empty=True)
 
 
-MAP_UPDATES = """WITH u AS (SELECT l_partkey AS k, max(l_returnflag) AS v FROM lineitem WHERE l_quantity >= 49 GROUP BY 1)
+MAP_UPDATES = """WITH u AS (SELECT l_partkey AS k, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) AS v FROM lineitem GROUP BY 1)
 SELECT p_partkey AS slug, coalesce(v, p_name) AS name, CASE WHEN p_size > 5 THEN p_type ELSE coalesce(v, '') END AS kind FROM part LEFT JOIN u ON k = p_partkey"""
 
 
@@ -245,19 +246,19 @@ SELECT p.page_id, coalesce(string_agg(s, '|' ORDER BY o, s) FILTER (s <> 'the'),
 
 
 def related_blocks(spark, sf_dir):
-    """Each part's block of links to the parts bought with it in bulk; every target must exist."""
+    """Each part's block of links to the first five parts, by number, that share an order with it; every target must exist."""
     parts = part_terms(spark, sf_dir).withColumn("title_ko", F.col("title_en"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_partkey").distinct()
-    a, b = lines.alias("a"), lines.alias("b")
-    e = a.join(b, "l_orderkey").filter("a.l_partkey <> b.l_partkey").select(
-        F.concat(F.lit("part-"), F.col("a.l_partkey").cast("string")).alias("src"), F.concat(F.lit("part-"), F.col("b.l_partkey").cast("string")).alias("dst"), F.col("b.l_partkey").alias("pos")).distinct()
-    return sinks.related_block(e, parts)
+    place = F.row_number().over(W.partitionBy("src").orderBy("dst"))
+    e = co_bought(spark, sf_dir).withColumn("pos", place).filter("pos <= 5")
+    slug = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string")).alias(c)
+    return sinks.related_block(e.select(slug("src"), slug("dst"), "pos"), parts)
 
 
-RELATED_BLOCKS = """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 48),
-e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey)
+RELATED_BLOCKS = """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
+f AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS i FROM e)
 SELECT 'part-' || src AS slug, '<div class="related-terms">' || string_agg('<a href="part-' || dst || '.html">' || p_name || '</a>', chr(10) ORDER BY dst) || '</div>' AS html
-FROM e JOIN part ON p_partkey = dst GROUP BY src"""
+FROM f JOIN part ON p_partkey = dst WHERE i <= 5 GROUP BY src"""
 
 _NAMES = [
     "match_korean", "korean_spans", "term_cards", "leaf_ranges", "browse_categories", "resolved_categories", "category_labels", "first_seen_values", "redirected_orders",

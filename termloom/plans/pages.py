@@ -58,6 +58,26 @@ RELATED_LINKS = r"""WITH h AS (
 SELECT p.page_id, coalesce(string_agg(s, '|' ORDER BY i) FILTER (s <> ''), '') AS slugs FROM pages p LEFT JOIN s ON s.page_id = p.page_id GROUP BY 1"""
 
 
+def related_block_links(spark, sf_dir):
+    """Slugs of a page's first related-terms block only: its first two links, put into one, with a second block after the page."""
+    html = F.regexp_replace("html", r'href="/([^".]*)"', 'href="/$1.html?x"')
+    cut = F.split(html, "<a ", 4)
+    rest = F.when(F.size(cut) > 3, F.concat(F.lit("<a "), cut[3])).otherwise("")
+    framed = F.when(F.size(cut) > 2, F.concat(cut[0], F.lit('<div class="related-terms"><a '), cut[1], F.lit("<a "), cut[2], F.lit("</div>"), rest)).otherwise(html)
+    both = F.concat(framed, F.lit('<div class="related-terms"><a href="later.html">x</a></div>'))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(E.related_slugs(both), "|").alias("slugs"))
+
+
+RELATED_BLOCK_LINKS = r"""WITH h AS (SELECT page_id, regexp_replace(html, 'href="/([^".]*)"', 'href="/\1.html?x"', 'g') AS html FROM pages
+), c AS (SELECT page_id, html, string_split(html, '<a ') AS p FROM h
+), b AS (
+  SELECT page_id, CASE WHEN len(p) > 2 THEN p[1] || '<div class="related-terms"><a ' || p[2] || '<a ' || p[3] || '</div>' || CASE WHEN len(p) > 3 THEN '<a ' || array_to_string(p[4:], '<a ') ELSE '' END ELSE html END
+    || '<div class="related-terms"><a href="later.html">x</a></div>' AS html FROM c
+), l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<div class="related-terms">(.*?)</div>', 1), 'href="([^"]*)"', 1) AS hs FROM b
+), s AS (SELECT page_id, regexp_extract(hs[i], '(?:^|/)([^/]+)\.html(?:[?#].*)?$', 1) AS s, min(i) AS i FROM (SELECT page_id, hs, unnest(generate_series(1, len(hs))) AS i FROM l) GROUP BY 1, 2)
+SELECT p.page_id, coalesce(string_agg(s, '|' ORDER BY i) FILTER (s <> ''), '') AS slugs FROM pages p LEFT JOIN s ON s.page_id = p.page_id GROUP BY 1"""
+
+
 def url_parts(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", query_param("url", "page").alias("page"), T.url_component(F.col("url")).alias("encoded"))
@@ -217,7 +237,7 @@ SITE_SUMMARY = """SELECT (SELECT count(*) FROM documents) AS terms, (SELECT coun
   (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT page_id * 3 FROM pages)) AS missing_pages"""
 
 _NAMES = [
-    "html_links", "html_title", "html_text", "html_markers", "related_links", "url_parts", "block_upsert", "dq_missing_fields", "dq_bad_slugs", "dq_orphans",
+    "html_links", "html_title", "html_text", "html_markers", "related_links", "related_block_links", "url_parts", "block_upsert", "dq_missing_fields", "dq_bad_slugs", "dq_orphans",
     "dq_customers_without_orders", "dq_duplicates", "dq_spelling_drift", "dq_translation_drift", "dq_same_title", "dq_report", "alias_offers", "batch_merge", "tag_balance", "site_summary",
 ]
 QUERIES = {n: globals()[n] for n in _NAMES}

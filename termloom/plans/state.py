@@ -134,7 +134,7 @@ def history_dates(spark, sf_dir):
 
 
 HISTORY_DATES = """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, year(ts) || '-' || month(ts) || '-' || day(ts) AS seed,
-  strftime(ts, '%Y년 ') || month(ts) || '월 ' || day(ts) || '일 ' || strftime(ts, '%H:%M') AS shown FROM events"""
+  strftime(ts, '%Y년 ') || month(ts) || '월 ' || day(ts) || '일 ' || CASE WHEN hour(ts) < 12 THEN '오전 ' ELSE '오후 ' END || strftime(ts, '%I:%M') AS shown FROM events"""
 
 
 def quiz_bands(spark, sf_dir):
