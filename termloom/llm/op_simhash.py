@@ -224,8 +224,10 @@ def alike_pairs(
     ``rows``: ``own, text``, where ``own`` stands for the text.  Buckets of up to ``pair_limit``
     texts are compared pair by pair.  In a larger one every text is compared with the bucket's least
     first, which makes one class of most groups of near copies.  Buckets that hold several
-    classes after that are dealt into parts of bounded size, and each two parts meet in a task of
-    their own (``_cell_links``), which returns the links that join classes.  The result is the
+    classes after that are dealt into parts of bounded size, and each two parts that hold different classes meet in a task of
+    their own (``_cell_links``), which returns the links that join classes.  Large classes have parts of
+    their own, so the tasks are as many as pairs of parts of different classes: in proportion to a bucket that one class
+    fills but for a few texts, with the square of one that many unlike texts share.  The result is the
     same whatever the limit.
     """
 
@@ -277,20 +279,33 @@ def alike_pairs(
     links = verified(pairs.union(stars))
 
     roots = connected_components(links).select(F.col("node").alias("own"), "root")
-    parts = F.ceil(F.greatest(F.col("n") / part_rows, F.col("total") / part_words)).cast("int")
-    classed = large.join(roots, "own", "left").select("key", "own", F.coalesce("root", "own").alias("label"), parts.alias("parts"))
+    n_parts = lambda n, words: F.ceil(F.greatest(F.col(n) / part_rows, F.col(words) / part_words)).cast("int")
+    classed = large.join(roots, "own", "left").select("key", "own", "words", F.coalesce("root", "own").alias("label"), n_parts("n", "total").alias("parts"))
     several = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    part = F.pmod(F.xxhash64("own", F.lit("part")), F.col("parts")).cast("int")
-    left = durable(classed.join(several, "key", "left_semi").withColumn("part", part))
-    if not left.isEmpty():
+    classed = durable(classed.join(several, "key", "left_semi"))
+    if not classed.isEmpty():
+        # A class that fills half a part has parts of its own, which need not meet each other; the other members share some.
+        per = classed.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("words").alias("total"), F.max("parts").alias("parts"))
+        fills = (F.col("parts") > 1) & ((2 * F.col("n") >= part_rows) | (2 * F.col("total") >= part_words))
+        per = durable(per.select("key", "label", "n", "total", fills.alias("alone"), n_parts("n", "total").alias("p")))
+        shared = per.filter("not alone").groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select("key", n_parts("n", "total").alias("q"))
+        pure = F.when(F.col("alone"), F.col("label"))
+        sub = F.pmod(F.xxhash64("own", F.lit("part")), F.when(F.col("alone"), F.col("p")).otherwise(F.col("q")))
+        left = durable(
+            classed.join(per.select("key", "label", "alone", "p"), ["key", "label"]).join(shared, "key", "left")
+            .select("key", "own", "label", pure.alias("pure"), sub.alias("sub")).withColumn("part", F.xxhash64(F.col("pure").isNull(), "pure", "sub")))
+        parts = durable(left.select("key", "part", "pure").distinct())
+        x, y = parts.alias("x"), parts.alias("y")
+        cells = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.part <= y.part and not coalesce(x.pure = y.pure, false)")
+        cells = cells.select(F.col("x.key").alias("key"), F.col("x.part").alias("i"), F.col("y.part").alias("j"))
+        sides = cells.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
         found = rows.select("own", "text").join(left.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"])
-        other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: (q != F.col("part")) | (F.col("parts") == 1))
-        met = F.transform(other, lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-        cells = left.join(found, "own").select("key", F.explode(met).alias("cell"), "part", "own", "label", "text")
-        cells = cells.select("key", "cell.i", "cell.j", "part", "own", "label", "text")
-        joined = cells.groupBy("key", "i", "j").applyInArrow(lambda t: _cell_links(t, jaccard), "u long, v long")
+        met = left.join(found, "own").join(sides, ["key", "part"]).select("key", "i", "j", "part", "own", "label", "text")
+        joined = met.groupBy("key", "i", "j").applyInArrow(lambda t: _cell_links(t, jaccard), "u long, v long")
         links = durable(links.union(joined).distinct())
-    discard(members, signed, left)
+        discard(per, parts)
+        discard(left)
+    discard(members, signed, classed)
     return links
 
 
