@@ -9,7 +9,6 @@ token by token.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +67,7 @@ def _windows(df: DataFrame, size: int, masks: tuple, *carry: str) -> DataFrame:
 
 
 def _test_seeds(benchmark: DataFrame, masks: tuple) -> DataFrame:
-    """``(mask, seed, hits)``: per seed of the test items its places, each with the
+    """``(mask, seed, hit)``: the seeds of the test items, a row for each place, with the
     tokens around it and the number of equal ones that an overlap needs."""
     n = F.size("toks")
     need = F.ceil(F.least(n, F.lit(OVERLAP)) * SIMILARITY).cast("int")
@@ -76,8 +75,7 @@ def _test_seeds(benchmark: DataFrame, masks: tuple) -> DataFrame:
     hit = F.struct("item_id", (F.col("chunk") * PART + F.col("l")).alias("q"), "need", F.slice("part", F.col("l") + 1, F.lit(AROUND)).alias("around"))
     both = rows.select(hit.alias("hit"), F.posexplode(F.array(*[f"s{m}" for m in range(len(masks))])).alias("mask", "seed"))
     # Items of 13 tokens or more need no further masks.
-    both = both.filter((F.col("mask") < len(MASKS)) | (F.col("hit.need") < math.ceil(OVERLAP * SIMILARITY)))
-    return both.groupBy("mask", "seed").agg(F.collect_set("hit").alias("hits"))
+    return both.filter((F.col("mask") < len(MASKS)) | (F.col("hit.need") < math.ceil(OVERLAP * SIMILARITY)))
 
 
 def _best(doc: Column, item: Column) -> Column:
@@ -112,25 +110,22 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int =
     size, least = b.agg(F.sum(F.size("toks").cast("long")), F.min(F.size("toks"))).first()
     size, masks = size or 0, MASKS + SHORT_MASKS if (least or OVERLAP) < OVERLAP else MASKS
     test = _test_seeds(b, masks)
-    sides = [test.filter(F.col("mask") == m).select(F.col("seed").alias(f"s{m}"), F.col("hits").alias(f"h{m}")) for m in range(len(masks))]
     rows = _windows(d, PART, masks, *keys, "doc_id")
-    none = F.array().cast(sides[0].schema["h0"].dataType)
+    probes = [F.struct(F.lit(m).alias("mask"), F.col(f"s{m}").alias("seed")) for m in range(len(masks))]
     if size <= broadcast_tokens:
-        # Both lookups run inside the scan's own stage; only windows that hit leave it.
-        found = reduce(lambda r, m: r.join(F.broadcast(sides[m]), f"s{m}", "left"), range(len(masks)), rows)
-        found = found.filter(F.coalesce(*[f"h{m}" for m in range(len(masks))]).isNotNull())
-        known = reduce(F.array_union, [F.coalesce(f"h{m}", none) for m in range(len(masks))])
-    else:
-        # Too large to send to all: seeds meet by shuffle, each with its surroundings.
-        far = rows.withColumn("part", F.slice("part", F.col("l") + 1, F.lit(AROUND))).withColumn("at", F.col("chunk") * PART + F.col("l")).drop("chunk", "l")
-        met = [far.join(side, f"s{m}").select(*keys, "doc_id", "at", "part", F.col(f"h{m}").alias("h")) for m, side in enumerate(sides)]
-        found, known = reduce(DataFrame.unionByName, met), F.col("h")
-        found = found.withColumn("l", F.lit(0)).withColumn("chunk", F.lit(0))
-    at = F.col("chunk") * PART + F.col("l") if size <= broadcast_tokens else F.col("at")
-    hits = found.select(
-        *keys, "doc_id", at.alias("at"), F.slice("part", F.col("l") + 1, F.lit(AROUND)).alias("around"),
-        F.explode(known).alias("hit"),
+        # The test items' different seeds, a number each, are looked up inside the scan's own stage; only windows that hit leave it.
+        for m in range(len(masks)):
+            seeds = test.filter(F.col("mask") == m).select(F.col("seed").alias(f"s{m}")).distinct().withColumn(f"k{m}", F.lit(True))
+            rows = rows.join(F.broadcast(seeds), f"s{m}", "left")
+        rows = rows.filter(F.coalesce(*[f"k{m}" for m in range(len(masks))]).isNotNull())
+        probes = [F.when(F.col(f"k{m}"), p) for m, p in enumerate(probes)]
+    # Windows meet the places of their seeds by an ordinary join, which can be split: no seed's places are gathered in a row.
+    found = rows.select(
+        *keys, "doc_id", (F.col("chunk") * PART + F.col("l")).alias("at"), F.slice("part", F.col("l") + 1, F.lit(AROUND)).alias("around"),
+        F.explode(F.array_compact(F.array(*probes))).alias("p"),
     )
+    places = test.select(F.struct("mask", "seed").alias("q"), "hit")
+    hits = found.join(places, F.col("p") == F.col("q")).select(*keys, "doc_id", "at", "around", "hit")
     good = hits.select(*keys, "doc_id", "hit.item_id", "hit.q", "hit.need", (F.col("at") - F.col("hit.q")).alias("shift"), _best(F.col("around"), F.col("hit.around")).alias("n_equal"))
     return (
         good.filter("n_equal >= need")
