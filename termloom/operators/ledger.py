@@ -156,6 +156,18 @@ def debounced(events: DataFrame, key: str, quiet: str, time: str = "ts", tie: st
     return rows.filter(F.col("_next").isNull() | (F.col("_next") >= F.col(time) + F.expr(f"INTERVAL {quiet}"))).drop("_next")
 
 
+def bursts(events: DataFrame, key: str, quiet: str, time: str = "ts", tie: str = "event_id") -> DataFrame:
+    """``(key, started, value, n)``: one row for each burst of a key's events, closed by quiet time; ``value`` is that of its last event.
+
+    The streaming form is ``state.typing_bursts``, session windows.  Here a burst is named after its first event, the latest one
+    that opened one (``running``), so a key's events are spread over days and only one burst's are added up together."""
+    cell, order = slices(events, time), [time, tie]
+    rows = running(events, [key], cell, order, {"_before": ("max", F.col(time))}, own=False)
+    opens = F.col("_before").isNull() | (F.col(time) >= F.col("_before") + F.expr(f"INTERVAL {quiet}"))
+    rows = running(rows, [key], cell, order, {"started": ("max", F.when(opens, F.col(time)))})
+    return rows.groupBy(key, "started").agg(F.max_by("value", F.struct(time, tie)).alias("value"), F.count("*").alias("n"))
+
+
 #: Seconds for a question of the quiz.
 QUESTION_SECONDS = 15
 # What becomes of a question.

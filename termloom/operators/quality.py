@@ -199,10 +199,9 @@ def merge_batch(existing: DataFrame, batch: DataFrame, pages: DataFrame, require
     """Each batch row's fate: ``missing fields``, ``already there``, ``repeated in batch``, ``no page`` or ``accepted``.
 
     ``batch`` has ``ord``, its order.  A row without a page does not reserve its slug;
-    the first that passes all else does.
+    the first that passes all else does.  It is found by partial minima and joined back, so that a slug that a batch repeats
+    endlessly is split.
     """
-    from pyspark.sql import Window
-
     wrong = F.lit(False)
     for c in required:
         wrong = wrong | F.col(c).isNull() | (F.col(c).cast("string") == "")
@@ -210,12 +209,12 @@ def merge_batch(existing: DataFrame, batch: DataFrame, pages: DataFrame, require
     paged = pages.select("slug", F.lit(True).alias("paged")).distinct()
     rows = batch.join(have, "slug", "left").join(paged, "slug", "left").withColumn("wrong", wrong)
     free = ~F.col("wrong") & F.col("old").isNull() & F.col("paged").isNotNull()
-    taken = F.min(F.when(free, F.col("ord"))).over(Window.partitionBy("slug"))
+    taken = rows.filter(free).groupBy("slug").agg(F.min("ord").alias("taken"))
     fate = (
         F.when(F.col("wrong"), "missing fields").when(F.col("old").isNotNull(), "already there")
         .when(F.col("taken") < F.col("ord"), "repeated in batch").when(F.col("paged").isNull(), "no page").otherwise("accepted")
     )
-    return rows.withColumn("taken", taken).withColumn("fate", fate).drop("old", "paged", "wrong", "taken")
+    return rows.join(taken, "slug", "left").withColumn("fate", fate).drop("old", "paged", "wrong", "taken")
 
 
 # Words that an acronym leaves out.

@@ -198,9 +198,17 @@ TYPING_BURSTS = """WITH s AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL
 g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s)
 SELECT user_id, arg_max(value, ts) AS value, count(*) AS n FROM g GROUP BY user_id, g"""
 
+
+def user_bursts(spark, sf_dir):
+    """The same over the table that is there as a whole, a user's events spread over days."""
+    return L.bursts(table(spark, sf_dir, "events"), "user_id", "3 hours").select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "value", "n")
+
+
+USER_BURSTS = TYPING_BURSTS.replace("SELECT user_id, arg_max", "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, arg_max")
+
 _NAMES = [
     "bookmark_terms", "history_list", "own_rows", "valid_records", "cascaded_tags", "quiz_best_scores", "quiz_retry", "flashcard_counts", "flashcard_decks", "quiz_scope",
-    "quiz_questions", "daily_terms", "shuffled_questions", "grouped_terms", "search_log", "typing_bursts",
+    "quiz_questions", "daily_terms", "shuffled_questions", "grouped_terms", "search_log", "typing_bursts", "user_bursts",
 ]
 QUERIES = {n: globals()[n] for n in _NAMES}
 SQL = {n: globals()[n.upper()] for n in _NAMES}

@@ -235,3 +235,22 @@ def test_lockouts_of_one_user_in_stretches_and_text_ids(spark):
             want.append((u, s, until // 1_000_000, n))
     got = sorted((r["user_id"], r["l"], r["e"], r["n_failures"]) for r in L.lockouts(df, "user_id", F.col("bad")).select("user_id", F.unix_seconds("locked_at").alias("l"), F.unix_seconds("unlocks_at").alias("e"), "n_failures").collect())
     assert got == want and want
+
+
+def test_bursts_of_one_key(spark):
+    rng = random.Random(4)
+    at, rows = 0, []
+    for i in range(500):
+        at += rng.choice([1, 2, 9, 10, 11, 90_000])
+        rows.append((i, rng.choice(["a", "a", None]), at, float(i)))
+    df = spark.createDataFrame(rows, "event_id long, k string, s long, value double").withColumn("ts", F.timestamp_seconds("s")).repartition(3)
+    want = []
+    for k in ("a", None):
+        last = None
+        for _, _, s, v in (r for r in rows if r[1] == k):
+            if last is None or s - last >= 10:
+                want.append([k, s, v, 0])
+            last = s
+            want[-1][2:] = [v, want[-1][3] + 1]
+    got = L.bursts(df, "k", "10 seconds").select("k", F.unix_seconds("started").alias("s"), "value", "n").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
