@@ -188,7 +188,7 @@ SELECT p_partkey AS slug, coalesce(v, p_name) AS name, CASE WHEN p_size > 5 THEN
 def unknown_translations(spark, sf_dir):
     """Translation keys (labelled documents, shifted by a fifth of the table) that no document bears."""
     docs = table(spark, sf_dir, "documents")
-    shift = docs.agg((F.count("*") / 5).cast("long").alias("s"), F.lit(1).alias("one"))
+    shift = docs.agg(F.round(F.count("*") / 5).cast("long").alias("s"), F.lit(1).alias("one"))
     keys = table(spark, sf_dir, "labels").withColumn("one", F.lit(1)).join(F.broadcast(shift), "one").select((F.col("doc_id") + F.col("s")).alias("slug"))
     return readers.unknown_keys(keys, docs.select(F.col("doc_id").alias("slug")))
 
