@@ -134,12 +134,12 @@ SELECT conv_id, turn, reason IS NULL AS safe, reason,
 
 
 def doc_hash(spark, sf_dir):
-    """Texts of under 200 characters count as files that could not be read."""
-    d = table(spark, sf_dir, "documents").withColumn("content", F.when(F.col("n_chars") >= 200, F.col("text")))
-    return d.select("doc_id", T.document_hash(F.col("content"), F.col("source"), F.col("n_chars")).alias("doc_hash"), T.excerpt(F.col("text")).alias("title"))
+    """Every text is hashed, whatever its length; one that is missing counts as a file that could not be read."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.document_hash(F.col("text"), F.col("source"), F.col("n_chars")).alias("doc_hash"), T.excerpt(F.col("text")).alias("title"))
 
 
-DOC_HASH = "SELECT doc_id, CASE WHEN n_chars >= 200 AND text IS NOT NULL THEN sha256(text) ELSE source || ':' || n_chars END AS doc_hash, left(trim(text), 40) || '...' AS title FROM documents"
+DOC_HASH = "SELECT doc_id, coalesce(sha256(text), source || ':' || n_chars) AS doc_hash, left(trim(text), 40) || '...' AS title FROM documents"
 
 
 def doc_dedup(spark, sf_dir):
