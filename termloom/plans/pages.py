@@ -161,13 +161,11 @@ FROM part GROUP BY trim(p_name) HAVING count(*) > 1 AND count(DISTINCT lower(reg
 
 
 def dq_same_title(spark, sf_dir):
-    return Q.same_title(part_terms(spark, sf_dir).withColumn("title_ko", F.col("title_en")).withColumn("categories", F.array("subcategory")))
+    return Q.same_title(part_terms(spark, sf_dir).withColumn("title_ko", F.col("title_en")).withColumn("categories", F.array("subcategory")), every=True)
 
 
-DQ_SAME_TITLE = """WITH t AS (SELECT DISTINCT p_name FROM part GROUP BY p_name, p_brand HAVING count(*) > 1),
-r AS (SELECT p_name, 'part-' || p_partkey AS s, row_number() OVER (PARTITION BY p_name ORDER BY 'part-' || p_partkey) AS i FROM part JOIN t USING (p_name))
-SELECT 'same title in category' AS rule, 'error' AS severity, p_name AS key,
-  string_agg(s, ', ' ORDER BY s) FILTER (i <= 20) || CASE WHEN count(*) > 20 THEN ' and ' || (count(*) - 20) || ' more' ELSE '' END AS detail FROM r GROUP BY p_name"""
+DQ_SAME_TITLE = """WITH t AS (SELECT DISTINCT p_name FROM part GROUP BY p_name, p_brand HAVING count(*) > 1)
+SELECT 'same title in category' AS rule, 'error' AS severity, p_name AS key, string_agg('part-' || p_partkey, ', ' ORDER BY 'part-' || p_partkey) AS detail FROM part JOIN t USING (p_name) GROUP BY p_name"""
 
 
 def dq_report(spark, sf_dir):
