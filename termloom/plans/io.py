@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termloom.plans.common import part_terms, table
+from termloom.plans.common import co_bought, line_tasks, part_terms, table
 from termloom.sources import readers, sinks
 from termloom.sources.shared import fresh_path
 from termloom.streaming import state as ST
@@ -219,11 +219,10 @@ def subgraph_documents(spark, sf_dir):
 
     t = part_terms(spark, sf_dir)
     nodes = grouped(t)
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("slug")).distinct()
-    a, b = lines.alias("a"), lines.alias("b")
-    e = a.join(b, "l_orderkey").filter("a.slug <> b.slug").select(F.col("a.slug").alias("src"), F.col("b.slug").alias("dst"), F.lit(0).alias("pos")).distinct()
+    slug = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string")).alias(c)
+    e = co_bought(spark, sf_dir, nodes.select(F.col("term_ord").alias("l_partkey"), "grp")).select(slug("src"), slug("dst"), F.lit(0).alias("pos"))
     inner = inner_edges(nodes, e)
-    once = undirected(inner.withColumn("src_ord", F.col("src")))
+    once = undirected(inner.withColumn("src_ord", F.col("src")), tasks=line_tasks(spark, sf_dir))
     edges = once.join(nodes.select(F.col("slug").alias("src"), "grp"), "src")
     path = fresh_path(spark)
     sinks.write_subgraphs(nodes.join(t.select("slug", F.col("title_en").alias("title")), "slug"), edges, path, 50)
