@@ -16,7 +16,7 @@ from termloom.operators import dictionary as D
 from termloom.operators import extract as E
 from termloom.operators import matching as M
 from termloom.operators import taxonomy as X
-from termloom.plans.common import co_bought, part_terms, table
+from termloom.plans.common import co_bought, line_tasks, part_terms, table
 from termloom.sources import readers, sinks
 
 LATIN, HANGUL = "abcdefghijklmnopqrstuvwxyz", "단버코디은포고하이주가라만계오피큐로에도우브와스야즈"
@@ -249,7 +249,7 @@ def related_blocks(spark, sf_dir):
     """Each part's block of links to the first five parts, by number, that share an order with it; every target must exist."""
     parts = part_terms(spark, sf_dir).withColumn("title_ko", F.col("title_en"))
     place = F.row_number().over(W.partitionBy("src").orderBy("dst"))
-    e = co_bought(spark, sf_dir).withColumn("pos", place).filter("pos <= 5")
+    e = co_bought(spark, sf_dir).repartition(line_tasks(spark, sf_dir), "src").withColumn("pos", place).filter("pos <= 5")
     slug = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string")).alias(c)
     return sinks.related_block(e.select(slug("src"), slug("dst"), "pos"), parts)
 
