@@ -140,13 +140,14 @@ def ranked_kinds(seekers: DataFrame, holders: DataFrame, members: DataFrame, siz
     """``(sig, dst, score, rank)``: the ``k`` best single terms for each kind of ``seekers``, ranked by score, then slug.
 
     ``members``: ``(sig, slug)`` of the holders.  A kind further back than place ``k`` by score and first slug has ``k`` terms before
-    all its own, so kinds are cut to ``k`` before they are written out as terms.
+    all its own, and so has one below kinds of higher scores with ``k`` terms among them; both are left out before kinds are written out as terms.
     """
-    least = members.groupBy("sig").agg(F.min("slug").alias("least"))
+    least = members.groupBy("sig").agg(F.min("slug").alias("least"), F.count("*").alias("size"))
     kinds = holders.join(least, "sig")
     found = partner_kinds(seekers, kinds, sizes).join(seekers.select("sig", "k"), "sig").join(least.withColumnRenamed("sig", "other"), "other")
     place = F.row_number().over(W.partitionBy("sig").orderBy(F.desc("score"), "least"))
-    found = kept(found.withColumn("i", place).filter("i <= k").select("sig", "other", "score", "k"))
+    above = F.sum("size").over(W.partitionBy("sig").orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, 0)) - F.sum("size").over(W.partitionBy("sig", "score"))
+    found = kept(found.withColumn("i", place).filter("i <= k").withColumn("above", above).filter("above < k").select("sig", "other", "score", "k"))
     # The first slugs of a kind that is looked for, as many as any seeker wants: first in parts of it, then of all.
     most = found.groupBy("other").agg(F.max("k").alias("most"))
     rows = members.select(F.col("sig").alias("other"), F.col("slug").alias("dst")).join(most, "other").withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(64)))
