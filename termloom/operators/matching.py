@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,11 +15,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from termloom.functions.text import LETTERS, candidate_forms, escape_html, normalize_word, word_occurrences
 from termloom.operators.dictionary import sent_to_all, title_keys
 from termloom.operators.ranking import running, slices
-from termloom.sources.shared import kept
+from termloom.sources.shared import kept, texts_a_batch
 
 
 def word_table(docs: DataFrame, letters: str = LETTERS, id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, word, start)``: every word of every text."""
+    texts_a_batch(docs.sparkSession)
     at = docs.select(F.col(id_col).alias("doc_id"), word_occurrences(F.col("text"), letters).alias("at"))
     # The outer form: the plain one makes Catalyst compute the array twice, to drop empty ones first.
     return at.select("doc_id", F.inline_outer("at")).filter("word is not null")
@@ -28,9 +31,19 @@ def known_words(docs: DataFrame, terms: DataFrame, letters: str = LETTERS) -> Da
     as a whole (``form_ord`` 0) or without a particle of ``cut`` letters.
 
     Normal forms and particles are worked out once for each different word, of which there
-    are far fewer than occurrences.
+    are far fewer than occurrences; a batch of texts gives each of its words once.
     """
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{letters}]+"), F.lit(0))).alias("word")).distinct()
+    texts_a_batch(docs.sparkSession)
+    every = re.compile(f"[{letters}]+").findall
+
+    def different(batches):
+        for b in batches:
+            found: set[str] = set()
+            for t in b.column(0).to_pylist():
+                found.update(every(t or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
+
+    words = docs.select("text").mapInArrow(different, "word string").distinct()
     forms = words.withColumn("form", normalize_word(F.col("word"))).select("word", F.posexplode_outer(candidate_forms(F.col("form"))).alias("form_ord", "f"))
     keys = kept(title_keys(terms))
     return forms.join(sent_to_all(keys), F.col("f.form") == F.col("key")).select("word", "slug", "term_ord", F.col("f.cut").alias("cut"), "form_ord")
@@ -54,7 +67,8 @@ def match_terms(docs: DataFrame, terms: DataFrame, letters: str = LETTERS) -> Da
     ``count`` counts (occurrence, form) pairs, ``n_starts`` places.  Ranks go by
     count, then by where the term's word first appears, form and term order.
     """
-    found = hits(docs, terms, letters)
+    # What follows groups by document and by parts of it: all of it in the one stage after this shuffle.
+    found = hits(docs, terms, letters).repartition("doc_id")
     per_term = found.groupBy("doc_id", "slug").agg(
         F.count("*").alias("count"),
         F.lit(0.0).alias("score"),

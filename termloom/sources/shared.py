@@ -58,3 +58,14 @@ def removed(*frames: DataFrame) -> None:
         fs, at = _file_system(df.sparkSession, df.kept_at)
         fs.delete(at, True)
         fs.cancelDeleteOnExit(at)
+
+
+#: Texts are long: so many of them in an Arrow batch.
+TEXTS = 1000
+
+
+def texts_a_batch(spark: SparkSession) -> None:
+    """Bound the texts of an Arrow batch where the session has Spark's own number, set or not."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXTS))
