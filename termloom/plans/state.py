@@ -208,6 +208,10 @@ def _questions(spark, sf_dir):
     return e.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("question"), F.col("event_type").isin("view", "signup").alias("shown"), F.col("ts").cast("timestamp").alias("ts"))
 
 
+#: Events of the whole month in a bucket of the stream.
+EVENTS_A_BUCKET = 32_768
+
+
 def _outcome(rows):
     day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return rows.select("user_id", "question", day("shown_at"), "outcome", day("ended_at"))
@@ -236,7 +240,9 @@ def question_timer(spark, sf_dir):
     slices = [e.filter(day <= 10), e.filter((day > 10) & (day <= 20)), e.filter(day > 20), last]
     slices[0].write.parquet(source)
     stream = spark.readStream.schema(e.schema).parquet(source)
-    q = ST.question_timer(stream, 10_800).writeStream.format("parquet").option("checkpointLocation", fresh_path(spark)).option("path", out).start()
+    # More buckets for a longer table, so that what one of them gets at a time does not grow.
+    buckets = max(ST.USER_BUCKETS, e.count() // EVENTS_A_BUCKET)
+    q = ST.question_timer(stream, 10_800, buckets=buckets).writeStream.format("parquet").option("checkpointLocation", fresh_path(spark)).option("path", out).start()
     try:
         q.processAllAvailable()
         for more in slices[1:]:

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from termloom.operators.ledger import ANSWERED, LEFT, QUESTION_SECONDS, TIMED_OUT, lockout_step
 
+#: Buckets that users with open questions are dealt to.
+USER_BUCKETS = 1024
+
 
 def event_time(events: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Zone-less times as timestamps, under a watermark."""
@@ -92,71 +95,89 @@ def lockouts(attempts: DataFrame, most: int = 5, minutes: int = 5) -> DataFrame:
 
 
 class _Questions(StatefulProcessor):
-    """One open question a user; its timer fires without an event."""
+    """One open question a user, kept by buckets of users; a bucket's timer stands at the first end of them and fires without an event."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, kind: str):
+        self.limit, self.kind = limit, kind
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "question long, at long")
+        self.open = handle.getValueState("open", f"users array<{self.kind}>, questions array<long>, ats array<long>")
+
+    def _opened(self) -> dict:
+        return {user: (question, at) for user, question, at in zip(*(self.open.get() or ((), (), ())), strict=True)}
 
-    def _end(self, key, question, at, outcome, ended):
-        self.ended.append((key[0], question, at, outcome, ended))
+    def _keep(self, now: dict) -> None:
+        if now:
+            self.open.update(([*now], [q for q, _ in now.values()], [at for _, at in now.values()]))
+        else:
+            self.open.clear()
 
     def _timer(self, at: int) -> int:
         return -(-(at + self.limit) // 1000)  # timers count milliseconds
 
+    def _first(self, now: dict) -> int | None:
+        return min((self._timer(at) for _, at in now.values()), default=None)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self.ended = []
-        now = self.open.get() if self.open.exists() else None
-        first = now
+        now, ended = self._opened(), []
+        before = self._first(now)
         every = pd.concat(list(rows)).sort_values(["us", "tie"])
-        for question, shown, us in zip(every["question"], every["shown"], every["us"], strict=True):
-            if now and us >= now[1] + self.limit:
-                self._end(key, *now, TIMED_OUT, now[1] + self.limit)
-                now = None
+        for user, named, question, asked, shown, us in zip(*(every[c].tolist() for c in ("user", "named", "question", "asked", "shown", "us")), strict=True):
+            user = user if named else None
+            was = now.pop(user, None)
+            if was and us >= was[1] + self.limit:
+                ended.append((user, *was, TIMED_OUT, was[1] + self.limit))
+            elif was:
+                ended.append((user, *was, LEFT if shown else ANSWERED, us))
             if shown:
-                if now:
-                    self._end(key, *now, LEFT, us)
-                now = (int(question), int(us))
-            elif now:
-                self._end(key, *now, ANSWERED, us)
-                now = None
-        if now != first:
-            if first:
-                self.handle.deleteTimer(self._timer(first[1]))
-            if now:
-                self.handle.registerTimer(self._timer(now[1]))
-                self.open.update(now)
-            else:
-                self.open.clear()
-        yield self._rows()
+                now[user] = question if asked else None, us
+        first = self._first(now)
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self._keep(now)
+        yield self._rows(ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.ended = []
-        now = self.open.get() if self.open.exists() else None
-        if now and self._timer(now[1]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self._end(key, *now, TIMED_OUT, now[1] + self.limit)
-            self.open.clear()
-        yield self._rows()
+        passed, left, ended = timerValues.getCurrentWatermarkInMs(), {}, []
+        for user, (question, at) in self._opened().items():
+            if self._timer(at) <= passed:
+                ended.append((user, question, at, TIMED_OUT, at + self.limit))
+            else:
+                left[user] = question, at
+        if ended:
+            if left:
+                self.handle.registerTimer(self._first(left))
+            self._keep(left)
+        yield self._rows(ended)
 
-    def _rows(self) -> pd.DataFrame:
-        return pd.DataFrame(self.ended, columns=["user_id", "question", "s", "outcome", "e"])
+    def _rows(self, ended: list[tuple]) -> pd.DataFrame:
+        # As objects: beside a null, numbers would become floating ones.
+        return pd.DataFrame(ended, columns=["user_id", "question", "s", "outcome", "e"], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def question_timer(events: DataFrame, seconds: int = QUESTION_SECONDS, late: str = "1 minute") -> DataFrame:
+def question_timer(events: DataFrame, seconds: int = QUESTION_SECONDS, late: str = "1 minute", buckets: int = USER_BUCKETS) -> DataFrame:
     """Streaming twin of ``ledger.question_outcomes`` over ``(user_id, question long, shown, ts, event_id)``.
 
-    A user's open question is a value state with a timer in event time: when the watermark passes its end and no answer has come, the
-    question times out, though no event of that user follows.  Rows later than the watermark are not taken.
+    A user has at most one open question.  Users are dealt to ``buckets`` by hash and the open questions of a bucket are one value state, with a
+    timer in event time at the first end: when the watermark passes a question's end and no answer has come, it
+    times out, though no event of that user follows.  So what a batch costs for states goes with the buckets, not with the users, and a
+    task holds one bucket's rows of a batch at a time.  The number of buckets is part of a checkpoint.  Rows later than the watermark are not taken.
     """
     kind = events.schema["user_id"].dataType.simpleString()
-    rows = event_time(events, "ts", late).select("user_id", F.col("question").cast("long").alias("question"), "shown", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("tie"))
-    out = _with_states(rows, "user_id", _Questions(seconds * 1_000_000), f"user_id {kind}, question long, s long, outcome string, e long", "EventTime")
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int").alias("bucket")
+    # Numbers without nulls, which pandas would make floating ones; a flag tells which were there.
+    whole = lambda c: F.coalesce(c, F.lit(0).cast(kind)) if kind in ("tinyint", "smallint", "int", "bigint") else F.col(c)
+    rows = event_time(events, "ts", late).select(
+        bucket, whole("user_id").alias("user"), F.col("user_id").isNotNull().alias("named"), F.coalesce(F.col("question").cast("long"), F.lit(0)).alias("question"), F.col("question").isNotNull().alias("asked"),
+        F.coalesce("shown", F.lit(False)).alias("shown"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("tie"))
+    out = _with_states(rows, "bucket", _Questions(seconds * 1_000_000, kind), f"user_id {kind}, question long, s long, outcome string, e long", "EventTime")
     return out.select("user_id", "question", F.timestamp_micros("s").alias("shown_at"), "outcome", F.timestamp_micros("e").alias("ended_at"))
 
 
