@@ -242,14 +242,16 @@ def question_timer(spark, sf_dir):
     stream = spark.readStream.schema(e.schema).parquet(source)
     # More buckets for a longer table, so that what one of them gets at a time does not grow.
     buckets = max(ST.USER_BUCKETS, e.count() // EVENTS_A_BUCKET)
-    q = ST.question_timer(stream, 10_800, buckets=buckets).writeStream.format("parquet").option("checkpointLocation", fresh_path(spark)).option("path", out).start()
-    try:
-        q.processAllAvailable()
-        for more in slices[1:]:
+    steps = ST.question_timer(stream, 10_800, buckets=buckets).writeStream.format("parquet").option("checkpointLocation", fresh_path(spark)).option("path", out)
+    for more in [None, *slices[1:]]:
+        # Files of a part appear one by one: no stream runs meanwhile that would take some of them before the others.
+        if more is not None:
             more.write.mode("append").parquet(source)
+        q = steps.start()
+        try:
             q.processAllAvailable()
-    finally:
-        q.stop()
+        finally:
+            q.stop()
     return _outcome(spark.read.parquet(out))
 
 
