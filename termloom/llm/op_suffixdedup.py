@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm import passages
 from termloom.llm.common import discard, durable, texts
+from termloom.llm.rolling import BLOCK, anchors, mix, rolling
 from termloom.llm.suffixes import suffix_array
 
 LENGTH, CORE = 400, 256
-#: Bytes hashed at a time, and runs gathered before a task merges those that agree.
-BLOCK, GATHER = 1 << 18, 1 << 18
+#: Runs gathered before a task merges those that agree.
+GATHER = 1 << 18
 #: An anchor with more different runs than this is dealt out again, by slices of
 #: SLICE neighbouring starts and by all bytes that the strings of a slice share; in a slice
 #: with more strings than this, each start is counted by itself.
@@ -33,43 +35,6 @@ MANY, SLICE = 200, 8
 SYMBOLS = 60_000
 
 _U = np.uint64
-_M64 = (1 << 64) - 1
-
-
-class _Rolling:
-    """Polynomial hashes modulo 2**64 of all windows of a length, for one odd base."""
-
-    def __init__(self, base: int, seed: int, size: int = BLOCK + LENGTH):
-        self.size = size
-        self.symbol = np.random.RandomState(seed).randint(0, 1 << 62, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-        up = np.full(size, base, _U)
-        up[0] = 1
-        self.up = np.cumprod(up, dtype=_U)
-        down = np.full(size, pow(base, -1, 1 << 64), _U)
-        down[0] = 1
-        self.down = np.cumprod(down, dtype=_U)
-
-    def prefix(self, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(b) + 1, _U)
-        np.cumsum(self.symbol[b] * self.up[: len(b)], out=out[1:])
-        return out
-
-    def window(self, prefix: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[at]) * self.down[at]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0x9E3779B97F4A7C15)
-    return x ^ (x >> _U(29))
-
-
-_tables: list[_Rolling] = []
-
-
-def _rolling() -> list[_Rolling]:
-    if not _tables:
-        _tables.extend((_Rolling(0x5851F42D4C957F2D, 1), _Rolling(0x2545F4914F6CDD1D, 2)))
-    return _tables
 
 
 def runs(data: bytes):
@@ -79,27 +44,18 @@ def runs(data: bytes):
     equal least hashes the first in the window is the anchor.  Blocks of long
     texts overlap, so that every window is in one block; a run may be cut there.
     """
-    one, two = _rolling()
+    one, two = rolling()
     b = np.frombuffer(data, np.uint8)
     wide = LENGTH - CORE + 1
     for base in range(0, len(b) - LENGTH + 1, BLOCK):
         part = b[base : base + BLOCK + LENGTH - 1]
-        n = len(part) - CORE + 1
-        windows = n - wide + 1
         p1 = one.prefix(part)
-        core = _mix((p1[CORE:] - p1[:-CORE]) * one.down[:n])
-        key = (core >> _U(20) << _U(20)) | np.arange(n, dtype=_U)
-        grid = np.concatenate([key, np.full(-n % wide, _M64, _U)]).reshape(-1, wide)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = (np.minimum(back[:windows], ahead[wide - 1 : wide - 1 + windows]) & _U(0xFFFFF)).astype(np.int64)
-        start = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
-        end = np.append(start[1:], windows)
-        anchor = least[start]
+        core = mix((p1[CORE:] - p1[:-CORE]) * one.down[: len(part) - CORE + 1])
+        start, end, anchor = anchors(core, wide)
         p2 = two.prefix(part)
         h2 = two.window(p2, anchor, anchor + CORE)
-        whole = _mix(one.window(p1, start, end + LENGTH - 1)) ^ _mix(two.window(p2, start, end + LENGTH - 1))
-        whole = _mix(whole + (end - start).astype(_U) * _U(1_000_003) + (anchor - start).astype(_U))
+        whole = mix(one.window(p1, start, end + LENGTH - 1)) ^ mix(two.window(p2, start, end + LENGTH - 1))
+        whole = mix(whole + (end - start).astype(_U) * _U(1_000_003) + (anchor - start).astype(_U))
         yield start + base, end - start, anchor + base, core[anchor], h2, whole
 
 
@@ -133,7 +89,7 @@ def _emit(parts: list[tuple], ids: list) -> pa.RecordBatch:
     def both(x, y, kind):
         return pa.array(np.concatenate([x, y]).astype(kind))
 
-    spread = _mix(th[rest].view(_U) + start[rest].astype(_U)).view(np.int64)
+    spread = mix(th[rest].view(_U) + start[rest].astype(_U)).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [
             both(h1[keep].view(np.int64), spread, np.int64), both(h2[keep].view(np.int64), np.zeros(len(rest)), np.int64),
@@ -189,15 +145,24 @@ def _strings(data: bytes, run: dict, limit: int) -> list[tuple]:
 
 
 def _cut(batches, limit: int):
-    """``(doc_id, text, th, wanted)`` -> the strings of the wanted runs."""
+    """``(doc_id, text, th, wanted)`` -> the strings of the wanted runs, and with a core of 0
+    the windows of the wanted runs of words, which have ``many`` 0."""
     for b in batches:
-        rows = []
-        for doc_id, text, th, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        rows, windows = [], []
+        for n, (doc_id, text, th, wanted) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)):
             data = text.encode("utf-8", "surrogatepass")
+            words = passages.word_hashes(data) if any(not run["many"] for run in wanted) else None
             for run in wanted:
-                rows += [(*s[:3], doc_id, th, *s[3:]) for s in _strings(data, run, limit)]
+                if run["many"]:
+                    rows += [(*s[:3], doc_id, th, *s[3:]) for s in _strings(data, run, limit)]
+                else:
+                    windows.append((*passages.window_hashes(words, run["start"], run["count"]), np.full(run["count"], n)))
         cols = list(zip(*rows, strict=True)) or [()] * len(_STRING_NAMES)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, _STRING_KINDS, strict=True)], _STRING_NAMES)
+        if windows:
+            g1, g2, at = (pa.array(np.concatenate(c)) for c in zip(*windows, strict=True))
+            core, start, none = pa.array(np.zeros(len(g1), np.int32)), pa.array(np.zeros(len(g1), np.int64)), pa.nulls(len(g1), pa.binary())
+            yield pa.RecordBatch.from_arrays([g1, g2, core, b.column(0).take(at), b.column(2).take(at), start, core, none, none], _STRING_NAMES)
 
 
 def repeated_starts(strings: list[tuple[int, int, bytes, bytes, int]]) -> list[list[int]]:
@@ -296,10 +261,10 @@ def _sorted_out(batches):
 
 
 def _finish(batches):
-    """``(doc_id, text, spans)`` -> spans of bytes that go, and the bytes that stay."""
+    """``(doc_id, text, spans, shared)`` -> spans of bytes that go, and the bytes that stay."""
     for b in batches:
         rows = []
-        for doc_id, text, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for doc_id, text, found, shared in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             spans: list[list[int]] = []
             for s in sorted(found or (), key=lambda x: x["start"]):
@@ -312,10 +277,10 @@ def _finish(batches):
             for i, j in spans:
                 kept.append(data[at:i])
                 at = j
-            rows.append((doc_id, len(data), [{"start": i, "end": j} for i, j in spans], b"".join([*kept, data[at:]])))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"])
+            rows.append((doc_id, len(data), [{"start": i, "end": j} for i, j in spans], b"".join([*kept, data[at:]]), bool(shared)))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept", "shared"])
 
 
 def _crowded(strings: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
@@ -339,15 +304,16 @@ def _crowded(strings: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
     return usual, each.filter("twice = 0").join(again, key, "left_semi").select("doc_id", "th", "start", F.lit(1).alias("count"))
 
 
-def _with_texts(docs: DataFrame, found: DataFrame, column: str, how: str) -> DataFrame:
-    """Documents joined to a column gathered per document, null doc_ids included."""
-    f = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), column)
+def _with_texts(docs: DataFrame, found: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Documents joined to columns gathered per document, null doc_ids included."""
+    f = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), *columns)
     return docs.join(f, docs["doc_id"].eqNullSafe(f["d"]) & (docs["th"] == f["t"]), how)
 
 
 def suffix_dedup(docs: DataFrame, many: int = MANY) -> DataFrame:
-    """Per row ``doc_id, n_bytes, spans, kept``: the maximal runs of bytes covered by a
-    400-byte string that also starts elsewhere in the table, and the other bytes.
+    """Per row ``doc_id, n_bytes, spans, kept, shared``: the maximal runs of bytes covered by a
+    400-byte string that also starts elsewhere in the table, the other bytes, and whether the text has over 50 words
+    in a row that also stand in another document, whatever their bytes and the white space between them.
 
     Judged on the input: every copy of a repeated string goes, overlaps count, and
     matches stay inside a document.  Null texts are empty; texts under 400 bytes
@@ -370,15 +336,22 @@ def suffix_dedup(docs: DataFrame, many: int = MANY) -> DataFrame:
     whole = met.filter("twice = 0").join(copied, [*anchor, "whole"], "left_semi").select(*place).unionByName(seen.filter("off < 0").select(*place))
     several = kinds.groupBy(*anchor).agg(F.count("*").alias("many")).filter("many > 1")
     wanted = kinds.join(several, anchor).select(*anchor, "r.*", ((F.col("n") > 1) | (F.col("t") == 1)).cast("int").alias("twice"), "many")
+    wanted = wanted.select(*place, "h1", "h2", "off", "twice", "many")
+    long, known, doubtful = passages.met(d)
+    wanted = wanted.unionByName(doubtful.withColumn("many", F.lit(0)), allowMissingColumns=True)
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h1", "h2", "start", "count", "off", "twice", "many")).alias("wanted"))
-    strings = _with_texts(d, wanted, "wanted", "inner").select(d["doc_id"], "text", "th", "wanted").mapInArrow(partial(_cut, limit=many), _STRING)
+    cut = durable(_with_texts(d, wanted, ["wanted"], "inner").select(d["doc_id"], "text", "th", "wanted").mapInArrow(partial(_cut, limit=many), _STRING))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    strings, crowded = _crowded(durable(strings), many)
+    strings, crowded = _crowded(cut.filter("core > 0"), many)
     partly = strings.repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2", "core", "before", "after").mapInArrow(_sorted_out, _SPAN)
-    spans = whole.unionByName(partly).unionByName(crowded).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count")).alias("found"))
+    sharing = passages.sharing(long, known, cut.filter("core = 0").select("g1", "g2", "th"))
+    # A document that shares a passage has a span of no start.
+    spans = whole.unionByName(partly).unionByName(crowded).unionByName(sharing.select("*", F.lit(0).alias("start"), F.lit(0).alias("count")))
+    found = F.collect_list(F.when(F.col("count") > 0, F.struct("start", "count"))).alias("found")
+    spans = spans.groupBy("doc_id", "th").agg(found, (F.min("count") == 0).alias("shared"))
     return (
-        _with_texts(d, spans, "found", "left").select(d["doc_id"], "text", "found")
-        .mapInArrow(_finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+        _with_texts(d, spans, ["found", "shared"], "left").select(d["doc_id"], "text", "found", "shared")
+        .mapInArrow(_finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, shared boolean")
     )
 
 
