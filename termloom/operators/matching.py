@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from termloom.functions.text import LETTERS, candidate_forms, escape_html, normalize_word, word_occurrences
 from termloom.operators.dictionary import sent_to_all, title_keys
@@ -67,23 +68,78 @@ def match_terms(docs: DataFrame, terms: DataFrame, letters: str = LETTERS) -> Da
     ``count`` counts (occurrence, form) pairs, ``n_starts`` places.  Ranks go by
     count, then by where the term's word first appears, form and term order.
     """
-    # What follows groups by document and by parts of it: all of it in the one stage after this shuffle.
-    found = hits(docs, terms, letters).repartition("doc_id")
-    per_term = found.groupBy("doc_id", "slug").agg(
-        F.count("*").alias("count"),
-        F.lit(0.0).alias("score"),
-        F.sort_array(F.collect_list(F.struct("start", "length"))).alias("occurrences"),
-        F.min(F.struct("start", "form_ord", "term_ord")).alias("first_seen"),
-    )
+    # What follows groups by document and by parts of it: all of it in the one stage after this shuffle.  Spark sorts the hits, a task streams them.
+    found = hits(docs, terms, letters).select("doc_id", "slug", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"), "form_ord", "term_ord")
+    found = found.repartition("doc_id").sortWithinPartitions("doc_id", "slug", "start", "length")
+    kinds = {c: found.schema[c].dataType for c in ("doc_id", "slug", "form_ord", "term_ord")}
+    form = (
+        "doc_id {doc_id}, slug {slug}, count long, n_starts long, occurrences array<struct<start:int,length:int>>, first_seen struct<start:int,form_ord:{form_ord},term_ord:{term_ord}>"
+    ).format(**{c: k.simpleString() for c, k in kinds.items()})
+    types = [to_arrow_type(x.dataType) for x in StructType.fromDDL(form)]
+    per_term = found.mapInArrow(lambda batches: _per_term(batches, types), form).withColumn("score", F.lit(0.0))
     order = W.partitionBy("doc_id").orderBy("score", F.desc("count"), "first_seen", "slug")
     return per_term.select(
-        "doc_id", "slug", "count", F.size(F.array_distinct(F.transform("occurrences", lambda o: o["start"]))).cast("long").alias("n_starts"), "score", "occurrences",
+        "doc_id", "slug", "count", "n_starts", "score", "occurrences",
         F.col("occurrences")[0]["start"].alias("first_start"),
         F.col("occurrences")[0]["length"].alias("first_length"),
         F.row_number().over(order).alias("rank"),
     )
 
 
+#: Rows that a task works on together.
+TOGETHER = 32_768
+
+
+def _stretches(batches):
+    """Batches in lists of ``TOGETHER`` rows or more."""
+    some, n = [], 0
+    for b in batches:
+        some.append(b)
+        n += len(b)
+        if n >= TOGETHER:
+            yield some
+            some, n = [], 0
+    yield some
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for equal values, null among them."""
+    return np.asarray(column.dictionary_encode("encode").indices)
+
+
+def _per_term(batches, types: list):
+    """Sorted hits as one row for each document and term; only the last one's hits, which may go on, are held."""
+    names, held = ["doc_id", "slug", "count", "n_starts", "occurrences", "first_seen"], []
+
+    def rows(b: pa.RecordBatch, begins: np.ndarray) -> pa.RecordBatch:
+        start, length, form, term = (b.column(i) for i in range(2, 6))
+        n = np.diff(np.append(begins, len(b)))
+        at, run = np.asarray(start), np.repeat(np.arange(len(begins)), n)
+        new = np.append(True, (np.diff(at) != 0) | (np.diff(run) != 0))
+        # The first place, then the form and term that come first there.
+        near = np.flatnonzero(at == at[begins][run])
+        order = np.lexsort((np.asarray(term.fill_null(-(1 << 31)))[near], np.asarray(form)[near], run[near]))
+        best = near[order][np.searchsorted(run[near][order], np.arange(len(begins)))]
+        seen = pa.StructArray.from_arrays([start.take(best), form.take(best), term.take(best)], fields=list(types[5]))
+        places = pa.StructArray.from_arrays([start, length], fields=list(types[4].value_type))
+        ends = pa.array(np.append(begins, len(b)), pa.int32())
+        columns = [b.column(0).take(begins), b.column(1).take(begins), pa.array(n, pa.int64()), pa.array(np.add.reduceat(new.astype(np.int64), begins)), pa.ListArray.from_arrays(ends, places, type=types[4]), seen]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for some in _stretches(batches):
+        some = [x for x in [*held, *some] if len(x)]
+        if not some:
+            continue
+        b = pa.concat_batches(some)
+        doc, slug = _codes(b.column(0)), _codes(b.column(1))
+        begins = np.append(0, np.flatnonzero((np.diff(doc) != 0) | (np.diff(slug) != 0)) + 1)
+        if len(begins) > 1:
+            yield rows(b.slice(0, begins[-1]), begins[:-1])
+        held = [b.slice(begins[-1])]
+    if held:
+        yield rows(pa.concat_batches(held), np.array([0]))
+
+
 def kept_spans(matches: DataFrame) -> DataFrame:
     """``(doc_id, start, length, slug, covered)``: one span for each matched place.
 
@@ -113,27 +169,40 @@ def sweep_spans(spans: DataFrame) -> DataFrame:
 
     def sweep(batches):
         types = [to_arrow_type(t) for t in (ids, IntegerType(), IntegerType(), slugs, ArrayType(slugs))]
-        doc, last, covered = None, None, {}
-        for b in batches:
-            out = []
-            for d, start, length, slug in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if last is None or d != doc or start >= last[1] + last[2]:
-                    if last is not None:
-                        out.append((*last, list(covered)))
-                    doc, last, covered = d, (d, start, length, slug), {slug: None}
-                else:
-                    covered[slug] = None
-            yield _columns(out, types)
-        if last is not None:
-            yield _columns([(*last, list(covered))], types)
+        held = []
+        for some in _stretches(batches):
+            some = [x for x in [*held, *some] if len(x)]
+            if not some:
+                continue
+            b = pa.concat_batches(some)
+            doc, slug = _codes(b.column(0)), _codes(b.column(3))
+            start, length = np.asarray(b.column(1)), np.asarray(b.column(2))
+            tops, last, end = [], None, 0
+            for i, (d, s, n) in enumerate(zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)):
+                if d != last or s >= end:
+                    tops.append(i)
+                    last, end = d, s + n
+            # Each slug of a kept span once, at its first place.
+            of = np.zeros(len(b), np.int64)
+            of[tops[1:]] = 1
+            of = np.cumsum(of)
+            firsts = np.sort(np.unique(of * (int(slug.max()) + 1) + slug, return_index=True)[1])
+            yield _spans(b, np.array(tops[:-1], np.int64), firsts[of[firsts] < len(tops) - 1], of, types)
+            # The last kept span may go on; of what it covers, a row for each slug is enough.
+            held = [b.take(pa.array(firsts[of[firsts] == len(tops) - 1]))]
+        if held:
+            b = pa.concat_batches(held)
+            yield _spans(b, np.array([0]), np.arange(len(b)), np.zeros(len(b), np.int64), types)
 
     kinds = ids.simpleString(), slugs.simpleString()
     return rows.mapInArrow(sweep, f"doc_id {kinds[0]}, start int, length int, slug {kinds[1]}, covered array<{kinds[1]}>")
 
 
-def _columns(rows: list[tuple], types: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "slug", "covered"])
+def _spans(b: pa.RecordBatch, tops: np.ndarray, firsts: np.ndarray, of: np.ndarray, types: list) -> pa.RecordBatch:
+    """The rows ``tops`` of a batch, each with the slugs of those ``firsts`` that are ``of`` it."""
+    ends = np.searchsorted(of[firsts], np.arange(len(tops) + 1))
+    covered = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b.column(3).take(pa.array(firsts)), type=types[4])
+    return pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(tops)) for i in range(4)], covered], ["doc_id", "start", "length", "slug", "covered"])
 
 
 _ENTITIES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})

@@ -150,3 +150,29 @@ def test_leaves_and_ranges_in_bins(spark):
         want |= {(page, i, leaf, max(s, start) - start, min(e, end) - start) for p, i, s, e in ranges if p == page and start < e and end > s}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_hits_are_streamed_in_order(spark, monkeypatch):
+    """Hits of documents and terms that go on over several batches, against a loop; no lists are collected by Spark."""
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    monkeypatch.setattr(M, "TOGETHER", 3)
+    rng = random.Random(6)
+    rows = sorted({(rng.choice([1, 2, 5]), rng.choice("abc"), rng.randrange(6), rng.randrange(1, 4), rng.randrange(3), rng.randrange(4)) for _ in range(90)}, key=lambda r: r[:4])
+    names = ["doc_id", "slug", "start", "length", "form_ord", "term_ord"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 2], strict=True), kinds, strict=True)], names) for i in range(0, len(rows), 2)]
+    form = "doc_id long, slug string, count long, n_starts long, occurrences array<struct<start:int,length:int>>, first_seen struct<start:int,form_ord:int,term_ord:bigint>"
+    got = [tuple(r.values()) for b in M._per_term(iter(batches), [to_arrow_type(x.dataType) for x in StructType.fromDDL(form)]) for r in b.to_pylist()]
+    want = []
+    for key in sorted({r[:2] for r in rows}):
+        own = [r[2:] for r in rows if r[:2] == key]
+        seen = min((s, f, t) for s, _, f, t in own)
+        want.append((*key, len(own), len({r[0] for r in own}), [{"start": s, "length": n} for s, n, *_ in own], dict(zip(("start", "form_ord", "term_ord"), seen, strict=True))))
+    assert got == want
+    plan = M.match_terms(docs(spark, "상관관계"), terms(spark, BASE))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
